@@ -1,0 +1,9 @@
+"""Queries and their SQL by name."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
