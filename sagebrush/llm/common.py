@@ -21,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in an Arrow batch. Documents vary from one word to megabytes, so batches stay short.
 ARROW_ROWS = 512
 #: Bytes of text hashed at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
 

@@ -6,7 +6,7 @@ Bands of `rows` bins make buckets. In a bucket all members are paired with its l
 candidates grow with the members and not with their square. Candidates are confirmed on full shingle sets.
 
 Documents with equal sets are merged before banding. A pair that shares a bucket but whose members are, after the
-stars, in different groups is confirmed too, so that a star's centre hides no link.
+stars, in different groups is searched for by exact prefix filtering, so that a star's centre hides no link.
 
 Nulls and texts without words have an empty set: they keep their own id and are linked with nothing. Repeated rows of
 one id give one output row each and share a group. A null id is in no group (component_id null, kept true). Extra
@@ -101,6 +101,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * same >= {percent} * (size(s) + size(t) - same)").select("a", "b").distinct()
 
 
+def across_groups(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of (id, shingles, group) in different groups that may be alike: exact prefix filtering.
+
+    Shingles that only one group has come first in each set's order, then the others by frequency. Two sets that are
+    alike enough share a shingle among the first n - ceil(percent * n / 100) + 1 of each, and from the first one they
+    share on have enough left. A passage that many
+    documents share is frequent, so it comes last and makes no pair of documents that share nothing else. A shingle's
+    largest group is paired with the other groups only.
+    """
+    rows = rows.select("id", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("group").alias("g1"), F.max("group").alias("g2"))
+    rows = rows.join(shared.where("g1 <> g2").select("shingle", "df"), "shingle")
+    own = Window.partitionBy("id")
+    rows = rows.withColumn("k", F.count("*").over(own)).withColumn("nth", F.row_number().over(own.orderBy("df", "shingle")))
+    # what a set holds from this shingle on, itself included
+    rows = rows.where(f"nth <= k - ceil({percent} * n / 100) + 1").withColumn("left", F.col("k") - F.col("nth") + 1)
+    rows = stored(rows.select("id", "group", "n", "left", "shingle"), "prefix")
+    sizes = rows.groupBy("shingle", "group").agg(F.count("*").alias("members"))
+    top = sizes.groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("group", F.struct("members", "group")).alias("top"))
+    apart = rows.join(top.where("groups > 1").select("shingle", "top"), "shingle").where("group <> top")
+    apart = apart.select("shingle", "top", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("group").alias("ga"))
+    pairs = apart.join(rows.withColumnsRenamed({"id": "b", "n": "nb", "left": "lb", "group": "gb"}), "shingle")
+    pairs = pairs.where("ga <> gb and (gb = top or a < b)").where(_alike("na", "nb", percent))
+    # at the first shingle that two sets share, no more can be shared than is left of the shorter rest
+    pairs = pairs.where(f"(100 + {percent}) * least(la, lb) >= {percent} * (na + nb)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def minhash_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs."""
     session(docs)
@@ -111,7 +139,7 @@ def minhash_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, si
     key = ["n", "one", "two"]
     classes = own.groupBy(*key).agg(F.min("id").alias("rep"))
     reps = own.join(classes, key).where("id = rep").dropDuplicates(["id", *key])
-    bucket = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    bucket = reps.select("id", F.explode("bands").alias("bucket"))
     over = Window.partitionBy("bucket")
     bucket = bucket.select("*", F.min("id").over(over).alias("centre"), F.count("*").over(over).alias("members"))
     bucket = stored(bucket.where("members > 1").drop("members"), "buckets")
@@ -121,15 +149,10 @@ def minhash_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, si
     stars = bucket.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(confirmed(stars, sets, percent), "links")
     group = stored(components(links), "group")
-    # what the centres didn't settle: members of one bucket that are in different groups
-    named = bucket.join(group, "id", "left").select("bucket", "id", "n", "centre", F.coalesce("component", "id").alias("group"))
-    middle = group.select(F.col("id").alias("centre"), F.col("component").alias("middle"))
-    named = named.join(middle, "centre", "left").withColumn("middle", F.coalesce("middle", "centre"))
-    named = stored(named, "named")
-    apart = named.where("group <> middle").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
-    rest = apart.join(named.withColumnsRenamed({"id": "b", "n": "nb", "group": "gb"}), "bucket")
-    rest = rest.where("ga <> gb and b <> centre and (gb = middle or a < b)").where(_alike("na", "nb", percent))
-    more = stored(confirmed(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "more")
+    named = bucket.join(group, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("group"))
+    mixed = named.groupBy("bucket").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2").select("bucket")
+    doubt = stored(named.join(mixed, "bucket", "left_semi").select("id", "group").distinct(), "doubt")
+    more = stored(confirmed(across_groups(sets.join(doubt, "id"), percent), sets, percent), "more")
     if not more.isEmpty():
         group = stored(components(links.union(more)), "group")
 
