@@ -123,4 +123,5 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, eod: int = EOD, width: int
     folder, manifest = pack(docs, None, ranks, eod, width)
     files = manifest.groupBy("file").agg(F.sum("bytes").alias("bytes"))
     counts = scan(files, folder, eod, width, block_bytes)
-    return manifest.join(counts, ["file", "nth"]).select("doc_id", "n_tokens", "file", "nth")
+    # the manifest packs well on disk and grows with the documents: never broadcast it
+    return manifest.hint("merge").join(counts, ["file", "nth"]).select("doc_id", "n_tokens", "file", "nth")
