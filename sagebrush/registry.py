@@ -1,9 +1,673 @@
-"""Queries and their SQL by name."""
+"""Queries of this engine by name, each with the SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import tables as T
+from .functions import text as X
+from .operators import documents as D
+from .operators import errors as E
+from .operators import fixes as H
+from .operators import graph as G
+from .operators import search as S
+from .operators import session as V
+from .operators import store as K
+from .plans import inline as I
+from .sources import web as W
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def any_word(column: str, words: list[str]) -> str:
+    return " OR ".join("contains({}, '{}')".format(column, w.replace("'", "''")) for w in words)
+
+
+def case(column: str, rules, default: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {any_word(column, ws)} THEN '{n}'" for n, ws in rules) + f" ELSE {default} END"
+
+
+# -- search ----------------------------------------------------------------------------------------------------------
+
+QUERY = "that the thand ion and tion"
+_TERMS = list(dict.fromkeys(QUERY.split()))
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda x: length(x) BETWEEN 2 AND 50)"
+_BM25 = f"""
+tk AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents),
+st AS (SELECT count(*) AS n, CASE WHEN sum(len(t)) = 0 THEN 1.0 ELSE sum(len(t))::DOUBLE / count(*) END AS av FROM tk),
+tf AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tk) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT doc_id, term, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) AS idf, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av)) AS tn FROM tf JOIN df USING (term), st),
+qt AS (SELECT unnest({_TERMS}) AS term),
+sp AS (SELECT doc_id AS id, sum(idf * tn * idf * (2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * {len(QUERY.split())} / av)))) AS score FROM wt JOIN qt USING (term), st GROUP BY doc_id)
+"""
+_DENSE = """
+qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+dn AS (SELECT vec_id AS id, label, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS score FROM embeddings, qv)
+"""
+
+
+def _vector(spark, sf_dir) -> list[float]:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+@query(f"""WITH {_BM25}, {_DENSE},
+a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM dn QUALIFY r <= 60),
+b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM sp WHERE score > 0 QUALIFY r <= 60),
+u AS (SELECT id, r, 0 AS l FROM a UNION ALL SELECT id, r, 1 FROM b),
+f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) / ((SELECT count(DISTINCT l) FROM u) / 61.0::DOUBLE) AS score, min(l * 1000 + r) AS p FROM u GROUP BY id)
+SELECT id, round(score, 6) AS score FROM f ORDER BY f.score DESC, p LIMIT 20""")
+def hybrid_search(spark, sf_dir):
+    out = S.hybrid_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir))
+    return out.select("id", r6("score").alias("score"))
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term")
+def bm25_vocab(spark, sf_dir):
+    return S.vocabulary(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_BM25} SELECT n AS n_docs, CAST((SELECT sum(len(t)) FROM tk) AS BIGINT) AS n_tokens, round(av, 6) AS avg_len FROM st")
+def bm25_corpus_stats(spark, sf_dir):
+    return S.corpus_stats(table(spark, sf_dir, "documents")).withColumn("avg_len", r6("avg_len"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, term, round(idf * tn, 6) AS weight FROM wt WHERE idf * tn > 9")
+def bm25_weights(spark, sf_dir):
+    return S.weights(table(spark, sf_dir, "documents")).where("weight > 9").withColumn("weight", r6("weight"))
+
+
+@query(f"WITH {_BM25} SELECT id AS doc_id, round(score, 6) AS score FROM sp WHERE score > 0 ORDER BY sp.score DESC, id LIMIT 20")
+def bm25_search(spark, sf_dir):
+    return S.sparse_search(table(spark, sf_dir, "documents"), QUERY.split(), 20).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_DENSE} SELECT id AS vec_id, round(score, 6) AS score FROM dn ORDER BY dn.score DESC, id LIMIT 20")
+def dense_topk(spark, sf_dir):
+    return S.dense_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_DENSE} SELECT id AS vec_id, round(score, 6) AS score FROM dn WHERE label = 1 ORDER BY dn.score DESC, id LIMIT 20")
+def dense_topk_filtered(spark, sf_dir):
+    return S.dense_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20, {"label": 1}).withColumn("score", r6("score"))
+
+
+@query(f"WITH {_DENSE}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM dn QUALIFY r <= 20) SELECT id, round(1.0::DOUBLE / (60 + r) * 61, 6) AS score FROM a")
+def rrf_single_list(spark, sf_dir):
+    one = S.dense_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20).withColumnRenamed("vec_id", "id")
+    return S.fused([one], 20).withColumn("score", r6("score"))
+
+
+@query("SELECT vec_id, len(v) AS n, round(list_sum(v), 5) AS total FROM (SELECT vec_id, list_resize(embedding::DOUBLE[], 80, 0.0::DOUBLE) AS v FROM embeddings)")
+def vector_resize(spark, sf_dir):
+    v = X.resized(F.col("embedding"), 80)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
+
+
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding, lambda e: abs(e::DOUBLE))) AS m FROM embeddings)
+SELECT vec_id, CAST(list_sum(list_transform(v, lambda e: CAST(round(e / m * 127) AS BIGINT))) AS BIGINT) AS checksum FROM x""")
+def scalar_quantise(spark, sf_dir):
+    m = F.array_max(F.transform("embedding", lambda e: F.abs(e.cast("double"))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", m.alias("m"))
+    q = F.zip_with("embedding", F.array_repeat("m", F.size("embedding")), lambda e, m: F.round(e.cast("double") / m * 127).cast("long"))
+    return rows.select("vec_id", F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
+
+
+_BOOST = " + ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{w}') THEN 1 ELSE 0 END" for w in QUERY.split() if len(w) > 2)
+_N_BOOST = len([w for w in QUERY.split() if len(w) > 2])
+
+
+@query(f"SELECT id, round(s, 6) AS score FROM (SELECT doc_id AS id, 0.3::DOUBLE + ({_BOOST})::DOUBLE / {_N_BOOST} * 0.3::DOUBLE AS s FROM documents) WHERE s >= 0.5::DOUBLE")
+def term_boost_threshold(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(0.3).alias("score"))
+    return S.boosted(rows, QUERY).select("id", r6("score").alias("score"))
+
+
+@query("""WITH s AS (SELECT doc_id, lang, source, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(b.w) > 0)
+SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS similarity FROM p WHERE i::DOUBLE / (na + nb - i) > 0.8::DOUBLE""")
+def near_duplicate_pairs(spark, sf_dir):
+    return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, ["lang", "source"]).withColumn("similarity", r6("similarity"))
+
+
+@query()
+def greedy_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hits = S.sparse_search(docs, QUERY.split(), 20).withColumn("pos", F.row_number().over(__import__("pyspark").sql.Window.orderBy(F.desc("score"), "doc_id")))
+    rows = hits.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").select(F.lit(1).alias("query_id"), "pos", "score", F.col("doc_id").alias("id"), "content")
+    return S.deduped(rows).select("slot", "id", r6("score").alias("score"))
+
+
+@query(f"WITH {_DENSE}, t AS (SELECT score FROM dn ORDER BY score DESC, id LIMIT 20) SELECT count(*) FILTER (score > 0.6) AS strong, count(*) FILTER (score > 0.6) < 3 AS weak FROM t")
+def weak_result_gate(spark, sf_dir):
+    top = S.dense_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20)
+    return top.agg(F.count_if(F.col("score") > 0.6).alias("strong")).withColumn("weak", F.col("strong") < 3)
+
+
+# -- planning --------------------------------------------------------------------------------------------------------
+
+
+def _duck(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_CLASS = "CASE " + " ".join("WHEN {} THEN '{}'".format(" OR ".join(f"regexp_matches(query, '{_duck(p)}')" for p in ps), n) for n, ps in T.QUERY_CLASSES) + " ELSE 'general' END"
+
+
+@query(f"SELECT id, {_CLASS} AS type FROM {I.QUERIES.sql()}")
+def query_classification(spark, sf_dir):
+    return I.QUERIES.df(spark).select("id", X.query_class(F.col("query")).alias("type"))
+
+
+@query(f"SELECT conv_id, turn, {_CLASS.replace('query', 'text')} AS type FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+def conversation_classes(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select("conv_id", "turn", X.query_class(F.col("text")).alias("type"))
+
+
+_EXACT = "CASE lower(trim(label)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.TECH_LABELS.items()) + " END"
+_PART = "CASE " + " ".join(f"WHEN contains(lower(trim(label)), '{k}') OR contains('{k}', lower(trim(label))) THEN '{v}'" for k, v in T.TECH_LABELS.items()) + " END"
+_TECH = f"CASE WHEN coalesce(label, '') = '' THEN {case('lower(query)', T.TECH)} ELSE coalesce({_EXACT}, {_PART}, {case('lower(query)', T.TECH)}) END"
+
+
+@query(f"SELECT id, {_TECH} AS tech FROM {I.QUERIES.sql()}")
+def detect_tech(spark, sf_dir):
+    return I.QUERIES.df(spark).select("id", X.tech_of(F.col("query"), F.col("label")).alias("tech"))
+
+
+@query(f"""WITH q AS (SELECT id, {_CLASS} AS k, {_TECH} AS t FROM {I.QUERIES.sql()})
+SELECT id, array_to_string(CASE WHEN k = 'error' THEN CASE WHEN t IS NULL THEN ['fix_recipes', 'general'] ELSE ['fix_recipes', t, 'general'] END
+  WHEN t IS NULL THEN {T.CONTENT} WHEN k IN ('scope', 'code_examples', 'structural') THEN list_concat([t], list_filter({T.CONTENT}, lambda x: x <> t)) ELSE [t, 'general'] END, ',') AS collections FROM q""")
+def query_routing(spark, sf_dir):
+    q = I.QUERIES.df(spark)
+    return q.select("id", F.array_join(X.collections_for(X.query_class(F.col("query")), X.tech_of(F.col("query"), F.col("label"))), ",").alias("collections"))
+
+
+@query()
+def book_hint(spark, sf_dir):
+    return I.QUERIES.df(spark).select("id", F.trim(F.regexp_extract("query", T.BOOK_HINT, 1)).alias("book"))
+
+
+_EXT = r"lower(regexp_extract(path, '[^/\\.][^/\\]*(\.[^./\\]*)$', 1))"
+_LANG = f"CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " END"
+_LANG_ROUTE = f"CASE {_LANG} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LANGUAGE_ROUTES.items()) + " ELSE 'general' END"
+
+
+@query(f"SELECT id, {_LANG} AS language, {case('lower(path)', T.FRAMEWORKS)} AS framework, {case('lower(path)', T.ROUTES, _LANG_ROUTE)} AS collection FROM {I.PATHS.sql()}")
+def language_framework(spark, sf_dir):
+    p = F.col("path")
+    return I.PATHS.df(spark).select("id", X.language_of(p).alias("language"), X.framework_of(p).alias("framework"), X.collection_of(p, X.language_of(p)).alias("collection"))
+
+
+@query(f"""SELECT id, CASE WHEN {_EXT} = '.pdf' THEN 'pdf' WHEN {_EXT} IN ('.html', '.htm') THEN 'html' WHEN {_EXT} IN ('.md', '.mdx') THEN 'markdown' WHEN {_EXT} IN ('.txt', '.rst') THEN 'text'
+WHEN {_EXT} IN ({", ".join(f"'{k}'" for k in T.CODE_FILES)}) THEN 'code' WHEN starts_with(content, '<!DOCTYPE') OR starts_with(content, '<html') THEN 'html'
+WHEN regexp_matches(content, '^#{{1,3}}\\s') THEN 'markdown' ELSE 'text' END AS format FROM {I.PATHS.sql()}""")
+def format_detection(spark, sf_dir):
+    return I.PATHS.df(spark).select("id", X.format_of(F.col("path"), F.col("content")).alias("format"))
+
+
+# -- documents -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH w AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z_][a-zA-Z0-9_]*') AS w FROM documents))),
+c AS (SELECT doc_id, w AS word, count(*) AS n, min(i) AS f FROM w WHERE length(w) > 2 AND w NOT IN ({", ".join(f"'{s}'" for s in sorted(set(T.STOP_WORDS)))}) GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS rank, word, n FROM c QUALIFY rank <= 10""")
+def keywords_top10(spark, sf_dir):
+    return D.keywords(table(spark, sf_dir, "documents"))
+
+
+_DOC_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(substr(text, 1, 500), '{_duck(p)}') THEN '{n}'" for n, p in T.DOC_TYPES) + " ELSE 'reference' END"
+_FENCES = "floor((length(text) - length(replace(text, '```', ''))) / 6.0::DOUBLE)"
+
+
+@query(f"""WITH x AS (SELECT doc_id, text, least({_FENCES} * 10 / len(string_split(text, chr(10))), 1.0) AS s FROM {I.MARKDOWN.sql()})
+SELECT doc_id, CASE WHEN s > 0.5 THEN 'code' WHEN s > 0.1 THEN 'mixed' ELSE 'prose' END AS content_type, {_DOC_TYPE} AS doc_type FROM x""")
+def content_and_doc_type(spark, sf_dir):
+    return I.MARKDOWN.df(spark).select("doc_id", X.content_type(F.col("text")).alias("content_type"), X.doc_type(F.col("text")).alias("doc_type"))
+
+
+@query(f"SELECT doc_id, {_DOC_TYPE} AS doc_type FROM documents WHERE text IS NOT NULL")
+def document_types(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.doc_type(F.col("text")).alias("doc_type"))
+
+
+_MARKS = r"[{}()\[\];:,.<>=+\-*/&|!@#$%^~`]"
+
+
+@query(f"""WITH x AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS w, length(text) - length(regexp_replace(text, '{_MARKS}', '', 'g')) AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(CASE WHEN p > w * 0.3::DOUBLE THEN ceil(ceil(w / 0.75::DOUBLE) * 1.3::DOUBLE) ELSE ceil(w / 0.75::DOUBLE) END AS BIGINT) AS tokens FROM x""")
+def chunk_token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.chunk_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+_MSG_MARKS = r"[{}()\[\]:;=<>!&|+\-*/\\@#$%^~`]"
+
+
+def _msg_tokens(c: str) -> str:
+    n = f"length({c})"
+    marks = f"({n} - length(regexp_replace({c}, '{_MSG_MARKS}', '', 'g')))::DOUBLE / {n}"
+    return f"CAST(CASE WHEN {n} = 0 THEN 0 ELSE ceil({n} / CASE WHEN {marks} > 0.08::DOUBLE THEN 3.0::DOUBLE ELSE 3.8::DOUBLE END) END AS BIGINT)"
+
+
+@query(f"SELECT conv_id, turn, {_msg_tokens('text')} AS tokens FROM conversations WHERE text IS NOT NULL")
+def session_token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", X.message_tokens(F.col("text")).cast("long").alias("tokens"))
+
+
+_LINES = f"""
+l AS (SELECT doc_id, title AS doc_title, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM {I.MARKDOWN.sql()}),
+f AS (SELECT *, starts_with(trim(line), '```') OR coalesce(sum(CASE WHEN starts_with(trim(line), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM l),
+t AS (SELECT doc_id, pos, length(regexp_extract(trim(line), '^(#{{1,6}})\\s', 1)) AS level, trim(regexp_extract(trim(line), '^#{{1,6}}\\s+(.+)$', 1)) AS title FROM f WHERE NOT fenced AND regexp_matches(trim(line), '^#{{1,6}}\\s+.+$'))
+"""
+
+
+@query(f"WITH {_LINES} SELECT doc_id, CAST(pos AS BIGINT) AS pos, level, title FROM t")
+def toc_from_headings(spark, sf_dir):
+    return D.contents(I.MARKDOWN.df(spark))
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM t)
+SELECT doc_id, CAST(no AS BIGINT) AS chapter_no, arg_min(title, pos) AS chapter, count(*) - 1 AS n_sections, coalesce(string_agg(title, ' | ' ORDER BY pos) FILTER (level > 1), '') AS sections FROM c WHERE no > 0 GROUP BY doc_id, no""")
+def chapter_map(spark, sf_dir):
+    return D.chapters(D.contents(I.MARKDOWN.df(spark)))
+
+
+_OPEN = ", ".join(f"(SELECT h.title FROM t h WHERE h.doc_id = f.doc_id AND h.level = {k} AND h.pos <= f.pos AND NOT EXISTS (SELECT 1 FROM t o WHERE o.doc_id = f.doc_id AND o.level < {k} AND o.pos > h.pos AND o.pos <= f.pos) ORDER BY h.pos DESC LIMIT 1)" for k in range(1, 7))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, CAST(pos AS BIGINT) AS pos, concat_ws(' > ', doc_title, {_OPEN}) AS section_path FROM f WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.doc_id = f.doc_id AND x.pos = f.pos)")
+def section_paths(spark, sf_dir):
+    return D.section_paths(I.MARKDOWN.df(spark))
+
+
+@query(f"""WITH b AS {I.BOOKMARKS.sql()}, h AS {I.TOC.sql()}, u AS (SELECT 0 AS part, * FROM b UNION ALL SELECT 1, * FROM h WHERE lower(trim(title)) NOT IN (SELECT lower(trim(title)) FROM b))
+SELECT row_number() OVER (ORDER BY part, pos) AS nth, level, title FROM u""")
+def merge_toc(spark, sf_dir):
+    return D.merged_contents(I.BOOKMARKS.df(spark), I.TOC.df(spark))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    return D.chunked(table(spark, sf_dir, "documents"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
+
+
+@query()
+def split_code(spark, sf_dir):
+    files = spark.createDataFrame([("a.py", "import os\n\ndef f(x):\n    return x\n\nclass A:\n    pass\n"), ("b.py", "x = 1")], "file string, content string")
+    return D.split_code(files, "python")
+
+
+@query()
+def sanitize_headings(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "**Databas e Design**"), (2, "# `ﬁle` oﬃce"), (3, "re que s t handling"), (4, None)], "id long, line string")
+    return rows.select("id", D.clean_headings(F.col("line")).alias("heading"))
+
+
+@query()
+def classify_headings(spark, sf_dir):
+    return I.HEADINGS.df(spark).select("id", X.heading_class(F.col("line")).alias("c")).select("id", "c.is_heading", F.round("c.confidence", 2).alias("confidence"), "c.reason")
+
+
+_CHUNKS = "c AS (SELECT doc_id AS id, coalesce(text, '') AS content, CASE lang WHEN 'en' THEN 'general' WHEN 'de' THEN 'python' WHEN 'fr' THEN 'nodejs' WHEN 'es' THEN 'go' ELSE lang END AS collection, 'Book ' || source AS doc_title, source AS book_id, lang AS chapter, 'Root > ' || source || ' > ' || lang AS section_path, CAST(doc_id AS BIGINT) AS chunk_index FROM documents)"
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    names = F.create_map(*[F.lit(x) for kv in {"en": "general", "de": "python", "fr": "nodejs", "es": "go"}.items() for x in kv])
+    return d.select(
+        F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.coalesce(names[F.col("lang")], "lang").alias("collection"), F.concat(F.lit("Book "), "source").alias("doc_title"),
+        F.col("source").alias("book_id"), F.col("lang").alias("chapter"), F.concat(F.lit("Root > "), "source", F.lit(" > "), "lang").alias("section_path"), F.col("doc_id").alias("chunk_index"),
+    )
+
+
+@query(f"""WITH {_CHUNKS}, p AS (SELECT *, list_extract(regexp_split_to_array(trim(coalesce(lag(content) OVER (PARTITION BY book_id ORDER BY chunk_index), '')), '[.!?]\\s+'), -1) AS s FROM c)
+SELECT id, md5('[' || doc_title || ' > ' || section_path || CASE WHEN length(s) > 20 AND length(s) < 200 THEN ' (continues from: ' || s || ')' ELSE '' END || ']' || chr(10) || chr(10) || content) AS digest FROM p""")
+def enrich_fast(spark, sf_dir):
+    rows = D.enriched(_chunks(spark, sf_dir))
+    return rows.select(F.col("chunk_index").alias("id"), F.md5("enriched").alias("digest"))
+
+
+@query(f"""WITH {_CHUNKS}, s AS (SELECT 'section' AS kind, section_path AS path, count(*) AS n FROM c GROUP BY section_path HAVING count(*) >= 3 UNION ALL SELECT 'chapter', 'Root > ' || book_id, count(*) FROM c GROUP BY book_id HAVING count(*) >= 5) SELECT * FROM s""")
+def section_chapter_summaries(spark, sf_dir):
+    return K.group_summaries(_chunks(spark, sf_dir)).select("kind", "path", "n")
+
+
+@query()
+def clean_html(spark, sf_dir):
+    return W.cleaned_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "title", "text")
+
+
+@query()
+def html_code_blocks(spark, sf_dir):
+    return W.cleaned_pages(table(spark, sf_dir, "pages"), 12000).select("page_id", F.size("code_blocks").cast("long").alias("n"))
+
+
+@query()
+def url_documents(spark, sf_dir):
+    return W.page_document(W.cleaned_pages(table(spark, sf_dir, "pages"), 12000))
+
+
+# -- store and scopes ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CHUNKS} SELECT id, collection FROM c WHERE book_id = 'src3' AND collection = 'general' ORDER BY chunk_index, id LIMIT 200")
+def scroll_keyword(spark, sf_dir):
+    return K.scroll(_chunks(spark, sf_dir), [{"key": "book_id", "value": "src3"}, {"key": "collection", "value": "general"}], 200, "chunk_index").select("id", "collection")
+
+
+@query(f"WITH {_CHUNKS} SELECT id, book_id FROM c WHERE list_contains(regexp_split_to_array(lower(content), '[^a-z0-9]+'), 'that') AND list_contains(regexp_split_to_array(lower(content), '[^a-z0-9]+'), 'tion') ORDER BY id LIMIT 200")
+def text_match(spark, sf_dir):
+    return K.scroll(_chunks(spark, sf_dir), [{"key": "content", "text": "That, tion"}]).select("id", "book_id")
+
+
+@query(f"WITH {_CHUNKS} SELECT collection, count(*) AS n FROM c WHERE NOT (book_id = 'src3') GROUP BY collection")
+def delete_or_filter(spark, sf_dir):
+    return K.deleted(_chunks(spark, sf_dir), "src3").groupBy("collection").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CHUNKS}, n AS (SELECT unnest({T.COLLECTIONS}) AS collection) SELECT coalesce(n.collection, k.collection) AS collection, coalesce(k.n, 0) AS n FROM n FULL JOIN (SELECT collection, count(*) AS n FROM c GROUP BY collection) k ON k.collection = n.collection")
+def collection_stats(spark, sf_dir):
+    return K.collection_stats(_chunks(spark, sf_dir))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_title, arg_min(book_id, id) AS book_id, array_to_string(list_sort(list_distinct(list(collection))), ',') AS collections, count(*) AS n FROM c GROUP BY doc_title")
+def sources(spark, sf_dir):
+    return K.sources(_chunks(spark, sf_dir))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_title, arg_min(book_id, id) AS book_id, min(id) AS first_id FROM c GROUP BY doc_title")
+def books(spark, sf_dir):
+    return K.books(_chunks(spark, sf_dir))
+
+
+_SCOPE = f"{_BM25}, {_CHUNKS}, h AS (SELECT id, score FROM sp WHERE score > 0 ORDER BY score DESC, id LIMIT 50), sc AS (SELECT chapter, book_id, sum(score) AS s, min(c.id) AS f FROM h JOIN c ON c.id = h.id GROUP BY ALL ORDER BY s DESC, f LIMIT 1)"
+
+
+@query(f"WITH {_SCOPE} SELECT chapter, book_id, round(s, 6) AS section_score FROM sc")
+def scope_discovery(spark, sf_dir):
+    hits = S.sparse_search(table(spark, sf_dir, "documents"), QUERY.split(), 50).withColumnRenamed("doc_id", "id")
+    return K.scope(_chunks(spark, sf_dir), hits).select("chapter", "book_id", r6("section_score").alias("section_score"))
+
+
+@query(f"WITH {_SCOPE}, r AS (SELECT id, row_number() OVER (ORDER BY chunk_index, id) AS nth FROM c JOIN sc USING (chapter, book_id) QUALIFY nth <= 25) SELECT id, round(1 - (nth - 1) * 0.001::DOUBLE, 6) AS score FROM r")
+def scope_retrieve(spark, sf_dir):
+    hits = S.sparse_search(table(spark, sf_dir, "documents"), QUERY.split(), 50).withColumnRenamed("doc_id", "id")
+    chunks = _chunks(spark, sf_dir)
+    return K.scope_rows(chunks, K.scope(chunks, hits)).select("id", r6("score").alias("score"))
+
+
+# -- sessions --------------------------------------------------------------------------------------------------------
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """Assistants' rows stand for tool results."""
+    role = F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), role.alias("role"), F.col("text").alias("content"))
+
+
+_TURNS = f"""m AS (SELECT conv_id AS session, turn AS pos, CASE WHEN role = 'assistant' THEN 'tool' ELSE role END AS role, coalesce(text, '') AS content FROM conversations),
+tn AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING) AS turn, {_msg_tokens("content")} + 10 AS tokens FROM m),
+ag AS (SELECT *, max(turn) OVER (PARTITION BY session) - turn AS age FROM tn)"""
+
+
+@query(f"WITH {_TURNS} SELECT session, pos, CAST(turn AS BIGINT) AS turn, tokens, CAST(age AS BIGINT) AS age FROM ag")
+def turn_numbers(spark, sf_dir):
+    return V.turns(_messages(spark, sf_dir)).select("session", "pos", "turn", "tokens", "age")
+
+
+_MASK = "role = 'tool' AND age >= 1 AND NOT (regexp_matches(content, '(?i)error|fail|stderr|BLOCKED|❌') AND age < 5) AND (length(content) > 500 OR age >= 3)"
+
+
+@query(f"WITH {_TURNS} SELECT session, count(*) FILTER ({_MASK}) AS masked FROM ag GROUP BY session")
+def masking(spark, sf_dir):
+    return V.masked(V.turns(_messages(spark, sf_dir))).groupBy("session").agg(F.count_if("masked").alias("masked"))
+
+
+@query(f"""WITH {_TURNS}, u AS (SELECT session, CAST(sum(tokens) AS BIGINT) AS tokens FROM ag GROUP BY session)
+SELECT session, tokens, 'small' AS tier, CASE WHEN tokens / 1500.0::DOUBLE >= 0.9 THEN 'compact' WHEN tokens / 1500.0::DOUBLE >= 0.7 THEN 'extract' WHEN tokens / 1500.0::DOUBLE >= 0.5 THEN 'summarise' WHEN tokens / 1500.0::DOUBLE >= 0.35 THEN 'mask' END AS action FROM u""")
+def context_budget(spark, sf_dir):
+    rows = V.turns(_messages(spark, sf_dir)).groupBy("session").agg(F.sum("tokens").alias("tokens")).withColumn("b", V.budget(F.lit(2000)))
+    return rows.select("session", "tokens", "b.tier", V.compression(F.col("tokens") / F.col("b.available"), F.col("b")).alias("action"))
+
+
+@query(f"WITH {_TURNS}, n AS (SELECT session, pos, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY pos) AS k FROM ag) SELECT session, pos, n <= 6 OR k = 1 OR k > n - 4 AS stays FROM n")
+def compaction(spark, sf_dir):
+    return V.kept_by_summary(V.turns(_messages(spark, sf_dir)), 6, 4).select("session", "pos", "stays")
+
+
+@query()
+def session_summary(spark, sf_dir):
+    return V.summaries(V.kept_by_summary(V.turns(_messages(spark, sf_dir)), 6, 4))
+
+
+@query("""WITH s AS (SELECT conv_id AS session, turn AS pos, lower(coalesce(text, '')) AS q, length(coalesce(text, '')) % 3 AS top, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: length(x) > 2)) AS w FROM conversations),
+p AS (SELECT a.session, a.pos, count(*) AS "similar" FROM s a JOIN s b ON a.session = b.session AND b.pos < a.pos AND b.pos >= a.pos - 20 AND a.top = b.top
+WHERE (len(a.w) = 0 AND len(b.w) = 0) OR len(list_intersect(a.w, b.w))::DOUBLE / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.2::DOUBLE GROUP BY ALL)
+SELECT * FROM p WHERE "similar" >= 3""")
+def search_repetition(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), text.alias("query"), (F.length(text) % 3).alias("top"))
+    return V.repeated_searches(rows)
+
+
+@query()
+def memory_quality_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.col("text").alias("content"), F.lit("fact").alias("kind"))
+    return V.quality_gate(rows, ["fact"])
+
+
+# -- outcomes --------------------------------------------------------------------------------------------------------
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "ts", F.col("event_type").alias("error_code"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("strategy"), F.concat(F.lit("l"), (F.col("user_id") % 2).cast("string")).alias("language"), (F.col("value") >= 50).alias("passed"), F.col("user_id").alias("session"), F.when(F.col("event_id") % 2 == 0, F.lit("d")).alias("diff"), F.concat(F.lit("TypeError "), "event_type").alias("message"))
+
+
+_OUT = "o AS (SELECT event_id, ts, event_type AS error_code, 's' || (user_id % 3) AS strategy, 'l' || (user_id % 2) AS language, value >= 50 AS passed, user_id AS session, CASE WHEN event_id % 2 = 0 THEN 'd' END AS diff FROM events)"
+
+
+@query(f"WITH {_OUT}, r AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY error_code ORDER BY ts DESC, event_id DESC) <= 20) SELECT error_code, count(*) AS total, round(avg(passed::INT), 6) AS success_rate, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS last_seen, count(DISTINCT session) AS sessions, count(DISTINCT session) >= 3 AS systemic FROM r GROUP BY error_code")
+def error_trends(spark, sf_dir):
+    return V.trends(_outcomes(spark, sf_dir)).withColumn("success_rate", r6("success_rate"))
+
+
+@query(f"WITH {_OUT}, r AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY error_code ORDER BY ts DESC, event_id DESC) <= 20) SELECT error_code, strategy, count(*) AS failures FROM r WHERE NOT passed GROUP BY ALL HAVING count(*) >= 2")
+def escalations(spark, sf_dir):
+    return V.escalations(_outcomes(spark, sf_dir))
+
+
+@query(f"WITH {_OUT} SELECT error_code, event_id, row_number() OVER (PARTITION BY error_code ORDER BY ts DESC, event_id DESC) AS nth FROM o QUALIFY nth <= 5")
+def ring_buffers(spark, sf_dir):
+    return V.ring(_outcomes(spark, sf_dir), ["error_code"], ["ts", "event_id"], 5).select("error_code", "event_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"""WITH {_OUT}, w AS (SELECT *, count(*) OVER k AS n, min(passed::INT) OVER k AS ok FROM o WINDOW k AS (PARTITION BY language, error_code, strategy ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT language, error_code, arg_max(strategy, (ts, event_id)) AS strategy FROM w WHERE n = 5 AND ok = 1 GROUP BY ALL""")
+def strategy_promotion(spark, sf_dir):
+    return V.promoted(_outcomes(spark, sf_dir))
+
+
+@query(f"WITH {_OUT} SELECT error_code, language, count(*) AS n, round(avg(passed::INT), 6) AS rate FROM o GROUP BY ALL")
+def fix_rates(spark, sf_dir):
+    return H.fix_rates(_outcomes(spark, sf_dir)).withColumn("rate", r6("rate"))
+
+
+@query(f"""WITH {_OUT}, e AS (SELECT DISTINCT error_code AS code, language FROM o),
+x AS (SELECT error_code, language, arg_max(event_id, (ts, event_id)) FILTER (diff IS NOT NULL) AS a, arg_max(event_id, (ts, event_id)) AS b FROM o WHERE passed GROUP BY ALL)
+SELECT code || '/' || e.language AS id, coalesce(a, b) AS event_id, CASE WHEN a IS NOT NULL THEN 1 ELSE 2 END::BIGINT AS priority FROM e JOIN x ON x.error_code = e.code AND x.language = e.language""")
+def similar_fix(spark, sf_dir):
+    o = _outcomes(spark, sf_dir)
+    errors = o.select(F.col("error_code").alias("code"), "language").distinct().select(F.concat_ws("/", "code", "language").alias("id"), "code", "language", F.lit(None).cast("string").alias("message"))
+    return H.similar_fixes(errors, o)
+
+
+# -- graphs ----------------------------------------------------------------------------------------------------------
+
+_G = f"e AS (SELECT DISTINCT src, dst FROM {I.EDGES.sql()}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r AS (SELECT src AS node, dst AS reach FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reach), cy AS (SELECT a.node, min(a.reach) AS component FROM r a JOIN r b ON a.node = b.reach AND a.reach = b.node GROUP BY a.node)"
+
+
+def _nodes(spark) -> DataFrame:
+    e = I.EDGES.df(spark)
+    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+
+
+@query(f"WITH RECURSIVE {_G} SELECT reach AS file, node AS dependent FROM r")
+def transitive_dependents(spark, sf_dir):
+    return G.dependents(I.EDGES.df(spark))
+
+
+@query(f"WITH RECURSIVE {_G} SELECT node, component FROM cy")
+def cycles(spark, sf_dir):
+    return G.cycles(I.EDGES.df(spark))
+
+
+_RANKS = f"""{_G}, cn AS (SELECT n.node, coalesce(cy.component, n.node) AS c FROM n LEFT JOIN cy ON cy.node = n.node), ce AS (SELECT DISTINCT a.c AS ca, b.c AS cb FROM e JOIN cn a ON a.node = e.src JOIN cn b ON b.node = e.dst WHERE a.c <> b.c),
+dp AS (SELECT c, 0 AS d FROM cn UNION SELECT cb, d + 1 FROM dp JOIN ce ON ce.ca = dp.c), md AS (SELECT c, max(d) AS d FROM dp GROUP BY c),
+rk AS (SELECT n.node, CAST(md.d AS BIGINT) AS depth, (SELECT count(*) FROM e WHERE src = n.node) AS n_dependencies, (SELECT count(*) FROM e WHERE dst = n.node) AS n_dependents, (SELECT count(*) FROM r WHERE reach = n.node) AS n_transitive, n.node IN (SELECT node FROM cy) AS in_cycle FROM n JOIN cn ON cn.node = n.node JOIN md ON md.c = cn.c)"""
+
+
+@query(f"WITH RECURSIVE {_RANKS} SELECT *, n_dependents = 0 AS is_root, n_dependencies = 0 AS is_leaf, n_dependents >= 3 AS is_hub FROM rk")
+def file_ranks(spark, sf_dir):
+    return G.ranks(_nodes(spark), I.EDGES.df(spark))
+
+
+@query(f"WITH RECURSIVE {_RANKS} SELECT count(*) AS files, CAST(sum(n_dependencies) AS BIGINT) AS edges, count(*) FILTER (n_dependents >= 3) AS hubs, count(*) FILTER (n_dependents = 0) AS roots, count(*) FILTER (n_dependencies = 0) AS leaves, count(*) FILTER (in_cycle) AS cyclic FROM rk")
+def project_summary(spark, sf_dir):
+    return G.summary(_nodes(spark), I.EDGES.df(spark))
+
+
+@query(f"SELECT src, dst, array_to_string(arg_max(symbols, pos), ',') AS symbols FROM {I.EDGES.sql()} GROUP BY src, dst")
+def edge_symbols(spark, sf_dir):
+    return G.last_edges(I.EDGES.df(spark)).withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query()
+def resolve_imports(spark, sf_dir):
+    return G.resolved(I.IMPORTS.df(spark), I.FILES.df(spark)).select("src", "raw", "dst")
+
+
+@query()
+def validate_imports(spark, sf_dir):
+    return G.validated(I.IMPORTS.df(spark), I.FILES.df(spark), I.EXPORTS.df(spark))
+
+
+@query(f"""WITH a AS {I.AFTER.sql()}, b AS {I.BEFORE.sql()}, x AS (SELECT coalesce(a.file, b.file) AS file, coalesce(a.symbols, []) AS n, coalesce(b.symbols, []) AS o FROM a FULL JOIN b ON a.file = b.file),
+y AS (SELECT file, list_sort(list_filter(n, lambda s: NOT list_contains(o, s))) AS added, list_sort(list_filter(o, lambda s: NOT list_contains(n, s))) AS removed FROM x) SELECT file, array_to_string(added, ',') AS added, array_to_string(removed, ',') AS removed FROM y WHERE len(added) + len(removed) > 0""")
+def import_deltas(spark, sf_dir):
+    return G.export_changes(I.BEFORE.df(spark), I.AFTER.df(spark)).select("file", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@query()
+def root_cause_trace(spark, sf_dir):
+    return G.origin_trace(I.ERRORS.df(spark), I.EDGES.df(spark))
+
+
+# -- errors and fixes ------------------------------------------------------------------------------------------------
+
+_RE2 = {"typescript", "go", "java", "php"}
+
+
+def _parse_sql(language: str) -> str | None:
+    """Languages of one form whose pattern both engines read alike."""
+    own = E.LANGUAGES[language]
+    if language not in _RE2:
+        return None
+    f, raw = own.forms[0], I.outputs(I.OUTPUTS[language]).sql()
+    p = f.pattern.replace("'", "''")
+    get = lambda g: f"regexp_extract_all(raw, '{p}', {g})"
+    opt = lambda g, d: f"unnest({get(g)})" if g else d
+    kinds = " ".join(f"WHEN regexp_matches(lower(message), '{a}') THEN '{b}'" for a, b in own.kinds)
+    return f"""WITH x AS (SELECT id, generate_subscripts({get(0)}, 1) - 1 AS nth, trim({opt(f.file, "''")}) AS file, CAST({opt(f.line, "'0'")} AS INTEGER) AS line, TRY_CAST({opt(f.column, "NULL")} AS INTEGER) AS "column", {opt(f.code, f"'{f.constant}'")} AS code, trim({opt(f.message, "''")}) AS message FROM {raw})
+SELECT *, CASE {kinds} ELSE 'runtime' END AS category FROM x"""
+
+
+for _l in E.LANGUAGES:
+    query(_parse_sql(_l), f"parse_errors_{_l}")(lambda spark, sf_dir, _l=_l: E.parsed(I.outputs(I.OUTPUTS[_l]).df(spark), _l))
+for _l in I.TESTS:
+    query(None, f"parse_tests_{_l}")(lambda spark, sf_dir, _l=_l: E.test_counts(I.outputs(I.TESTS[_l]).df(spark), _l))
+
+
+@query("SELECT id, " + " OR ".join(f"regexp_matches(raw, '{p}')" for p in E.LANGUAGES["python"].crash) + f" AS crashed FROM {I.outputs(I.OUTPUTS['python']).sql()}")
+def crash_detection(spark, sf_dir):
+    return E.crashed(I.outputs(I.OUTPUTS["python"]).df(spark), "python")
+
+
+_HINT = " ".join("WHEN regexp_matches(message, '{0}') THEN trim(regexp_extract(message, '{0}', 1))".format(p.replace("'", "''")) for p, *_ in T.HINTS)
+
+
+@query(f"SELECT id, CASE {_HINT} END AS suggestion FROM {I.HINTS.sql()}")
+def compiler_hints(spark, sf_dir):
+    return I.HINTS.df(spark).select("id", X.hint_of(F.col("message"))["suggestion"].alias("suggestion"))
+
+
+@query(f"SELECT m.id, min(r.pos) AS rule FROM {I.MESSAGES.sql()} m JOIN {I.RULES.sql()} r ON r.technology = m.technology AND regexp_matches(m.message, r.pattern) GROUP BY m.id")
+def error_pattern_diagnosis(spark, sf_dir):
+    return E.diagnosed(I.MESSAGES.df(spark), I.RULES.df(spark))
+
+
+_CLS = f"cl AS (SELECT e.*, coalesce(c.p, 0.5) AS probability, CASE WHEN c.code IS NULL THEN 'unknown' WHEN c.p > 0.5 THEN 'likely_cross_file' ELSE 'likely_local' END AS type, c.s AS strategy, c.co AS co_codes FROM {I.ERRORS.sql()} e LEFT JOIN (SELECT code, arg_max(probability, pos) AS p, arg_max(strategy, pos) AS s, arg_max(co_codes, pos) AS co FROM {I.CATALOG.sql()} GROUP BY code) c ON c.code = e.code)"
+
+
+@query(f"WITH {_CLS} SELECT id, file, code, probability, type, strategy FROM cl")
+def classify_errors(spark, sf_dir):
+    return E.classified(I.ERRORS.df(spark), I.CATALOG.df(spark)).select("id", "file", "code", "probability", "type", "strategy")
+
+
+@query()
+def fix_order(spark, sf_dir):
+    return E.fix_order(E.classified(I.ERRORS.df(spark), I.CATALOG.df(spark)), G.ranks(_nodes(spark), I.EDGES.df(spark)))
+
+
+@query(f"""WITH {_CLS} SELECT id, CASE WHEN strategy IS NULL THEN 3 WHEN probability > 0.7 AND strategy IN ({", ".join(f"'{s}'" for s in T.TIER1)}) THEN 2 WHEN strategy IN ({", ".join(f"'{s}'" for s in T.TIER1)}) THEN 1
+WHEN strategy IN ({", ".join(f"'{s}'" for s in T.TIER2)}) THEN 2 ELSE 3 END AS tier FROM cl""")
+def fix_tiers(spark, sf_dir):
+    none = spark.createDataFrame([], "language string, error_code string")
+    return H.planned(E.classified(I.ERRORS.df(spark), I.CATALOG.df(spark)), none).select("id", "tier")
+
+
+@query(f"""WITH p AS (SELECT *, string_split(content, chr(10)) AS l FROM {I.PATCHES.sql()})
+SELECT id, CASE WHEN kind = 'insert' AND line BETWEEN 1 AND len(l) + 1 THEN array_to_string(list_concat(list_concat(l[1:line - 1], [new]), l[line:]), chr(10))
+WHEN kind = 'delete' AND line BETWEEN 1 AND len(l) THEN array_to_string(list_concat(l[1:line - 1], l[line + 1:]), chr(10))
+WHEN kind = 'replace' AND line BETWEEN 1 AND len(l) AND contains(l[line], old) THEN array_to_string(list_concat(list_concat(l[1:line - 1], [replace(l[line], old, new)]), l[line + 1:]), chr(10)) END AS patched FROM p""")
+def apply_patches(spark, sf_dir):
+    p = I.PATCHES.df(spark).withColumn("line", F.col("line").cast("int"))
+    return p.select("id", H.patched(F.col("content"), F.col("kind"), F.col("line"), F.col("old"), F.col("new")).alias("patched"))
+
+
+_PART3 = "list_transform([1, 2, 3], lambda i: coalesce(TRY_CAST(regexp_extract(coalesce(string_split(regexp_replace(trim({0}), '^v', ''), '.')[i], ''), '^\\s*(\\d+)', 1) AS INTEGER), 0))"
+
+
+@query(f"SELECT id, CASE WHEN {_PART3.format('a')} > {_PART3.format('b')} THEN 1 WHEN {_PART3.format('a')} < {_PART3.format('b')} THEN -1 ELSE 0 END AS compared FROM {I.VERSIONS.sql()}")
+def semver_compare(spark, sf_dir):
+    a, b = X.semver(F.col("a")), X.semver(F.col("b"))
+    return I.VERSIONS.df(spark).select("id", F.when(a > b, 1).when(a < b, -1).otherwise(0).alias("compared"))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
