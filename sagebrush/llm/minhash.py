@@ -25,6 +25,8 @@ from .common import U64, _FOLD, components, hashed_words, mix, session, shingle_
 
 #: 40 bands of 5 bins: a pair with a similarity of 0.75 shares no bucket with a chance of 2e-5.
 BANDS, ROWS, SHINGLE, PERCENT = 40, 5, 5, 75
+#: Shingles before one that are looked at for an earlier meeting of a pair; only repeated work depends on it.
+RECENT = 24
 
 
 def bin_orders(bins: int, seed: int = 11) -> np.ndarray:
@@ -115,17 +117,20 @@ def across_groups(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(shared.where("g1 <> g2").select("shingle", "df"), "shingle")
     own = Window.partitionBy("id")
     rows = rows.withColumn("k", F.count("*").over(own)).withColumn("nth", F.row_number().over(own.orderBy("df", "shingle")))
+    rows = rows.withColumn("before", F.collect_list("shingle").over(own.orderBy("df", "shingle").rowsBetween(-RECENT, -1)))
     # what a set holds from this shingle on, itself included
     rows = rows.where(f"nth <= k - ceil({percent} * n / 100) + 1").withColumn("left", F.col("k") - F.col("nth") + 1)
-    rows = stored(rows.select("id", "group", "n", "left", "shingle"), "prefix")
+    rows = stored(rows.select("id", "group", "n", "left", "before", "shingle"), "prefix")
     sizes = rows.groupBy("shingle", "group").agg(F.count("*").alias("members"))
     top = sizes.groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("group", F.struct("members", "group")).alias("top"))
     apart = rows.join(top.where("groups > 1").select("shingle", "top"), "shingle").where("group <> top")
-    apart = apart.select("shingle", "top", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("group").alias("ga"))
-    pairs = apart.join(rows.withColumnsRenamed({"id": "b", "n": "nb", "left": "lb", "group": "gb"}), "shingle")
+    apart = apart.select("shingle", "top", F.col("id").alias("a"), F.col("n").alias("na"), F.col("left").alias("la"), F.col("before").alias("ba"), F.col("group").alias("ga"))
+    pairs = apart.join(rows.withColumnsRenamed({"id": "b", "n": "nb", "left": "lb", "before": "bb", "group": "gb"}), "shingle")
     pairs = pairs.where("ga <> gb and (gb = top or a < b)").where(_alike("na", "nb", percent))
     # at the first shingle that two sets share, no more can be shared than is left of the shorter rest
     pairs = pairs.where(f"(100 + {percent}) * least(la, lb) >= {percent} * (na + nb)")
+    # a pair that shares one of the shingles just before was made there
+    pairs = pairs.where("not arrays_overlap(ba, bb)")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
