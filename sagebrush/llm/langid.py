@@ -45,22 +45,20 @@ _LETTER = None
 
 def ngrams(text: str) -> np.ndarray:
     """Hashed 1-, 2- and 3-grams of a text with letters; empty for others."""
-    out = []
-    for at in range(0, len(text), PIECE):
-        # pieces overlap by two characters, so that no n-gram is lost; a text's outer bounds count as spaces
-        piece = text[max(0, at - 2) : at + PIECE].lower()
-        raw = np.frombuffer((" " + piece + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        keep = _letters()[raw]
-        codes = np.where(keep, raw, np.uint32(32))
-        space = codes == 32
-        codes = codes[~(space & np.concatenate(([False], space[:-1])))].astype(np.uint64)
-        if not keep.any():
-            continue
-        one = codes * np.uint64(0x9E3779B97F4A7C15)
+    raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    keep, out = _letters()[raw], []
+    if not keep.any():
+        return np.empty(0, np.int32)
+    codes = np.where(keep, raw, np.uint32(32))
+    codes = codes[keep | np.concatenate(([True], keep[:-1]))]
+    for at in range(0, len(codes), PIECE):
+        # a piece sees two characters more, so that every n-gram is made once
+        piece = codes[at : at + PIECE + 2].astype(np.uint64)
+        one = piece * np.uint64(0x9E3779B97F4A7C15)
         two = one[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + one[1:]
         three = two[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + one[2:]
         # the salt keeps 1-, 2- and 3-grams apart; the product spreads what the sums have gathered
-        for grams, salt in ((one[codes != 32], 1), (two, 2), (three, 3)):
+        for grams, salt in ((one[:PIECE][piece[:PIECE] != 32], 1), (two[:PIECE], 2), (three[:PIECE], 3)):
             out.append(((grams ^ np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - DIM_BITS)).astype(np.int32))
     return np.concatenate(out) if out else np.empty(0, np.int32)
 
@@ -82,8 +80,8 @@ def _counted(batches):
         features, counts = [], []
         for text in batch.column(2).to_pylist():
             f, c = np.unique(ngrams(text), return_counts=True)
-            features.append(f.astype(np.int32)), counts.append(c.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["pick", "lang", "features", "counts"])
+            features.append(f.astype("<i4").tobytes()), counts.append(c.astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary()), pa.array(counts, pa.binary())], ["pick", "lang", "features", "counts"])
 
 
 @dataclass
@@ -161,7 +159,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     draw = F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
     sample = own.where(draw < limit[F.col("lang")]).select(draw.alias("pick"), "lang", "text")
-    rows = sample.mapInArrow(_counted, "pick double, lang string, features array<int>, counts array<int>").orderBy("pick", "lang").limit(2 * per_lang * len(langs)).collect()
+    rows = sample.mapInArrow(_counted, "pick double, lang string, features binary, counts binary").orderBy("pick", "lang").limit(2 * per_lang * len(langs)).collect()
     found = own.select("text").mapInArrow(_frequencies, "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect()
     seen, n = np.zeros(DIM), 1
     for feature, count in found:
@@ -171,7 +169,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             seen[feature] = count
     idf = np.log((1 + n) / (1 + seen)) + 1
     names = [r[0] for r in langs]
-    data = [(np.array(f, np.int64), np.array(c, float), names.index(lang)) for _, lang, f, c in rows if f]
+    data = [(np.frombuffer(f, "<i4"), np.frombuffer(c, "<i4"), names.index(lang)) for _, lang, f, c in rows if f]
     scaled = []
     for f, c, y in data:
         v = np.log1p(c) * idf[f]
