@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Decimals of a score; what differs further on is the order of a sum, and ties go by id.
+TIE = 9
 
 
 def vocabulary(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -65,14 +67,14 @@ def sparse_search(docs: DataFrame, query_terms: list[str], limit: int, text: str
         w = F.when(F.col(f"df{i}") > 0, idf(F.col("n"), F.col(f"df{i}"))).otherwise(0.0)
         q = tf_norm(F.lit(query_terms.count(t)), F.lit(len(query_terms)), F.col("avg"))
         score = score + w * tf_norm(F.col(f"tf{i}"), F.col("len"), F.col("avg")) * w * q
-    return rows.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
+    return rows.select(key, F.round(score, TIE).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 
 def dense_search(vectors: DataFrame, query: list[float], limit: int, where: dict | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, score) of the nearest vectors by cosine, exactly; `where` holds equalities."""
     rows = reduce(lambda d, kv: d.where(F.col(kv[0]) == F.lit(kv[1])), (where or {}).items(), vectors)
     q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.select(F.col(key), X.cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    return rows.select(F.col(key), F.round(X.cosine(F.col(vector), q), TIE).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def fused(lists: list[DataFrame], limit: int, key: str = "id") -> DataFrame:

@@ -61,11 +61,11 @@ tf AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(t) AS l
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 wt AS (SELECT doc_id, term, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) AS idf, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av)) AS tn FROM tf JOIN df USING (term), st),
 qt AS (SELECT unnest({_TERMS}) AS term),
-sp AS (SELECT doc_id AS id, sum(idf * tn * idf * (2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * {len(QUERY.split())} / av)))) AS score FROM wt JOIN qt USING (term), st GROUP BY doc_id)
+sp AS (SELECT doc_id AS id, round(sum(idf * tn * idf * (2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * {len(QUERY.split())} / av)))), 9) AS score FROM wt JOIN qt USING (term), st GROUP BY doc_id)
 """
 _DENSE = """
 qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-dn AS (SELECT vec_id AS id, label, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS score FROM embeddings, qv)
+dn AS (SELECT vec_id AS id, label, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS score FROM embeddings, qv)
 """
 
 
