@@ -55,13 +55,15 @@ def sparse_search(docs: DataFrame, query_terms: list[str], limit: int, text: str
     terms = list(dict.fromkeys(query_terms))
 
     def count(term: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == term))
+        return F.size(F.filter("hits", lambda x: x == term))
 
     base = docs.select(F.col(key), X.tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    base = base.select(key, F.size("t").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    # a text is split once; its few hits are counted. No filter on the counts: pushed down, it would split texts again
+    base = base.select(key, F.size("t").alias("len"), F.filter("t", lambda x: x.isin(*terms)).alias("hits"))
+    base = base.select(key, "len", *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = base.agg(F.count("*").alias("n"), F.sum("len").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     average = F.when((F.col("n") == 0) | (F.col("total") == 0), 1.0).otherwise(F.col("total") / F.col("n"))
-    rows = base.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats)).withColumn("avg", average)
+    rows = base.crossJoin(F.broadcast(stats)).withColumn("avg", average)  # one row of sums
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         w = F.when(F.col(f"df{i}") > 0, idf(F.col("n"), F.col(f"df{i}"))).otherwise(0.0)
@@ -87,10 +89,10 @@ def fused(lists: list[DataFrame], limit: int, key: str = "id") -> DataFrame:
     for k, rows in enumerate(lists):
         nth = F.row_number().over(Window.orderBy(F.desc("score"), key))
         ranked.append(rows.select(key, nth.alias("rank"), F.lit(k).alias("list")))
-    every = reduce(DataFrame.unionByName, ranked)
-    sums = every.groupBy(key).agg(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))).alias("rrf"), F.min(F.struct("list", "rank")).alias("first"))
-    full = every.agg(F.count_distinct("list").alias("lists"))
-    out = sums.crossJoin(F.broadcast(full)).select(key, (F.col("rrf") / (F.col("lists") / F.lit(RRF_K + 1.0))).alias("score"), "first")
+    # counted beside the rows, not in a plan of its own: the searches run once
+    every = reduce(DataFrame.unionByName, ranked).withColumn("lists", F.size(F.collect_set("list").over(Window.partitionBy())))
+    sums = every.groupBy(key).agg(F.sum(1 / (F.lit(RRF_K) + F.col("rank"))).alias("rrf"), F.min(F.struct("list", "rank")).alias("first"), F.max("lists").alias("lists"))
+    out = sums.select(key, (F.col("rrf") / (F.col("lists") / F.lit(RRF_K + 1.0))).alias("score"), "first")
     return out.orderBy(F.desc("score"), "first").limit(limit).drop("first")
 
 
