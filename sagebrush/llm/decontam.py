@@ -172,6 +172,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHA
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """docs without the contaminated ones; rows with a null doc_id are judged by their own text."""
+    """docs without the contaminated ones; rows with a null doc_id stay, for nothing names them."""
     found = contaminated(docs.where("doc_id is not null"), benchmark, least).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
