@@ -121,3 +121,17 @@ def promoted(outcomes: DataFrame, run: int = 5) -> DataFrame:
     over = Window.partitionBy("language", "error_code", "strategy").orderBy("ts", "event_id").rowsBetween(-(run - 1), 0)
     hit = outcomes.withColumn("n", F.count("*").over(over)).withColumn("ok", F.min(F.col("passed").cast("int")).over(over)).where((F.col("n") == run) & (F.col("ok") == 1))
     return hit.groupBy("language", "error_code").agg(F.max_by("strategy", F.struct("ts", "event_id")).alias("strategy"))
+
+
+def do_not_list(rows: DataFrame, last: int = 3) -> DataFrame:
+    """The topics (session, topic, pos) that were named last; a topic named again moves to the end."""
+    latest = rows.groupBy("session", "topic").agg(F.max("pos").alias("pos"))
+    return ring(latest, ["session"], ["pos"], last).select("session", "topic", "pos")
+
+
+def extractions(rows: DataFrame, most: int = 3) -> DataFrame:
+    """(id, nth, type, content, scope) of JSON arrays, fenced or not; what is no array or lacks a text gives nothing."""
+    body = F.regexp_replace(F.trim("response"), r"^```(?:json)?\s*|\s*```$", "")
+    parsed = F.from_json(body, "array<struct<type:string,content:string,scope:string>>")
+    out = rows.where(body.startswith("[")).select("id", F.posexplode(F.slice(parsed, 1, most)).alias("nth", "x"))
+    return out.where("x.type is not null and x.content is not null").select("id", F.col("nth").cast("long").alias("nth"), "x.type", "x.content", F.coalesce("x.scope", F.lit("project")).alias("scope"))

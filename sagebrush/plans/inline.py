@@ -103,3 +103,12 @@ TESTS = {
 
 def outputs(texts: list[str]) -> Inline:
     return Inline("id long, raw string", list(enumerate(texts)))
+
+
+WANTED = Inline("registry string, package string", [("npm", "a"), ("npm", "b"), ("pypi", "c"), ("pypi", "d")])
+CACHE = Inline("registry string, package string, version string, ts long", [("npm", "a", "1.1.0", 100_000_000), ("npm", "a", "1.2.0", 150_000_000), ("npm", "b", "9.0.0", 10)])
+SHIPPED = Inline("registry string, package string, version string", [("npm", "a", "1.0.0"), ("npm", "b", "8.0.0"), ("pypi", "c", "3.1")])
+TOPICS = Inline("session long, pos long, topic string", [(1, 1, "x"), (1, 2, "y"), (1, 3, "x"), (1, 4, "z"), (1, 5, "w"), (2, 1, "q")])
+RESPONSES = Inline("id long, response string", [
+    (1, '```json\n[{"type": "fact", "content": "uses tabs", "scope": "user"}, {"type": "fact"}]\n```'), (2, '[{"type": "fact", "content": "no scope"}]'), (3, "no json"), (4, '{"type": "fact", "content": "no array"}'),
+])

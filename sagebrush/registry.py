@@ -16,6 +16,7 @@ from .operators import graph as G
 from .operators import search as S
 from .operators import session as V
 from .operators import store as K
+from .operators import versions as R
 from .plans import inline as I
 from .sources import web as W
 
@@ -665,6 +666,26 @@ def semver_compare(spark, sf_dir):
     return I.VERSIONS.df(spark).select("id", F.when(a > b, 1).when(a < b, -1).otherwise(0).alias("compared"))
 
 
+_NOW = 160_000_000
+
+
+@query(f"""WITH c AS (SELECT registry, package, arg_max(version, ts) AS v FROM {I.CACHE.sql()} WHERE {_NOW} - ts <= 86400000 GROUP BY ALL)
+SELECT w.registry, w.package, coalesce(c.v, f.version) AS version, CASE WHEN c.v IS NOT NULL THEN 'cache' WHEN f.version IS NOT NULL THEN 'fallback' ELSE 'unknown' END AS origin
+FROM {I.WANTED.sql()} w LEFT JOIN c ON c.registry = w.registry AND c.package = w.package LEFT JOIN {I.SHIPPED.sql()} f ON f.registry = w.registry AND f.package = w.package""")
+def version_resolution(spark, sf_dir):
+    return R.resolved(I.WANTED.df(spark), I.CACHE.df(spark), I.SHIPPED.df(spark), F.lit(_NOW))
+
+
+@query(f"SELECT session, topic, max(pos) AS pos FROM {I.TOPICS.sql()} GROUP BY session, topic QUALIFY row_number() OVER (PARTITION BY session ORDER BY max(pos) DESC) <= 3")
+def do_not_list(spark, sf_dir):
+    return V.do_not_list(I.TOPICS.df(spark))
+
+
+@query()
+def extraction_parse(spark, sf_dir):
+    return V.extractions(I.RESPONSES.df(spark))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

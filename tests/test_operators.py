@@ -114,3 +114,8 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination(120)
     batch = V.turns(spark.createDataFrame(rows, schema).withColumn("content", F.lit("x"))).select("session", "pos", "turn")
     assert sorted(map(tuple, spark.table("turns").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_extractions(spark):
+    got = [tuple(r) for r in V.extractions(I.RESPONSES.df(spark)).orderBy("id", "nth").collect()]
+    assert got == [(1, 0, "fact", "uses tabs", "user"), (2, 0, "fact", "no scope", "project")]
