@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -137,6 +138,22 @@ def heading_class(line: Column) -> Column:
     return reduce(lambda w, r: w.when(r[0], no(r[1], r[2])), rules, F).otherwise(yes)
 
 
+def is_heading(text: str) -> bool:
+    """What heading_class says of one trimmed line, outside Spark."""
+    words, solid = text.split(), re.sub(r"\s", "", text)
+    named = re.match(r"(?i)(Chapter|Section|Part|Appendix)\b", text)
+    code = (r"[{}\[\]=;`]", r"^[%$>]|^#!", rf"(?i)^({'|'.join(T.CLI_WORDS)})\b", r"^[~./]|(?i:/(usr|bin|home|etc|var|opt|tmp)/)", r"\b\w+_\w+\b", rf"\b({'|'.join(T.CODE_WORDS)})\b", r",\s*$", r"^\d+$")
+    if len(text) < 2 or len(words) > 12 or (re.search(r"[.!?]$", text) and not named) or any(re.search(p, text) for p in code):
+        return False
+    if solid and len(re.sub("[^a-zA-Z]", "", text)) / len(solid) < 0.5:
+        return False
+    signs = (
+        (0.1, re.match("[A-Z]", text)), (0.15, len(words) <= 6), (0.25, re.match(r"(?i)(Chapter|Section|Part|Appendix|Module|Unit|Lesson|Topic)\b", text)),
+        (0.2, re.match(r"\d+(\.\d+)+\s", text)), (0.2, text == text.upper() and 2 <= len(words) <= 8),
+    )
+    return sum((s for s, found in signs if found), 0.5) >= 0.6
+
+
 def hint_of(text: Column) -> Column:
     """struct(suggestion, type, applicability, raw) of the first compiler hint, or null."""
     out = F

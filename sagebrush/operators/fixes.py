@@ -50,15 +50,22 @@ def fix_rates(outcomes: DataFrame) -> DataFrame:
 
 
 def patched(content: Column, kind: Column, line: Column, old: Column, new: Column) -> Column:
-    """The text after a patch by line (from 1): insert, delete or replace; null if it doesn't fit."""
+    """The text after a patch by line (from 1): insert, delete, replace or content (all of it); null if it doesn't fit.
+
+    Of a line to replace the first place of `old` changes; a line without it becomes `new`. Text inserted beyond the
+    end is appended, before the first line it comes first.
+    """
     lines = F.split(content, "\n", -1)
     n = F.size(lines)
-    at = F.element_at(lines, F.when(line.between(1, n), line).otherwise(1))
-    fits = line.between(1, n + F.when(kind == "insert", 1).otherwise(0))
-    head, tail = F.slice(lines, 1, F.greatest(line - 1, F.lit(0))), lambda k: F.slice(lines, F.greatest(line + k, F.lit(1)), n)
-    out = F.when(kind == "insert", F.concat(head, F.array(new), tail(0))).when(kind == "delete", F.concat(head, tail(1)))
-    out = out.when((kind == "replace") & F.contains(at, old), F.concat(head, F.array(F.replace(at, old, new)), tail(1)))
-    return F.when(fits, F.array_join(out, "\n"))
+    inside = line.between(1, n)
+    at = F.element_at(lines, F.when(inside, line).otherwise(1))
+    place = F.instr(at, old)
+    row = F.when((place > 0) & (old != ""), F.concat(F.substring(at, F.lit(1), place - 1), new, F.substring(at, place + F.length(old), F.length(at)))).otherwise(new)
+    first = F.greatest(line, F.lit(1))
+    head, tail = F.slice(lines, 1, F.least(first - 1, n)), lambda k: F.slice(lines, first + k, n)
+    out = F.when(kind == "insert", F.concat(head, F.array(new), tail(0))).when(inside & (kind == "delete"), F.concat(head, tail(1)))
+    out = out.when(inside & (kind == "replace") & new.isNotNull(), F.concat(head, F.array(row), tail(1)))
+    return F.when(kind == "content", new).otherwise(F.array_join(out, "\n"))
 
 
 def recipe(error: Column, fix: Column, before: Column, after: Column) -> Column:

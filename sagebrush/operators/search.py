@@ -133,6 +133,39 @@ def deduped(rows: DataFrame, most: float = 0.8, key: str = "query_id") -> DataFr
     return kept.select(key, "slot", "x.id", "x.score")
 
 
+def assembled(rows: DataFrame, query: str, least: float = 0.5, most: int = 5, key: str = "query_id") -> DataFrame:
+    """(query_id, n, formatted): the best texts that a search returned, as one context per query.
+
+    Rows: query_id, pos, id, score, content, doc_title, section, chunk_type, and rerank where a reranker ran. Words of
+    the query in content or section raise a score; texts below the threshold and overlapping ones go; the rest is
+    ordered by rerank, else score, and cut at `most`. Several titles are headed each, in the order of their best text.
+    Rows are what searches returned, so a query's rows are few. A query whose rows all go has no context.
+    """
+    ranked = rows if "rerank" in rows.columns else rows.withColumn("rerank", F.lit(None).cast("double"))
+    text = F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("section", F.lit("")))
+    good = boosted(ranked.withColumn("searched", text), query, "searched", least).withColumn("content", F.coalesce("content", F.lit("")))
+    # the kept slot may hold another row's text: its score goes along, by id
+    kept = deduped(good, key=key).select(key, "slot", "id").join(good.drop("pos", "searched"), [key, "id"])
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.coalesce("rerank", "score")), "slot"))
+    top = kept.withColumn("nth", nth).where(F.col("nth") <= most).withColumn("title", F.coalesce("doc_title", F.lit("Unknown")))
+    first = F.min("nth").over(Window.partitionBy(key, "title"))
+    section = F.when(F.coalesce("section", F.lit("")) != "", F.concat(F.lit(" > "), "section")).otherwise("")
+    kind = F.when(F.col("chunk_type") == "structural", " [Structure]").otherwise("")
+    tail = F.concat(F.lit("]"), kind, F.lit(" [Score: "), F.format_string("%.2f", F.col("score")), F.lit("]\n\n"), F.trim("content"))
+    item = F.struct(first.alias("first"), "nth", "title", F.concat("title", section, tail).alias("body"))
+    out = top.select(key, item.alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("rows"), F.count_distinct("x.title").alias("titles"))
+    head = lambda r: F.when(r.nth == r.first, F.concat(F.lit('\n── From "'), r.title, F.lit('" ──\n\n---\n\n['), r.body)).otherwise(F.concat(F.lit("["), r.body))
+    many = F.array_join(F.transform("rows", head), "\n\n---\n\n")
+    one = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("[Source: "), r.body)), "\n\n---\n\n")
+    return out.select(key, F.size("rows").cast("long").alias("n"), F.when(F.col("titles") > 1, many).otherwise(one).alias("formatted"))
+
+
+def expansions(query: Column, answer: Column, most: int = 3) -> Column:
+    """The query, then the lines of a model's answer (10 < length < 200, without their numbers), at most three."""
+    lines = F.transform(F.split(F.coalesce(answer, F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\A\d+[.)]\s*", "")))
+    return F.concat(F.array(query), F.slice(F.filter(lines, lambda x: (F.length(x) > 10) & (F.length(x) < 200)), 1, most))
+
+
 def similar_pairs(docs: DataFrame, least: float, blocks: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs with a Jaccard similarity of token sets above `least` within blocks: prefix filtering, then the exact value."""
     sets = docs.select(F.col(key).alias("id"), *blocks, X.token_set(F.coalesce(text, F.lit(""))).alias("words")).where(F.size("words") > 0)

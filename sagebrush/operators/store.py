@@ -75,13 +75,23 @@ def scope_rows(chunks: DataFrame, found: DataFrame, details: int = 25) -> DataFr
     return top.select("id", "chapter", "book_id", (1 - (nth - 1) * 0.001).alias("score"))
 
 
-def group_summaries(chunks: DataFrame, separator: str = " > ") -> DataFrame:
-    """Section (three levels, three chunks or more) and chapter (two levels, five or more) groups in one pass over two keys."""
+def group_summaries(chunks: DataFrame, separator: str = " > ", most: int = 8000) -> DataFrame:
+    """Section (three levels, three chunks or more) and chapter (two levels, five or more) groups in one pass over two keys.
+
+    A summary is made of the group's first `most` characters. The rows that give them are found by a running length,
+    which sorts and spills; a group is never held whole.
+    """
     levels = F.split("section_path", separator)
     key = lambda k: F.array_join(F.slice(levels, 1, k), separator)
-    both = chunks.select("id", "content", F.explode(F.array(F.struct(F.lit("section").alias("kind"), key(3).alias("path"), F.lit(3).alias("least")), F.struct(F.lit("chapter").alias("kind"), key(2).alias("path"), F.lit(5).alias("least")))).alias("g"), F.size(levels).alias("depth"))
-    out = both.where("g.kind = 'chapter' or depth >= 2").groupBy("g.kind", "g.path", "g.least").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("id", F.substring("content", 1, 8000).alias("c")))).alias("rows"))
-    text = F.substring(F.array_join(F.transform(F.slice("rows", 1, 200), lambda r: r.c), "\n\n"), 1, 8000)
+    groups = F.array(F.struct(F.lit("section").alias("kind"), key(3).alias("path"), F.lit(3).alias("least")), F.struct(F.lit("chapter").alias("kind"), key(2).alias("path"), F.lit(5).alias("least")))
+    both = chunks.select("id", F.substring("content", 1, most).alias("c"), F.explode(groups).alias("g"), F.size(levels).alias("depth"))
+    both = both.where("g.kind = 'chapter' or depth >= 2").select("id", "c", "g.*")
+    by = Window.partitionBy("kind", "path", "least").orderBy("id")
+    before = F.sum(F.length("c") + 2).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    counts = both.groupBy("kind", "path", "least").agg(F.count("*").alias("n")).where("n >= least")
+    head = both.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most)
+    out = head.groupBy("kind", "path", "least").agg(F.array_sort(F.collect_list(F.struct("id", "c"))).alias("rows")).join(counts, ["kind", "path", "least"])
+    text = F.substring(F.array_join(F.transform("rows", lambda r: r.c), "\n\n"), 1, most)
     words = F.split(F.trim(text), r"\s+")
     short = F.when(F.size(words) > 200, F.concat(F.array_join(F.slice(words, 1, 200), " "), F.lit("..."))).otherwise(F.array_join(words, " "))
-    return out.where("n >= least").select("kind", "path", "n", short.alias("summary"))
+    return out.select("kind", "path", "n", short.alias("summary"))

@@ -67,6 +67,7 @@ TOC = Inline("pos long, level long, title string", [(1, 1, " one "), (2, 2, "Bet
 VERSIONS = Inline("id long, a string, b string", [(1, "v1.2.3", "1.2.4"), (2, "2.0", "1.9.9"), (3, "1.0.0", "1.0.0"), (4, "x.1", "0.0.9"), (5, "10.0.0", "9.9.9")])
 PATCHES = Inline("id long, content string, kind string, line long, old string, new string", [
     (1, "a\nb\nc", "insert", 2, None, "N"), (2, "a\nb\nc", "delete", 3, None, None), (3, "a\nb\nc", "replace", 1, "a", "Z"), (4, "a\nb\nc", "replace", 1, "q", "Z"), (5, "a", "insert", 2, None, "end"), (6, "a\nb", "delete", 9, None, None),
+    (7, "a\nb a a", "replace", 2, "a", "Z"), (8, "a", "insert", 9, None, "far"), (9, "a\nb", "content", None, None, "whole"),
 ])
 HINTS = Inline("id long, message string", [
     (1, '"fmt" imported and not used'), (2, "x declared and not used"), (3, "NameError: name 'foo' is not defined. Did you mean: 'for'?"), (4, "perhaps you meant 'bar'"), (5, "nothing here"),
@@ -112,3 +113,24 @@ TOPICS = Inline("session long, pos long, topic string", [(1, 1, "x"), (1, 2, "y"
 RESPONSES = Inline("id long, response string", [
     (1, '```json\n[{"type": "fact", "content": "uses tabs", "scope": "user"}, {"type": "fact"}]\n```'), (2, '[{"type": "fact", "content": "no scope"}]'), (3, "no json"), (4, '{"type": "fact", "content": "no array"}'),
 ])
+FAULTS = Inline("id long, file string, line long, column long, message string, language string, strategy string, symbol string, actual string, expected string, hint_type string, hint string, hint_sure string", [
+    (1, "src/app.ts", 3, None, "Cannot find name 'User'", "typescript", "add_import", None, None, None, None, None, None), (2, "src/app.ts", 1, None, "unused", "typescript", "remove_import", None, None, None, None, None, None),
+    (3, "src/app.ts", 1, None, "Cannot find module", "typescript", "update_import_path", None, None, None, None, None, None), (4, "src/app.ts", 3, None, "';' expected", "typescript", "add_semicolon", None, None, None, None, None, None),
+    (5, "src/app.ts", 4, None, "Duplicate identifier 'size'", "typescript", "remove_duplicate", None, None, None, None, None, None), (6, "src/app.ts", 3, None, "no hint", "typescript", "apply_compiler_hint", "lgin", None, None, "did_you_mean", "login", "MachineApplicable"),
+    (7, "src/app.ts", 3, None, "'user' is possibly null", "typescript", "add_null_check", None, None, None, None, None, None), (8, "src/app.ts", 4, None, "Type mismatch", "typescript", "cast_type", None, "string", "number", None, None, None),
+    (9, "lib/io.py", 2, None, "not all paths return", "python", "add_missing_return", None, None, None, None, None, None), (10, "src/app.ts", 6, 9, "')' expected", "typescript", "fix_syntax", None, None, None, None, None, None),
+    (11, "src/app.ts", 6, None, "'}' expected", "typescript", "close_bracket", None, None, None, None, None, None), (12, "lib/io.py", 99, None, "beyond", "python", "add_semicolon", None, None, None, None, None, None),
+])
+TEXTS = Inline("pos long, file string, content string", [
+    (1, "src/app.ts", "import { a } from './types';\nimport b from 'b';\nconst u = lgin(user)\nlet size: string = 1;\nlet size = 2;\nif (f(u {"), (2, "src/model/types.ts", "export class User {}"), (3, "lib/io.py", "def f(x):\n    x.y"),
+])
+SYMBOLS = Inline("file string, symbol string", [("src/model/types.ts", "User"), ("src/app.ts", "User")])
+CALLABLES = Inline("pos long, file string, language string, name string, params array<struct<name:string,type:string>>, is_async boolean", [
+    (1, "m.py", "python", "load", [("self", None), ("path", "str"), ("deep", "bool")], False), (2, "m.py", "python", "_own", [], False), (3, "a.ts", "typescript", "send", [("ids", "number[]")], True), (4, "x.go", "go", "Run", [("e", "error")], False),
+])
+CLASSES = Inline("pos long, file string, language string, name string, methods array<string>", [(1, "m.py", "python", "Box", ["__init__", "_hide", "open"])])
+NEEDS = Inline("id long, language string, module string", [(1, "python", "requests"), (2, "typescript", "@prisma/client"), (3, "go", "net/http"), (4, "rust", "tokio::fs"), (5, "java", "odd")])
+RECIPES = Inline("id long, content string", [
+    (1, "ERROR\nMESSAGE: bad import\nFILE: a.py\nFIX: import it\nDIFF:\n+import a\n-import b\nSTRATEGY: add_import"), (2, "FIX: only words"), (3, "FIX: x\nDIFF:\n"), (4, "FIX: y\nDIFF:\n+z"),
+])
+ANSWERS = Inline("id long, response string", [(1, "1. sorting a list in place\n2) stable sort order of keys\nshort\nfast sorting of big arrays\none more query that is left out"), (2, ""), (3, None)])

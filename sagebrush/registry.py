@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .functions import cases as C
 from .functions import tables as T
 from .functions import text as X
+from .operators import candidates as A
 from .operators import documents as D
 from .operators import errors as E
 from .operators import fixes as H
 from .operators import graph as G
 from .operators import search as S
 from .operators import session as V
+from .operators import skeletons as N
 from .operators import store as K
+from .operators import structure as U
 from .operators import versions as R
 from .plans import inline as I
 from .sources import web as W
@@ -349,9 +354,13 @@ def enrich_fast(spark, sf_dir):
     return rows.select(F.col("chunk_index").alias("id"), F.md5("enriched").alias("digest"))
 
 
-@query(f"""WITH {_CHUNKS}, s AS (SELECT 'section' AS kind, section_path AS path, count(*) AS n FROM c GROUP BY section_path HAVING count(*) >= 3 UNION ALL SELECT 'chapter', 'Root > ' || book_id, count(*) FROM c GROUP BY book_id HAVING count(*) >= 5) SELECT * FROM s""")
+_SUM = "substr(string_agg(substr(content, 1, 8000), chr(10) || chr(10) ORDER BY id), 1, 8000)"
+
+
+@query(f"""WITH {_CHUNKS}, s AS (SELECT 'section' AS kind, section_path AS path, count(*) AS n, {_SUM} AS t FROM c GROUP BY section_path HAVING count(*) >= 3 UNION ALL SELECT 'chapter', 'Root > ' || book_id, count(*), {_SUM} FROM c GROUP BY book_id HAVING count(*) >= 5),
+w AS (SELECT *, regexp_split_to_array(trim(t), '\\s+') AS w FROM s) SELECT kind, path, n, md5(CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') || '...' ELSE array_to_string(w, ' ') END) AS digest FROM w WHERE path IS NOT NULL""")
 def section_chapter_summaries(spark, sf_dir):
-    return K.group_summaries(_chunks(spark, sf_dir)).select("kind", "path", "n")
+    return K.group_summaries(_chunks(spark, sf_dir)).select("kind", "path", "n", F.md5("summary").alias("digest"))
 
 
 @query()
@@ -369,6 +378,37 @@ def url_documents(spark, sf_dir):
     return W.page_document(W.cleaned_pages(table(spark, sf_dir, "pages"), 12000))
 
 
+@query()
+def normalised_headings(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", U.over(F.col("text"), U.marked_headings).alias("text"))
+
+
+@query()
+def cleaned_documents(spark, sf_dir):
+    return I.MARKDOWN.df(spark).select("doc_id", U.over(F.col("text"), U.clean_document).alias("text"))
+
+
+@query()
+def text_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", W.text_title(F.col("text")).alias("title"), U.over(F.col("text"), U.text_markdown).alias("text"))
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM t),
+g AS (SELECT doc_id, CAST(no AS BIGINT) AS nth, arg_min(title, pos) AS chapter, count(*) - 1 AS n, string_agg(repeat('  ', level - 2) || '- ' || title, chr(10) ORDER BY pos) FILTER (level > 1) AS s FROM c WHERE no > 0 GROUP BY doc_id, no),
+o AS (SELECT doc_id, count(*) AS k, string_agg(nth || '. ' || chapter || CASE n WHEN 0 THEN '' WHEN 1 THEN ' — 1 section' ELSE ' — ' || n || ' sections' END, chr(10) ORDER BY nth) AS l FROM g GROUP BY doc_id)
+SELECT doc_id, 0::BIGINT AS nth, 'overview' AS kind, '' AS chapter, 'Document: ' || title || chr(10) || 'This document contains ' || k || CASE k WHEN 1 THEN ' chapter:' ELSE ' chapters:' END || chr(10) || chr(10) || l AS content FROM o JOIN {I.MARKDOWN.sql()} USING (doc_id)
+UNION ALL SELECT doc_id, nth, 'chapter', chapter, 'Chapter: ' || chapter || CASE WHEN n > 0 THEN chr(10) || chr(10) || 'Sections:' || chr(10) || s ELSE '' END FROM g""")
+def structural_chunks(spark, sf_dir):
+    docs = I.MARKDOWN.df(spark)
+    return U.structural_chunks(D.contents(docs), docs)
+
+
+@query()
+def enclosing_functions(spark, sf_dir):
+    errors = I.FAULTS.df(spark).join(I.TEXTS.df(spark).select("file", "content"), "file")
+    return U.enclosing_functions(errors)
+
+
 # -- store and scopes ------------------------------------------------------------------------------------------------
 
 
@@ -418,6 +458,22 @@ def scope_retrieve(spark, sf_dir):
     return K.scope_rows(chunks, K.scope(chunks, hits)).select("id", r6("score").alias("score"))
 
 
+@query()
+def context_assembly(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    hits = S.sparse_search(docs, QUERY.split(), 20)
+    top = docs.join(F.broadcast(hits), "doc_id")  # 20 rows
+    pos = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))
+    rows = top.select(F.lit(1).alias("query_id"), pos.alias("pos"), F.col("doc_id").alias("id"), "score", F.col("text").alias("content"), F.concat(F.lit("Book "), "source").alias("doc_title"), F.col("lang").alias("section"), F.lit("content").alias("chunk_type"))
+    return S.assembled(rows, QUERY, 0.2)
+
+
+@query(f"""WITH x AS (SELECT id, list_filter(list_transform(string_split(response, chr(10)), lambda l: trim(regexp_replace(l, '^\\d+[.)]\\s*', ''))), lambda l: length(l) > 10 AND length(l) < 200)[1:3] AS l FROM {I.ANSWERS.sql()})
+SELECT id, array_to_string(list_concat(['how to sort'], l), '|') AS queries FROM x""")
+def query_expansion(spark, sf_dir):
+    return I.ANSWERS.df(spark).select("id", F.array_join(S.expansions(F.lit("how to sort"), F.col("response")), "|").alias("queries"))
+
+
 # -- sessions --------------------------------------------------------------------------------------------------------
 
 
@@ -649,14 +705,66 @@ def fix_tiers(spark, sf_dir):
 
 
 @query(f"""WITH p AS (SELECT *, string_split(content, chr(10)) AS l FROM {I.PATCHES.sql()})
-SELECT id, CASE WHEN kind = 'insert' AND line BETWEEN 1 AND len(l) + 1 THEN array_to_string(list_concat(list_concat(l[1:line - 1], [new]), l[line:]), chr(10))
+SELECT id, CASE WHEN kind = 'content' THEN new WHEN kind = 'insert' THEN array_to_string(list_concat(list_concat(l[1:greatest(line, 1) - 1], [new]), l[greatest(line, 1):]), chr(10))
 WHEN kind = 'delete' AND line BETWEEN 1 AND len(l) THEN array_to_string(list_concat(l[1:line - 1], l[line + 1:]), chr(10))
-WHEN kind = 'replace' AND line BETWEEN 1 AND len(l) AND contains(l[line], old) THEN array_to_string(list_concat(list_concat(l[1:line - 1], [replace(l[line], old, new)]), l[line + 1:]), chr(10)) END AS patched FROM p""")
+WHEN kind = 'replace' AND line BETWEEN 1 AND len(l) THEN array_to_string(list_concat(list_concat(l[1:line - 1], [CASE WHEN contains(l[line], old) THEN concat(split_part(l[line], old, 1), new, substr(l[line], length(split_part(l[line], old, 1)) + length(old) + 1)) ELSE new END]), l[line + 1:]), chr(10)) END AS patched FROM p""")
 def apply_patches(spark, sf_dir):
     p = I.PATCHES.df(spark).withColumn("line", F.col("line").cast("int"))
     return p.select("id", H.patched(F.col("content"), F.col("kind"), F.col("line"), F.col("old"), F.col("new")).alias("patched"))
 
 
+@query()
+def deterministic_fixes(spark, sf_dir):
+    return A.certain(I.FAULTS.df(spark), I.TEXTS.df(spark), I.SYMBOLS.df(spark))
+
+
+@query()
+def heuristic_candidates(spark, sf_dir):
+    return A.choices(I.FAULTS.df(spark), I.TEXTS.df(spark))
+
+
+@query(f"""WITH b AS (SELECT file, length(replace(content, '}}', '')) - length(replace(content, '{{', '')) AS off FROM {I.TEXTS.sql()})
+SELECT file, off = 0 AS passed, CASE WHEN off = 0 THEN 'basic structure valid' ELSE 'unbalanced braces: ' || off END AS evidence, CASE WHEN off = 0 THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM b""")
+def verified_texts(spark, sf_dir):
+    return A.checked(I.TEXTS.df(spark))
+
+
+_NEAR = "(SELECT coalesce(string_agg(x, ',' ORDER BY p, x), '') FROM (SELECT {1} AS x, min(pos) AS p FROM {2} v WHERE {0} = e.file GROUP BY {1} ORDER BY p, x LIMIT 5))"
+
+
+@query(f"""WITH d AS (SELECT dst AS node, count(DISTINCT src) AS n FROM {I.EDGES.sql()} GROUP BY dst), a AS (SELECT src AS node FROM {I.EDGES.sql()} UNION SELECT dst FROM {I.EDGES.sql()})
+SELECT e.id, CASE WHEN n > 5 THEN 'HIGH' WHEN n > 2 THEN 'MEDIUM' WHEN a.node IS NOT NULL THEN 'LOW' ELSE 'UNKNOWN' END AS risk, {_NEAR.format("src", "dst", I.EDGES.sql())} AS dependencies, {_NEAR.format("dst", "src", I.EDGES.sql())} AS dependents
+FROM {I.ERRORS.sql()} e LEFT JOIN a ON a.node = e.file LEFT JOIN d ON d.node = e.file""")
+def complex_context(spark, sf_dir):
+    out = A.neighbourhood(I.ERRORS.df(spark), I.EDGES.df(spark), G.ranks(_nodes(spark), I.EDGES.df(spark)))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("dependencies", "dependents")})
+
+
+@query()
+def fix_recipes(spark, sf_dir):
+    return A.recipes(I.RECIPES.df(spark))
+
+
+@query()
+def test_cases(spark, sf_dir):
+    return N.cases(I.CALLABLES.df(spark), I.CLASSES.df(spark))
+
+
+@query()
+def test_files(spark, sf_dir):
+    rows = N.cases(I.CALLABLES.df(spark), I.CLASSES.df(spark))
+    return N.python_files(rows).unionByName(N.javascript_files(rows)).unionByName(N.generic_files(rows.where("language not in ('python', 'typescript')")))
+
+
+_MOCK = "CASE " + " ".join("WHEN language = '{}' AND regexp_matches(lower(module), '{}') THEN '{}'".format(k, p, v.replace("'", "''")) for k, rules in C.MOCKS.items() for p, _, v in rules) + " END"
+_MOCK_KIND = "CASE " + " ".join(f"WHEN language = '{k}' AND regexp_matches(lower(module), '{p}') THEN '{kind}'" for k, rules in C.MOCKS.items() for p, kind, _ in rules) + " END"
+
+
+@query(f"SELECT id, language, module, {_MOCK_KIND} AS kind, {_MOCK} AS value FROM {I.NEEDS.sql()}")
+def module_mocks(spark, sf_dir):
+    return N.mocks(I.NEEDS.df(spark))
+
+
 _PART3 = "list_transform([1, 2, 3], lambda i: coalesce(TRY_CAST(regexp_extract(coalesce(string_split(regexp_replace(trim({0}), '^v', ''), '.')[i], ''), '^\\s*(\\d+)', 1) AS INTEGER), 0))"
 
 

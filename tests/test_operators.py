@@ -3,12 +3,16 @@
 from pyspark.sql import functions as F
 
 from sagebrush.functions import text as X
+from sagebrush.operators import candidates as A
 from sagebrush.operators import documents as D
 from sagebrush.operators import errors as E
+from sagebrush.operators import fixes as H
 from sagebrush.operators import graph as G
 from sagebrush.operators import search as S
 from sagebrush.operators import session as V
+from sagebrush.operators import skeletons as N
 from sagebrush.operators import store as K
+from sagebrush.operators import structure as U
 from sagebrush.plans import inline as I
 from sagebrush.sources import web as W
 
@@ -119,3 +123,91 @@ def test_streams_equal_batches(spark, tmp_path):
 def test_extractions(spark):
     got = [tuple(r) for r in V.extractions(I.RESPONSES.df(spark)).orderBy("id", "nth").collect()]
     assert got == [(1, 0, "fact", "uses tabs", "user"), (2, 0, "fact", "no scope", "project")]
+
+
+def test_certain_patches_apply(spark):
+    texts = I.TEXTS.df(spark)
+    got = {r.id: r for r in A.certain(I.FAULTS.df(spark), texts, I.SYMBOLS.df(spark)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    assert (got[1].line, got[1].new) == (3, "import { User } from './model/types';")
+    assert (got[2].kind, got[2].line) == ("delete", 1) and (got[3].old, got[3].new) == ("./types", "./model/types")
+    assert got[5].line == 5 and got[6].new == "const u = login(user)"
+    rows = A.certain(I.FAULTS.df(spark), texts, I.SYMBOLS.df(spark)).join(I.FAULTS.df(spark).select("id", "file"), "id").join(texts, "file")
+    after = {r.id: r.t.split("\n") for r in rows.select("id", H.patched(F.col("content"), F.col("kind"), F.col("line"), F.col("old"), F.col("new")).alias("t")).collect()}
+    assert after[1][2] == got[1].new and after[2][0] == "import b from 'b';" and after[3][0] == "import { a } from './model/types';" and after[4][2].endswith(");") and len(after[5]) == 5
+
+
+def test_relative_paths_and_import_lines(spark):
+    rows = spark.createDataFrame([("src/a/b.py", "src/c/d.py"), ("x.py", "y.py"), ("a/b/c.ts", "z.ts"), ("a.ts", "a/b.d.ts")], "s string, t string")
+    assert [r[0] for r in rows.select(A.relative(F.col("s"), F.col("t"))).collect()] == ["../c/d", "./y", "../../z", "./a/b.d"]
+    lines = rows.limit(1).select(*[A.import_line(F.lit(k), F.lit("./m/n"), F.lit("S")).alias(k) for k in ("python", "go", "rust", "java", "csharp", "php", "swift", "cobol")]).first()
+    assert tuple(lines) == ("from m.n import S", '\t"m/n"', "use crate::m::n::S;", "import m.n.S;", "using m.n;", "use m\\n\\S;", "import n", None)
+
+
+def test_choices(spark):
+    got = {}
+    for r in A.choices(I.FAULTS.df(spark), I.TEXTS.df(spark)).orderBy("id", "nth").collect():
+        got.setdefault(r.id, []).append(r)
+    assert sorted(got) == [7, 8, 9, 10, 11]
+    assert [r.code for r in got[7]] == ["const u = lgin(user?)", "if (user) {\n  const u = lgin(user)\n}", "const u = lgin(user!)"]
+    assert [r.code for r in got[8]] == ["let size: string = 1; as number", "let size: number = 1;"]
+    assert [r.code for r in got[10]] == ["if (f(u {)", "if (f(u )"] and got[11][0].rationale == "Close bracket matching line 6"
+    assert [r.insert_line for r in got[9]] == [1, 1] and got[7][0].insert_line is None
+
+
+def test_surroundings_and_braces(spark):
+    text = "\n".join(f"l{k}" for k in range(1, 21))
+    row = spark.createDataFrame([(text,)], "t string").select(A.around(F.col("t"), F.lit(3)).alias("a"), A.around(F.col("t"), F.lit(20)).alias("b"), A.around(F.col("t"), F.lit(99)).alias("c")).first()
+    assert row.a.split("\n")[2] == " >>> 3: l3" and row.a.count("\n") == 7 and row.b.split("\n")[-1] == " >>> 20: l20" and row.c == ""
+    assert {r.file: r.evidence for r in A.checked(spark.createDataFrame([("a", "{}"), ("b", "{{}")], "file string, content string")).collect()} == {"a": "basic structure valid", "b": "unbalanced braces: 1"}
+
+
+def test_functions_around_lines():
+    py = "import x\n\ndef f(a):\n    y = a\n\n    return y\n\nz = 1".split("\n")
+    assert U.function_span(py, 6, "python") == (3, 6, "f") and U.function_span(py, 1, "python") == (1, 8, None)
+    ts = "const n = 1;\nfunction g(a) {\n  const k = { a };\n  return k;\n}\nconst h = (x) => {\n  y();\n}".split("\n")
+    assert U.function_span(ts, 4, "typescript") == (2, 5, "g") and U.function_span(ts, 7, "javascript") == (6, 8, "h")
+    assert U.function_span(["func (s *S) Run(x int) {", "  a()", "}"], 2, "go") == (1, 3, "Run")
+    assert U.function_span(["fn main() {"] + ["x;"] * 99, 5, "rust") == (1, 51, "main")
+    assert U.function_span([""], 50, "cobol")[2] is None
+
+
+def test_headings_of_whole_texts(spark):
+    text = "**Chapter 2: Big **Ideas**\n\n  **1.2 Data Flow**\n\nPart IV. End\nALL CAPS LINE\n3. Short Title Here\n4. This is a sentence ends.\n2.1 Another Title\n**Bold heading**\n**if bold**\nAppendix A: More"
+    assert U.marked_headings(text).split("\n") == [
+        "# Chapter 2: Big Ideas", "## 1.2 Data Flow", "# Part IV: End", "## ALL CAPS LINE", "## 3. Short Title Here", "4. This is a sentence ends.",
+        "## 2.1 Another Title", "## Bold heading", "**if bold**", "# Appendix A: More",
+    ]
+    assert U.clean_document("# **Intro**\ntext\n## pip install numpy\n### Chapter 1: Go") == "# Intro\ntext\n**pip install numpy**\n### Chapter 1: Go"
+    assert U.text_markdown("MY TITLE\n\nSome words:\nx:") == "## MY TITLE\n### Some words\nx:"
+    assert U.marked_headings(None) is U.clean_document(None) is U.text_markdown(None) is None
+    lines = [*(t for _, t in I.HEADINGS.rows), "Chapter 1: Go", "2.3 Trees", "a", "WHY NOT", "see /usr/bin/x"]
+    got = spark.createDataFrame([(t,) for t in lines], "t string").select("t", X.heading_class(F.col("t")).is_heading.alias("h")).collect()
+    assert {r.t: r.h for r in got} == {t: X.is_heading(t) for t in lines}
+
+
+def test_structural_chunks_with_pages(spark):
+    toc = spark.createDataFrame([(1, 1, 2, "early", 1), (1, 2, 1, "One", 3), (1, 3, 2, "A", 4), (1, 4, 3, "Deep", None), (1, 5, 1, "Two", None), (2, 1, 2, "lone", 1)], "doc_id long, pos long, level int, title string, page int")
+    got = {(r.doc_id, r.nth): r.content for r in U.structural_chunks(toc, spark.createDataFrame([(1, "T"), (2, "U")], "doc_id long, title string")).collect()}
+    assert got[1, 0] == "Document: T\nThis document contains 2 chapters:\n\n1. One (page 3) — 2 sections\n2. Two"
+    assert got[1, 1] == "Chapter: One\nStarts at page 3\n\nSections:\n- A (page 4)\n  - Deep" and got[1, 2] == "Chapter: Two"
+
+
+def test_context_of_several_titles(spark):
+    schema = "query_id int, pos int, id long, score double, content string, doc_title string, section string, chunk_type string"
+    rows = [(1, 1, 1, 0.9, "alpha text", "A", "s1", "content"), (1, 2, 2, 0.8, "beta words", "B", None, "structural"), (1, 3, 3, 0.1, "gone", "B", None, "content"), (2, 1, 4, 0.6, "one", "C", "", "content")]
+    got = {r.query_id: (r.n, r.formatted) for r in S.assembled(spark.createDataFrame(rows, schema), "zz").collect()}
+    rule = "\n\n---\n\n"
+    assert got[1] == (2, rule.join(['\n── From "A" ──', "[A > s1] [Score: 0.90]\n\nalpha text", '\n── From "B" ──', "[B] [Structure] [Score: 0.80]\n\nbeta words"]))
+    assert got[2] == (1, "[Source: C] [Score: 0.60]\n\none")
+
+
+def test_cases_of_callables(spark):
+    rows = N.cases(I.CALLABLES.df(spark), I.CLASSES.df(spark))
+    names = [r.name for r in rows.where("file = 'm.py'").orderBy("nth").collect()]
+    assert names[0] == "load returns expected output" and names[1] == "load handles path=empty string" and names[-3:] == ["Box can be instantiated", "Box.__init__ works correctly", "Box.open works correctly"]
+    assert not any("self" in n or "_own" in n for n in names) and "load handles deep=null" in names
+    assert rows.where("file = 'a.ts' and kind = 'async_error'").count() == 1
+    script = N.javascript_files(rows, "vitest").first().content
+    assert script.startswith("import { describe, test, expect, vi } from 'vitest';") and "const result = await send();" in script and script.endswith("});")
+    compile(N.python_files(rows).first().content.replace("Box constructor", "Box"), "m", "exec")
