@@ -196,3 +196,21 @@ def diagnosed(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     hits = messages.join(rules.withColumnRenamed("pos", "rule"), "technology").where("message rlike pattern")
     return hits.groupBy("id").agg(F.min("rule").alias("rule"))
+
+
+def explained(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, rule, root_cause, prescription, code_block) of the first rule that matches a message, filled with its captures.
+
+    Rules: pos, technology, pattern, captures (names of the groups in order), root_cause, prescription, code_block and
+    conditions (`when`: a capture's name, contains, startsWith, equals or endsWith, and a value; then its own texts).
+    The first condition that holds overrides the texts; where it has none, the rule's own stay.
+    """
+    hits = messages.join(rules.withColumnRenamed("pos", "rule"), "technology").where("message rlike pattern")
+    one = hits.groupBy("id").agg(F.min_by(F.struct("rule", "message", "pattern", "captures", "root_cause", "prescription", "code_block", "conditions"), "rule").alias("r")).select("id", "r.*")
+    one = one.withColumn("got", F.expr("transform(captures, (c, i) -> struct(c as name, regexp_extract(message, pattern, i + 1) as value))"))
+    word = "element_at(filter(got, g -> g.name = split(c.`when`, ' ', 3)[0]), 1).value"
+    value = "split(c.`when`, ' ', 3)[2]"
+    holds = f"case split(c.`when`, ' ', 3)[1] when 'contains' then contains({word}, {value}) when 'startsWith' then startswith({word}, {value}) when 'endsWith' then endswith({word}, {value}) when 'equals' then {word} = {value} else false end"
+    one = one.withColumn("c", F.expr(f"try_element_at(filter(conditions, c -> coalesce({holds}, false)), 1)"))
+    fill = lambda k: F.expr(f"aggregate(got, coalesce(c.{k}, {k}), (s, g) -> replace(s, concat('{{', g.name, '}}'), g.value))").alias(k)
+    return one.select("id", "rule", fill("root_cause"), fill("prescription"), fill("code_block"))

@@ -134,3 +134,12 @@ RECIPES = Inline("id long, content string", [
     (1, "ERROR\nMESSAGE: bad import\nFILE: a.py\nFIX: import it\nDIFF:\n+import a\n-import b\nSTRATEGY: add_import"), (2, "FIX: only words"), (3, "FIX: x\nDIFF:\n"), (4, "FIX: y\nDIFF:\n+z"),
 ])
 ANSWERS = Inline("id long, response string", [(1, "1. sorting a list in place\n2) stable sort order of keys\nshort\nfast sorting of big arrays\none more query that is left out"), (2, ""), (3, None)])
+SOURCES = Inline("file string, content string", [
+    ("a.ts", "import React, { useState as useS } from 'react';\nimport './side';\nimport type { T } from '../t';\n// import no from 'no'\nexport const a = 1, b: Map<string, X> = f(1, 2), c = 3;\nexport default class Main extends Base implements I {\n  go() { const d = 1 }\n}\nexport { a as z } from './re';\nexport * from \"./all\";\nconst fn = async (x) => x;\nlet t = `\nexport const no = 1`;\ntype U = A | B"),
+    ("b.ts", ""), ("c.ts", None),
+])
+MODULES = Inline("file string, content string", [("m.py", "import os as o\nfrom ..p import x, y\n__all__ = ['f']\n@deco(1)\nasync def f(a: int, b=1) -> str:\n    pass\nclass K(B):\n    def m(self): pass\n"), ("bad.py", "def ("), ("none.py", None)])
+GO = Inline("file string, content string", [("x.go", 'package a\nimport "fmt"\nimport "github.com/x/y"\nfunc Run() {}\ntype Box struct {}\nfunc id() {}')])
+WRITES = Inline("pos long, owner string, scope string, key string, value string", [(1, "p", "project", "tech", "go"), (2, "p", "project", "tech", "rust"), (3, "p", "user", "fixStyle", "small steps"), (4, "p", "user", "codeStyle", "x"), (5, "p", "user", "codeStyle", None), (6, "q", "project", "other", "y")])
+LEGACY = Inline("pos long, type string, content string", [(1, "user_pref", "prefers tabs over spaces"), (2, "user_pref", "hello there friend"), (3, "project_fact", "builds with gradle"), (4, "user_pref", "short"), (5, "error_solution", "restart the daemon"), (6, "user_pref", "likes small commits"), (7, None, None)])
+INGESTED = Inline("doc_id string, pos long, event string, collection string, n long", [("a", 1, "start", "go", 9), ("a", 2, "progress", None, 4), ("a", 3, "progress", None, 9), ("a", 4, "complete", None, None), ("b", 1, "start", "c", 5), ("b", 2, "progress", None, 2), ("c", 1, "start", "c", 5), ("c", 2, "reset", None, None), ("d", 1, "progress", None, 3)])

@@ -16,6 +16,7 @@ from .operators import documents as D
 from .operators import errors as E
 from .operators import fixes as H
 from .operators import graph as G
+from .operators import memory as M
 from .operators import search as S
 from .operators import session as V
 from .operators import skeletons as N
@@ -23,6 +24,7 @@ from .operators import store as K
 from .operators import structure as U
 from .operators import versions as R
 from .plans import inline as I
+from .sources import code as P
 from .sources import web as W
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,6 +536,43 @@ def memory_quality_gate(spark, sf_dir):
     return V.quality_gate(rows, ["fact"])
 
 
+@query(f"SELECT owner, scope, key, arg_max(value, pos) AS value FROM (SELECT * REPLACE (coalesce(value, chr(0)) AS value) FROM {I.WRITES.sql()}) GROUP BY ALL HAVING arg_max(value, pos) <> chr(0)")
+def memory_values(spark, sf_dir):
+    return M.latest(I.WRITES.df(spark))
+
+
+@query(f"""WITH v AS (SELECT owner, scope, key, arg_max(value, pos) AS value FROM (SELECT * REPLACE (coalesce(value, '') AS value) FROM {I.WRITES.sql()}) GROUP BY ALL),
+r AS (SELECT owner, value, CASE {" ".join(f"WHEN scope = '{a}' AND key = '{b}' THEN {k}" for k, (a, b, _) in enumerate(M.INSTRUCTIONS))} END AS nth FROM v WHERE value <> '')
+SELECT owner, string_agg('[' || {[c for *_, c in M.INSTRUCTIONS]}[nth + 1] || '] ' || value, chr(10) ORDER BY nth) AS block FROM r WHERE nth IS NOT NULL GROUP BY owner""")
+def instruction_blocks(spark, sf_dir):
+    return M.instructions(M.latest(I.WRITES.df(spark)))
+
+
+@query(f"""SELECT CASE type WHEN 'user_pref' THEN 'user' ELSE 'project' END AS scope, CASE type WHEN 'user_pref' THEN 'user_pref_' ELSE 'fact_' END || (row_number() OVER (PARTITION BY type ORDER BY pos) - 1) AS key, content AS value
+FROM {I.LEGACY.sql()} WHERE length(content) >= 10 AND NOT regexp_matches(content, '{M.GREETING}') AND type IN ('user_pref', 'project_fact')""")
+def legacy_memory(spark, sf_dir):
+    return M.migrated(I.LEGACY.df(spark))
+
+
+@query("""WITH m AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, text AS content, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT session, pos, content, CASE WHEN session % 3 = 0 THEN 'reset' WHEN pos < n - 1 THEN 'known' ELSE 'appended' END AS origin FROM m WHERE session % 3 <> 0 OR n > 0""")
+def session_sync(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", F.col("text").alias("content"))
+    by = Window.partitionBy("session")
+    rows = rows.withColumn("pos", (F.row_number().over(by.orderBy("turn")) - 1).cast("long")).withColumn("n", F.count("*").over(by))
+    # each third session began otherwise before; of the others all rows but the last were known
+    other = F.when(F.col("session") % 3 == 0, F.concat(F.lit("old "), F.coalesce("content", F.lit("")))).otherwise(F.col("content"))
+    known = rows.where("pos < n - 1 or session % 3 = 0").withColumn("content", other)
+    return M.synchronised(known.select("session", "pos", "content"), rows.select("session", "pos", "content"))
+
+
+@query(f"""WITH l AS {I.INGESTED.sql()}, s AS (SELECT doc_id, max(pos) AS at, arg_max(event, pos) AS e FROM l WHERE event IN ('start', 'reset') GROUP BY doc_id)
+SELECT s.doc_id, arg_min(l.collection, l.pos) AS collection, arg_min(l.n, l.pos) AS total_chunks, coalesce(arg_max(l.n, l.pos) FILTER (event = 'progress'), 0) AS processed, CASE WHEN bool_or(event = 'complete') THEN 'complete' ELSE 'in_progress' END AS status
+FROM s JOIN l ON l.doc_id = s.doc_id AND l.pos >= s.at WHERE s.e = 'start' GROUP BY s.doc_id""")
+def ingestion_status(spark, sf_dir):
+    return M.ingestion_states(I.INGESTED.df(spark))
+
+
 # -- outcomes --------------------------------------------------------------------------------------------------------
 
 
@@ -641,6 +680,32 @@ def root_cause_trace(spark, sf_dir):
     return G.origin_trace(I.ERRORS.df(spark), I.EDGES.df(spark))
 
 
+@query()
+def source_imports(spark, sf_dir):
+    return P.listed(P.script_modules(I.SOURCES.df(spark)), "imports")
+
+
+@query()
+def source_exports(spark, sf_dir):
+    return P.listed(P.script_modules(I.SOURCES.df(spark)), "exports")
+
+
+@query()
+def source_definitions(spark, sf_dir):
+    return P.listed(P.script_modules(I.SOURCES.df(spark)), "definitions")
+
+
+@query()
+def python_modules(spark, sf_dir):
+    return P.python_modules(I.MODULES.df(spark))
+
+
+@query()
+def pattern_modules(spark, sf_dir):
+    imports, shown = [P.Pattern(r'^import\s+"([^"]+)"', "module", ["source"])], [P.Pattern(r"^func\s+([A-Z]\w*)", "named", ["functionName"])]
+    return P.pattern_modules(I.GO.df(spark), imports, shown, [P.Pattern(r"^func\s+(\w+)", "function"), P.Pattern(r"^type\s+(\w+)\s+struct", "struct"), P.Pattern(r"(", "bad")])
+
+
 # -- errors and fixes ------------------------------------------------------------------------------------------------
 
 _RE2 = {"typescript", "go", "java", "php"}
@@ -684,6 +749,18 @@ def error_pattern_diagnosis(spark, sf_dir):
     return E.diagnosed(I.MESSAGES.df(spark), I.RULES.df(spark))
 
 
+@query(f"SELECT id, concat_ws(' ', language, code, substr(message, 1, 80), 'fix') AS query FROM {I.ERRORS.sql()}")
+def error_search_queries(spark, sf_dir):
+    return I.ERRORS.df(spark).select("id", M.search_query(F.col("language"), F.col("code"), F.col("message")).alias("query"))
+
+
+@query()
+def explained_errors(spark, sf_dir):
+    kind = "pos long, technology string, pattern string, captures array<string>, root_cause string, prescription string, code_block string, conditions array<struct<when:string,root_cause:string,prescription:string,code_block:string>>"
+    rules = [(1, "python", r"No module named (\w+)", ["module"], "{module} is missing", "pip install {module}", None, [("module equals x", "x is odd", None, "# {module}"), ("module contains x", "never", None, None)]), (2, "python", "Error", [], "an error", "look", None, [])]
+    return E.explained(I.MESSAGES.df(spark), spark.createDataFrame(rules, kind))
+
+
 _CLS = f"cl AS (SELECT e.*, coalesce(c.p, 0.5) AS probability, CASE WHEN c.code IS NULL THEN 'unknown' WHEN c.p > 0.5 THEN 'likely_cross_file' ELSE 'likely_local' END AS type, c.s AS strategy, c.co AS co_codes FROM {I.ERRORS.sql()} e LEFT JOIN (SELECT code, arg_max(probability, pos) AS p, arg_max(strategy, pos) AS s, arg_max(co_codes, pos) AS co FROM {I.CATALOG.sql()} GROUP BY code) c ON c.code = e.code)"
 
 

@@ -8,12 +8,14 @@ from sagebrush.operators import documents as D
 from sagebrush.operators import errors as E
 from sagebrush.operators import fixes as H
 from sagebrush.operators import graph as G
+from sagebrush.operators import memory as M
 from sagebrush.operators import search as S
 from sagebrush.operators import session as V
 from sagebrush.operators import skeletons as N
 from sagebrush.operators import store as K
 from sagebrush.operators import structure as U
 from sagebrush.plans import inline as I
+from sagebrush.sources import code as P
 from sagebrush.sources import web as W
 
 
@@ -211,3 +213,50 @@ def test_cases_of_callables(spark):
     script = N.javascript_files(rows, "vitest").first().content
     assert script.startswith("import { describe, test, expect, vi } from 'vitest';") and "const result = await send();" in script and script.endswith("});")
     compile(N.python_files(rows).first().content.replace("Box constructor", "Box"), "m", "exec")
+
+
+def test_scripts_are_read(spark):
+    mods = P.script_modules(I.SOURCES.df(spark))
+    imports = [tuple(r) for r in P.listed(mods, "imports").orderBy("pos").select("kind", "raw", "default_symbol", F.array_join("symbols", ","), "is_external", "line").collect()]
+    assert imports == [("default_and_named", "react", "React", "useState as useS", True, 1), ("side_effect", "./side", None, "", False, 2), ("type_only_named", "../t", None, "T", False, 3)]
+    exports = [(r.kind, r.symbols, r.source) for r in P.listed(mods, "exports").orderBy("pos").collect()]
+    assert exports == [("inline_named", ["a"], None), ("inline_named", ["b"], None), ("inline_named", ["c"], None), ("default", ["Main"], None), ("re_export_named", ["a as z"], "./re"), ("re_export_star", [], "./all")]
+    defined = [(r.kind, r.name, r.is_exported) for r in P.listed(mods, "definitions").orderBy("pos").collect()]
+    assert defined == [("variable", "a", True), ("variable", "b", True), ("variable", "c", True), ("class", "Main", True), ("function", "fn", False), ("variable", "t", False), ("type_alias", "U", False)]
+    assert mods.where("file <> 'a.ts' and size(imports) + size(exports) + size(definitions) = 0").count() == 2
+
+
+def test_python_and_patterns(spark):
+    got = {r.file: r for r in P.python_modules(I.MODULES.df(spark)).collect()}
+    m = got["m.py"]
+    assert (m.functions[0].name, m.functions[0].is_async, m.functions[0].returns, m.functions[0].decorators) == ("f", True, "str", ["deco(1)"])
+    assert [(p.name, p.type) for p in m.functions[0].params] == [("a", "int"), ("b", None)] and m.classes[0].bases == ["B"] and m.exports == ["f"]
+    assert [(i.raw, i.is_external, i.symbols) for i in m.imports] == [("os", True, []), ("..p", False, ["x", "y"])]
+    assert got["bad.py"].error and got["none.py"].error is None and got["none.py"].functions == []
+    found = P.pattern_module(I.GO.rows[0][1], [P.Pattern(r'^import\s+"([^"]+)"', "module", ["source"])], [P.Pattern(r"^func\s+([A-Z]\w*)", "named", ["functionName"])], [P.Pattern(r"^func\s+(\w+)", "function"), P.Pattern("(")])
+    assert [(i["raw"], i["is_external"], i["line"]) for i in found["imports"]] == [("fmt", False, 2), ("github.com/x/y", True, 3)] and found["packages"] == ["github"]
+    assert [e["symbols"] for e in found["exports"]] == [["Run"]] and [d["name"] for d in found["definitions"]] == ["Run"]
+
+
+def test_explanations(spark):
+    from sagebrush import registry
+
+    got = {r.id: tuple(r)[1:] for r in registry.queries()["explained_errors"](spark, "").collect()}
+    assert got[1] == (1, "x is odd", "pip install x", "# x") and got[2] == (2, "an error", "look", None)
+
+
+def test_blocks_of_memory(spark):
+    row = spark.sql("SELECT 'fix it' t, array('a', 'b') s, 'next' n, array(named_struct('turn', 3, 'text', 'no')) c, array('x', 'y') d, '' none")
+    c = F.col
+    got = row.select(M.anchor(c("t"), c("s"), c("n"), c("c"), c("d")), M.anchor(c("none"), c("s"), c("n"), c("c"), c("d")), M.recovery(c("t"), F.lit("bad"), F.lit("other")), M.recovery(c("none"), F.lit("bad"), c("none"))).first()
+    assert got[0] == '[TASK] fix it\n[STATUS] ✓ a → ✓ b\n[STEP] next\n[CORRECTIONS]\n  User (turn 3): "no"\n[DO NOT] x. y.' and got[1] == ""
+    assert got[2].split("\n") == ["", "[RECOVERY] bad", "Alternative: other", "Continue with the CURRENT task: fix it.", "Do NOT change topic or search for unrelated content."]
+    assert got[3].split("\n")[2] == "Continue with your CURRENT task."
+
+
+def test_synchronisation(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "session long, pos long, content string")
+    known = rows((1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (3, 0, "k"), (4, 0, "a"), (4, 1, "b"), (4, 2, "c"), (4, 3, "d"), (5, 0, None))
+    seen = rows((1, 0, "a"), (1, 1, "changed"), (1, 2, "c"), (2, 0, "z"), (4, 0, "a"), (5, 0, None), (6, 0, "new"))
+    got = sorted((tuple(r) for r in M.synchronised(known, seen).collect()), key=lambda r: r[:2])
+    assert got == [(1, 0, "a", "known"), (1, 1, "b", "known"), (1, 2, "c", "appended"), (2, 0, "z", "reset"), (4, 0, "a", "reset"), (5, 0, None, "known"), (6, 0, "new", "appended")]
