@@ -17,7 +17,12 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Form:
-    """A pattern and its groups; a group of 0 stands for the constant beside it."""
+    """A pattern and its groups; a group of 0 stands for the constant beside it.
+
+    `at` finds the place (file and line) elsewhere in the output: its last match, without which there is no error, or
+    with `first` its first, if any. `named` puts the code before the message. `coded` makes a code of an error's name.
+    Errors of a form with `nowhere` have no file and line. `category` is the form's own, where the message decides none.
+    """
 
     pattern: str
     file: int = 0
@@ -27,6 +32,14 @@ class Form:
     message: int = 0
     constant: str = ""
     prefix: str = ""
+    suffix: str = ""
+    at: str = ""
+    first: bool = False
+    named: bool = False
+    coded: str = ""
+    nowhere: bool = False
+    category: str = ""
+    place: str = ""
 
 
 @dataclass(frozen=True)
@@ -36,18 +49,31 @@ class Language:
     passed: tuple[str, ...] = (r"(\d+)\s+passed",)
     failed: tuple[str, ...] = (r"(\d+)\s+failed",)
     kinds: tuple[tuple[str, str], ...] = ()
+    #: Looked for in any case, behind what the forms found.
     extra: tuple[Form, ...] = field(default=())
+    #: Looked for where neither forms nor extra forms found anything.
+    last: tuple[Form, ...] = ()
 
 
 _TSC = Form(r"(?m)^(.+?)\((\d+),(\d+)\):\s*error\s+(TS\d+):\s*(.+)$", 1, 2, 3, 4, 5)
+_NODE = Form(r"(?m)^(\w+Error):\s*(.+)$", code=1, message=2, named=True, at=r"(?m)^(.+\.(?:js|ts|jsx|tsx|mjs|cjs)):(\d+)\b")
 _JS_CRASH = ("TypeError:", "ReferenceError:", "SyntaxError:", "RangeError:", r"(?i)unhandled\s+promise\s+rejection", "ECONNREFUSED", "EADDRINUSE", "Cannot find module")
 _JS_KINDS = (("syntax|parse|unexpected", "syntax"), ("cannot find module|import|require", "import"), ("type|property.*does not exist|not assignable", "type"))
+_NEXT_KINDS = (_JS_KINDS[0], ("cannot find module|import|require|can't resolve", "import"), _JS_KINDS[2], ("hydration", "hydration"))
+_RN_KINDS = (_JS_KINDS[0], ("cannot find module|import|require|unable to resolve", "import"), _JS_KINDS[2])
+
+
+
+def _note(pattern: str, code: str, category: str) -> Form:
+    """An error that is its whole match, without a place."""
+    return Form(pattern, message=-1, constant=code, nowhere=True, category=category)
+
 
 # The formats of compilers, runtimes and test runners.
 LANGUAGES = {
-    "typescript": Language((_TSC,), _JS_CRASH, kinds=_JS_KINDS),
+    "typescript": Language((_TSC, _NODE), _JS_CRASH, kinds=_JS_KINDS),
     "python": Language(
-        (Form(r'(?s).*File "([^"]+)", line (\d+).*?\n(\w+Error):\s*([^\n]+)', 1, 2, 0, 3, 4),),
+        (Form(r"(?m)^(\w+Error):\s*(.+)$", code=1, message=2, named=True, coded="PY_%s_ERROR", at=r'File "([^"]+)", line (\d+)'),),
         (r"Traceback \(most recent call last\)", r"(?m)^\w+Error:", "SystemExit", "Segmentation fault", "Killed"),
         kinds=(("syntax|parse|indent|tab", "syntax"), ("import|module|no module", "import"), ("type|expected|incompatible|argument", "type"), ("name.*not defined|undefined", "import"), ("attribute", "type")),
     ),
@@ -63,7 +89,7 @@ LANGUAGES = {
         kinds=(("syntax|unexpected|parse", "syntax"), ("cannot find|unresolved|not found in", "import"), ("type|mismatch|expected|mismatched", "type"), ("borrow|lifetime|move|ownership", "borrow")),
     ),
     "java": Language(
-        (Form(r"([^\s:]+\.(?:java|kt)):(\d+):\s*(?:error:\s*)?(.+)", 1, 2, 0, 0, 3, "JAVA_ERROR"), Form(r"Exception in thread \S+\s+(\S+Exception):\s*(.+)", code=1, message=2)),
+        (Form(r"([^\s:]+\.(?:java|kt)):(\d+):\s*(?:error:\s*)?(.+)", 1, 2, 0, 0, 3, "JAVA_ERROR"), Form(r"Exception in thread .+\s+(.+Exception):\s*(.+)", code=1, message=2, named=True, at=r"at\s+\S+\(([^:]+):(\d+)\)", first=True)),
         ("Exception in thread", r"at .+\.java:\d+", "OutOfMemoryError", "StackOverflowError", "NullPointerException", "ClassNotFoundException", "NoClassDefFoundError"),
         (r"(\d+)\s+tests?\s+completed",), (r"(\d+)\s+failed",),
         (("syntax|parse|expected|illegal", "syntax"), ("cannot find symbol|cannot resolve|package.*does not exist", "import"), ("incompatible types|type mismatch|cannot be converted", "type"), ("nullpointer", "null")),
@@ -71,8 +97,8 @@ LANGUAGES = {
     "csharp": Language(
         (
             Form(r"([^(\s]+)\((\d+),(\d+)\):\s*(?:error|warning)\s+(CS\d+):\s*(.+)", 1, 2, 3, 4, 5),
-            Form(r"Unhandled exception\.\s*(System\.\w+(?:\.\w+)?Exception:\s*.+)", message=1, constant="RUNTIME_EXCEPTION"),
-            Form(r"error\s+(NU\d+):\s*(.+)", code=1, message=2),
+            Form(r"Unhandled exception\.\s*(System\.\w+(?:\.\w+)?Exception):\s*(.+)", code=1, message=2, named=True, constant="RUNTIME_EXCEPTION", category="runtime"),
+            Form(r"error\s+(NU\d+):\s*(.+)", code=1, message=2, category="dependency"),
         ),
         ("Unhandled exception", r"System\.\w+Exception", "Stack Trace:", "Process terminated", "StackOverflowException", "OutOfMemoryException", "AccessViolationException"),
         (r"(?i)Passed:\s*(\d+)", r"(\d+)\s+passed"), (r"(?i)Failed:\s*(\d+)", r"(\d+)\s+failed"),
@@ -81,8 +107,8 @@ LANGUAGES = {
     "php": Language(
         (
             Form(r"(?:PHP\s+)?(?:Fatal error|Parse error|Warning|TypeError|ValueError):\s*(.+?)\s+in\s+(\S+?)\s+on\s+line\s+(\d+)", 2, 3, 0, 0, 1, "PHP_ERROR"),
-            Form(r"(Illuminate\\[A-Za-z\\]+Exception:\s*.+)", message=1, constant="LARAVEL_EXCEPTION"),
-            Form(r"Problem\s+\d+\s*\n\s*-\s*(.+)", message=1, constant="COMPOSER_ERROR"),
+            Form(r"(Illuminate\\[A-Za-z\\]+Exception):\s*(.+)", code=1, message=2, named=True, constant="LARAVEL_EXCEPTION", category="runtime"),
+            Form(r"Problem\s+\d+\s*\n\s*-\s*(.+)", message=1, constant="COMPOSER_ERROR", category="dependency", place="composer.json"),
         ),
         ("PHP Fatal error", "Parse error", "Uncaught Exception", "Uncaught Error", "Stack trace:", "Segmentation fault", "Allowed memory size of"),
         (r"Tests:\s*(\d+)",), (r"Failures:\s*(\d+)",),
@@ -91,42 +117,90 @@ LANGUAGES = {
     "cpp": Language(
         (
             Form(r"([^\s:]+\.(?:cpp|cc|cxx|c|hpp|h)):(\d+):(\d+):\s*(?:error|fatal error):\s*(.+)", 1, 2, 3, 0, 4, "CPP_ERROR"),
-            Form(r"undefined reference to [`'](.+?)['`]", message=1, constant="CPP_LINKER_ERROR", prefix="undefined reference to "),
+            Form(r"undefined reference to [`'](.+?)['`]", message=1, constant="CPP_LINKER_ERROR", prefix="undefined reference to '", suffix="'", category="linker"),
         ),
         ("Segmentation fault", "(?i)bus error", "(?i)abort", "undefined reference", "core dumped", "SIGSEGV", "SIGABRT"),
         (r"(?i)(\d+)\s+tests?\s+passed", r"\[\s+PASSED\s+\]\s+(\d+)"), (r"(?i)(\d+)\s+tests?\s+failed", r"\[\s+FAILED\s+\]\s+(\d+)"),
         (("syntax|expected|parse|stray|missing", "syntax"), ("no such file|not found|cannot find|include", "import"), ("type|cannot convert|incompatible|invalid conversion", "type"), ("undefined reference|multiple definition", "linker")),
     ),
-    "nestjs": Language((_TSC,), _JS_CRASH, kinds=_JS_KINDS, extra=(Form(r"(Nest can't resolve dependencies of [^\n]+)", message=1, constant="NEST_DI"), Form(r"([Cc]ircular dependency[^\n]*)", message=1, constant="NEST_CIRCULAR"))),
-    "nextjs": Language((_TSC,), _JS_CRASH, kinds=_JS_KINDS, extra=(Form(r"([^\n]*[Hh]ydration[^\n]*)", message=1, constant="NEXT_HYDRATION"), Form(r"Module not found: ([^\n]+)", message=1, constant="NEXT_MODULE"))),
-    "reactnative": Language((_TSC,), _JS_CRASH, kinds=_JS_KINDS, extra=(Form(r"(Unable to resolve module [^\n]+)", message=1, constant="RN_METRO"), Form(r"(Invariant Violation: [^\n]+)", message=1, constant="RN_INVARIANT"))),
+    "nestjs": Language(
+        (_TSC,), (*_JS_CRASH, "Nest can't resolve", "(?i)circular dependency"), kinds=(*_JS_KINDS, ("resolve dependencies|circular", "dependency-injection")), last=(_NODE,),
+        extra=(
+            _note(r"Nest can't resolve dependencies of the (\w+)", "NEST_DI_RESOLVE", "dependency-injection"),
+            _note(r"(?i)A circular dependency has been detected|circular dependency", "NEST_CIRCULAR_DEP", "dependency-injection"),
+            _note(r"(?i)Unknown\s+export\s+(\w+)\s+from\s+module\s+(\w+)", "NEST_UNKNOWN_EXPORT", "dependency-injection"),
+        ),
+    ),
+    "nextjs": Language(
+        (_TSC,), (*_JS_CRASH, "Hydration failed", "Server Error", "NEXT_NOT_FOUND"), kinds=_NEXT_KINDS, last=(_NODE,),
+        extra=(
+            _note(r"(?m)Error:\s*Hydration failed because.*$", "NEXT_HYDRATION", "hydration"),
+            _note(r"(?i)You're importing a component that needs\s+(.+)", "NEXT_CLIENT_BOUNDARY", "boundary"),
+            _note(r"(?i)Server Error[:\s]+(.+)", "NEXT_SERVER_ERROR", "runtime"),
+            _note(r"(?i)Module not found:\s*Can't resolve\s+'([^']+)'", "NEXT_MODULE_NOT_FOUND", "import"),
+            _note(r"(?i)Image.*(?:missing|required).*(?:width|height|src)", "NEXT_IMAGE", "component"),
+        ),
+    ),
+    "reactnative": Language(
+        (_TSC,), (*(c for c in _JS_CRASH if c != "EADDRINUSE"), "Invariant Violation", "Native module.*cannot be null", "Unable to resolve module"), kinds=_RN_KINDS, last=(_NODE,),
+        extra=(
+            _note(r"""(?i)error:\s*Unable to resolve module\s+['"]?([^'"]+)['"]?""", "RN_MODULE_RESOLVE", "import"),
+            _note(r"(?i)Invariant Violation:\s*(.+)", "RN_INVARIANT", "runtime"),
+            _note(r"(?i)Native module\s+(\S+)\s+cannot be null", "RN_NATIVE_NULL", "native"),
+            _note(r"(?i)Could not connect to development server", "RN_DEV_SERVER", "network"),
+            _note(r"(?i)Could not determine the dependencies of task\s+'([^']+)'", "RN_GRADLE", "build"),
+            _note(r"(?i)Build failed|Signing requires a development team", "RN_XCODE", "build"),
+        ),
+    ),
 }
 
 
 def _rows(raw: Column, form: Form) -> Column:
-    """array of struct(file, line, column, code, message) of all matches of a form."""
-    text = lambda g: F.regexp_extract_all(raw, F.lit(form.pattern), F.lit(g))
-    whole = text(0)
-    got = {n: text(g) if g else F.transform(whole, lambda _: F.lit("")) for n, g in (("file", form.file), ("line", form.line), ("col", form.column), ("code", form.code), ("message", form.message))}
-    return F.transform(
-        F.arrays_zip(*[c.alias(n) for n, c in got.items()]),
-        lambda x: F.struct(
-            F.trim(x["file"]).alias("file"), F.coalesce(x["line"].try_cast("int"), F.lit(0)).alias("line"), x["col"].try_cast("int").alias("column"),
-            F.when(x["code"] == "", form.constant).otherwise(x["code"]).alias("code"), F.concat(F.lit(form.prefix), F.trim(x["message"])).alias("message"),
-        ),
-    )
+    """array of struct(file, line, column, code, message, said, category) of all matches of a form.
+
+    `said` is what the category is told by: the message before it is dressed.
+    """
+    text = lambda g, p=form.pattern: F.regexp_extract_all(raw, F.lit(p), F.lit(g))
+    whole, none = text(0), F.lit(None).cast("string")
+    got = {n: text(max(g, 0)) if g else F.transform(whole, lambda _: F.lit("")) for n, g in (("file", form.file), ("line", form.line), ("col", form.column), ("code", form.code), ("message", form.message))}
+    place, line = F.lit(form.place), F.lit("0")
+    if form.at:
+        nth = 1 if form.first else -1
+        place, line = (F.try_element_at(text(g, form.at), F.lit(nth)) for g in (1, 2))
+
+    def row(x: Column) -> Column:
+        code = x["code"] if form.code and not (form.constant and form.named) else F.lit("")
+        if form.coded:
+            a, b = form.coded.split("%s")
+            code = F.concat(F.lit(a), F.upper(F.regexp_replace(code, r"Error\z", "")), F.lit(b))
+        said = F.trim(x["message"])
+        message = F.concat(x["code"], F.lit(": "), said) if form.named else F.concat(F.lit(form.prefix), said, F.lit(form.suffix))
+        file = none if form.nowhere else F.trim(x["file"]) if form.file else F.coalesce(place, F.lit(""))
+        number = F.lit(None).cast("int") if form.nowhere else F.coalesce((x["line"] if form.line else line).try_cast("int"), F.lit(0))
+        own = F.lit(form.category) if form.category else none
+        return F.struct(file.alias("file"), number.alias("line"), x["col"].try_cast("int").alias("column"), F.when(code == "", form.constant).otherwise(code).alias("code"), message.alias("message"), said.alias("said"), own.alias("category"))
+
+    rows = F.transform(F.arrays_zip(*[c.alias(n) for n, c in got.items()]), row)
+    # an error whose place is the last frame is the first of its kind, and none without a place
+    return F.when(place.isNotNull() & (line.try_cast("int") > 0), F.slice(rows, 1, 1)).otherwise(F.slice(rows, 1, 0)) if form.at and not form.first else rows
+
+
+def _chain(raw: Column, forms: tuple[Form, ...]) -> Column:
+    """The rows of the first form that finds any."""
+    return reduce(lambda later, form: (lambda r: F.when(F.size(r) > 0, r).otherwise(later))(_rows(raw, form)), reversed(forms[:-1]), _rows(raw, forms[-1]))
 
 
 def parsed(outputs: DataFrame, language: str) -> DataFrame:
     """Error rows (id, nth, file, line, column, code, message, category) of raw outputs (id, raw)."""
     own = LANGUAGES[language]
     raw = F.coalesce("raw", F.lit(""))
-    first = reduce(lambda later, form: (lambda r: F.when(F.size(r) > 0, r).otherwise(later))(_rows(raw, form)), reversed(own.forms[:-1]), _rows(raw, own.forms[-1]))
-    for form in own.extra:
-        first = F.concat(first, _rows(raw, form))
-    out = outputs.select("id", F.posexplode(first).alias("nth", "e")).select("id", F.col("nth").cast("long").alias("nth"), "e.*")
-    low = F.lower("message")
-    return out.withColumn("category", reduce(lambda w, k: w.when(low.rlike(k[0]), k[1]), own.kinds, F).otherwise("runtime"))
+    rows = F.concat(_chain(raw, own.forms), *[_rows(raw, form) for form in own.extra])
+    if own.last:
+        rows = F.when(F.size(rows) > 0, rows).otherwise(_chain(raw, own.last))
+    out = outputs.select("id", F.posexplode(rows).alias("nth", "e")).select("id", F.col("nth").cast("long").alias("nth"), "e.*")
+    low = F.lower("said")
+    kind = reduce(lambda w, k: w.when(low.rlike(k[0]), k[1]), own.kinds, F).otherwise("runtime")
+    return out.withColumn("category", F.coalesce("category", kind)).drop("said")
 
 
 def crashed(outputs: DataFrame, language: str) -> DataFrame:

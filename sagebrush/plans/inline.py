@@ -91,9 +91,9 @@ OUTPUTS = {
     "cpp": ["a.cpp:3:4: error: expected ';'\nb.hpp:1:1: fatal error: x.h: No such file", "ld: undefined reference to `foo'"],
     "python": ['Traceback (most recent call last):\n  File "a.py", line 1, in <module>\n  File "b.py", line 9, in f\nValueError: bad value', "fine"],
     "rust": ["error[E0425]: cannot find value `x`\n --> src/main.rs:4:9", "done"],
-    "nestjs": ["a.ts(1,1): error TS2322: Type mismatch\nNest can't resolve dependencies of the X", ""],
-    "nextjs": ["Error: Hydration failed because\nModule not found: Can't resolve 'x'", "ok"],
-    "reactnative": ["Unable to resolve module ./x from y\nInvariant Violation: bad", "ok"],
+    "nestjs": ["a.ts(1,1): error TS2322: Type mismatch\nNest can't resolve dependencies of the X", "A circular dependency has been detected\nUnknown export Foo from module Bar", "at work\nsrc/main.ts:3\nsrc/app.js:12\nTypeError: x is undefined", ""],
+    "nextjs": ["Error: Hydration failed because\nModule not found: Can't resolve 'x'", "You're importing a component that needs useState\nServer Error: boom\nImage is missing required width", "ok"],
+    "reactnative": ["error: Unable to resolve module './x' from y\nInvariant Violation: bad", "Native module Cam cannot be null\nCould not connect to development server\nBuild failed", "Could not determine the dependencies of task ':app:x'.", "ok"],
 }
 TESTS = {
     "typescript": ["5 passed, 2 failed"], "python": ["=== 3 passed, 1 failed in 0.1s"], "go": ["ok  \tpkg\nok \tq\nFAIL\tz\t"], "rust": ["test result: 4 passed; 1 failed"],

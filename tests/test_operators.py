@@ -62,10 +62,10 @@ def test_imports(spark):
 
 def test_parsers(spark):
     got = {lang: [(r.file, r.line, r.code) for r in E.parsed(I.outputs(I.OUTPUTS[lang]).df(spark), lang).orderBy("id", "nth").collect()] for lang in ("python", "rust", "cpp", "nextjs")}
-    assert got["python"] == [("b.py", 9, "ValueError")]
+    assert got["python"] == [("b.py", 9, "PY_VALUE_ERROR")]
     assert got["rust"] == [("src/main.rs", 4, "E0425")]
     assert [c for *_, c in got["cpp"]] == ["CPP_ERROR", "CPP_ERROR", "CPP_LINKER_ERROR"]
-    assert [c for *_, c in got["nextjs"]] == ["NEXT_HYDRATION", "NEXT_MODULE"]
+    assert [c for *_, c in got["nextjs"]] == ["NEXT_HYDRATION", "NEXT_MODULE_NOT_FOUND", "NEXT_CLIENT_BOUNDARY", "NEXT_SERVER_ERROR", "NEXT_IMAGE"]
     counts = {lang: [r[1:] for r in E.test_counts(I.outputs(I.TESTS[lang]).df(spark), lang).orderBy("id").collect()] for lang in I.TESTS}
     assert counts["go"] == [(2, 1)] and counts["java"] == [(7, 3), (5, 2)] and counts["php"] == [(7, 3)] and counts["cpp"] == [(8, 2), (4, 0)]
 
@@ -260,3 +260,21 @@ def test_synchronisation(spark):
     seen = rows((1, 0, "a"), (1, 1, "changed"), (1, 2, "c"), (2, 0, "z"), (4, 0, "a"), (5, 0, None), (6, 0, "new"))
     got = sorted((tuple(r) for r in M.synchronised(known, seen).collect()), key=lambda r: r[:2])
     assert got == [(1, 0, "a", "known"), (1, 1, "b", "known"), (1, 2, "c", "appended"), (2, 0, "z", "reset"), (4, 0, "a", "reset"), (5, 0, None, "known"), (6, 0, "new", "appended")]
+
+
+def test_fallbacks_of_parsers(spark):
+    def of(language, *texts):
+        rows = E.parsed(I.outputs(list(texts)).df(spark), language).orderBy("id", "nth").collect()
+        return [(r.file, r.line, r.code, r.message, r.category) for r in rows]
+
+    assert of("typescript", "a.js:1\n/b/c.ts:22\nTypeError: no such import\nRangeError: x", "RangeError: no place") == [("/b/c.ts", 22, "TypeError", "TypeError: no such import", "import")]
+    assert of("python", 'File "a.py", line 3\nTypeError: bad value', "KeyError: 'x'") == [("a.py", 3, "PY_TYPE_ERROR", "TypeError: bad value", "runtime")]
+    thrown = 'Exception in thread "main" java.lang.IllegalStateException: oh\n  at a.B.c(B.java:7)\n  at a.D.e(D.java:9)'
+    name = "java.lang.IllegalStateException"
+    assert of("java", thrown, thrown.split("\n")[0]) == [("B.java", 7, name, f"{name}: oh", "runtime"), ("", 0, name, f"{name}: oh", "runtime")]
+    assert of("csharp", "Unhandled exception. System.IO.FileException: type gone", "error NU1101: no package") == [("", 0, "RUNTIME_EXCEPTION", "System.IO.FileException: type gone", "runtime"), ("", 0, "NU1101", "no package", "dependency")]
+    assert of("php", "Problem 1\n - needs php 9") == [("composer.json", 0, "COMPOSER_ERROR", "needs php 9", "dependency")]
+    assert of("cpp", "undefined reference to `foo'") == [("", 0, "CPP_LINKER_ERROR", "undefined reference to 'foo'", "linker")]
+    nest = of("nestjs", *I.OUTPUTS["nestjs"])
+    assert [r[2] for r in nest] == ["TS2322", "NEST_DI_RESOLVE", "NEST_CIRCULAR_DEP", "NEST_UNKNOWN_EXPORT", "TypeError"] and nest[1][0] is None and nest[-1][:2] == ("src/app.js", 12)
+    assert [r[2] for r in of("reactnative", *I.OUTPUTS["reactnative"])] == ["RN_MODULE_RESOLVE", "RN_INVARIANT", "RN_NATIVE_NULL", "RN_DEV_SERVER", "RN_XCODE", "RN_GRADLE"]
