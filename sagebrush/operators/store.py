@@ -75,6 +75,44 @@ def scope_rows(chunks: DataFrame, found: DataFrame, details: int = 25) -> DataFr
     return top.select("id", "chapter", "book_id", (1 - (nth - 1) * 0.001).alias("score"))
 
 
+def scope_result(rows: DataFrame, details: int = 25) -> DataFrame:
+    """(nth, id, content, score): what is shown of a scope, from the book that has the most of its chunks.
+
+    Rows: id, pos (order of retrieval), doc_title, section_path, chunk_type, chunk_index, content. Chunks that are no
+    summaries come in reading order; beyond `details` of them, summaries of sections that those shown don't cover
+    follow. Scores fall by a thousandth. A retrieved scope is bounded by its scan, so ranking it is one small task.
+    """
+    own = rows.withColumn("doc_title", F.coalesce("doc_title", F.lit("Unknown"))).withColumn("at", F.coalesce("chunk_index", F.lit(0)))
+    book = own.groupBy("doc_title").agg(F.count("*").alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first").limit(1)
+    own = own.join(F.broadcast(book.select("doc_title")), "doc_title")  # one row
+    own = own.withColumn("path", F.coalesce("section_path", F.lit("\0"))).withColumn("part", F.when(F.col("chunk_type") == "summary", 1).otherwise(0))
+    own = own.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("at", "pos"))).withColumn("n", F.sum(1 - F.col("part")).over(Window.partitionBy()))
+    shown = own.where((F.col("part") == 0) & (F.col("k") <= details))
+    more = own.where((F.col("part") == 1) & (F.col("n") > details)).join(shown.select("path").distinct(), "path", "left_anti")
+    out = shown.select("part", "k", "id", "content").unionByName(more.select("part", "k", "id", "content"))
+    nth = F.row_number().over(Window.orderBy("part", "k"))
+    return out.select(nth.cast("long").alias("nth"), "id", "content", (1 - (nth - 1) * 0.001).alias("score"))
+
+
+def other_books(rows: DataFrame) -> DataFrame:
+    """(doc_title, n) of the books a scope was found in but for the one shown, those with the most chunks first (nth)."""
+    books = rows.groupBy(F.coalesce("doc_title", F.lit("Unknown")).alias("doc_title")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    nth = F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1
+    return books.withColumn("nth", nth.cast("long")).where("nth > 0").select("nth", "doc_title", "n")
+
+
+def code_examples(hits: DataFrame) -> DataFrame:
+    """(nth, doc_title, id, shown): hits that have code, by book in the order of retrieval, each book in reading order.
+
+    Hits: id, pos, doc_title, section_path, chunk_index, content. A chunk is headed by the last part of its path.
+    """
+    own = hits.where(F.contains("content", F.lit("```"))).withColumn("doc_title", F.coalesce("doc_title", F.lit("Unknown")))
+    own = own.withColumn("first", F.min("pos").over(Window.partitionBy("doc_title")))
+    nth = F.row_number().over(Window.orderBy("first", "doc_title", F.coalesce("chunk_index", F.lit(0)), "pos"))
+    section = F.when(F.col("section_path") != "", F.concat(F.lit(" ("), F.element_at(F.split("section_path", " > "), -1), F.lit(")"))).otherwise("")
+    return own.select(nth.cast("long").alias("nth"), "doc_title", "id", F.concat(section, F.lit("\n"), "content").alias("shown"))
+
+
 def group_summaries(chunks: DataFrame, separator: str = " > ", most: int = 8000) -> DataFrame:
     """Section (three levels, three chunks or more) and chapter (two levels, five or more) groups in one pass over two keys.
 

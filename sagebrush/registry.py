@@ -460,6 +460,37 @@ def scope_retrieve(spark, sf_dir):
     return K.scope_rows(chunks, K.scope(chunks, hits)).select("id", r6("score").alias("score"))
 
 
+def _found(spark, sf_dir) -> DataFrame:
+    """The first 200 chunks of a chapter, as a scan of a scope gives them; each seventh stands for a summary."""
+    rows = _chunks(spark, sf_dir).where("chapter = 'en'").orderBy("chunk_index", "id").limit(200)
+    kind = F.when(F.col("id") % 7 == 0, "summary").otherwise("content")
+    return rows.withColumns({"pos": F.row_number().over(Window.orderBy("chunk_index", "id")), "chunk_type": kind, "section_path": F.concat(F.lit("S"), (F.col("id") % 50).cast("string"))})
+
+
+_BOOKS = "SELECT doc_title, count(*) AS n, min(pos) AS first FROM f GROUP BY doc_title"
+
+
+@query(f"""WITH {_CHUNKS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY chunk_index, id) AS pos FROM c WHERE chapter = 'en') WHERE pos <= 200), bk AS ({_BOOKS} ORDER BY n DESC, first LIMIT 1),
+o AS (SELECT id, content, 'S' || (id % 50) AS path, CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS part, row_number() OVER (PARTITION BY id % 7 = 0 ORDER BY chunk_index, pos) AS k, count(*) FILTER (id % 7 <> 0) OVER () AS n FROM f JOIN bk USING (doc_title)),
+d AS (SELECT * FROM o WHERE part = 0 AND k <= 5), m AS (SELECT * FROM o WHERE part = 1 AND n > 5 AND path NOT IN (SELECT path FROM d)), u AS (SELECT * FROM d UNION ALL SELECT * FROM m), r AS (SELECT id, row_number() OVER (ORDER BY part, k) AS nth FROM u)
+SELECT nth, id, round(1 - (nth - 1) * 0.001::DOUBLE, 6) AS score FROM r""")
+def scope_result(spark, sf_dir):
+    return K.scope_result(_found(spark, sf_dir), 5).select("nth", "id", r6("score").alias("score"))
+
+
+@query(f"""WITH {_CHUNKS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY chunk_index, id) AS pos FROM c WHERE chapter = 'en') WHERE pos <= 200), b AS ({_BOOKS})
+SELECT row_number() OVER (ORDER BY n DESC, first) - 1 AS nth, doc_title, n FROM b QUALIFY nth > 0""")
+def scope_other_books(spark, sf_dir):
+    return K.other_books(_found(spark, sf_dir))
+
+
+@query()
+def code_examples(spark, sf_dir):
+    chunks = D.chunked(I.MARKDOWN.df(spark), F.col("title"), 16, 4)
+    rows = chunks.select(F.concat_ws("/", "doc_id", "chunk_index").alias("id"), F.concat(F.lit("Book "), F.col("doc_id").cast("string")).alias("doc_title"), "section_path", "chunk_index", "content")
+    return K.code_examples(rows.withColumn("pos", F.row_number().over(Window.orderBy("id"))))
+
+
 @query()
 def context_assembly(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -278,3 +278,14 @@ def test_fallbacks_of_parsers(spark):
     nest = of("nestjs", *I.OUTPUTS["nestjs"])
     assert [r[2] for r in nest] == ["TS2322", "NEST_DI_RESOLVE", "NEST_CIRCULAR_DEP", "NEST_UNKNOWN_EXPORT", "TypeError"] and nest[1][0] is None and nest[-1][:2] == ("src/app.js", 12)
     assert [r[2] for r in of("reactnative", *I.OUTPUTS["reactnative"])] == ["RN_MODULE_RESOLVE", "RN_INVARIANT", "RN_NATIVE_NULL", "RN_DEV_SERVER", "RN_XCODE", "RN_GRADLE"]
+
+
+def test_scope_results(spark):
+    schema = "id long, pos long, doc_title string, section_path string, chunk_type string, chunk_index long, content string"
+    rows = [(k, k, "A", f"s{k}", "content", 10 - k, f"t{k}") for k in range(4)] + [(8, 8, "A", "s3", "summary", 0, "covered"), (9, 9, "A", None, "summary", None, "other"), (7, 4, "B", "s", None, 1, "b")]
+    df = spark.createDataFrame(rows, schema)
+    assert [r.id for r in K.scope_result(df, 2).orderBy("nth").collect()] == [3, 2, 9]
+    assert [r.id for r in K.scope_result(df, 4).orderBy("nth").collect()] == [3, 2, 1, 0]
+    assert [tuple(r) for r in K.other_books(df).collect()] == [(1, "B", 1)] and K.scope_result(df.limit(0)).count() == 0
+    code = spark.createDataFrame([(1, 1, "B", "x > y", None, 5, "```a```"), (2, 2, "A", None, None, 1, "```b```"), (3, 3, "B", "", None, 2, "```c```"), (4, 4, "A", "z", None, 1, "no code")], schema)
+    assert [(r.id, r.shown) for r in K.code_examples(code).orderBy("nth").collect()] == [(3, "\n```c```"), (1, " (y)\n```a```"), (2, "\n```b```")]
