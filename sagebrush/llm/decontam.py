@@ -2,10 +2,11 @@
 
 Every run of `SEED_WORDS` words (A-Z lower-cased) of a test item is a seed. One pass over all documents counts in how
 many documents each seed is; a seed weighs log2((1 + N) / (1 + df)), so rare seeds weigh most. A second pass joins
-documents to items by their seeds: hits of one item that lie close together make a passage, and a passage whose
-distinct seeds weigh `LEAST_WEIGHT` or more is aligned with the item word by word (match 2, mismatch -1, gap -1). The
-score is the share of the best possible one. A seed that many documents hold still counts with its weight, so that a
-test item copied into a great part of the corpus is found by its many seeds.
+documents to items by their seeds: hits of one item that lie close together make a passage, one hit being enough. A
+passage is aligned with the item word by word (match 2, mismatch -1, gap -1); the score is the share of the best
+possible one. How common a seed is decides nothing but the weight shown, so that edited copies are found of an item that
+a great part of the corpus holds. Left out are only stretches that hold too few of the item's words, in any order, for
+the least share. A copy in which no `SEED_WORDS` words in a row are left has no seed and is not found.
 
 Items are taken in blocks of at most `BLOCK_SEEDS` seeds, so that what a task holds is bounded however large the
 benchmark is; each block is one more pass. Texts are read whole.
@@ -16,6 +17,7 @@ seed. Repeated rows give repeated results. Extra columns are ignored. A null doc
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import hashed_words, session, shingle_hashes, texts_of
 
-SEED_WORDS, LEAST_WEIGHT, LEAST_SHARE, BLOCK_SEEDS = 3, 10.0, 0.5, 500_000
+SEED_WORDS, LEAST_SHARE, BLOCK_SEEDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -89,7 +91,7 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
 
 
 def passages(items: Items, words: np.ndarray):
-    """Yields (item, from, to, weight) of the stretches of a text that hold enough rare seeds of an item."""
+    """Yields (item, from, to, weight) of the stretches of a text that hold seeds of an item."""
     at, seed = items.hits(words)
     if not len(at):
         return
@@ -99,9 +101,7 @@ def passages(items: Items, words: np.ndarray):
     length = np.array([len(w) for w in items.words])[item]
     cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[1:]), [True])))
     for a, b in zip(cut, cut[1:], strict=False):
-        weight = items.weight[np.unique(seed[a:b])].sum()
-        if weight >= min(LEAST_WEIGHT, 0.9 * items.weight[items.item == item[a]].sum()):
-            yield int(item[a]), int(at[a]), int(at[b - 1]), float(weight)
+        yield int(item[a]), int(at[a]), int(at[b - 1]), float(items.weight[np.unique(seed[a:b])].sum())
 
 
 def _frequencies(items: Items):
@@ -125,11 +125,17 @@ def _matches(items: Items, least: float):
                 best: dict[int, tuple] = {}
                 for i, a, b, weight in passages(items, words):
                     own = items.words[i]
-                    lo, step = max(0, a - len(own)), max(8 * len(own), 256)
+                    # what a copy of the least share can span: each word added to all of the item's costs one point
+                    reach = math.ceil((3 - 2 * least) * len(own))
+                    lo, step = max(0, a - reach), max(8 * len(own), 256)
                     # a long stretch is aligned in overlapping windows, so that its cost follows its length
-                    hi = min(len(words), b + SEED_WORDS + len(own))
+                    hi = min(len(words), b + SEED_WORDS + reach)
                     for x in range(lo, hi, step):
-                        share = align(own, words[x : min(hi, x + step + 2 * len(own))]) / (MATCH * len(own))
+                        part = words[x : min(hi, x + step + reach)]
+                        # the share can't be more than that of the item's words that are there at all
+                        if np.isin(own, part).mean() < least:
+                            continue
+                        share = align(own, part) / (MATCH * len(own))
                         if share >= least and share > best.get(i, (0.0,))[0]:
                             best[i] = (share, weight, x)
                 out += [(k, items.ids[i], round(s, 6), round(w, 6)) for i, (s, w, _) in sorted(best.items())]

@@ -195,6 +195,30 @@ def test_decontamination(spark, odd, none):
         decontam.BLOCK_SEEDS = old
 
 
+def test_decontamination_of_an_item_that_most_documents_hold(spark):
+    rng = random.Random(4)
+    items = [words(rng, n) for n in (16, 25, 40)]
+    texts, want = [], set()
+    for k in range(120):
+        i = k % 3
+        copy = items[i].split()
+        # two thirds hold an item as it is, the others an edited copy
+        for place in rng.sample(range(len(copy)), len(copy) * (k % 4) // 12 if k >= 80 else 0):
+            copy[place] = f"edit{place}"
+        texts.append(f"{words(rng, 60)} {' '.join(copy)} {words(rng, 60)}")
+        runs = any(tuple(copy[x : x + 3]) == tuple(items[i].split()[x : x + 3]) for x in range(len(copy) - 2))
+        if runs and plain_align(items[i].split(), texts[-1].split()) >= len(copy):
+            want.add((k, i))
+    # one seed at the end of a copy between whose words others stand
+    own = items[0].split()
+    texts.append(f"{words(rng, 60)} {' '.join(w + ' x' * (j < 13) for j, w in enumerate(own))} {words(rng, 60)}")
+    want.add((120, 0))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == want and len(want) >= 110
+
+
 def plain_lines(rows):
     key = lambda x: x.strip(" \t\n\v\f\r").translate(str.maketrans(common.UPPER, common.LOWER))
     holds = defaultdict(set)
