@@ -3,10 +3,12 @@
 A source's rows, in the order of the MD5 of their id, are cut into blocks of `block_rows`. With weight a/H (quanta a of
 a period of H slots, all quanta adding up to H), block j of a source is released at slot floor(j * H / a) and due at
 slot ceil((j + 1) * H / a). In each slot the released block with the earliest deadline goes (ties: by source), so at
-any slot a source has had less than one block more or less than its weight gives it, as long as no source has run out.
+any slot a source has had less than one block more or less than its quanta give it, as long as no source has run out.
 
-The schedule repeats every H slots, and H doesn't depend on the documents: one period is worked out on the driver (H
-steps) and joined. Positions within a source come from a range partitioning and one count for each partition and
+The schedule repeats every H slots: one period is worked out on the driver (H steps) and joined. Quanta are rounded, so
+the mix leaves its target weights by a little more with each slot. Where that would be more than `MOST_ROUNDING` of a
+block by the time that a source runs out, all slots up to there are worked out from the exact weights instead (no more
+steps and entries than there are blocks), and the period repeats after them only. Positions within a source come from a range partitioning and one count for each partition and
 source, so that no source, however large, is in one task. Sources that run out leave their slots empty; the others go
 on in proportion. No row is dropped or repeated.
 
@@ -21,13 +23,14 @@ import heapq
 import math
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stored
 
-BLOCK_ROWS, PERIOD = 64, 1000
+BLOCK_ROWS, PERIOD, MOST_ROUNDING = 64, 1000, 0.25
 
 
 def quanta(weights: dict, period: int = PERIOD) -> dict:
@@ -61,6 +64,28 @@ def period_schedule(parts: dict) -> list:
     return out
 
 
+def exact_start(weights: dict, blocks: dict) -> list[tuple]:
+    """(source, block, slot) by the exact weights, up to the first slot whose source has no block left."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    names = sorted(exact, key=lambda x: (x is not None, x or ""))
+    whole = sum(exact.values())
+    every = [whole / exact[s] for s in names]
+    every = [(x.numerator, x.denominator) for x in every]
+    waiting = [(0, k, 0) for k in range(len(names))]
+    heapq.heapify(waiting)
+    ready, out = [], []
+    while waiting or ready:
+        while waiting and waiting[0][0] <= len(out):
+            _, k, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * every[k][0] // every[k][1]), k, j))
+        _, k, j = heapq.heappop(ready)
+        if j >= blocks.get(names[k], 0):
+            break
+        out.append((names[k], j, len(out)))
+        heapq.heappush(waiting, ((j + 1) * every[k][0] // every[k][1], k, j + 1))
+    return out
+
+
 def positions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(doc, src, rank): the place of each (id, source) in its source, from 0, by the MD5 of the id."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("src")).distinct()
@@ -91,17 +116,29 @@ def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLO
     period = sum(parts.values())
     turns = _turns(parts)
     slot_of = {(s, turn): slot for s, turn, slot in turns}
-    table = spark.createDataFrame(turns, "src string, turn long, slot long").alias("t")
     rank = stored(positions(docs, id_col, source_col), "positions")
     ends = {r[0]: r[1] for r in rank.groupBy("src").agg((F.floor(F.max("rank") / block_rows) + 1).alias("n")).collect()}
     # the first slot that a source leaves empty; up to it, the mix has its target weights
     horizon = min(((n // parts[s]) * period + slot_of[s, n % parts[s]] for s, n in ends.items()), default=0)
-    shares = spark.createDataFrame(list(parts.items()), "s string, n long").alias("s")
+    total, start = sum(weights.values()), []
+    if horizon * max((abs(n / period - weights[s] / total) for s, n in parts.items()), default=0) > MOST_ROUNDING:
+        start = exact_start(weights, ends)
+        horizon = len(start)
+    done = dict.fromkeys(parts, 0)
+    for s, _, _ in start:
+        done[s] += 1
+    # the period follows the exact start: its turns are counted from the first block that is left
+    turns = start + [(s, done[s] + turn, len(start) + slot) for s, turn, slot in turns]
+    table = pa.table([pa.array([x[k] for x in turns], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["src", "turn", "slot"])
+    table = spark.createDataFrame(table).alias("t")
+    shares = spark.createDataFrame([(s, n, done[s]) for s, n in parts.items()], "s string, n long, done long").alias("s")
     rows = rank.alias("r").join(shares, F.expr("r.src <=> s.s"))
     block = F.floor(F.col("rank") / block_rows)
-    rows = rows.select("doc", "src", "rank", "n", block.alias("block")).alias("r")
-    rows = rows.join(table, F.expr("r.src <=> t.src and r.block % r.n = t.turn"))
-    slot = F.floor(F.col("block") / F.col("n")) * period + F.col("slot")
+    rows = rows.select("doc", "src", "rank", "n", "done", (block - F.col("done")).alias("block"))
+    turn = F.when(F.col("block") < 0, F.col("block")).otherwise(F.col("block") % F.col("n")) + F.col("done")
+    rows = rows.withColumn("turn", turn).alias("r")
+    rows = rows.join(table, F.expr("r.src <=> t.src and r.turn = t.turn"))
+    slot = F.floor(F.greatest("block", F.lit(0)) / F.col("n")) * period + F.col("slot")
     return rows.select("r.doc", F.col("r.src").alias("src"), slot.alias("mix_slot"), (F.col("rank") % block_rows).alias("mix_pos")).withColumn("in_target", F.col("mix_slot") < horizon)
 
 

@@ -337,6 +337,21 @@ def test_mixing(spark, odd, none):
     assert mixing.mixed(none).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.99899, "b": 0.001, "c": 0.00001}, None])
+def test_mixing_keeps_to_the_target_weights(spark, weights):
+    # more blocks of each source than its weight gives it in 5,000 slots; one row is a block
+    docs = spark.range(12_000).selectExpr("id as doc_id", "case when id < 8000 then 'a' when id < 10000 then 'b' else 'c' end as source")
+    got = mixing.schedule(docs, weights, block_rows=1).collect()
+    slots = sorted((r.mix_slot, r.src) for r in got)
+    assert len({x for x, _ in slots}) == len(got) == 12_000
+    weights = weights or {"a": 8000**0.5, "b": 2000**0.5, "c": 2000**0.5}
+    total, done, horizon = sum(weights.values()), Counter(), sum(r.in_target for r in got)
+    assert horizon > 5000 and [x for x, _ in slots[:horizon]] == list(range(horizon))
+    for slot, s in slots[:horizon]:
+        done[s] += 1
+        assert all(abs(done[s] - (slot + 1) * w / total) < 1 + 1e-6 for s, w in weights.items())
+
+
 @pytest.mark.parametrize("name", [n for n in registry.oracle_sql()])
 def test_sql(spark, name):
     import duckdb
