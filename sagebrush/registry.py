@@ -160,6 +160,12 @@ def near_duplicate_pairs(spark, sf_dir):
     return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, ["lang", "source"]).withColumn("similarity", r6("similarity"))
 
 
+@query()
+def near_duplicate_pairs_all(spark, sf_dir):
+    """The pairs of near_duplicate_pairs over all documents, whatever their lang and source."""
+    return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
+
+
 @query()
 def greedy_dedupe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -1,7 +1,10 @@
 """Cases that no table has."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from sagebrush import registry
 from sagebrush.functions import text as X
 from sagebrush.operators import candidates as A
 from sagebrush.operators import documents as D
@@ -289,3 +292,16 @@ def test_scope_results(spark):
     assert [tuple(r) for r in K.other_books(df).collect()] == [(1, "B", 1)] and K.scope_result(df.limit(0)).count() == 0
     code = spark.createDataFrame([(1, 1, "B", "x > y", None, 5, "```a```"), (2, 2, "A", None, None, 1, "```b```"), (3, 3, "B", "", None, 2, "```c```"), (4, 4, "A", "z", None, 1, "no code")], schema)
     assert [(r.id, r.shown) for r in K.code_examples(code).orderBy("nth").collect()] == [(3, "\n```c```"), (1, " (y)\n```a```"), (2, "\n```b```")]
+
+
+def test_near_duplicate_pairs_cross_lang_and_source(spark, tmp_path):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(300)}" for _ in range(40)] for _ in range(6)]
+    texts = [" ".join(w[: 40 - rng.randrange(6)] + [f"own{k}"] * rng.randrange(2)) for k in range(8) for w in base]
+    rows = [(k, t, [None, "en", "de"][k % 3], [None, "s", "t", "u"][k % 4]) for k, t in enumerate(texts)] + [(90, None, "en", "s"), (91, "", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [set(t.split()) for t in texts]
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    want = {k: v for k, v in want.items() if v > 0.8}
+    got = registry.queries()["near_duplicate_pairs_all"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want) > 50
