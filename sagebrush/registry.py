@@ -107,6 +107,12 @@ def bm25_weights(spark, sf_dir):
     return S.weights(table(spark, sf_dir, "documents")).where("weight > 9").withColumn("weight", r6("weight"))
 
 
+@query()
+def bm25_weights_all(spark, sf_dir):
+    """The stored sparse index whole: the rows of bm25_weights and those of lower weights."""
+    return S.weights(table(spark, sf_dir, "documents")).withColumn("weight", r6("weight"))
+
+
 @query(f"WITH {_BM25} SELECT id AS doc_id, round(score, 6) AS score FROM sp WHERE score > 0 ORDER BY sp.score DESC, id LIMIT 20")
 def bm25_search(spark, sf_dir):
     return S.sparse_search(table(spark, sf_dir, "documents"), QUERY.split(), 20).withColumn("score", r6("score"))

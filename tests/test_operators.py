@@ -1,6 +1,8 @@
 """Cases that no table has."""
 
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -305,3 +307,17 @@ def test_near_duplicate_pairs_cross_lang_and_source(spark, tmp_path):
     want = {k: v for k, v in want.items() if v > 0.8}
     got = registry.queries()["near_duplicate_pairs_all"](spark, str(tmp_path)).collect()
     assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want) > 50
+
+
+def test_bm25_weights_of_all_terms(spark, tmp_path):
+    texts = ["the cat and the dog", "the dog", "The bird; a", None, ""]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = [[w for w in re.split("[^a-z0-9]+", (t or "").lower()) if len(w) > 1] for t in texts]
+    mean, want = sum(map(len, own)) / len(own), {}
+    for k, ws in enumerate(own):
+        for w in set(ws):
+            tf, df = ws.count(w), sum(w in x for x in own)
+            idf = math.log((len(own) - df + 0.5) / (df + 0.5) + 1)
+            want[k, w] = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+    got = {(r.doc_id, r.term): r.weight for r in registry.queries()["bm25_weights_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
