@@ -1,7 +1,7 @@
 """Main text of web pages by scoring the tree.
 
-The markup is read into a tree that mends unclosed tags. Subtrees that are no article (menus, headers, footers, forms,
-scripts, and boxes whose class or id says advert, notice, comment and the like) are cut, unless they hold an article or
+The markup is read into a tree that mends unclosed tags. Subtrees that are no article (menus, headers, footers, scripts,
+forms that hold less text than the page outside of them, and boxes whose class or id says advert, notice, comment and the like) are cut, unless they hold an article or
 main element. Every block of text passes points to its ancestors, for its length and its commas: all to the parent,
 half to the next, a third to the third. A container's points are discounted by its share of link text. The best
 container is kept, raised to the article or main element around it, with those of its siblings that score well
@@ -25,11 +25,12 @@ from .common import session
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*)>|<[!?/][^>]*>""", re.S
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute, from the left, so that no value is read as a name.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea title object math canvas".split())
-NOISE = frozenset("nav header footer aside form button select option dialog menu head label fieldset".split())
+NOISE = frozenset("nav header footer aside button select option dialog menu head label fieldset".split())
 MAIN = frozenset(("article", "main"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -45,7 +46,7 @@ SCOPE = frozenset("table ul ol dl article main section body html div".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "points", "chars", "linked", "main")
+    __slots__ = ("tag", "parent", "children", "noise", "points", "chars", "linked", "main", "form")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
@@ -53,6 +54,7 @@ class Node:
         self.points = 0.0
         self.chars = self.linked = 0
         self.main = tag in MAIN
+        self.form = False
 
 
 def _is_noise(tag: str, attrs: str) -> bool:
@@ -118,6 +120,8 @@ def parse(page: str) -> Node:
                     now = up.parent
                 up = up.parent
         node = Node(tag, now, _is_noise(tag, attrs))
+        if tag == "form" and not node.noise:
+            node.form = node.noise = True
         now.children.append(node)
         if tag not in VOID and not attrs.endswith("/"):
             now = node
@@ -158,6 +162,28 @@ def _blocks(node: Node, out: list[str]) -> None:
     flush()
 
 
+def _lift_forms(root: Node) -> None:
+    """A form that holds more text than all of the page outside of forms is no noise: the page sits in it."""
+    held: dict[int, list] = {}
+    stack: list = [(root, None)]
+    outside = 0
+    while stack:
+        node, form = stack.pop()
+        if isinstance(node, str):
+            if form is None:
+                outside += len(node.strip())
+            else:
+                held[id(form)][1] += len(node.strip())
+        elif node.form or not (node.noise and not node.main):
+            if node.form and not node.main and form is None:
+                form = node
+                held[id(form)] = [form, 0]
+            stack.extend((x, form) for x in node.children)
+    for form, n in held.values():
+        if n > outside:
+            form.noise = False
+
+
 def _score(root: Node) -> list[Node]:
     """Points of all containers; the nodes in page order."""
     order, stack = [], [(root, False)]
@@ -207,6 +233,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _lift_forms(root)
     order = _score(root)
     holders = [n for n in order if n.points > 0]
     if not holders:

@@ -319,6 +319,20 @@ def test_html(spark):
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got) and html.extract(rows.limit(0)).count() == 0
 
 
+def test_html_attributes_are_read_by_name():
+    page = """<div><p title="The hidden cost">One, two, three.</p><p>Go to <a href="/hidden-valley">the valley</a>, <a href=/hidden>or not</a>.</p><p data-hidden="false" data-x='class="ads"'>Last, but one.</p>
+<p alt = "style=display:none">Last.</p><p hidden>no</p><p HIDDEN="">no</p><p title=x class = 'ads'>no</p><p id=x/y style="display: none">no</p><p aria-hidden=true>no</p></div>"""
+    assert html.main_text(page) == "One, two, three.\nGo to the valley, or not.\nLast, but one.\nLast."
+
+
+def test_html_in_one_form():
+    body = "<h1>Title</h1><p>" + "Words, and more of them. " * 9 + "</p>"
+    want = "Title\n" + ("Words, and more of them. " * 9).strip()
+    assert html.main_text(f"<body><form id=aspnetForm action=/x><input type=hidden><nav>menu</nav>{body}<label>Name</label></form><footer>f</footer></body>") == want
+    assert html.main_text(f"<body>{body}<form><p>Write to us, please.</p></form></body>") == want
+    assert html.main_text("<body><form class=login><p>Sign in, please.</p></form></body>") == ""
+
+
 def test_mixing(spark, odd, none):
     rows = [(k, f"s{0 if k % 3 else k % 7}") for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")
