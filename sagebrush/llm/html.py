@@ -4,8 +4,8 @@ The markup is read into a tree that mends unclosed tags. Subtrees that are no ar
 forms that hold less text than the page outside of them, and boxes whose class or id says advert, notice, comment and the like) are cut, unless they hold an article or
 main element. Every block of text passes points to its ancestors, for its length and its commas: all to the parent,
 half to the next, a third to the third. A container's points are discounted by its share of link text. The best
-container is kept, raised to the article or main element around it, with those of its siblings that score well
-themselves. Blocks come in page order, character references decoded, white space made one space, joined by newlines.
+container is kept, raised to the article or main element around it. Without one, its siblings are kept, too, however
+short, but for noise and for those of much link text that don't score well themselves. Blocks come in page order, character references decoded, white space made one space, joined by newlines.
 
 A null or empty page has an empty text. Very long pages are read whole in one pass. Repeated rows get equal answers.
 Extra columns pass the operator `extract` unread (`text` and `n_chars` replace columns of those names).
@@ -35,6 +35,8 @@ MAIN = frozenset(("article", "main"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Boxes beside the article with this share of link text or more are lists of links.
+MOST_LINKED = 0.25
 #: Words of a class or id that mark a box as no part of the article.
 BOXES = frozenset(
     "ad ads advert adverts advertisement adsense adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion reader related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
@@ -229,6 +231,24 @@ def _final(node: Node) -> float:
     return (node.points + (10 if node.tag in MAIN else 0)) * (1 - node.linked / node.chars if node.chars else 0.0)
 
 
+def _with_siblings(best: Node) -> list[Node]:
+    """The best container and what stands beside it, in page order: boxes and stretches of inline text that are no links."""
+    least, keep = max(5.0, 0.2 * _final(best)), []
+    inline = Node("div", None)
+    for x in [*best.parent.children, best.parent]:
+        if x is not best.parent and x is not best and (isinstance(x, str) or x.tag not in BLOCK):
+            inline.children.append(x)
+            continue
+        chars = sum(len(c.strip()) if isinstance(c, str) else c.chars for c in inline.children)
+        linked = sum(c.linked for c in inline.children if isinstance(c, Node))
+        if chars and linked < MOST_LINKED * chars:
+            keep.append(inline)
+        inline = Node("div", None)
+        if x is best or x is not best.parent and not (x.noise and not x.main) and x.chars and (x.linked < MOST_LINKED * x.chars or _final(x) >= least):
+            keep.append(x)
+    return keep
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -245,16 +265,7 @@ def main_text(page: str | None) -> str:
             best = up
             break
         up = up.parent
-    keep = [best]
-    if best.parent is not None and best.tag not in MAIN:
-        least, keep = max(5.0, 0.2 * _final(best)), []
-        for x in best.parent.children:
-            if x is best:
-                keep.append(x)
-            elif isinstance(x, Node) and not (x.noise and not x.main):
-                density = x.linked / x.chars if x.chars else 1.0
-                if _final(x) >= least or x.tag in ("p", "pre", "blockquote") and density < 0.25 and x.chars or x.tag in ("h1", "h2", "h3", "h4") and density < 0.25:
-                    keep.append(x)
+    keep = _with_siblings(best) if best.parent is not None and best.tag not in MAIN else [best]
     out: list[str] = []
     for x in keep:
         _blocks(x, out)

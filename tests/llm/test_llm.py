@@ -325,6 +325,16 @@ def test_html_attributes_are_read_by_name():
     assert html.main_text(page) == "One, two, three.\nGo to the valley, or not.\nLast, but one.\nLast."
 
 
+def test_html_article_in_sibling_boxes():
+    lead = "A lead of some length, which has one comma, and says what the article is about. " * 2
+    post = ["Paragraph, with commas, and words, number %d. " % k * 4 for k in range(10)]
+    links = "<div class=more><ul><li><a href=/a>Another story</a></li><li><a href=/b>One more story</a></li></ul></div>"
+    page = f"""<body><div class=nav><a href=/>Home</a></div><div class=title><h1>T</h1></div><div class=lead><p>{lead}</p></div>Bare, <b>bold</b> and <a href=/c>linked</a> text that stands between the boxes.
+<div class=post>{"".join(f"<p>{x}</p>" for x in post)}</div><div class=end><p>The end.</p></div>{links}<a href=/d>Next</a><div class=footer>Footer</div></body>"""
+    want = ["T", lead, "Bare, bold and linked text that stands between the boxes.", *post, "The end."]
+    assert html.main_text(page) == "\n".join(x.strip() for x in want)
+
+
 def test_html_in_one_form():
     body = "<h1>Title</h1><p>" + "Words, and more of them. " * 9 + "</p>"
     want = "Title\n" + ("Words, and more of them. " * 9).strip()
