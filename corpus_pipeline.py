@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebrush.llm import decontam, langid, lines, minhash, mixing
-from sagebrush.llm.common import stored
+from sagebrush.llm.common import keyed, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,9 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
-    gone = minhash.minhash_components(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates stays, the one with the least doc_id; null ids come last."""
+    rows = keyed(docs)
+    gone = minhash.minhash_components(rows, id_col="_row_key").where("not kept").select(F.col("doc_id").alias("_row_key")).distinct()
+    return rows.join(gone, "_row_key", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,19 @@ def join_path(base: str, *parts: str) -> str:
     return posixpath.join(base, *parts)
 
 
+def keyed(docs: DataFrame, key: str = "_row_key") -> DataFrame:
+    """docs with a key of each row's own: its doc_id, or one above all of them for null ids and for all but one row of an id."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if ids.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    rows = stored(docs.withColumn("_row_at", F.monotonically_increasing_id()), "rows")
+    top = rows.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).cast("long")).first()[0]
+    first = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("_row_id")).agg(F.min("_row_at").alias("_row_at"))
+    rows = rows.join(first.withColumn("_row_first", F.lit(True)), "_row_at", "left")
+    own = F.when(F.col("_row_first"), F.col("doc_id").cast("long")).otherwise(F.col("_row_at") + (top + 1))
+    return rows.withColumn(key, own).select(*docs.columns, key)
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, session, shingle_hashes, texts_of
+from .common import hashed_words, keyed, session, shingle_hashes, texts_of
 
 SEED_WORDS, LEAST_SHARE, BLOCK_SEEDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -178,6 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHA
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """docs without the contaminated ones; rows with a null doc_id stay, for nothing names them."""
-    found = contaminated(docs.where("doc_id is not null"), benchmark, least).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the contaminated rows; each row is judged by its own text, whether its doc_id is null or repeated."""
+    rows = keyed(docs)
+    found = contaminated(rows.select(F.col("_row_key").alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias("_row_key")).distinct()
+    return rows.join(found, "_row_key", "left_anti").select(*docs.columns)

@@ -390,6 +390,21 @@ def test_sql(spark, name):
     assert Counter(tuple(r[c] for c in cols) for r in df.collect()) == Counter(tuple(r[i] for i in order) for r in rel.fetchall())
 
 
+def test_pipeline_stages_judge_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b, c, leak = (words(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b + " tail"), (2, c), (2, leak + " x"), (None, "y " + leak), (3, None), (None, None), (4, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, 0) for k, t in rows], DOCS)
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert left[1, a] == 1 and left[None, a] == 0 and left[None, b] + left[None, b + " tail"] == 1 and left[2, c] == left[2, leak + " x"] == 1
+    assert left[None, "y " + leak] == 0 and left[3, None] == left[None, None] == left[4, ""] == 1
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in decontam.clean(docs, bench).collect())
+    assert got == Counter(x for x in rows if leak not in (x[1] or ""))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
