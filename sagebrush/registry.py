@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ship
 from .functions import cases as C
 from .functions import tables as T
 from .functions import text as X
@@ -33,7 +35,12 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None, name: str | None = None):
     def add(f):
-        _QUERIES[name or f.__name__] = f
+        @functools.wraps(f)
+        def shipped(spark, sf_dir):
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name or f.__name__] = shipped
         if sql:
             _SQL[name or f.__name__] = sql
         return f
