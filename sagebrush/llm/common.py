@@ -1,17 +1,16 @@
-"""Shared pieces of the training-data operators: scratch tables, file systems, hashing of words."""
+"""Shared pieces of the training-data operators: row keys, file systems, hashing of words, components."""
 
 from __future__ import annotations
 
-import atexit
 import posixpath
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+from ..sources.scratch import drop, scratch, shared_dir, stored  # noqa: F401
+
 #: Bytes that end a word: space and \t \n \v \f \r.
 WHITE = r"[\x20\x09-\x0D]"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
@@ -27,41 +26,12 @@ U64 = np.uint64
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session of a DataFrame, set to short Arrow batches."""
+    """The session of a DataFrame, set to short Arrow batches; its Python workers get this package."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.sparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        found = f"file://{found}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the plan is cut and lost executors cost nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a path of the shared folder through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def open_fs(uri: str):
     """pyarrow's file system and path of a URI; it serves file, hdfs, s3 and gs alike."""
     from pyarrow import fs
@@ -73,17 +43,18 @@ def join_path(base: str, *parts: str) -> str:
     return posixpath.join(base, *parts)
 
 
-def keyed(docs: DataFrame, key: str = "_row_key") -> DataFrame:
-    """docs with a key of each row's own: its doc_id, or one above all of them for null ids and for all but one row of an id."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if ids.isEmpty():
-        return docs.withColumn(key, F.col("doc_id").cast("long"))
-    rows = stored(docs.withColumn("_row_at", F.monotonically_increasing_id()), "rows")
-    top = rows.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).cast("long")).first()[0]
-    first = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("_row_id")).agg(F.min("_row_at").alias("_row_at"))
-    rows = rows.join(first.withColumn("_row_first", F.lit(True)), "_row_at", "left")
-    own = F.when(F.col("_row_first"), F.col("doc_id").cast("long")).otherwise(F.col("_row_at") + (top + 1))
-    return rows.withColumn(key, own).select(*docs.columns, key)
+def keyed(docs: DataFrame, key: str = "_row_key", id_col: str = "doc_id") -> DataFrame:
+    """docs with a key of each row's own, in the order of its id, null ids last.
+
+    The key is the id itself where ids are whole numbers, none null and none repeated. Otherwise rows are sorted by id
+    (and by hash, so that many rows of one id are no hot task) and numbered.
+    """
+    ids = docs.groupBy(F.col(id_col).alias("_row_id")).agg(F.count("*").alias("_row_n")).where("_row_n > 1")
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    if whole and docs.where(F.col(id_col).isNull()).isEmpty() and ids.isEmpty():
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    mix = F.xxhash64(*[F.col(f"`{name}`") for name, kind in docs.dtypes if not kind.startswith("map")])
+    return stored(docs.orderBy(F.col(id_col).asc_nulls_last(), mix).withColumn(key, F.monotonically_increasing_id()), "rows")
 
 
 def ascii_lower(col):
@@ -201,7 +172,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternates large-star and small-star steps; each round is written to the shared folder and only its row count and
     checksum come to the driver. Minima are aggregated before they are shuffled, so that a node with many neighbours
-    costs no more than its edges; a join on such a node is split by adaptive execution.
+    costs no more than its edges; a join on such a node is split by adaptive execution. A round's table goes as soon as
+    the next one is written.
     """
     edges = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct()
     now, seen = stored(edges, "edges"), None
@@ -213,7 +185,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("m").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
         small = small.where("x <> y").select(F.col("x").alias("lo"), F.col("y").alias("hi")).distinct()
-        now = stored(small, "edges")
+        last, now = now, stored(small, "edges")
+        drop(last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break
