@@ -1,14 +1,23 @@
 """Main text of web pages by scoring the tree.
 
-The markup is read into a tree that mends unclosed tags. Subtrees that are no article (menus, headers, footers, scripts,
-forms that hold less text than the page outside of them, and boxes whose class or id says advert, notice, comment and the like) are cut, unless they hold an article or
-main element. Every block of text passes points to its ancestors, for its length and its commas: all to the parent,
-half to the next, a third to the third. A container's points are discounted by its share of link text. The best
-container is kept, raised to the article or main element around it. Without one, its siblings are kept, too, however
-short, but for noise and for those of much link text that don't score well themselves. Blocks come in page order, character references decoded, white space made one space, joined by newlines.
-
-A null or empty page has an empty text. Very long pages are read whole in one pass. Repeated rows get equal answers.
-Extra columns pass the operator `extract` unread (`text` and `n_chars` replace columns of those names).
+The markup is read into a tree that mends unclosed tags. Subtrees that are no article are cut: menus, site headers,
+footers, scripts, forms, and boxes whose class or id says advert, notice, comment and the like. What a name says is
+weighed against what a box holds: a box around an article or main element is opened, so is a form or fieldset that
+holds more text than the page outside of it, and a box with the name of a layout part (sidebar, header, menu) that
+holds nearly all unlinked text of the page. Boxes of reader comments, adverts and consent are opened by a main element
+only. A header inside an article belongs to it.
+
+Every block of text passes points to its ancestors, for its length and its commas: all to the parent, half to the
+next, a third to the third. A container's points are discounted by its share of link text. The best container is kept,
+raised to the article or main element around it; of several articles side by side all are kept that are not mostly
+links. Without one, the best container's siblings are kept, too, however short, but for noise and for those of much
+link text that don't score well themselves. Blocks come in page order, character references decoded, white space made
+one space, joined by newlines.
+
+A null or empty page has an empty text, so has one without text. Very long pages are read whole in one pass. Of
+containers with equal points the first in page order is the best. Repeated rows get equal answers. An empty table gives
+an empty result. Extra columns pass the operator `extract` unread, whatever their names (`text` and `n_chars` replace
+columns of those names).
 """
 
 from __future__ import annotations
@@ -19,6 +28,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import session
 
@@ -29,50 +39,79 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg textarea title object math canvas".split())
-NOISE = frozenset("nav header footer aside button select option dialog menu head label fieldset".split())
+RAW = frozenset("script style template iframe svg textarea title canvas".split())
+NOISE = frozenset("nav header footer aside button select option dialog menu head label".split())
+FORMS = frozenset(("form", "fieldset"))
 MAIN = frozenset(("article", "main"))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Boxes beside the article with this share of link text or more are lists of links.
 MOST_LINKED = 0.25
-#: Words of a class or id that mark a box as no part of the article.
+#: Words of a class or id that mark a box as no part of the article, whatever it holds.
 BOXES = frozenset(
-    "ad ads advert adverts advertisement adsense adbox banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion reader related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads advert adverts advertisement adsense adbox comment comments consent cookie cookies disqus gdpr newsletter paywall popup promo promoted promotion related replies reply respond share sharing skip sponsor sponsored subscribe subscription".split()
 )
+#: Words that name a part of a layout; a box around nearly all of the page's text may have them, too.
+PARTS = frozenset(
+    "banner breadcrumb breadcrumbs disclaimer footer header login masthead menu modal nav navbar navigation notice notices overlay pager pagination reader sidebar signup social toolbar widget widgets".split()
+)
+#: A name that begins or ends so tells of a box somewhere else on the page.
+ABOUT_FIRST, ABOUT_LAST = frozenset("has with no without not is".split()), frozenset("open enabled disabled layout".split())
+#: A box with a layout part's name is opened if it holds so many times the unlinked text outside, and so many characters.
+OPEN_SHARE, OPEN_CHARS = 10, 200
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 #: An opening tag closes these open ones, up to the bound of a table, list or section.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table ul ol dl article main section body html div".split())
 
 
+#: Why a box is cut: it is a form, it is named like a part of the layout (both may be opened), or it stays cut.
+FORM, SOFT, HARD = 1, 2, 3
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "points", "chars", "linked", "main", "form")
+    __slots__ = ("tag", "parent", "children", "noise", "points", "chars", "linked", "main")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
         self.main = tag in MAIN
-        self.form = False
 
 
-def _is_noise(tag: str, attrs: str) -> bool:
+def _named(value: str) -> int:
+    """What the names in a class or id say of a box."""
+    found = 0
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and words[0] not in ABOUT_FIRST and words[-1] not in ABOUT_LAST:
+            found = max(found, HARD if not BOXES.isdisjoint(words) else SOFT if not PARTS.isdisjoint(words) else 0)
+    return found
+
+
+def _noise(tag: str, attrs: str) -> int:
     if tag in NOISE:
-        return True
+        return HARD
+    found = FORM if tag in FORMS else SOFT if tag == "noscript" else 0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in BOXES for w in _WORD.findall(value)):
-            return True
-    return False
+            return HARD
+        if name in ("class", "id"):
+            found = max(found, _named(value))
+    return found
+
+
+def _within(node: Node | None, tags: frozenset) -> bool:
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node is not None
 
 
 def parse(page: str) -> Node:
@@ -121,15 +160,16 @@ def parse(page: str) -> Node:
                 if up.tag in CLOSES[tag]:
                     now = up.parent
                 up = up.parent
-        node = Node(tag, now, _is_noise(tag, attrs))
-        if tag == "form" and not node.noise:
-            node.form = node.noise = True
+        node = Node(tag, now, _noise(tag, attrs))
         now.children.append(node)
+        if tag == "header" and _within(now, MAIN):
+            node.noise = _named(" ".join(v.strip("\"'") for n, v in _ATTR.findall(attrs) if n.lower() in ("class", "id")))
         if tag not in VOID and not attrs.endswith("/"):
             now = node
         if node.main:
+            # an article in a box of comments or the like opens nothing
             up = node.parent
-            while up is not None and not up.main:
+            while up is not None and not up.main and (tag == "main" or up.noise != HARD):
                 up.main = True
                 up = up.parent
     if at < len(page):
@@ -142,7 +182,7 @@ def _blocks(node: Node, out: list[str]) -> None:
     held: list[str] = []
 
     def flush():
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         if text:
             out.append(text)
         held.clear()
@@ -153,8 +193,8 @@ def _blocks(node: Node, out: list[str]) -> None:
         if x is None:
             flush()
         elif isinstance(x, str):
-            held.append(x)
-        elif not (x.noise and not x.main) or x is node:
+            held.append(html.unescape(x))
+        elif not x.noise or x is node:
             if x.tag == "br":
                 held.append(" ")
             elif x.tag in BLOCK:
@@ -164,26 +204,32 @@ def _blocks(node: Node, out: list[str]) -> None:
     flush()
 
 
-def _lift_forms(root: Node) -> None:
-    """A form that holds more text than all of the page outside of forms is no noise: the page sits in it."""
-    held: dict[int, list] = {}
-    stack: list = [(root, None)]
-    outside = 0
-    while stack:
-        node, form = stack.pop()
-        if isinstance(node, str):
-            if form is None:
-                outside += len(node.strip())
-            else:
-                held[id(form)][1] += len(node.strip())
-        elif node.form or not (node.noise and not node.main):
-            if node.form and not node.main and form is None:
-                form = node
-                held[id(form)] = [form, 0]
-            stack.extend((x, form) for x in node.children)
-    for form, n in held.values():
-        if n > outside:
-            form.noise = False
+def _open_boxes(root: Node) -> None:
+    """Opens boxes around articles, and those that hold what makes the page, from the outside in."""
+    changed = True
+    while changed:
+        changed, outside, boxes = False, 0, []
+        stack: list = [(root, None)]
+        while stack:
+            node, box = stack.pop()
+            if isinstance(node, str):
+                n = len(node.strip())
+                if box is None:
+                    outside += n
+                else:
+                    box[1] += n
+                continue
+            if node.noise and node.main:
+                node.noise = 0
+            if node.noise == HARD or node.tag == "a":
+                continue
+            if node.noise and box is None:
+                box = [node, 0]
+                boxes.append(box)
+            stack.extend((x, box) for x in node.children)
+        for node, n in boxes:
+            if n > outside if node.noise == FORM else n > OPEN_SHARE * outside and n >= OPEN_CHARS:
+                node.noise, changed = 0, True
 
 
 def _score(root: Node) -> list[Node]:
@@ -191,7 +237,7 @@ def _score(root: Node) -> list[Node]:
     order, stack = [], [(root, False)]
     while stack:
         node, link = stack.pop()
-        if node.noise and not node.main:
+        if node.noise:
             continue
         order.append(node)
         link = link or node.tag == "a"
@@ -244,7 +290,7 @@ def _with_siblings(best: Node) -> list[Node]:
         if chars and linked < MOST_LINKED * chars:
             keep.append(inline)
         inline = Node("div", None)
-        if x is best or x is not best.parent and not (x.noise and not x.main) and x.chars and (x.linked < MOST_LINKED * x.chars or _final(x) >= least):
+        if x is best or x is not best.parent and not x.noise and x.chars and (x.linked < MOST_LINKED * x.chars or _final(x) >= least):
             keep.append(x)
     return keep
 
@@ -253,19 +299,23 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _lift_forms(root)
+    _open_boxes(root)
     order = _score(root)
     holders = [n for n in order if n.points > 0]
     if not holders:
         return ""
     best = max(holders, key=_final)
-    up = best
-    while up is not None:
-        if up.tag in MAIN:
-            best = up
-            break
-        up = up.parent
-    keep = _with_siblings(best) if best.parent is not None and best.tag not in MAIN else [best]
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    # the outermost of articles within articles, or else the main element
+    best = next((n for tag in ("article", "main") for n in reversed(above) if n.tag == tag), best)
+    if best.tag == "article" and best.parent is not None:
+        keep = [x for x in best.parent.children if x is best or isinstance(x, Node) and x.tag == "article" and not x.noise and x.chars and x.linked < MOST_LINKED * x.chars]
+    elif best.parent is not None and best.tag not in MAIN:
+        keep = _with_siblings(best)
+    else:
+        keep = [best]
     out: list[str] = []
     for x in keep:
         _blocks(x, out)
@@ -285,7 +335,8 @@ def _extractor(at: int):
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """The other columns of pages with text and n_chars (code points)."""
     session(pages)
-    rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    rows = pages.select(*rest, F.col(html_col).alias("_html_page"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["text string", "n_chars long"])
-    return rows.mapInArrow(_extractor(len(rest)), schema)
+    rest = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text", "n_chars")]
+    # numbered columns on the way through Python: names may hold dots or clash
+    rows = pages.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)), F.col(f"`{html_col}`").alias("html"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return rows.mapInArrow(_extractor(len(rest)), schema).toDF(*rest, "text", "n_chars")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -317,6 +318,8 @@ def test_html(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "clash"), (2, None, None, "x"), (1, "u", PAGE, "clash")], "page_id long, url string, html string, text string")
     got = html.extract(rows).collect()
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got) and html.extract(rows.limit(0)).count() == 0
+    odd = html.extract(rows.selectExpr("page_id", "html", "url as _html", "text as Text", "page_id as `a.b`"))
+    assert odd.columns == ["page_id", "_html", "a.b", "text", "n_chars"] and odd.count() == 3
 
 
 def test_html_attributes_are_read_by_name():
@@ -342,6 +345,56 @@ def test_html_in_one_form():
     assert html.main_text(f"<body>{body}<form><p>Write to us, please.</p></form></body>") == want
     assert html.main_text("<body><form class=login><p>Sign in, please.</p></form></body>") == ""
 
+LONG = ["Paragraph, with commas, and words, number %d. " % k * 4 for k in range(6)]
+BODY = "".join(f"<p>{x}</p>" for x in LONG)
+TEXT = "\n".join(x.strip() for x in LONG)
+COMMENTS = "<div class=comments><article class=comment><p>" + "A reader, who, writes, at, length, indeed. " * 40 + "</p></article></div>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    {
+        "a layout's name that speaks of a sidebar": (f'<div class="layout has-sidebar"><div class=post>{BODY}</div><div class=sidebar><p>Aside.</p></div></div>', TEXT),
+        "a box with a layout part's name around all": (f'<div class="page-header-fixed sidebar-right"><h1>T</h1>{BODY}</div><div class=footer>End</div>', f"T\n{TEXT}"),
+        "such a box around a form": (f'<div id=menu-page><form id=aspnetForm><h1>T</h1>{BODY}<label>Mail</label></form></div>', f"T\n{TEXT}"),
+        "a real sidebar, longer than the article": (f"<div class=post><p>{LONG[0]}</p></div><div class=sidebar>{BODY}</div>", LONG[0].strip()),
+        "a fieldset in a form around the page": (f"<form><fieldset><h1>T</h1>{BODY}</fieldset></form>", f"T\n{TEXT}"),
+        "the article's own header": (f"<header><p>Site</p></header><article><header><h1>T</h1><p>By me.</p></header>{BODY}<footer>Tags</footer></article>", f"T\nBy me.\n{TEXT}"),
+        "a share bar in the article's header": (f'<article><header class=share><p>Share me</p></header><h1>T</h1>{BODY}</article>', f"T\n{TEXT}"),
+        "two articles side by side": (f"<main><article>{BODY}</article><article><h2>Second</h2><p>Short one.</p></article></main>", f"{TEXT}\nSecond\nShort one."),
+        "an article within an article": (f"<article><h1>T</h1><article>{BODY}</article></article>", f"T\n{TEXT}"),
+        "comments that are articles": (f"<div class=post>{BODY}</div>{COMMENTS}", TEXT),
+        "comments beside an article": (f"<main><article>{BODY}</article>{COMMENTS}</main>", TEXT),
+        "an open comment switch": (f'<div class="post comments-open">{BODY}</div>', TEXT),
+        "formulas and objects": (f"<article>{BODY}<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><object data=a.swf><p>An old film.</p></object></article>", f"{TEXT}\nHere x=2 holds.\nAn old film."),
+        "a notice for browsers without scripts": (f"<noscript>Please enable scripts.</noscript><div>{BODY}</div>", TEXT),
+        "a short section at the end": (f"<div class=post>{BODY}</div><section><h2>End</h2><p>Short.</p></section>", f"{TEXT}\nEnd\nShort."),
+        "a consent box, longer than the article": (f"<div class=cookie-consent>{BODY}</div><div><p>Short, but all.</p></div>", "Short, but all."),
+        "only menus": ("<nav><p>Home, away</p></nav><header><p>Site, and its name</p></header>", ""),
+        "references": ("<p>a &amp;lt; b &lt; c&#x21; &am<b>p;</b> &nbsp;d</p>", "a &lt; b < c! &amp; d"),
+    }.values(),
+)
+def test_html_shapes(page, want):
+    assert html.main_text(f"<!doctype html><html><body>{page}</body></html>") == want
+
+
+def test_html_articles_of_the_sample_pages():
+    """Pages that hold one article element with headings and paragraphs only: each block, by regular expressions alone."""
+    import html as std
+
+    import pyarrow.parquet as pq
+
+    pages = [p for p in pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist() if p and p.count("<article") == 1]
+    n = 0
+    for page in pages:
+        own = re.search(r"<article[^>]*>(.*)</article>", page, re.S)
+        if not own or re.search(r"<(?!/?(?:h[1-6]|p|b|br)\b)", own[1]):
+            continue
+        blocks = [std.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))) for x in re.split(r"</?(?:h[1-6]|p)\b[^>]*>", own[1])]
+        assert html.main_text(page) == "\n".join(y for y in (" ".join(x.split()) for x in blocks) if y)
+        n += 1
+    assert n == len(pages) == 2500
+
 
 def test_mixing(spark, odd, none):
     rows = [(k, f"s{0 if k % 3 else k % 7}") for k in range(3000)]
