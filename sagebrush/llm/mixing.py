@@ -7,14 +7,16 @@ any slot a source has had less than one block more or less than its quanta give
 
 The schedule repeats every H slots: one period is worked out on the driver (H steps) and joined. Quanta are rounded, so
 the mix leaves its target weights by a little more with each slot. Where that would be more than `MOST_ROUNDING` of a
-block by the time that a source runs out, all slots up to there are worked out from the exact weights instead (no more
-steps and entries than there are blocks), and the period repeats after them only. Positions within a source come from a range partitioning and one count for each partition and
-source, so that no source, however large, is in one task. Sources that run out leave their slots empty; the others go
-on in proportion. No row is dropped or repeated.
-
-A null source is a source of its own. Rows that share doc_id and source share a position. A null doc_id is ordered
-as an empty one. An empty table gives an empty result. Other columns pass through; of the columns added, `mix_slot`,
-`mix_pos` and `in_target` replace columns of those names.
+block by the time that a source runs out, all slots up to there are worked out from the exact weights instead, and the
+period repeats after them only. That is one entry for each block; a block has `block_rows` rows, or a `MOST_BLOCKS`th of
+all rows where that is more, so what the driver holds is bounded. Positions within a source come from a range
+partitioning and one count for each partition and source, so that no source, however large, is in one task. Sources
+that run out leave their slots empty; the others go on in proportion. No row is dropped or repeated.
+
+The sources are listed on the driver, as their weights are. A null source is a source of its own. A null doc_id is
+ordered as an empty one. Rows that repeat an id, or have none, each have a place of their own. Texts, however long or
+empty, are not looked at. An empty table gives an empty result. Other columns pass through; of the columns added,
+`mix_slot`, `mix_pos` and `in_target` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import keyed, stored
 
-BLOCK_ROWS, PERIOD, MOST_ROUNDING = 64, 1000, 0.25
+BLOCK_ROWS, PERIOD, MOST_ROUNDING, MOST_BLOCKS = 64, 1000, 0.25, 1_000_000
+#: Rows of a partition of the range partitioning, at most.
+PART_ROWS = 2_000_000
 
 
 def quanta(weights: dict, period: int = PERIOD) -> dict:
@@ -86,13 +90,15 @@ def exact_start(weights: dict, blocks: dict) -> list[tuple]:
     return out
 
 
-def positions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(doc, src, rank): the place of each (id, source) in its source, from 0, by the MD5 of the id."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("src")).distinct()
+def positions(docs: DataFrame, total: int, id_col: str = "doc_id", source_col: str = "source", key_col: str | None = None) -> DataFrame:
+    """(doc, src, row, rank): the place of each row in its source, from 0, by the MD5 of the id; row is key_col or null."""
+    row = F.col(key_col) if key_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("src"), row.alias("row"))
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary")))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "src", "key", "doc").sortWithinPartitions("src", "key", "doc")
-    rows = stored(rows.select("doc", "src", F.monotonically_increasing_id().alias("at")), "ranked")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
+    by = ("src", "key", "doc", "row")
+    rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
+    rows = stored(rows.select("doc", "src", "row", F.monotonically_increasing_id().alias("at")), "ranked")
     part = F.shiftright("at", 33)
     # one row for each partition and source: at most as many as partitions and sources together
     counts = rows.groupBy("src", part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
@@ -100,24 +106,33 @@ def positions(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     before = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
     r, o = rows.withColumn("part", part).alias("r"), before.alias("o")
     found = r.join(o, F.expr("r.src <=> o.src and r.part = o.part"))
-    return found.select("r.doc", "r.src", (F.col("r.at") - F.col("o.first") + F.col("o.base")).alias("rank"))
+    return found.select("r.doc", "r.src", "r.row", (F.col("r.at") - F.col("o.first") + F.col("o.base")).alias("rank"))
 
 
-def weights_by_power(docs: DataFrame, power: float = 0.5, source_col: str = "source") -> dict:
+def source_counts(docs: DataFrame, source_col: str = "source") -> dict:
+    """Rows of each source."""
+    return {r[0]: r[1] for r in docs.groupBy(F.col(source_col).alias("src")).agg(F.count("*").alias("n")).collect()}
+
+
+def weights_by_power(counts: dict, power: float = 0.5) -> dict:
     """Target weights from the row counts of the sources raised to a power (temperature sampling)."""
-    return {r[0]: r[1] ** power for r in docs.groupBy(source_col).count().collect()}
+    return {s: n**power for s, n in counts.items()}
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(doc, src, mix_slot, mix_pos, in_target): the slot of a row's block and its place in the block."""
+def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", key_col: str | None = None) -> DataFrame:
+    """(doc, src, row, mix_slot, mix_pos, in_target): the slot of a row's block and its place in the block."""
     spark = docs.sparkSession
-    weights = weights if weights is not None else weights_by_power(docs, source_col=source_col)
+    counts = source_counts(docs, source_col)
+    weights = weights if weights is not None else weights_by_power(counts)
+    if missing := [s for s in counts if not weights.get(s)]:
+        raise ValueError(f"sources without a weight: {missing[:10]}")
+    rows_all = sum(counts.values())
+    block_rows = max(block_rows, -(-rows_all // MOST_BLOCKS))
     parts = quanta(weights, period) if weights else {}
     period = sum(parts.values())
     turns = _turns(parts)
     slot_of = {(s, turn): slot for s, turn, slot in turns}
-    rank = stored(positions(docs, id_col, source_col), "positions")
-    ends = {r[0]: r[1] for r in rank.groupBy("src").agg((F.floor(F.max("rank") / block_rows) + 1).alias("n")).collect()}
+    ends = {s: -(-n // block_rows) for s, n in counts.items()}
     # the first slot that a source leaves empty; up to it, the mix has its target weights
     horizon = min(((n // parts[s]) * period + slot_of[s, n % parts[s]] for s, n in ends.items()), default=0)
     total, start = sum(weights.values()), []
@@ -132,14 +147,15 @@ def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLO
     table = pa.table([pa.array([x[k] for x in turns], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["src", "turn", "slot"])
     table = spark.createDataFrame(table).alias("t")
     shares = spark.createDataFrame([(s, n, done[s]) for s, n in parts.items()], "s string, n long, done long").alias("s")
+    rank = positions(docs, rows_all, id_col, source_col, key_col)
     rows = rank.alias("r").join(shares, F.expr("r.src <=> s.s"))
     block = F.floor(F.col("rank") / block_rows)
-    rows = rows.select("doc", "src", "rank", "n", "done", (block - F.col("done")).alias("block"))
+    rows = rows.select("doc", "src", "row", "rank", "n", "done", (block - F.col("done")).alias("block"))
     turn = F.when(F.col("block") < 0, F.col("block")).otherwise(F.col("block") % F.col("n")) + F.col("done")
     rows = rows.withColumn("turn", turn).alias("r")
     rows = rows.join(table, F.expr("r.src <=> t.src and r.turn = t.turn"))
     slot = F.floor(F.greatest("block", F.lit(0)) / F.col("n")) * period + F.col("slot")
-    return rows.select("r.doc", F.col("r.src").alias("src"), slot.alias("mix_slot"), (F.col("rank") % block_rows).alias("mix_pos")).withColumn("in_target", F.col("mix_slot") < horizon)
+    return rows.select("r.doc", F.col("r.src").alias("src"), "r.row", slot.alias("mix_slot"), (F.col("rank") % block_rows).alias("mix_pos")).withColumn("in_target", F.col("mix_slot") < horizon)
 
 
 def _turns(parts: dict) -> list[tuple]:
@@ -153,8 +169,7 @@ def _turns(parts: dict) -> list[tuple]:
 
 def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with mix_slot, mix_pos and in_target, in the order of the mix."""
-    docs = docs.drop("mix_slot", "mix_pos", "in_target")
-    plan = schedule(docs, weights, block_rows, period, id_col, source_col)
-    plan = plan.withColumnsRenamed({"doc": "_mix_doc", "src": "_mix_src"})
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_doc")) & F.col(source_col).eqNullSafe(F.col("_mix_src")))
-    return out.drop("_mix_doc", "_mix_src").orderBy("mix_slot", "mix_pos")
+    rows = keyed(docs.drop("mix_slot", "mix_pos", "in_target"), "_row_key", id_col)
+    plan = schedule(rows, weights, block_rows, period, id_col, source_col, "_row_key")
+    plan = plan.select(F.col("row").alias("_row_key"), "mix_slot", "mix_pos", "in_target")
+    return rows.join(plan, "_row_key").drop("_row_key").orderBy("mix_slot", "mix_pos")

@@ -61,7 +61,7 @@ FROM d JOIN m ON m.h = d.h JOIN b32 ON b32.h = d.h
 """
 
 MIXING = """
-WITH RECURSIVE d AS (SELECT DISTINCT doc_id, source FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source FROM documents),
 c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 g AS (SELECT greatest(1000, 10 * count(*)) AS h, count(*) AS k, sum(sqrt(n)) AS t FROM c),
 x AS (SELECT source, round(sqrt(n) / t * (h - k), 9) AS e, h FROM c, g),

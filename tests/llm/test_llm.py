@@ -412,6 +412,20 @@ def test_mixing(spark, odd, none):
     out = mixing.mixed(odd).collect()
     assert len(out) == odd.count() and [(r.mix_slot, r.mix_pos) for r in out] == sorted((r.mix_slot, r.mix_pos) for r in out)
     assert mixing.mixed(none).count() == 0
+    with pytest.raises(ValueError):
+        mixing.schedule(docs, {"s0": 1.0})
+
+
+def test_mixing_keeps_repeated_rows(spark, monkeypatch):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "a", "y"), (1, "b", "z"), (None, "a", "n"), (None, "a", "n"), (None, None, "m"), (2, "b", "w"), (2**63 - 1, "b", "v")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, own string").withColumn("mix_pos", F.lit("clash"))
+    out = mixing.mixed(docs, block_rows=2).collect()
+    assert Counter((r.doc_id, r.source, r.own) for r in out) == Counter(rows)
+    assert len({(r.mix_slot, r.mix_pos) for r in out}) == len(rows) == mixing.schedule(docs, block_rows=2).count()
+    # larger tables have larger blocks, so that the driver's list stays short
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 5)
+    out = mixing.mixed(docs, block_rows=2).collect()
+    assert len(out) == len(rows) and max(r.mix_pos for r in out) == 5
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.99899, "b": 0.001, "c": 0.00001}, None])
