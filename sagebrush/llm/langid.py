@@ -2,13 +2,17 @@
 
 Texts are lower-cased; everything but letters becomes one space. All runs of 1, 2 and 3 characters are hashed to
 `DIM` features; weights are log(1 + tf) * idf, scaled to length 1. Document frequencies come from all learnable rows.
-The weights are learned by follow-the-regularised-leader (FTRL-proximal, elastic net) on a sample of `PER_LANG` rows a
-language, chosen by hash of the id, and a temperature is fitted on a part of the sample that was not learned from.
+The weights are learned by follow-the-regularised-leader (FTRL-proximal, elastic net) on a sample, chosen by hash of the
+id, and a temperature is fitted on a part of the sample that was not learned from. The sample has about `TRAIN_ROWS`
+rows in all, dealt evenly among the languages, and at least one of each: every lang value with a learnable row can be
+predicted (a language costs the driver 256 kB while it learns).
 
 Learned from: text and lang of rows whose crc32(doc_id) mod 4 is not 2 and whose lang, text and doc_id are not null.
 A prediction sees the text alone. Null texts and texts without letters are `und` with score 0. Very long texts are
-read whole, piece by piece. Repeated rows get equal answers. A null doc_id is never learned from and counts as not held
-out. Without a learnable row, texts with letters are `und` too. Extra columns are ignored.
+read whole, piece by piece. Repeated rows get equal answers; of languages with equal shares the more frequent one is
+predicted, then the first by name. A null doc_id is never learned from and counts as not held out. Without a learnable
+row, or in an empty table, nothing is learned and texts with letters are `und`, too. Extra columns are ignored by
+`language_id` and passed by `with_language`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from .common import session
 
 DIM_BITS = 14
 DIM = 1 << DIM_BITS
-#: Bound of the sample that the classifier is fitted on: rows a language, and languages (the most frequent).
-PER_LANG, MOST_LANGS = 600, 200
+#: Bound of the sample that the classifier is fitted on: rows of all languages together.
+TRAIN_ROWS = 2400
+#: Tasks that sum what the scanning tasks have counted.
+SUM_TASKS = 32
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.01
 PIECE = 1 << 19
 UND = "und"
-#: Documents whose language is surer than this pass the pipeline's stage.
-LEAST_SCORE = 0.3
+#: A document passes the pipeline's stage if its score is so many times what chance would give it, and never needs more.
+CHANCE, MOST_NEEDED = 1.2, 0.9
 
 
 def _letters() -> np.ndarray:
@@ -64,15 +70,29 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def _frequencies(batches):
-    """One row for each task: in how many documents each feature is."""
-    total, n = np.zeros(DIM, np.int64), 0
+    """One row for each task: in how many documents each feature is, and last the number of documents."""
+    total = np.zeros(DIM + 1, np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
             found = ngrams(text)
             if len(found):
-                n += 1
-                total += np.bincount(found, minlength=DIM) > 0
-    yield pa.RecordBatch.from_arrays([pa.array([*range(DIM), -1], pa.int32()), pa.array([*total.tolist(), n], pa.int64())], ["feature", "docs"])
+                total[np.unique(found)] += 1
+                total[DIM] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["docs"])
+
+
+def _summed(batches):
+    total = np.zeros(DIM + 1, np.int64)
+    for batch in batches:
+        for row in batch.column(0):
+            total += np.frombuffer(row.as_py(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["docs"])
+
+
+def document_frequencies(texts: DataFrame) -> np.ndarray:
+    """In how many texts each feature is, and last the number of texts with letters: summed by task, then in `SUM_TASKS` tasks."""
+    found = texts.mapInArrow(_frequencies, "docs binary").repartition(SUM_TASKS).mapInArrow(_summed, "docs binary")
+    return sum((np.frombuffer(r[0], np.int64) for r in found.collect()), np.zeros(DIM + 1, np.int64))
 
 
 def _counted(batches):
@@ -80,7 +100,7 @@ def _counted(batches):
         features, counts = [], []
         for text in batch.column(2).to_pylist():
             f, c = np.unique(ngrams(text), return_counts=True)
-            features.append(f.astype("<i4").tobytes()), counts.append(c.astype("<i4").tobytes())
+            features.append(f.astype("<u2").tobytes()), counts.append(c.astype("<i4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary()), pa.array(counts, pa.binary())], ["pick", "lang", "features", "counts"])
 
 
@@ -148,34 +168,34 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Document frequencies from all learnable rows; the classifier from a bounded sample of them."""
     session(docs)
     own = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    langs = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not langs:
-        return Model([], np.zeros((DIM, 0)), np.zeros(0), np.zeros(DIM))
-    share = {r[0]: per_lang / r[1] for r in langs}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    sample = own.where(draw < limit[F.col("lang")]).select(draw.alias("pick"), "lang", "text")
-    rows = sample.mapInArrow(_counted, "pick double, lang string, features binary, counts binary").orderBy("pick", "lang").limit(2 * per_lang * len(langs)).collect()
-    found = own.select("text").mapInArrow(_frequencies, "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect()
-    seen, n = np.zeros(DIM), 1
-    for feature, count in found:
-        if feature < 0:
-            n = max(1, count)
-        else:
-            seen[feature] = count
-    idf = np.log((1 + n) / (1 + seen)) + 1
-    names = [r[0] for r in langs]
-    data = [(np.frombuffer(f, "<i4"), np.frombuffer(c, "<i4"), names.index(lang)) for _, lang, f, c in rows if f]
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).orderBy(F.desc("n"), "lang").collect()
+    if not counts:
+        return Model([], np.zeros((DIM, 0)), np.zeros(0), np.zeros(DIM))
+    names = [r.lang for r in counts]
+    # which part of a language's rows is drawn; the row that comes first always is
+    shares = [(r.lang, max(most / len(counts) / r.n, r.least + 2.0**-31)) for r in counts]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    rows = own.join(shares, "lang").select((draw / F.col("share")).alias("pick"), "lang", "text").where("pick < 1")
+    rows = rows.mapInArrow(_counted, "pick double, lang string, features binary, counts binary").orderBy("pick", "lang", "features").limit(2 * max(most, len(names))).collect()
+    found = document_frequencies(own.select("text"))
+    idf = np.log((1 + max(1, found[DIM])) / (1 + found[:DIM])) + 1
+    number = {x: k for k, x in enumerate(names)}
+    data = [(np.frombuffer(f, "<u2").astype(np.int64), np.frombuffer(c, "<i4"), number[lang]) for _, lang, f, c in rows if f]
     scaled = []
     for f, c, y in data:
         v = np.log1p(c) * idf[f]
         scaled.append((f, v / np.sqrt(np.sum(v * v)), y))
-    learn, check = [x for k, x in enumerate(scaled) if k % 4], scaled[::4]
-    weights, bias = ftrl(learn or check, len(names))
+    # every fourth row of a language checks, its first ones learn
+    nth, learn, check = dict.fromkeys(range(len(names)), 0), [], []
+    for x in scaled:
+        nth[x[2]] += 1
+        (learn if nth[x[2]] % 4 else check).append(x)
+    weights, bias = ftrl(learn, len(names))
     model = Model(names, weights * idf[:, None], bias, idf)
     if len(check) > 1:
         z = np.stack([v @ weights[f] + bias for f, v, _ in check])
@@ -206,6 +226,11 @@ def language_id(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs))
 
 
+def least_score(langs: int) -> float:
+    """What a prediction among so many languages needs to be surer than chance."""
+    return min(MOST_NEEDED, CHANCE / max(1, langs))
+
+
 def _keeper(model: Model, at: int, least: float):
     def run(batches):
         for batch in batches:
@@ -215,8 +240,11 @@ def _keeper(model: Model, at: int, least: float):
     return run
 
 
-def with_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose text has a language: a prediction with at least this score."""
+def with_language(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows of docs whose text has a language: a prediction with at least this score, by default `least_score`."""
     model = train(docs)
     session(docs)
-    return docs.mapInArrow(_keeper(model, docs.columns.index("text"), least), docs.schema)
+    least = least_score(len(model.langs)) if least is None else least
+    # numbered columns on the way through Python: names may hold dots
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return rows.mapInArrow(_keeper(model, docs.columns.index("text"), least), rows.schema).toDF(*docs.columns)

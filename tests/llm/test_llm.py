@@ -101,6 +101,66 @@ def test_language_id(spark, odd, none):
     assert len(langid.ngrams("ab" * 400_000)) == 800_000 + 800_001 + 800_000 and len(langid.ngrams("a,;b")) == 2 + 4 + 3
 
 
+def plain_ngrams(text):
+    """Counts of runs of 1, 2 and 3 characters of the letters, other stretches being one space."""
+    clean = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", (text or "").lower(), flags=re.S) + " "
+    clean = re.sub(" +", " ", clean)
+    return Counter(clean[k : k + n] for n in (1, 2, 3) for k in range(len(clean) - n + 1) if clean[k : k + n] != " ")
+
+
+def test_language_predictions_equal_a_plain_model(spark):
+    """Every prediction, by dictionaries of characters; document frequencies over all learnable rows."""
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    model = langid.train(docs)
+    assert all(len(langid.ngrams(r.text or "")) in (0, sum(plain_ngrams(r.text).values())) for r in rows)
+    learnable = [r for r in rows if r.doc_id is not None and r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    seen = Counter(f for r in learnable for f in set(langid.ngrams(r.text).tolist()))
+    n = sum(len(langid.ngrams(r.text)) > 0 for r in learnable)
+    idf = np.log((1 + n) / (1 + np.array([seen[k] for k in range(langid.DIM)]))) + 1
+    assert np.allclose(model.idf, idf)
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        held = zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        counts = Counter(langid.ngrams(r.text or "").tolist())
+        if not counts:
+            assert got[r.doc_id] == (held, "und", 0.0)
+            continue
+        v = {f: np.log1p(c) * idf[f] for f, c in counts.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        z = [sum(x / norm * (model.weights[f, k] / idf[f]) for f, x in v.items()) + model.bias[k] for k in range(len(model.langs))]
+        e = np.exp((np.array(z) - max(z)) / model.temperature)
+        assert got[r.doc_id][:2] == (held, model.langs[int(np.argmax(z))]) and abs(got[r.doc_id][2] - (e / e.sum()).max()) < 1e-4
+
+
+def test_language_learns_from_the_learnable_rows_only(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = docs.withColumn("lang", F.when(langid.held_out(), F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("s"))
+    by = lambda df: sorted(map(tuple, langid.language_id(df).collect()))
+    assert by(docs) == by(other)
+
+
+def test_every_language_can_be_predicted(spark, monkeypatch):
+    """Languages of few rows, far more than an even share of the sample, among two frequent ones."""
+    rng = random.Random(6)
+    rows, k = [], 0
+    for lang in range(60):
+        letters = [chr(0x4E00 + lang * 40 + x) for x in range(40)]
+        for _ in range(40 if lang < 2 else 4):
+            rows.append((k, " ".join("".join(rng.choices(letters, k=5)) for _ in range(40)), f"l{lang}"))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 60)
+    model = langid.train(docs, 60)
+    learnable = {r[0] for r in docs.where(~langid.held_out()).select("lang").distinct().collect()}
+    assert set(model.langs) == learnable and len(learnable) >= 55
+    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(F.col("lang").isin(list(learnable)))
+    assert got.where("lang = lang_pred").select("lang").distinct().count() == len(learnable)
+    assert langid.least_score(4) == 0.3 and langid.least_score(2) == 0.6 and langid.least_score(1) == 0.9
+
+
 def test_minhash_equals_all_pairs(spark, odd, none):
     rng = random.Random(5)
     rows = [(k, words(rng, rng.randrange(1, 200))) for k in range(60)]
