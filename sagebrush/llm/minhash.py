@@ -9,8 +9,9 @@ Documents with equal sets are merged before banding. A pair that shares a bucket
 stars, in different groups is searched for by exact prefix filtering, so that a star's centre hides no link.
 
 Nulls and texts without words have an empty set: they keep their own id and are linked with nothing. Repeated rows of
-one id give one output row each and share a group. A null id is in no group (component_id null, kept true). Extra
-columns of the input are ignored. An empty table gives an empty result.
+one id give one output row each and share a group. A null id is in no group (component_id null, kept true). Of equal
+texts the least id stands for all. Very long texts are read whole, block by block. Extra columns of the input are
+ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, _FOLD, components, hashed_words, mix, session, shingle_hashes, stored, texts_of
+from .common import U64, _FOLD, components, drop, hashed_words, mix, session, shingle_hashes, stored, texts_of
 
 #: 40 bands of 5 bins: a pair with a similarity of 0.75 shares no bucket with a chance of 2e-5.
 BANDS, ROWS, SHINGLE, PERCENT = 40, 5, 5, 75
@@ -145,9 +146,9 @@ def minhash_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, si
     classes = own.groupBy(*key).agg(F.min("id").alias("rep"))
     reps = own.join(classes, key).where("id = rep").dropDuplicates(["id", *key])
     bucket = reps.select("id", F.explode("bands").alias("bucket"))
-    over = Window.partitionBy("bucket")
-    bucket = bucket.select("*", F.min("id").over(over).alias("centre"), F.count("*").over(over).alias("members"))
-    bucket = stored(bucket.where("members > 1").drop("members"), "buckets")
+    # counted before the shuffle and joined back, which adaptive execution can split: a bucket of very many is no hot task
+    centre = bucket.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
+    bucket = stored(bucket.join(centre, "bucket"), "buckets")
     near = bucket.select("id").distinct()
     sets = stored(docs.join(near, "id", "left_semi").mapInArrow(_sets(size), "id long, shingles array<bigint>"), "sets")
 
@@ -160,6 +161,7 @@ def minhash_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, si
     more = stored(confirmed(across_groups(sets.join(doubt, "id"), percent), sets, percent), "more")
     if not more.isEmpty():
         group = stored(components(links.union(more)), "group")
+    drop(bucket, sets, links, doubt, more)
 
     found = signed.select("id", *key).join(classes, key, "left")
     found = found.join(group.withColumnRenamed("id", "rep"), "rep", "left")
