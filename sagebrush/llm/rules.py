@@ -8,7 +8,9 @@ ordered `CASE WHEN` expression, which Catalyst runs like any other.
 Null and empty texts have no words: all statistics are 0 and base_failed is true. Very long texts are read whole.
 Repeated rows get equal answers. Labels that are null, or of ids that no document has, are ignored; a label on several
 rows counts on each. Without labels, or with one class only, the list is empty and every document that passes the base
-rules is kept. Only doc_id and text are read; other columns are ignored.
+rules is kept. Of terms with equal gain the first by feature, direction and cut is taken; of the sample's rows, equal hashes go
+by id and label. An empty table gives an empty result. Only doc_id and text of the documents, and doc_id and quality of
+the labels are read; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import NOT_WHITE, WHITE
 
 TRAIN_ROWS = 8000
+#: Words of a window that may come twice.
+WINDOW = 5
 #: Thresholds tried for each feature and direction, by quantiles of the sample.
 CUTS, MOST_RULES, MOST_TERMS, LEAST_PRECISION, LEAST_COVER = 24, 12, 3, 0.9, 8
 FEATURES = {
@@ -33,28 +37,30 @@ FEATURES = {
 }
 
 
-def repeat_words(words: Column, size: int = 5) -> Column:
-    """How many words are in a window of `size` words that the array holds twice or more."""
-    n = F.size(words)
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    two = F.zip_with(F.slice(one, 1, n - 1), F.slice(one, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-    four = F.zip_with(F.slice(two, 1, n - 3), F.slice(two, 3, n - 3), lambda a, b: F.xxhash64(a, b))
-    return F.zip_with(F.slice(four, 1, n - 4), F.slice(one, 5, n - 4), lambda a, b: F.xxhash64(a, b))
+def window_hashes(values: Column, size: int = WINDOW) -> Column:
+    """One hash for each run of `size` values of an array, in order; none where the array is shorter.
+
+    The outer transform binds the array: a filter that is pushed below the projection would else put the expression
+    that makes it into the inner lambda, and evaluate it for each window.
+    """
+    starts = lambda own: F.when(F.size(own) >= size, F.sequence(F.lit(0), F.size(own) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array(values), lambda own: F.transform(starts(own), lambda i: F.xxhash64(*[own[i + k] for k in range(size)])))[0]
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of whole texts.
 
-    A window's hash is folded from its words' hashes. Sorted by hash, equal windows are neighbours; the sorted starts
-    of those cover min(5, gap to the next start) words each. Nothing is exploded and nothing is shuffled.
+    A window's hash is made of its words' hashes. Only where a window comes twice they are sorted with their places:
+    equal ones are neighbours then, and the sorted starts of those cover min(5, gap to the next start) words each.
+    Nothing is exploded and nothing is shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     base = base.select(
         "doc_id",
-        F.filter(F.split("text", f"{WHITE}+"), lambda w: w != "").alias("words"),
+        F.transform(F.filter(F.split("text", f"{WHITE}+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words"),
         F.length(F.regexp_replace("text", f"{WHITE}+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOT_WHITE)).alias("lines"),
     )
     base = base.select(
@@ -62,7 +68,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") > 5, repeat_words(F.col("words"))).otherwise(F.array().cast("array<bigint>")).alias("windows"),
+        window_hashes(F.col("words")).alias("windows"),
     )
     base = base.withColumn("again", F.size("windows") > F.size(F.array_distinct("windows")))
     ordered = F.when(F.col("again"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -71,8 +77,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = F.zip_with(F.slice("ordered", 1, m), F.slice("ordered", 2, m), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(F.array().cast("array<int>")))
     base = base.withColumn("starts", F.when(F.col("again"), F.array_sort(F.array_distinct(F.flatten(pairs))))).drop("ordered")
     m = F.size("starts") - 1
-    gaps = F.zip_with(F.slice("starts", 1, m), F.slice("starts", 2, m), lambda a, b: F.least(b - a, F.lit(5)))
-    covered = F.when(F.col("again"), F.aggregate(gaps, F.lit(5), lambda x, y: x + y)).otherwise(0)
+    gaps = F.zip_with(F.slice("starts", 1, m), F.slice("starts", 2, m), lambda a, b: F.least(b - a, F.lit(WINDOW)))
+    covered = F.when(F.col("again"), F.aggregate(gaps, F.lit(WINDOW), lambda x, y: x + y)).otherwise(0)
     return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
 
 

@@ -220,6 +220,26 @@ def test_rules_learn_a_threshold():
     assert rules.learn([]) == [] and rules.learn([{**r, "bad": False} for r in rows]) == []
 
 
+def test_rules_verdict_equals_the_learned_list(spark):
+    """kept and n_rule of every document, by the learned rules over plain statistics; odd labels change nothing they should not."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.quality) for r in labels.collect()]
+    more = spark.createDataFrame([*rows, rows[0], (None, 0), (-1, 0), (rows[1][0], None)], "doc_id long, quality int").withColumn("n_words", F.lit("clash"))
+    found = rules.learn(rules.labelled(rules.statistics(docs), more))
+    got = {r.doc_id: r for r in rules.quality_rules(docs, more).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert found and len(got) == len(texts) and sum(r.n_rule > 0 for r in got.values()) > 0
+    for i, text in texts.items():
+        n, chars, symbols, dup, again = plain_statistics(text)
+        lines = sum(1 for x in (text or "").split("\n") if x.encode().split())
+        own = {"n_words": n, "chars_per_word": chars / max(n, 1), "symbols_per_word": symbols / max(n, 1), "dup_line_share": dup / max(lines, 1), "repeat_share": again / max(n, 1)}
+        failed = n < 10 or 100 * again > 20 * n
+        rule = next((k for k, r in enumerate(found, 1) if r.holds(own)), 0)
+        x = got[i]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (n, chars, symbols, dup, again)
+        assert (x.base_failed, x.n_rule, x.kept) == (failed, rule, not failed and not rule)
+
+
 def plain_align(a, b):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
