@@ -6,9 +6,15 @@ one cuckoo filter per shard with the keys that are in `least_docs` documents or
 their shard's filter; only those that pass meet the exact table. Inserting documents adds references, deleting them
 takes theirs away; counts of the keys touched are made anew, and filters get or lose the keys that cross the limit.
 
+Each step writes what it changes only: new references, the counts of the keys touched, the ids that went. Tables are
+read as what was there and what came since; after `MOST_STEPS` steps they are written anew. `save` and `load` keep an
+index for other sessions.
+
 A null or empty text is one empty line. Rows with a null doc_id own no key and lose no line. Repeated rows of a
-document count once and lose the same lines. Other columns of the input pass through unread, unless their names begin
-with `_ld_`. An empty table gives an empty result.
+document count once and lose the same lines. Of documents that tie for nothing but their id, the largest id keeps a
+line. Very long texts are read whole, in one row each. Other columns of the input pass through unread, unless their
+names begin with `_ld_` or are those of the two counts that `apply` adds (n_lines and n_dropped, unless named
+otherwise), which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, WHITE_CHARS, ascii_lower, mix, session, stored
@@ -27,6 +33,10 @@ LEAST_CHARS, LEAST_DOCS = 20, 3
 SHARD_KEYS, SLOTS, LOAD = 50_000, 4, 0.85
 #: Copies of a filter among which the rows of its shard are dealt, so that a very common line is no hot task.
 SALTS = 16
+#: Lines that are held against one copy of a filter, at most by average.
+PART_LINES = 500_000
+#: Steps of an index after which its tables are written anew.
+MOST_STEPS = 8
 FILTER = "shard int, log2 int, cells binary, spill array<bigint>, items long"
 
 
@@ -165,6 +175,9 @@ class LineIndex:
     shards: int
     least_docs: int = LEAST_DOCS
     least_chars: int = LEAST_CHARS
+    #: References at most, and steps since the tables were written whole.
+    n_refs: int = 0
+    steps: int = 0
 
     @staticmethod
     def of(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, shards: int | None = None) -> LineIndex:
@@ -174,26 +187,42 @@ class LineIndex:
         counts = stored(_counted(refs), "counts")
         often = counts.where(F.col("n_docs") >= least_docs)
         shards = shards or max(4, -(-often.count() // SHARD_KEYS))
-        return LineIndex(refs, counts, _build(often, shards), shards, least_docs, least_chars)
+        return LineIndex(refs, counts, _build(often, shards), shards, least_docs, least_chars, refs.count())
+
+    def save(self, folder: str) -> None:
+        """Writes the index whole to a folder that must not exist."""
+        for name in ("refs", "counts", "filters"):
+            getattr(self, name).write.parquet(f"{folder}/{name}")
+        state = [(self.shards, self.least_docs, self.least_chars, self.n_refs)]
+        self.refs.sparkSession.createDataFrame(state, "shards int, least_docs int, least_chars int, n_refs long").coalesce(1).write.parquet(f"{folder}/state")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> LineIndex:
+        refs, counts, filters, state = (spark.read.parquet(f"{folder}/{name}") for name in ("refs", "counts", "filters", "state"))
+        session(refs)
+        x = state.first()
+        return LineIndex(refs, counts, filters, x.shards, x.least_docs, x.least_chars, x.n_refs)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents; references that are there already count once."""
-        new = _refs(docs, self.least_chars).join(self.refs, ["k1", "k2", "doc"], "left_anti")
-        new = stored(new, "refs")
-        refs = stored(self.refs.unionByName(new), "refs")
-        return self._after(refs, new.select("k1", "k2").distinct())
+        new = stored(_refs(docs, self.least_chars).join(self.refs, ["k1", "k2", "doc"], "left_anti"), "refs")
+        touched = stored(new.select("k1", "k2").distinct(), "touched")
+        return self._after(self.refs.unionByName(new), touched, self.n_refs + new.count())
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Takes away documents by id."""
-        gone = ids.select(F.col(id_col).cast("long").alias("doc")).distinct()
+        gone = stored(ids.select(F.col(id_col).cast("long").alias("doc")).distinct(), "gone")
         touched = stored(self.refs.join(gone, "doc", "left_semi").select("k1", "k2").distinct(), "touched")
-        return self._after(stored(self.refs.join(gone, "doc", "left_anti"), "refs"), touched)
-
-    def _after(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
-        anew = _counted(refs.join(touched, ["k1", "k2"], "left_semi"))
-        counts = stored(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(anew), "counts")
+        return self._after(self.refs.join(gone, "doc", "left_anti"), touched, self.n_refs)
+
+    def _after(self, refs: DataFrame, touched: DataFrame, n_refs: int) -> LineIndex:
+        anew = stored(_counted(refs.join(touched, ["k1", "k2"], "left_semi")), "counts")
+        counts, steps = self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(anew), self.steps + 1
+        if steps >= MOST_STEPS:
+            refs, counts, steps = stored(refs, "refs"), stored(counts, "counts"), 0
+            n_refs = refs.count()
         was = self.counts.where(F.col("n_docs") >= self.least_docs).join(touched, ["k1", "k2"], "left_semi").select("k1", "k2")
-        now = counts.where(F.col("n_docs") >= self.least_docs).join(touched, ["k1", "k2"], "left_semi").select("k1", "k2")
+        now = anew.where(F.col("n_docs") >= self.least_docs).select("k1", "k2")
         turn = lambda df, n: df.select(_shard(self.shards).alias("shard"), F.lit(n).alias("turn"), F.col("k1").alias("key"))
         change = turn(now.exceptAll(was), 1).unionByName(turn(was.exceptAll(now), 2))
         old = self.filters.select("*", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("key"))
@@ -204,23 +233,27 @@ class LineIndex:
         kept = _fill(old.join(full, "shard", "left_anti"), change.join(full, "shard", "left_anti"))
         often = counts.where(F.col("n_docs") >= self.least_docs)
         fresh = _build(often.withColumn("shard", _shard(self.shards)).join(full, "shard", "left_semi").drop("shard"), self.shards, only=full)
-        return LineIndex(refs, counts, stored(kept.unionByName(fresh), "filters"), self.shards, self.least_docs, self.least_chars)
+        return LineIndex(refs, counts, stored(kept.unionByName(fresh), "filters"), self.shards, self.least_docs, self.least_chars, n_refs, steps)
+
+    def salts(self, spark: SparkSession) -> int:
+        """Copies of each filter, so that lines are held against them in as many tasks as they need, however few the shards."""
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(SALTS, -(-cores // self.shards), -(-self.n_refs // (self.shards * PART_LINES)))
 
     def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc, mark, pos) of the lines to drop: repeated ones, save in the largest document that holds them."""
-        session(docs)
-        lines = _lines(docs, self.least_chars, id_col, text_col)
-        part = F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + _shard(self.shards) * SALTS
+        lines, salts = _lines(docs, self.least_chars, id_col, text_col), self.salts(session(docs))
+        part = F.pmod(F.xxhash64("doc"), F.lit(salts)) + _shard(self.shards) * salts
         none = lambda kind: F.lit(None).cast(kind)
         rows = lines.select(part.cast("int").alias("part"), F.lit(1).alias("turn"), "doc", "mark", "pos", "k1", "k2", none("int").alias("log2"), none("binary").alias("cells"), none("array<bigint>").alias("spill"))
-        copies = self.filters.select(F.explode(F.sequence(F.col("shard") * SALTS, F.col("shard") * SALTS + SALTS - 1)).alias("part"), F.lit(0).alias("turn"), none("long").alias("doc"), none("long").alias("mark"), none("int").alias("pos"), none("long").alias("k1"), none("long").alias("k2"), "log2", "cells", "spill")
+        copies = self.filters.select(F.explode(F.sequence(F.col("shard") * salts, F.col("shard") * salts + salts - 1)).alias("part"), F.lit(0).alias("turn"), none("long").alias("doc"), none("long").alias("mark"), none("int").alias("pos"), none("long").alias("k1"), none("long").alias("k2"), "log2", "cells", "spill")
         dealt = rows.unionByName(copies).repartition("part").sortWithinPartitions("part", "turn")
         maybe = dealt.mapInArrow(_probed, "doc long, mark long, pos int, k1 long, k2 long")
         often = self.counts.where(F.col("n_docs") >= self.least_docs)
         return maybe.join(often, ["k1", "k2"]).where("doc <> max_doc").select("doc", "mark", "pos")
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """docs with the repeated lines taken out of the text, and n_lines (before) and n_dropped.
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+        """docs with the repeated lines taken out of the text, and the two counts: lines before, and lines dropped.
 
         A null text stays null; it counts as one line.
         """
@@ -238,7 +271,7 @@ class LineIndex:
         left = F.filter(F.zip_with(lines, F.split(mask, ""), lambda x, m: F.when(m == "1", x)), lambda x: x.isNotNull())
         text = F.when(at.isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
         n_dropped = F.when(at.isNull(), 0).otherwise(F.size(at)).cast("long")
-        own = own.withColumns({text_col: text, "n_lines": F.size(lines).cast("long"), "n_dropped": n_dropped})
+        own = own.withColumns({text_col: text, counts[0]: F.size(lines).cast("long"), counts[1]: n_dropped})
         return own.drop("_ld_id", "_ld_hash", "_ld_doc", "_ld_mark", "_ld_at")
 
 
@@ -287,6 +320,6 @@ def _build(often: DataFrame, shards: int, only: DataFrame | None = None) -> Data
     return stored(_fill(first, keys), "filters")
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Indexes the documents and takes their repeated lines out: docs with a new text, n_lines and n_dropped."""
-    return LineIndex.of(docs, least_docs, least_chars).apply(docs)
+def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """Indexes the documents and takes their repeated lines out: docs with a new text and the two counts."""
+    return LineIndex.of(docs, least_docs, least_chars).apply(docs, counts=counts)
