@@ -9,7 +9,8 @@ Of records with equal payloads of at least `least_bytes` bytes, the one with the
 others are revisits that name it; smaller payloads are responses.
 
 A null html is an empty payload. A null url has the key `-`. Rows with a null page_id are responses and are named by
-nobody. Repeated rows are written again and judged alike. Very long payloads are streamed by records. Extra columns
+nobody. Repeated rows are written again and judged alike; of rows that tie for the largest page_id all are responses.
+Very long payloads are written and read one record at a time. Extra columns
 are ignored. An empty table gives empty archives. Files carry task and attempt in their names and are read only if
 their index rows were committed, so lost executors leave nothing wrong behind.
 """
@@ -25,12 +26,13 @@ import zlib
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_path, open_fs, scratch, session, stored
+from .common import drop, join_path, open_fs, scratch, session, stored
 
 BLOCK_ROWS = 1000
+LEAST_BYTES, TASK_BYTES = 1 << 18, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "key string, page_id long, file string, offset long, length long"
 
@@ -207,11 +209,17 @@ def _records_read(folder: str):
     return run
 
 
+def tasks(spark: SparkSession, size: int | None) -> int:
+    """Tasks that read so many bytes: two for each core, if they have `LEAST_BYTES` each, and more where they had over `TASK_BYTES`."""
+    size, cores = size or 0, 2 * spark.sparkContext.defaultParallelism
+    return max(1, min(cores, size // LEAST_BYTES), -(-size // TASK_BYTES))
+
+
 class Archive:
-    """Archives and their index in the shared folder; `directory` has a row for each index block."""
+    """Archives of `size` bytes and their index in the shared folder; `directory` has a row for each index block."""
 
-    def __init__(self, folder: str, directory: DataFrame):
-        self.folder, self.directory = folder, directory
+    def __init__(self, folder: str, directory: DataFrame, size: int):
+        self.folder, self.directory, self.size = folder, directory, size
 
     @staticmethod
     def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, block_rows: int = BLOCK_ROWS) -> Archive:
@@ -225,21 +233,32 @@ class Archive:
         revisit = F.coalesce((F.col("last") != F.col("page_id")) & (F.length("html") >= least_bytes), F.lit(False))
         judged = judged.select("page_id", "url", "html", "last", revisit.alias("revisit"))
         index = stored(judged.mapInArrow(_writer(folder), INDEX), "captures")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys, size = index.agg(F.sum(F.length("key") + 32), F.sum("length")).first()
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks(spark, keys))
         order = index.repartitionByRange(n, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
         directory = stored(order.mapInArrow(_indexer(folder, block_rows), "first string, file string, offset long, length long, rows long"), "directory")
-        return Archive(folder, directory)
+        drop(index)
+        return Archive(folder, directory, size or 0)
 
     def captures(self) -> DataFrame:
         """All rows of the index, read block by block."""
-        session(self.directory)
-        n = int(self.directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spark = session(self.directory)
+        n = tasks(spark, self.directory.agg(F.sum("length")).first()[0])
         return self.directory.repartition(n, "file", "offset").mapInArrow(_blocks_read(self.folder), INDEX)
 
-    def records(self, captures: DataFrame) -> DataFrame:
-        """What the archives hold for some rows of the index, read by range in the order of the files."""
-        session(captures)
-        return captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_records_read(self.folder), RECORD)
+    def records(self, captures: DataFrame, all_bytes: int | None = None) -> DataFrame:
+        """What the archives hold for some rows of the index, read by range in the order of the files.
+
+        Ranges of files are dealt out by place, in as many tasks as the bytes of the records need (`all_bytes`, or else
+        their sum): index rows are small and would all come to one task.
+        """
+        spark = session(captures)
+        rows = captures.select("file", "offset", "length")
+        if all_bytes is None:
+            rows = stored(rows, "wanted")
+            all_bytes = rows.agg(F.sum("length")).first()[0]
+        rows = rows.repartitionByRange(tasks(spark, all_bytes), "file", "offset").sortWithinPartitions("file", "offset")
+        return rows.mapInArrow(_records_read(self.folder), RECORD)
 
     def lookup(self, urls: list[str]) -> DataFrame:
         """Records of some URLs: bisection in the directory, then in the one block (or neighbours) that can hold a key.
@@ -276,4 +295,4 @@ class Archive:
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes the pages' archives and index, then reads every record back through the index."""
     archive = Archive.write(pages, None, least_bytes)
-    return archive.records(archive.captures()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file", "offset")
+    return archive.records(archive.captures(), archive.size).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file", "offset")
