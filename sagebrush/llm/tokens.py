@@ -6,8 +6,9 @@ search finds the separators and gives the tokens before the first, between neigh
 scan over the blocks of a file carries the open document from block to block and numbers the documents.
 
 A file's name holds the task and its attempt; only attempts whose manifest was committed are read, so that a lost
-executor leaves no wrong file behind it. Null and empty texts have no tokens. Repeated rows are counted one by one.
-Extra columns are ignored. An empty table gives an empty result.
+executor leaves no wrong file behind it. Null and empty texts have no tokens. Very long texts are encoded
+whole; their tokens may fill any number of blocks. Repeated rows are counted one by one, there are no ties. Extra
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import join_path, open_fs, scratch, session, stored
 
 RANKS, EOD = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 50256
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, TASK_BYTES = 8 << 20, 128 << 20
 #: The split pattern of the rank file's tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -102,11 +103,12 @@ def scan(files: DataFrame, folder: str, eod: int = EOD, width: int = 2, block_by
     blocks = files.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
     offset = F.col("block") * block_bytes
     blocks = blocks.select("file", "block", offset.alias("offset"), F.least(F.lit(block_bytes), F.col("bytes") - offset).alias("length"))
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = files.agg(F.sum("bytes")).first()[0] or 0
+    # as many tasks as there are blocks, up to two a core, and no more than `TASK_BYTES` in one
+    n = max(1, min(-(-size // block_bytes), 2 * files.sparkSession.sparkContext.defaultParallelism), -(-size // TASK_BYTES))
     found = blocks.repartition(n, "file", "block").mapInArrow(_scanner(folder, eod, width), "file string, block long, seps long, head long, inner array<bigint>, tail long")
     by = Window.partitionBy("file").orderBy("block")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("run", F.coalesce(F.sum((F.col("seps") > 0).cast("int")).over(before), F.lit(0)))
     found = found.withColumn("base", F.coalesce(F.sum("seps").over(before), F.lit(0)))
     # rows of one run: the block with its last separator is in the run before, so its tail opens this one
     opened = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
