@@ -9,10 +9,14 @@ a great part of the corpus holds. Left out are only stretches that hold too few
 the least share. A copy in which no `SEED_WORDS` words in a row are left has no seed and is not found.
 
 Items are taken in blocks of at most `BLOCK_SEEDS` seeds, so that what a task holds is bounded however large the
-benchmark is; each block is one more pass. Texts are read whole.
+benchmark is; each block is one more pass. Texts are read whole, stretch by stretch of `STRETCH` words (with what a
+copy can span on both sides), so that a very long text that is full of seeds many items share needs no more memory than
+a short one.
 
 Null and empty documents match nothing. Null and empty items are ignored; items of fewer words than a seed are one
-seed. Repeated rows give repeated results. Extra columns are ignored. A null doc_id gives rows with a null doc_id.
+seed. Of passages with equal shares the first in the text is kept. Items that say the same are each reported, as are
+repeated rows. Empty tables give an empty result. Extra columns are ignored by `contaminated` and passed by `clean`,
+whatever their names. A null doc_id gives rows with a null doc_id.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import hashed_words, keyed, session, shingle_hashes, texts_of
 
-SEED_WORDS, LEAST_SHARE, BLOCK_SEEDS = 3, 0.5, 500_000
+SEED_WORDS, LEAST_SHARE, BLOCK_SEEDS, STRETCH = 3, 0.5, 2_000_000, 1 << 15
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -40,6 +44,8 @@ class Items:
     seeds: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    lengths: np.ndarray
+    short: list[int]
     weight: np.ndarray | None = None
 
     @staticmethod
@@ -49,7 +55,19 @@ class Items:
         item = np.repeat(np.arange(len(rows)), [len(x) for x in found])
         place = np.concatenate([np.arange(len(x)) for x in found]) if found else np.empty(0, np.int64)
         order = np.argsort(seeds, kind="stable")
-        return Items([i for i, _ in rows], [w for _, w in rows], seeds[order], item[order], place[order])
+        lengths = np.array([len(w) for _, w in rows], np.int64)
+        return Items([i for i, _ in rows], [w for _, w in rows], seeds[order], item[order], place[order], lengths, sorted({int(x) for x in lengths if x < SEED_WORDS}))
+
+    def held(self, words: np.ndarray) -> np.ndarray:
+        """Places among the seeds of those that a text holds, each once."""
+        grams = [np.unique(shingle_hashes(words, k)) for k in (SEED_WORDS, *self.short) if len(words) >= k]
+        if not grams or not len(self.seeds):
+            return np.empty(0, np.int64)
+        grams = np.unique(np.concatenate(grams))
+        a, b = np.searchsorted(self.seeds, grams, "left"), np.searchsorted(self.seeds, grams, "right")
+        found = np.flatnonzero(b > a)
+        n = (b - a)[found]
+        return np.repeat(a[found] - np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64), n) + np.arange(n.sum())
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, place among the seeds) of all seeds in a text."""
@@ -58,7 +76,7 @@ class Items:
             return found[0], found[1]
         grams = [shingle_hashes(words, SEED_WORDS)]
         at = [np.arange(len(grams[0]))]
-        for k in self.short():
+        for k in self.short:
             # an item of fewer words than a seed is looked for as it is
             if len(words) >= k:
                 grams.append(shingle_hashes(words, k))
@@ -73,8 +91,13 @@ class Items:
         start = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n)
         return np.repeat(at[inside], n), start + np.arange(n.sum())
 
-    def short(self) -> list[int]:
-        return sorted({len(w) for w in self.words if len(w) < SEED_WORDS})
+
+def stretches(words: np.ndarray, longest: int, least: float):
+    """(first place, words) of a text's stretches; neighbours share what a copy of the longest item can span."""
+    reach = math.ceil((3 - 2 * least) * longest) + longest
+    for at in range(0, max(1, len(words)), STRETCH):
+        first = max(0, at - reach)
+        yield first, words[first : at + STRETCH + reach]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> int:
@@ -98,7 +121,7 @@ def passages(items: Items, words: np.ndarray):
     order = np.lexsort((at, items.item[seed]))
     at, seed = at[order], seed[order]
     item = items.item[seed]
-    length = np.array([len(w) for w in items.words])[item]
+    length = items.lengths[item]
     cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[1:]), [True])))
     for a, b in zip(cut, cut[1:], strict=False):
         yield int(item[a]), int(at[a]), int(at[b - 1]), float(items.weight[np.unique(seed[a:b])].sum())
@@ -110,7 +133,7 @@ def _frequencies(items: Items):
         for batch in batches:
             for _, _, words in hashed_words(texts_of(batch.column(1))):
                 n += 1
-                total[np.unique(items.hits(words)[1])] += 1
+                total[items.held(words)] += 1
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*seen.tolist(), -1], pa.int64()), pa.array([*total[seen].tolist(), n], pa.int64())], ["seed", "docs"])
 
@@ -118,12 +141,14 @@ def _frequencies(items: Items):
 
 
 def _matches(items: Items, least: float):
+    longest = int(items.lengths.max(initial=0))
+
     def run(batches):
         for batch in batches:
             ids, out = batch.column(0), []
-            for k, (_, _, words) in enumerate(hashed_words(texts_of(batch.column(1)))):
+            for k, (_, _, text) in enumerate(hashed_words(texts_of(batch.column(1)))):
                 best: dict[int, tuple] = {}
-                for i, a, b, weight in passages(items, words):
+                for first, i, a, b, weight, words in ((at, *p, part) for at, part in stretches(text, longest, least) for p in passages(items, part)):
                     own = items.words[i]
                     # what a copy of the least share can span: each word added to all of the item's costs one point
                     reach = math.ceil((3 - 2 * least) * len(own))
@@ -137,7 +162,7 @@ def _matches(items: Items, least: float):
                             continue
                         share = align(own, part) / (MATCH * len(own))
                         if share >= least and share > best.get(i, (0.0,))[0]:
-                            best[i] = (share, weight, x)
+                            best[i] = (share, weight, first + x)
                 out += [(k, items.ids[i], round(s, 6), round(w, 6)) for i, (s, w, _) in sorted(best.items())]
             rows = pa.array([x[0] for x in out], pa.int64())
             yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.float64())], ["doc_id", "item_id", "share", "weight"])
@@ -166,12 +191,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHA
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in _blocks(benchmark):
-        seen = dict(rows.mapInArrow(_frequencies(items), "seed long, docs long").groupBy("seed").agg(F.sum("docs")).collect())
-        df = np.zeros(len(items.seeds))
-        for k, n in seen.items():
-            if k >= 0:
-                df[k] = n
-        items.weight = np.log2((1 + seen.get(-1, 0)) / (1 + df))
+        seen = rows.mapInArrow(_frequencies(items), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toArrow()
+        # the last place is that of the number of documents
+        df = np.zeros(len(items.seeds) + 1)
+        df[seen.column("seed").to_numpy()] = seen.column("docs").to_numpy()
+        items.weight = np.log2((1 + df[-1]) / (1 + df[:-1]))
         found = rows.mapInArrow(_matches(items, least), "doc_id long, item_id long, share double, weight double")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, share double, weight double")

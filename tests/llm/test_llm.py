@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -300,6 +301,49 @@ def test_decontamination_of_an_item_that_most_documents_hold(spark):
     assert got == want and len(want) >= 110
 
 
+def test_decontamination_equals_alignment_of_all_pairs(spark, monkeypatch):
+    """Seeds lose only copies in which no three words in a row are left; the share of those is the recall that is shown."""
+    rng = random.Random(12)
+    items = [words(rng, rng.choice([2, 8, 20, 45])) for _ in range(12)]
+    items[3] = items[2]
+    texts = []
+    for k in range(150):
+        i, rate = rng.randrange(len(items)), rng.choice([0, 0.1, 0.2, 0.3, 0.4])
+        copy = [w if rng.random() > rate else rng.choice([f"new{k}", f"{w} more", ""]) for w in items[i].split()]
+        texts.append(f"{words(rng, rng.randrange(60))} {' '.join(copy)} {words(rng, rng.randrange(60))}")
+    texts += [" ".join(items) + " " + words(rng, 500) + " " + items[5]] * 2
+    runs = lambda w: {tuple(w[x : x + 3]) for x in range(len(w) - 2)} or {tuple(w)}
+    want, seeded = set(), set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = item.split(), text.split()
+            if plain_align(a, b) >= len(a):
+                want.add((d, i))
+                if any(tuple(b[x : x + len(r)]) == r for r in runs(a) for x in range(len(b))):
+                    seeded.add((d, i))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    for stretch in (decontam.STRETCH, 50):
+        monkeypatch.setattr(decontam, "STRETCH", stretch)
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+        assert got <= want and got >= seeded
+    # a few words in common make half of a short item: copies are judged from 20 words on
+    want = {(d, i) for d, i in want if len(items[i].split()) >= 20}
+    print(f"recall {len(got & want) / len(want):.3f} of {len(want)}")
+    assert len(got & want) >= 0.95 * len(want) > 60
+
+
+def test_decontamination_of_many_items_is_quick():
+    rng = np.random.default_rng(3)
+    items = decontam.Items.of([(k, rng.integers(0, 3000, 100).astype(np.uint64)) for k in range(4000)])
+    items.weight = np.ones(len(items.seeds))
+    text = rng.integers(0, 3000, 2000).astype(np.uint64)
+    start = time.time()
+    for _ in range(10):
+        list(decontam.passages(items, text))
+    assert time.time() - start < 2
+
+
 def plain_lines(rows):
     key = lambda x: x.strip(" \t\n\v\f\r").translate(str.maketrans(common.UPPER, common.LOWER))
     holds = defaultdict(set)
