@@ -205,4 +205,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SHARE) ->
     """docs without the contaminated rows; each row is judged by its own text, whether its doc_id is null or repeated."""
     rows = keyed(docs)
     found = contaminated(rows.select(F.col("_row_key").alias("doc_id"), "text"), benchmark, least).select(F.col("doc_id").alias("_row_key")).distinct()
-    return rows.join(found, "_row_key", "left_anti").select(*docs.columns)
+    return rows.join(found, "_row_key", "left_anti").drop("_row_key")

@@ -605,6 +605,62 @@ def test_pipeline_stages_judge_rows_with_null_and_repeated_ids(spark):
     assert got == Counter(x for x in rows if leak not in (x[1] or ""))
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns that stages use themselves."""
+    import corpus_pipeline
+
+    rows = odd.withColumns({"n_dropped": F.lit(5), "kept": F.lit("x"), "mix_pos": F.lit("y"), "score": F.lit(1.5), "a.b": F.col("doc_id"), "_stage": F.lit(1)})
+    for docs, n in ((rows, odd.count()), (rows.limit(0), 0)):
+        left, last = docs, n
+        for name, stage in corpus_pipeline.STAGES:
+            out = common.stored(stage(spark, left, SF), name)
+            count = out.count()
+            assert count <= last and (count > 0) == (n > 0)
+            if name == "mix":
+                assert count == last and set(out.columns) == set(docs.columns) | {"mix_slot", "in_target"}
+            else:
+                assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            if name == "line_dedup":
+                assert count == last and out.where("n_lines <> 7 or n_dropped <> 5 or n_chars <> length(text)").count() == 0
+            left, last = out, count
+    assert corpus_pipeline.language(spark, rows, SF).where("text is null or trim(text) = '' or doc_id = 14").count() == 0
+
+
+def plain_pipeline(spark, docs, bench):
+    """What the pipeline keeps, stage by stage, given the languages' model: (doc_id, text) by loops over all pairs."""
+    model = langid.train(spark.createDataFrame(docs, DOCS.replace(", n_lines int", "")))
+    least = langid.least_score(len(model.langs))
+    docs = [(r[0], r[1]) for r in docs if model.predict(r[1])[0] != "und" and model.predict(r[1])[1] >= least]
+    key = lambda x: x.strip(" \t\n\v\f\r").translate(str.maketrans(common.UPPER, common.LOWER))
+    holds = defaultdict(set)
+    for i, t in docs:
+        for x in t.split("\n"):
+            if len(key(x)) >= 20:
+                holds[key(x)].add(i)
+    docs = [(i, "\n".join(x for x in t.split("\n") if len(holds[key(x)]) < 3 or i == max(holds[key(x)]))) for i, t in docs]
+    group = plain_components(docs)
+    docs = [(i, t) for i, t in docs if group[i] == i]
+    items = [t.lower().split() for _, t in bench]
+    runs = [{" ".join(w[x : x + 3]) for x in range(len(w) - 2)} or {" ".join(w)} for w in items]
+    out = []
+    for i, t in docs:
+        text = " ".join(t.lower().split())
+        # a copy has a seed; only then the alignment of item and text is worked out
+        if not any(any(f" {r} " in f" {text} " for r in run) and plain_align(w, text.split()) >= len(w) for w, run in zip(items, runs, strict=True)):
+            out.append((i, t))
+    return sorted(out)
+
+
+def test_pipeline_equals_plain_loops(spark):
+    import corpus_pipeline
+
+    read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
+    docs = [tuple(r) for r in read("documents").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    want = plain_pipeline(spark, docs, [tuple(r) for r in read("benchmark").collect()])
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
