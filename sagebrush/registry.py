@@ -28,6 +28,7 @@ from .operators import versions as R
 from .plans import inline as I
 from .sources import code as P
 from .sources import web as W
+from .sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -48,10 +49,6 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def r6(c):
     return F.round(c, 6)
 
