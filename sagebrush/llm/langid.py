@@ -178,8 +178,9 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), np.zeros(DIM))
     names = [r.lang for r in counts]
     # which part of a language's rows is drawn; the row that comes first always is
-    shares = [(r.lang, max(most / len(counts) / r.n, r.least + 2.0**-31)) for r in counts]
-    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    shares = [max(most / len(counts) / r.n, r.least + 2.0**-31) for r in counts]
+    # from Arrow it is a local table of known size, which Spark broadcasts if it is small
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": names, "share": shares}))
     rows = own.join(shares, "lang").select((draw / F.col("share")).alias("pick"), "lang", "text").where("pick < 1")
     rows = rows.mapInArrow(_counted, "pick double, lang string, features binary, counts binary").orderBy("pick", "lang", "features").limit(2 * max(most, len(names))).collect()
     found = document_frequencies(own.select("text"))

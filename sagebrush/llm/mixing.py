@@ -146,7 +146,8 @@ def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLO
     turns = start + [(s, done[s] + turn, len(start) + slot) for s, turn, slot in turns]
     table = pa.table([pa.array([x[k] for x in turns], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["src", "turn", "slot"])
     table = spark.createDataFrame(table).alias("t")
-    shares = spark.createDataFrame([(s, n, done[s]) for s, n in parts.items()], "s string, n long, done long").alias("s")
+    shares = pa.table([pa.array(x, t) for x, t in ((list(parts), pa.string()), (list(parts.values()), pa.int64()), (list(done.values()), pa.int64()))], ["s", "n", "done"])
+    shares = spark.createDataFrame(shares).alias("s")
     rank = positions(docs, rows_all, id_col, source_col, key_col)
     rows = rank.alias("r").join(shares, F.expr("r.src <=> s.s"))
     block = F.floor(F.col("rank") / block_rows)
