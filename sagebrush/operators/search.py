@@ -22,7 +22,8 @@ TIE = 9
 def vocabulary(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(term, df, tf): in how many documents a term is, and how often."""
     terms = docs.select(key, F.explode(X.tokens(F.coalesce(text, F.lit("")))).alias("term"))
-    return terms.groupBy("term").agg(F.count_distinct(key).alias("df"), F.count("*").alias("tf"))
+    # counted by document first: the second step then counts rows
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,9 +44,11 @@ def tf_norm(tf: Column, length: Column, average: Column) -> Column:
 def weights(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, term, weight) of every document: the stored form of the sparse index."""
     base = docs.select(F.col(key), X.tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    stats = corpus_stats(docs, text)
     tf = base.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # from the counts that are there: texts are split once
+    average = F.when(F.coalesce("n_tokens", F.lit(0)) == 0, 1.0).otherwise(F.col("n_tokens") / F.col("n_docs"))
+    stats = tf.agg(F.sum("tf").alias("n_tokens")).crossJoin(docs.agg(F.count("*").alias("n_docs"))).withColumn("avg_len", average)
     rows = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
     return rows.select(key, "term", (idf(F.col("n_docs"), F.col("df")) * tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))).alias("weight"))
 
@@ -107,11 +110,12 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, vector: list[
     return fused([dense] + ([sparse] if sparse is not None else []), limit)
 
 
-def boosted(rows: DataFrame, query: str, content: str = "content", least: float = 0.5) -> DataFrame:
+def boosted(rows: DataFrame, query: str | Column, content: str = "content", least: float = 0.5) -> DataFrame:
     """Adds 0.3 times the share of the query's words (three characters or more) that a text contains; then the threshold."""
-    words = [w for w in query.lower().split() if len(w) > 2]
+    query = F.lit(query) if isinstance(query, str) else query
+    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) > 2)
     text = F.lower(F.coalesce(content, F.lit("")))
-    share = reduce(lambda a, w: a + F.when(F.contains(text, F.lit(w)), 1).otherwise(0), words, F.lit(0)) / len(words) * 0.3 if words else F.lit(0.0)
+    share = F.when(F.size(words) > 0, F.size(F.filter(words, lambda w: F.contains(text, w))) / F.size(words) * 0.3).otherwise(0.0)
     return rows.withColumn("score", F.coalesce("score", F.lit(0.0)) + share).where(F.col("score") >= least)
 
 
@@ -133,7 +137,7 @@ def deduped(rows: DataFrame, most: float = 0.8, key: str = "query_id") -> DataFr
     return kept.select(key, "slot", "x.id", "x.score")
 
 
-def assembled(rows: DataFrame, query: str, least: float = 0.5, most: int = 5, key: str = "query_id") -> DataFrame:
+def assembled(rows: DataFrame, query: str | Column, least: float = 0.5, most: int = 5, key: str = "query_id") -> DataFrame:
     """(query_id, n, formatted): the best texts that a search returned, as one context per query.
 
     Rows: query_id, pos, id, score, content, doc_title, section, chunk_type, and rerank where a reranker ran. Words of

@@ -19,6 +19,7 @@ from .operators import errors as E
 from .operators import fixes as H
 from .operators import graph as G
 from .operators import memory as M
+from .operators import retrieval as Q
 from .operators import search as S
 from .operators import session as V
 from .operators import skeletons as N
@@ -111,7 +112,7 @@ def bm25_weights(spark, sf_dir):
     return S.weights(table(spark, sf_dir, "documents")).where("weight > 9").withColumn("weight", r6("weight"))
 
 
-@query()
+@query(f"WITH {_BM25} SELECT doc_id, term, round(idf * tn, 6) AS weight FROM wt")
 def bm25_weights_all(spark, sf_dir):
     """The stored sparse index whole: the rows of bm25_weights and those of lower weights."""
     return S.weights(table(spark, sf_dir, "documents")).withColumn("weight", r6("weight"))
@@ -170,7 +171,9 @@ def near_duplicate_pairs(spark, sf_dir):
     return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, ["lang", "source"]).withColumn("similarity", r6("similarity"))
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE least(len(a.w), len(b.w)) >= 0.79::DOUBLE * greatest(len(a.w), len(b.w)) AND len(a.w) > 0 AND len(b.w) > 0)
+SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS similarity FROM p WHERE i::DOUBLE / (na + nb - i) > 0.8::DOUBLE""")
 def near_duplicate_pairs_all(spark, sf_dir):
     """The pairs of near_duplicate_pairs over all documents, whatever their lang and source."""
     return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
@@ -523,6 +526,92 @@ def query_expansion(spark, sf_dir):
     return I.ANSWERS.df(spark).select("id", F.array_join(S.expansions(F.lit("how to sort"), F.col("response")), "|").alias("queries"))
 
 
+# -- retrieval for many queries at once ------------------------------------------------------------------------------
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Test items stand for queries; the vector of the same number is a query's own."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("label"))
+    return q.join(v, "query_id", "left")
+
+
+def _vectors(spark, sf_dir, chunks: DataFrame) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return v.join(chunks.select("id", "collection"), "id")
+
+
+def _indexed(spark, sf_dir) -> DataFrame:
+    """Chunks whose kind is structural, a summary or a detail, by their number."""
+    kind = F.when(F.col("id") % 5 == 0, "structural").when(F.col("id") % 7 == 0, "summary").otherwise("detail")
+    return _chunks(spark, sf_dir).withColumn("chunk_type", kind)
+
+
+_MANY = f"""{_CHUNKS}, tk AS (SELECT id, collection, {_TOKENS.format("content")} AS t FROM c),
+st AS (SELECT collection, count(*) AS n, CASE WHEN sum(len(t)) = 0 THEN 1.0 ELSE sum(len(t))::DOUBLE / count(*) END AS av FROM tk GROUP BY collection),
+tf AS (SELECT id, collection, term, len, count(*) AS tf FROM (SELECT id, collection, len(t) AS len, unnest(t) AS term FROM tk) GROUP BY ALL),
+df AS (SELECT collection, term, count(*) AS df FROM tf GROUP BY ALL),
+wt AS (SELECT id, tf.collection, term, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) AS idf, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av)) AS tn FROM tf JOIN df USING (collection, term) JOIN st ON st.collection = tf.collection),
+qu AS (SELECT item_id AS query_id, text AS query, CAST(NULL AS VARCHAR) AS label FROM benchmark),
+kq AS (SELECT query_id, query, {_CLASS} AS k, {_TECH} AS t FROM qu),
+lq AS (SELECT query_id, query, k, CASE WHEN k = 'error' THEN CASE WHEN t IS NULL THEN ['fix_recipes', 'general'] ELSE ['fix_recipes', t, 'general'] END
+  WHEN t IS NULL THEN {T.CONTENT} WHEN k IN ('scope', 'code_examples', 'structural') THEN list_concat([t], list_filter({T.CONTENT}, lambda x: x <> t)) ELSE [t, 'general'] END AS cs FROM kq),
+aq AS (SELECT query_id, query, k, unnest(cs) AS collection, generate_subscripts(cs, 1) AS place FROM lq),
+qt AS (SELECT query_id, collection, k, len, term, count(*) AS tf FROM (SELECT query_id, collection, k, len(t) AS len, unnest(t) AS term FROM (SELECT query_id, collection, k, {_TOKENS.format("query")} AS t FROM aq)) GROUP BY ALL),
+sp AS (SELECT query_id, wt.collection, id, round(sum(idf * tn * idf * (qt.tf * 2.2::DOUBLE / (qt.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * qt.len / av)))), 9) AS score
+  FROM qt JOIN wt ON wt.term = qt.term AND wt.collection = qt.collection JOIN st ON st.collection = qt.collection WHERE qt.k <> 'structural' OR id % 5 = 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_MANY} SELECT query_id, collection, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) AS r FROM sp WHERE score > 0) WHERE r <= 20""")
+def sparse_index_search(spark, sf_dir):
+    """The best 20 chunks of every collection for every test item, by the stored index."""
+    chunks = _indexed(spark, sf_dir)
+    index = Q.SparseIndex.of(chunks).save()
+    asked = Q.routed(_asked(spark, sf_dir))
+    plain, built = asked.where("kind <> 'structural'"), asked.where("kind = 'structural'")
+    out = index.search(plain, 20).unionByName(index.search(built, 20, chunks.where("chunk_type = 'structural'")))
+    return out.select("query_id", "collection", "id", r6("score").alias("score"))
+
+
+_FOUND = f"""{_MANY}, nv AS (SELECT e.vec_id, c.collection, e.embedding::DOUBLE[] AS v FROM embeddings e JOIN c ON c.id = e.vec_id),
+dn AS (SELECT aq.query_id, nv.collection, nv.vec_id AS id, round(list_dot_product(v, q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9) AS score
+  FROM aq JOIN embeddings q ON q.vec_id = aq.query_id JOIN nv ON nv.collection = aq.collection WHERE aq.k <> 'structural' OR nv.vec_id % 5 = 0),
+ls AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) AS r, 0 AS l FROM dn UNION ALL SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id), 1 FROM sp WHERE score > 0),
+lt AS (SELECT * FROM ls WHERE r <= 60), nl AS (SELECT query_id, collection, count(DISTINCT l) AS n FROM lt GROUP BY ALL),
+fu AS (SELECT query_id, collection, id, round(sum(1.0::DOUBLE / (60 + r)) / (any_value(n) / 61.0::DOUBLE), 12) AS score, min(l * 1000 + r) AS p FROM lt JOIN nl USING (query_id, collection) GROUP BY ALL),
+tp AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, p) AS r FROM fu),
+nt AS (SELECT tp.query_id, tp.collection, id, score, row_number() OVER (PARTITION BY tp.query_id ORDER BY score DESC, place, r) AS nth FROM tp JOIN aq ON aq.query_id = tp.query_id AND aq.collection = tp.collection WHERE r <= 20)"""
+
+
+def _found_by_all(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks, asked = _indexed(spark, sf_dir), _asked(spark, sf_dir)
+    return Q.hits(Q.SparseIndex.of(chunks).save(), _vectors(spark, sf_dir, chunks), chunks, asked), chunks, asked
+
+
+@query(f"WITH {_FOUND} SELECT query_id, nth, collection, id, round(score, 6) AS score FROM nt WHERE nth <= 20")
+def retrieval_hits(spark, sf_dir):
+    """The best 20 chunks of all collections for every test item: routed, searched both ways, fused and merged."""
+    return _found_by_all(spark, sf_dir)[0].withColumn("score", r6("score"))
+
+
+@query(f"""WITH {_FOUND} SELECT query_id, nth AS rank, md5(content) AS digest, coalesce(doc_title, '?') AS source, round(score, 3) AS score, nt.collection FROM nt JOIN c ON c.id = nt.id WHERE nth <= 20""")
+def retrieval_rows(spark, sf_dir):
+    found, chunks, _ = _found_by_all(spark, sf_dir)
+    return Q.result_rows(found, chunks).select("query_id", "rank", F.md5("text").alias("digest"), "source", "score", "collection")
+
+
+@query()
+def retrieval_contexts(spark, sf_dir):
+    found, chunks, asked = _found_by_all(spark, sf_dir)
+    return Q.contexts(found, chunks, asked, Q.overlap_rerank)
+
+
+@query(f"WITH {_BM25} SELECT doc_id, term, round(idf * tn, 6) AS weight FROM wt", name="sparse_index")
+def sparse_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("all").alias("collection"))
+    return Q.SparseIndex.of(docs).postings.select(F.col("id").alias("doc_id"), "term", r6("weight").alias("weight"))
+
+
 # -- sessions --------------------------------------------------------------------------------------------------------
 
 
