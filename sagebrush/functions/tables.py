@@ -161,3 +161,33 @@ HINTS = [
     (r"Try importing the library that defines\s+'([^']+)'", "suggested_import", _MAYBE),
     (r"""[Dd]id you mean[:\s]+['`"]([^'`"]+)['`"]\??""", _DYM, _SURE),
 ]
+
+# Where definitions begin in source files, by language, and the lines that import (fixed values). A pattern stands at a
+# line's start; blanks before it are those of its own line.
+DEFINITIONS = {
+    "javascript": [
+        r"(?:export\s+)?(?:async\s+)?function\s+(\w+)",
+        r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)",
+        r"(?:export\s+)?class\s+(\w+)",
+    ],
+    "typescript": [
+        r"(?:export\s+)?(?:async\s+)?function\s+(\w+)",
+        r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*[:=]",
+        r"(?:export\s+)?(?:abstract\s+)?class\s+(\w+)",
+        r"(?:export\s+)?interface\s+(\w+)",
+    ],
+    "python": [r"(?:async\s+)?def\s+(\w+)", r"class\s+(\w+)"],
+    "go": [r"func\s+(?:\([^)]+\)\s+)?(\w+)", r"type\s+(\w+)\s+struct"],
+    "rust": [r"(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", r"(?:pub\s+)?struct\s+(\w+)", r"(?:pub\s+)?enum\s+(\w+)", r"impl(?:<[^>]+>)?\s+(\w+)"],
+    "java": [
+        r"[ \t]*(?:public|private|protected)?\s*(?:static\s+)?(?:[\w<>\[\]]+)\s+(\w+)\s*\(",
+        r"[ \t]*(?:public|private|protected)?\s*(?:abstract\s+)?class\s+(\w+)",
+    ],
+    "php": [r"[ \t]*(?:public|private|protected)?\s*(?:static\s+)?function\s+(\w+)", r"[ \t]*class\s+(\w+)"],
+    "ruby": [r"[ \t]*def\s+(\w+)", r"[ \t]*class\s+(\w+)", r"[ \t]*module\s+(\w+)"],
+}
+CODE_LANGUAGES = {
+    ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".py": "python", ".go": "go",
+    ".rs": "rust", ".java": "java", ".kt": "java", ".cs": "java", ".php": "php", ".rb": "ruby", ".swift": "java",
+}
+IMPORT_LINE = r"^(?:import|from|require|use|package|#include|using)\b|^(?:const|let|var)\s+\w+\s*=\s*require"

@@ -15,8 +15,41 @@ CHUNK = "id long, content string, collection string, doc_title string, book_id s
 
 
 def add_chunks(chunks: DataFrame, path: str) -> None:
-    """Appends chunks; one partition a collection, files by size."""
-    chunks.repartition("collection").write.partitionBy("collection").mode("append").parquet(path)
+    """Appends chunks; one partition a collection. A large collection is split by its size, small ones share tasks."""
+    chunks.hint("rebalance", "collection").write.partitionBy("collection").mode("append").parquet(path)
+
+
+def ensure_store(spark: SparkSession, path: str, columns: str = CHUNK) -> DataFrame:
+    """The store at a path, made empty where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], columns).write.partitionBy("collection").parquet(path)
+    return spark.read.schema(columns).parquet(path)
+
+
+def drop_collection(spark: SparkSession, path: str, collection: str) -> None:
+    """Empties a collection: its partition alone is removed, the others are not read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={collection}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def replace_collections(chunks: DataFrame, path: str) -> None:
+    """Overwrites the collections that chunks have, and no others; chunks may not be read from the same path."""
+    chunks.hint("rebalance", "collection").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+
+
+def collection_info(chunks: DataFrame) -> DataFrame:
+    """(collection, n, documents, is_default) of the collections that have chunks, and of the defaults that have none."""
+    own = chunks.groupBy("collection").agg(F.count("*").alias("n"), F.count_distinct("doc_title").alias("documents"))
+    every = chunks.sparkSession.createDataFrame([(c,) for c in T.COLLECTIONS], "collection string").withColumn("d", F.lit(True))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return own.join(every, "collection", "full").select("collection", none("n"), none("documents"), F.coalesce("d", F.lit(False)).alias("is_default"))
+
+
+def store_status(chunks: DataFrame) -> DataFrame:
+    """One row: collections with chunks, chunks, titles, chunks with code; `ready` where there are any."""
+    row = chunks.agg(F.count_distinct("collection").alias("collections"), F.count("*").alias("chunks"), F.count_distinct("doc_title").alias("documents"), F.count_if("has_code_block").alias("with_code"))
+    return row.withColumn("ready", F.col("chunks") > 0)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -113,23 +146,23 @@ def code_examples(hits: DataFrame) -> DataFrame:
     return own.select(nth.cast("long").alias("nth"), "doc_title", "id", F.concat(section, F.lit("\n"), "content").alias("shown"))
 
 
-def group_summaries(chunks: DataFrame, separator: str = " > ", most: int = 8000) -> DataFrame:
+def group_summaries(chunks: DataFrame, separator: str = " > ", most: int = 8000, keys: tuple[str, ...] = ()) -> DataFrame:
     """Section (three levels, three chunks or more) and chapter (two levels, five or more) groups in one pass over two keys.
 
-    A summary is made of the group's first `most` characters. The rows that give them are found by a running length,
+    Groups are those of `keys` and a path. A summary is made of the group's first `most` characters. The rows that give them are found by a running length,
     which sorts and spills; a group is never held whole.
     """
     levels = F.split("section_path", separator)
     key = lambda k: F.array_join(F.slice(levels, 1, k), separator)
-    groups = F.array(F.struct(F.lit("section").alias("kind"), key(3).alias("path"), F.lit(3).alias("least")), F.struct(F.lit("chapter").alias("kind"), key(2).alias("path"), F.lit(5).alias("least")))
-    both = chunks.select("id", F.substring("content", 1, most).alias("c"), F.explode(groups).alias("g"), F.size(levels).alias("depth"))
-    both = both.where("g.kind = 'chapter' or depth >= 2").select("id", "c", "g.*")
-    by = Window.partitionBy("kind", "path", "least").orderBy("id")
+    groups = F.array(F.struct(F.lit("section").alias("kind"), key(3).alias("group_path"), F.lit(3).alias("least")), F.struct(F.lit("chapter").alias("kind"), key(2).alias("group_path"), F.lit(5).alias("least")))
+    both = chunks.select(*keys, "id", F.substring("content", 1, most).alias("c"), F.explode(groups).alias("g"), F.size(levels).alias("depth"))
+    both = both.where("g.kind = 'chapter' or depth >= 2").select(*keys, "id", "c", "g.*")
+    by = Window.partitionBy(*keys, "kind", "group_path", "least").orderBy("id")
     before = F.sum(F.length("c") + 2).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    counts = both.groupBy("kind", "path", "least").agg(F.count("*").alias("n")).where("n >= least")
+    counts = both.groupBy(*keys, "kind", "group_path", "least").agg(F.count("*").alias("n")).where("n >= least")
     head = both.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most)
-    out = head.groupBy("kind", "path", "least").agg(F.array_sort(F.collect_list(F.struct("id", "c"))).alias("rows")).join(counts, ["kind", "path", "least"])
+    out = head.groupBy(*keys, "kind", "group_path", "least").agg(F.array_sort(F.collect_list(F.struct("id", "c"))).alias("rows")).join(counts, [*keys, "kind", "group_path", "least"])
     text = F.substring(F.array_join(F.transform("rows", lambda r: r.c), "\n\n"), 1, most)
     words = F.split(F.trim(text), r"\s+")
     short = F.when(F.size(words) > 200, F.concat(F.array_join(F.slice(words, 1, 200), " "), F.lit("..."))).otherwise(F.array_join(words, " "))
-    return out.select("kind", "path", "n", short.alias("summary"))
+    return out.select(*keys, "kind", "group_path", "n", short.alias("summary"))

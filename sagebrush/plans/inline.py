@@ -143,3 +143,14 @@ GO = Inline("file string, content string", [("x.go", 'package a\nimport "fmt"\ni
 WRITES = Inline("pos long, owner string, scope string, key string, value string", [(1, "p", "project", "tech", "go"), (2, "p", "project", "tech", "rust"), (3, "p", "user", "fixStyle", "small steps"), (4, "p", "user", "codeStyle", "x"), (5, "p", "user", "codeStyle", None), (6, "q", "project", "other", "y")])
 LEGACY = Inline("pos long, type string, content string", [(1, "user_pref", "prefers tabs over spaces"), (2, "user_pref", "hello there friend"), (3, "project_fact", "builds with gradle"), (4, "user_pref", "short"), (5, "error_solution", "restart the daemon"), (6, "user_pref", "likes small commits"), (7, None, None)])
 INGESTED = Inline("doc_id string, pos long, event string, collection string, n long", [("a", 1, "start", "go", 9), ("a", 2, "progress", None, 4), ("a", 3, "progress", None, 9), ("a", 4, "complete", None, None), ("b", 1, "start", "c", 5), ("b", 2, "progress", None, 2), ("c", 1, "start", "c", 5), ("c", 2, "reset", None, None), ("d", 1, "progress", None, 3)])
+CODE_FILES = Inline("path string, content string", [
+    ("src/a.py", "import os\nfrom x import y\n\nLIMIT = 3\n\ndef f(x):\n    return x\n\nclass A:\n    def m(self):\n        pass\n"), ("b.py", "x = 1"), ("c.go", "package a\n\nimport \"fmt\"\n\nfunc (b *Box) Run() {}\ntype Box struct {\n}\nfunc id() {}"),
+    ("d.ts", "import { a } from 'b';\n// note\nexport abstract class K {}\nexport interface I {}\nexport const n: number = 1;\nexport async function go() {}"), ("e.js", "const fs = require('fs');\nconst f = (a, b) => a;\nexport function g() {}"),
+    ("f.rs", "use std::io;\npub struct S;\nimpl<T> S {}\npub async fn run() {}\nenum E {}"), ("g.java", "package p;\nimport q.R;\n\npublic class M {\n    private static int size(int a) {\n        return a;\n    }\n}"),
+    ("h.rb", "module B\n  class C\n    def d\n    end\n  end\nend"), ("i.php", "<?php\nuse X;\nclass P {\n  public function go() {}\n}"), ("j.unknown", "function u() {}"), ("k.py", ""), ("l.py", None),
+])
+DOC_FILES = Inline("path string, content string", [
+    ("docs/guide.md", "# Guide\n\nSome words of an introduction.\n\n## Setup\n\n" + "\n\n".join(f"Paragraph {k} tells how the thing is set up, and why that is so. It goes on for a while." for k in range(90)) + "\n\n```js\nrun()\n```"),
+    ("notes.txt", "A plain note\n\nREAD THIS FIRST\n\nwhat is said here:\nsome words"), ("page.html", "<html><title>A page</title><main><p>Words, and more of them.</p></main></html>"), ("src/a.py", "import os\n\ndef f(x):\n    return x\n\ndef g():\n    pass"),
+    ("book.pdf", "%PDF"), ("empty.md", ""), ("lost.md", None), ("express/intro.md", "# Express\n\nHow routes work in express."),
+])

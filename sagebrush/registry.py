@@ -18,6 +18,7 @@ from .operators import documents as D
 from .operators import errors as E
 from .operators import fixes as H
 from .operators import graph as G
+from .operators import ingest as L
 from .operators import memory as M
 from .operators import retrieval as Q
 from .operators import search as S
@@ -339,10 +340,44 @@ def chunk_documents(spark, sf_dir):
     return D.chunked(table(spark, sf_dir, "documents"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
 
 
-@query()
+_CODE_EXT = r"coalesce(CASE lower(regexp_extract(path, '[^/\\.][^/\\]*(\.[^./\\]*)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.CODE_LANGUAGES.items()) + " END, 'javascript')"
+_BY_CODE = lambda f: "CASE language " + " ".join(f"WHEN '{k}' THEN {f(ps)}" for k, ps in T.DEFINITIONS.items()) + " END"
+_ANY = lambda ps: D._any_of(ps).replace("'", "''")
+
+
+@query(f"""WITH x AS (SELECT path, coalesce(content, '') AS content, {_CODE_EXT} AS language FROM {I.CODE_FILES.sql()}),
+l AS (SELECT *, string_split(content, chr(10)) AS lines FROM x),
+k AS (SELECT *, array_to_string(list_transform(lines, lambda y: CASE WHEN regexp_matches(trim(y), '{T.IMPORT_LINE}') THEN 'i' WHEN trim(y) = '' THEN 'b' ELSE 'o' END), '') AS kinds FROM l),
+h AS (SELECT *, coalesce(array_to_string(list_filter(lines[greatest(instr(kinds, 'i'), 1):greatest(instr(kinds, 'i'), 1) + length(regexp_extract(kinds, 'i[ib]*')) - 1], lambda y: regexp_matches(trim(y), '{T.IMPORT_LINE}')), chr(10)), '') AS header FROM k),
+m AS (SELECT path, language, header, content, string_split({_BY_CODE(lambda ps: f"regexp_replace(content, '(?m)^(?:{_ANY(ps)})', chr(1) || '\\0', 'g')")}, chr(1)) AS pieces FROM h),
+p AS (SELECT path, language, header, generate_subscripts(pieces[2:], 1) - 1 AS nth, unnest(pieces[2:]) AS piece FROM m),
+t AS (SELECT *, {_BY_CODE(lambda ps: f"regexp_extract(piece, '^(?:{_ANY(ps)})')")} AS head FROM p)
+SELECT path, CAST(nth AS BIGINT) AS nth, {_BY_CODE(lambda ps: "coalesce(" + ", ".join("nullif(regexp_extract(piece, '^{}', 1), '')".format(q.replace("'", "''")) for q in ps) + ")")} AS name,
+  CASE WHEN contains(head, 'class') THEN 'class' WHEN contains(head, 'struct') THEN 'struct' ELSE 'function' END AS type, CASE WHEN header <> '' THEN header || chr(10) || chr(10) ELSE '' END || regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS content FROM t
+UNION ALL SELECT path, 0, regexp_extract(path, '([^/]*)$', 1), 'file', content FROM m WHERE len(pieces) < 2""")
 def split_code(spark, sf_dir):
-    files = spark.createDataFrame([("a.py", "import os\n\ndef f(x):\n    return x\n\nclass A:\n    pass\n"), ("b.py", "x = 1")], "file string, content string")
-    return D.split_code(files, "python")
+    return D.split_code(I.CODE_FILES.df(spark))
+
+
+@query(f"""WITH x AS (SELECT 'x' || path AS id, path, coalesce(content, '') AS content, content IS NULL AS gone FROM {I.DOC_FILES.sql()})
+SELECT path, CASE WHEN {_EXT} = '.pdf' THEN 'pdf' WHEN {_EXT} IN ('.html', '.htm') THEN 'html' WHEN {_EXT} IN ('.md', '.mdx') THEN 'markdown' WHEN {_EXT} IN ('.txt', '.rst') THEN 'text' ELSE 'code' END AS format,
+  CASE WHEN gone OR {_EXT} = '.pdf' THEN NULL ELSE {case('lower(path)', T.ROUTES, _LANG_ROUTE)} END AS collection, NOT gone AND {_EXT} <> '.pdf' AS indexed, CASE WHEN gone THEN 'no content' WHEN {_EXT} = '.pdf' THEN 'no reader for pdf' END AS error FROM x""")
+def ingest_outcomes(spark, sf_dir):
+    rows = L.detected(I.DOC_FILES.df(spark))
+    return L.outcome(rows, L.chunks(rows, 64, 8)).drop("chunks_stored")
+
+
+@query()
+def ingest_chunks(spark, sf_dir):
+    return L.chunks(L.detected(I.DOC_FILES.df(spark)), 64, 8)
+
+
+@query()
+def ingest_pages(spark, sf_dir):
+    """Every page as a file: how many chunks it gives."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    rows = L.detected(pages)
+    return L.outcome(rows, L.chunks(rows))
 
 
 @query()
@@ -381,7 +416,7 @@ _SUM = "substr(string_agg(substr(content, 1, 8000), chr(10) || chr(10) ORDER BY
 @query(f"""WITH {_CHUNKS}, s AS (SELECT 'section' AS kind, section_path AS path, count(*) AS n, {_SUM} AS t FROM c GROUP BY section_path HAVING count(*) >= 3 UNION ALL SELECT 'chapter', 'Root > ' || book_id, count(*), {_SUM} FROM c GROUP BY book_id HAVING count(*) >= 5),
 w AS (SELECT *, regexp_split_to_array(trim(t), '\\s+') AS w FROM s) SELECT kind, path, n, md5(CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') || '...' ELSE array_to_string(w, ' ') END) AS digest FROM w WHERE path IS NOT NULL""")
 def section_chapter_summaries(spark, sf_dir):
-    return K.group_summaries(_chunks(spark, sf_dir)).select("kind", "path", "n", F.md5("summary").alias("digest"))
+    return K.group_summaries(_chunks(spark, sf_dir)).select("kind", F.col("group_path").alias("path"), "n", F.md5("summary").alias("digest"))
 
 
 @query()

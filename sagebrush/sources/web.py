@@ -83,11 +83,12 @@ def page_document(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", body.alias("document"))
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content) of the readable files of a folder tree; hidden and noise folders are left out."""
+def files(spark: SparkSession, folder: str, extensions: str = FILES) -> DataFrame:
+    """(path, content) of the readable files of a folder tree; hidden files, hidden and noise folders are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    inner = F.substring("path", 1 + len(folder.rstrip("/")) + 5, 10_000)
-    keep = ~inner.rlike(rf"(^|/)(\.[^/]+|{NOISE})/") & F.col("path").rlike(rf"(?i){FILES}")
+    # what stands behind the folder, however its URI is written
+    inner = F.element_at(F.split("path", re.escape(folder.rstrip("/").rsplit(":", 1)[-1].lstrip("/")) + "/", 2), -1)
+    keep = ~inner.rlike(rf"(^|/)(\.[^/]+|({NOISE})/)") & F.col("path").rlike(rf"(?i){extensions}")
     return rows.where(keep).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
