@@ -178,3 +178,50 @@ def cosine(a: Column, b: Column) -> Column:
 def resized(vector: Column, dim: int) -> Column:
     """Cut, or filled with zeros."""
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0).cast("float"), dim)), 1, dim)
+
+
+# -- small accessors -------------------------------------------------------------------------------------------------
+
+
+def normal_separators(path: Column) -> Column:
+    """A path with forward slashes only."""
+    return F.translate(path, "\\", "/")
+
+
+def short_hash(text: Column, size: int = 12) -> Column:
+    """The first characters of a text's SHA-256."""
+    return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, size)
+
+
+def age_in_minutes(then: Column, now: Column) -> Column:
+    """`3m`: the minutes between two times in milliseconds, rounded half up."""
+    return F.concat(F.floor((now - then) / 60000 + 0.5).cast("string"), F.lit("m"))
+
+
+def tool_path(arguments: Column) -> Column:
+    """The file of a tool call whose arguments are JSON, an object or a string that holds one."""
+    inner = F.coalesce(F.get_json_object(arguments, "$"), arguments)
+    one = lambda name: F.coalesce(F.get_json_object(arguments, f"$.{name}"), F.get_json_object(inner, f"$.{name}"))
+    return F.coalesce(one("filepath"), one("file_path"))
+
+
+def latest_stable(versions: Column) -> Column:
+    """The first version of a list without a pre-release part, else the last of the list."""
+    return F.coalesce(F.try_element_at(F.filter(versions, lambda v: ~F.contains(v, F.lit("-"))), F.lit(1)), F.try_element_at(versions, F.lit(-1)))
+
+
+def satisfies_minimum(version: Column, minimum: Column) -> Column:
+    """Whether a version is at least another one."""
+    return semver(version) >= semver(minimum)
+
+
+def major_version(version: Column) -> Column:
+    return semver(version)[0]
+
+
+def quantised(vector: Column, quantile: float = 0.99) -> Column:
+    """int8 codes of a vector: the quantile of its absolute values is 127, what lies beyond is cut."""
+    own = F.array_sort(F.transform(vector, lambda e: F.abs(e.cast("double"))))
+    top = lambda a: F.element_at(a, F.greatest(F.lit(1), F.ceil(F.size(a) * quantile).cast("int")))
+    code = lambda e, t: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(e.cast("double") / F.when(t == 0, 1.0).otherwise(t) * 127).cast("int")))
+    return F.when(F.size(vector) > 0, F.transform(F.array(top(own)), lambda t: F.transform(vector, lambda e: code(e, t)))[0]).otherwise(F.array().cast("array<int>"))

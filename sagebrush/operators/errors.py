@@ -288,3 +288,82 @@ def explained(messages: DataFrame, rules: DataFrame) -> DataFrame:
     one = one.withColumn("c", F.expr(f"try_element_at(filter(conditions, c -> coalesce({holds}, false)), 1)"))
     fill = lambda k: F.expr(f"aggregate(got, coalesce(c.{k}, {k}), (s, g) -> replace(s, concat('{{', g.name, '}}'), g.value))").alias(k)
     return one.select("id", "rule", fill("root_cause"), fill("prescription"), fill("code_block"))
+
+
+#: Captures that name the symbol an error is about, in this order (fixed values); else the first capture.
+SYMBOL_CAPTURES = ("symbol", "symbolName", "name", "expected", "wrong")
+
+
+def captured(errors: DataFrame, catalog: DataFrame) -> DataFrame:
+    """errors with their catalog's last row: probability, type, hint, co_codes and `captures` (name, value).
+
+    Catalog: code, pos, probability, message_pattern, captures (names of the groups in order), refinements (check,
+    target, probability, trace), fix_hint, co_codes. A group that caught nothing is no capture.
+    """
+    fields = [F.col(c) for c in ("probability", "message_pattern", "captures", "refinements", "fix_hint", "co_codes")]
+    last = catalog.groupBy("code").agg(F.max_by(F.struct(*fields), "pos").alias("c"))
+    own = errors.join(last, "code", "left")
+    got = "transform(c.captures, (n, i) -> struct(n as name, regexp_extract(message, c.message_pattern, i + 1) as value))"
+    own = own.withColumn("captures", F.expr(f"coalesce(filter(case when message rlike c.message_pattern then {got} end, g -> g.value <> ''), cast(array() as array<struct<name:string,value:string>>))"))
+    probability = F.coalesce("c.probability", F.lit(0.5))
+    kind = F.when(F.col("c").isNull(), "unknown").when(probability > 0.5, "likely_cross_file").otherwise("likely_local")
+    co = F.coalesce("c.co_codes", F.array().cast("array<string>"))
+    return own.withColumns({"known": F.col("c").isNotNull(), "probability": probability, "type": kind, "fix_hint": F.col("c.fix_hint"), "refinements": F.col("c.refinements"), "co_codes": co}).drop("c")
+
+
+def clean_symbol(symbol: Column) -> Column:
+    """A symbol's own name, without the one it is imported as."""
+    return F.trim(F.substring_index(symbol, " as ", 1))
+
+
+def located(errors: DataFrame, catalog: DataFrame, imports: DataFrame, definitions: DataFrame, hops: int = 5) -> DataFrame:
+    """(id, file, code, captures, probability, type, origin, chain, fix_hint, co_codes): where errors come from.
+
+    imports: file, symbols, dst (null if not resolved), external, pos; definitions: file, name. Of a catalog row's
+    refinements the first that holds sets probability and type: the target's capture is imported (its file is the
+    origin), defined in the file, or part of an external import. An origin is followed along imports of the symbol
+    through at most `hops` files. A likely foreign error without an origin gets the first import that names a capture.
+    """
+    own = captured(errors, catalog)
+    sides = imports.select(F.col("file").alias("at"), F.explode("symbols").alias("s"), "dst", "external", "pos")
+    local = sides.where("not external").withColumn("symbol", clean_symbol(F.col("s"))).groupBy("at", "symbol").agg(F.min_by(F.struct("dst"), "pos").alias("first"), F.min_by("dst", F.when(F.col("dst").isNotNull(), F.col("pos"))).alias("resolved"), F.min(F.when(F.col("dst").isNotNull(), F.col("pos"))).alias("resolved_pos"))
+    checks = own.select("id", F.col("file").alias("at"), "captures", F.posexplode("refinements").alias("nth", "r"))
+    checks = checks.withColumn("value", F.expr("try_element_at(filter(captures, g -> g.name = r.target), 1).value")).where("value is not null").drop("captures")
+    imported = checks.where("r.check = 'is_imported'").join(local.withColumnRenamed("symbol", "value"), ["at", "value"]).select("id", "nth", "r", F.col("first.dst").alias("origin"))
+    defined = checks.where("r.check = 'is_local'").join(definitions.select(F.col("file").alias("at"), F.col("name").alias("value")).distinct(), ["at", "value"]).select("id", "nth", "r", F.lit(None).cast("string").alias("origin"))
+    outside = checks.where("r.check = 'is_external'").join(sides.where("external").select("at", "s"), "at").where("contains(s, value)").select("id", "nth", "r", F.lit(None).cast("string").alias("origin"))
+    held = imported.unionByName(defined).unionByName(outside).groupBy("id").agg(F.min_by(F.struct("r", "origin"), "nth").alias("h"))
+    own = own.join(held, "id", "left")
+    own = own.withColumns({"probability": F.coalesce("h.r.probability", "probability"), "type": F.coalesce("h.r.trace", "type"), "origin": F.col("h.origin")}).drop("h", "refinements")
+    named = [F.expr(f"try_element_at(filter(captures, g -> g.name = '{n}'), 1).value") for n in SYMBOL_CAPTURES]
+    own = own.withColumn("symbol", F.coalesce(*named, F.expr("try_element_at(captures, 1).value")))
+    # the chain of files from the origin on; the file itself and files met before end it
+    step = local.select("at", "symbol", F.col("first.dst").alias("next"))
+    now = own.select("id", "symbol", F.col("origin").alias("at"), F.array("file").alias("seen"), F.array().cast("array<string>").alias("chain"))
+    for _ in range(hops):
+        now = now.withColumn("go", F.col("at").isNotNull() & ~F.array_contains("seen", F.coalesce("at", F.lit(""))))
+        longer = lambda c: F.when(F.col("go"), F.concat(c, F.array("at"))).otherwise(F.col(c)).alias(c)
+        now = now.select("id", "symbol", F.when(F.col("go"), F.col("at")).alias("at"), longer("seen"), longer("chain")).join(step, ["at", "symbol"], "left")
+        now = now.select("id", "symbol", F.when(F.col("next") != F.col("at"), F.col("next")).alias("at"), "seen", "chain")
+    own = own.join(now.select("id", "chain"), "id").withColumn("origin", F.coalesce(F.try_element_at("chain", F.lit(-1)), "origin"))
+    names = own.where("known and probability > 0.5 and origin is null").select("id", F.col("file").alias("at"), F.explode("captures.value").alias("symbol"))
+    guess = names.join(local, ["at", "symbol"]).where("resolved is not null").groupBy("id").agg(F.min_by("resolved", "resolved_pos").alias("guess"))
+    own = own.join(guess, "id", "left").withColumn("origin", F.coalesce("origin", "guess"))
+    return own.select("id", "file", "code", "captures", "probability", "type", "origin", "chain", "fix_hint", "co_codes")
+
+
+def plan_stats(order: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row of a fix_order and its errors: errors, groups of each queue, groups that others resolve."""
+    n = errors.agg(F.count("*").alias("errors"))
+    groups = order.agg(F.count_if(F.col("queue") == "queue1").alias("root_cause_groups"), F.count_if(F.col("queue") == "queue2").alias("isolated_groups"), F.count_if("auto_resolved").alias("auto_resolvable"))
+    return n.crossJoin(groups)  # one row each
+
+
+def error_report(errors: DataFrame, most: int = 3) -> DataFrame:
+    """(file, n, shown): the first errors of a file in order, and how many more there are."""
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("pos"))
+    rows = errors.withColumn("nth", nth)
+    line = F.when(F.col("nth") <= most, F.struct("nth", F.concat_ws(": ", "code", "message").alias("s")))
+    out = rows.groupBy("file").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(line)).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x.s), "\n")
+    return out.select("file", "n", F.when(F.col("n") > most, F.concat(text, F.lit("\n... and "), F.col("n") - most, F.lit(" more"))).otherwise(text).alias("shown"))

@@ -38,27 +38,30 @@ def dependents(edges: DataFrame) -> DataFrame:
     return closure(edges).select(F.col("reach").alias("file"), F.col("node").alias("dependent"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(node, component): members of cycles; the component is named by its least member."""
-    reach = closure(edges)
+def cycles(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """(node, component): members of cycles; the component is named by its least member. `reach` is the closure, if there."""
+    reach = closure(edges) if reach is None else reach
     back = reach.select(F.col("reach").alias("node"), F.col("node").alias("reach"))
     return reach.join(back, ["node", "reach"]).groupBy("node").agg(F.min("reach").alias("component"))
 
 
-def depths(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def depths(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000, ring: DataFrame | None = None) -> DataFrame:
     """(node, depth): the longest path from a root, cycles counting as one node; nodes in no path from a root have 0."""
-    ring = cycles(edges)
+    ring = cycles(edges) if ring is None else ring
     named = nodes.join(ring, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     a = named.select(F.col("node").alias("src"), F.col("component").alias("ca"))
     b = named.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
     dag = stored(edges.select("src", "dst").join(a, "src").join(b, "dst").where("ca <> cb").select("ca", "cb").distinct(), "dag")
     now = stored(named.select("component").distinct().select("component", F.lit(0).alias("depth")), "depth")
+    last = 0
     for _ in range(most_rounds):
         longer = now.join(dag, F.col("component") == F.col("ca")).groupBy(F.col("cb").alias("component")).agg((F.max("depth") + 1).alias("longer"))
         new = stored(now.join(longer, "component", "left").select("component", F.greatest("depth", F.coalesce("longer", F.lit(0))).cast("int").alias("depth")), "depth")
-        if new.agg(F.sum("depth")).first() == now.agg(F.sum("depth")).first():
+        # depths only grow: their sum tells whether any did
+        total = new.agg(F.sum("depth")).first()[0]
+        if total == last:
             return named.join(new, "component").select("node", "depth")
-        now = new
+        now, last = new, total
     raise RuntimeError("depths did not settle")
 
 
@@ -67,9 +70,12 @@ def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = edges.select("src", "dst").distinct()
     out_degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_dependencies"))
     in_degree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_dependents"))
-    reach = dependents(edges).groupBy(F.col("file").alias("node")).agg(F.count("*").alias("n_transitive"))
-    rows = depths(nodes, edges)
-    for part in (out_degree, in_degree, reach, cycles(edges).select("node", F.lit(True).alias("in_cycle"))):
+    # the closure is worked out once, for dependents, cycles and depths
+    every = closure(edges)
+    ring = stored(cycles(edges, every), "cycles")
+    reach = every.groupBy(F.col("reach").alias("node")).agg(F.count("*").alias("n_transitive"))
+    rows = depths(nodes, edges, ring=ring)
+    for part in (out_degree, in_degree, reach, ring.select("node", F.lit(True).alias("in_cycle"))):
         rows = rows.join(part, "node", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
@@ -136,6 +142,17 @@ def origin_trace(errors: DataFrame, imports: DataFrame, hops: int = 5) -> DataFr
     return now.select("id", "file", "symbol", F.when(F.col("at") != F.col("file"), F.col("at")).alias("origin"), (F.size("seen") - 1).cast("long").alias("hops"))
 
 
+def exported(exports: DataFrame) -> DataFrame:
+    """(file, symbols) of exports (file, pos, symbols): all symbols of a file in order, each once."""
+    own = exports.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "symbols"))).alias("x"))
+    return own.select("file", F.array_distinct(F.flatten(F.transform("x", lambda e: e.symbols))).alias("symbols"))
+
+
+def analyser_of(path):
+    """How a file is read: as a script, by its language's patterns, or not at all."""
+    return F.when(path.rlike(r"\.(js|mjs|cjs|jsx|ts|tsx|mts|cts)$"), "script").when(path.rlike(r"\.(py|go|rs|java|kt|cs|php|cpp|cc|c|h|hpp)$"), "patterns")
+
+
 def neighbours(edges: DataFrame, file: str) -> DataFrame:
     """(file, direction) of what a file needs and what needs it."""
     out = edges.where(F.col("src") == file).select(F.col("dst").alias("file"), F.lit("dependency").alias("direction"))

@@ -70,14 +70,14 @@ def chunks(rows: DataFrame, most: int = 512, overlap: int = 80) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     described = {"framework": X.framework_of(F.col("path")), "content_type": X.content_type(F.col("own")), "doc_type": X.doc_type(F.col("own")), "has_code_block": F.contains("own", F.lit("```"))}
     detail = cut.withColumns({"content": content, "doc_title": F.col("title"), "book_id": book_id(F.col("path")), "chunk_type": F.lit("detail"), "summary_level": none("string"), "chapter": part(1), "section": part(2), **described})
-    groups = K.group_summaries(detail.withColumn("id", F.col("chunk_index")), keys=("path", "doc_title", "book_id", "collection", "language"))
+    groups = K.group_summaries(detail.withColumn("id", F.col("chunk_index")), keys=("path", "doc_title", "book_id", "collection"))
     levels, name = F.split("group_path", " > "), F.element_at(F.split("group_path", " > "), -1)
     chapter_level = F.col("kind") == "chapter"
     head = F.concat(F.when(chapter_level, "[Chapter Summary: ").otherwise("[Section Summary: "), name, F.lit("]\n\n"), "summary")
     summary = groups.withColumns({
         "content": head, "section_path": F.col("group_path"), "chunk_type": F.lit("summary"), "summary_level": F.col("kind"), "chunk_index": none("long"), "total_chunks": F.col("n"),
         "chapter": F.when(chapter_level, name).otherwise(F.coalesce(F.get(levels, F.lit(1)), F.lit(""))), "section": F.when(chapter_level, "").otherwise(name),
-        "framework": none("string"), "content_type": none("string"), "doc_type": none("string"), "has_code_block": F.contains("summary", F.lit("```")),
+        "language": none("string"), "framework": none("string"), "content_type": none("string"), "doc_type": none("string"), "has_code_block": F.contains("summary", F.lit("```")),
     })
     code = D.split_code(rows.where("error is null and format = 'code'")).join(rows.select("path", "language", "collection"), "path")
     code = code.withColumns({

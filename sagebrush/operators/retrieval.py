@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from . import search as S
 
 #: Parts of the postings, by hash of the term; a search reads those of its terms only.
@@ -208,6 +208,8 @@ def hits(index: SparseIndex, vectors: DataFrame, chunks: DataFrame, queries: Dat
 
     first = found(asked, limit).join(asked.select("query_id", "collection", "place"), ["query_id", "collection"]).withColumn("n", F.lit(0))
     if expansions is not None:
+        # read twice: to tell which queries are weak, and as their first list
+        first = stored(first, "hits")
         strong = first.groupBy("query_id").agg(F.count_if(F.col("score") > 0.6).alias("strong"))
         weak = asked.drop("query", "vector").join(strong, "query_id", "left").where(F.coalesce("strong", F.lit(0)) < 3)
         # each expansion is a query of its own on the way
@@ -217,7 +219,7 @@ def hits(index: SparseIndex, vectors: DataFrame, chunks: DataFrame, queries: Dat
         got = found(more.withColumn("query_id", key), 10)
         back = own.select(key.alias("key"), "query_id", "n", "collection", "place").distinct()
         more = got.withColumnRenamed("query_id", "key").join(back, ["key", "collection"]).drop("key")
-        every = first.unionByName(more.select(*first.columns))
+        every = first.unionByName(stored(more.select(*first.columns), "hits"))
         # the first list counts by score and then by place, those of expansions by their order
         order = Window.partitionBy("query_id", "id").orderBy("n", F.when(F.col("n") == 0, -F.col("score")), "place", "rank")
         first = every.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")

@@ -135,3 +135,43 @@ def extractions(rows: DataFrame, most: int = 3) -> DataFrame:
     parsed = F.from_json(body, "array<struct<type:string,content:string,scope:string>>")
     out = rows.where(body.startswith("[")).select("id", F.posexplode(F.slice(parsed, 1, most)).alias("nth", "x"))
     return out.where("x.type is not null and x.content is not null").select("id", F.col("nth").cast("long").alias("nth"), "x.type", "x.content", F.coalesce("x.scope", F.lit("project")).alias("scope"))
+
+
+def compressed(rows: DataFrame, least: int = 10, last: int = 8) -> DataFrame:
+    """(session, pos, role, content, tokens, is_summary): sessions after old turns gave way to a summary.
+
+    rows are turns(). The first message and the last ones stay; one message with the summary of the others stands after
+    the first. Short sessions stay whole.
+    """
+    marked = kept_by_summary(rows, least, last)
+    kept = marked.where("stays").select("session", F.col("pos").cast("double").alias("pos"), "role", "content", "tokens", F.lit(False).alias("is_summary"))
+    turn = rows.groupBy("session").agg(F.max("turn").alias("turn"), F.min("pos").alias("first"))
+    text = summary_text(summaries(marked)).join(turn, "session")
+    body = F.concat(F.lit("[SESSION SUMMARY — updated at turn "), F.col("turn").cast("string"), F.lit("]\n"), F.col("summary"), F.lit("\n[END SUMMARY]"))
+    tokens = (X.message_tokens(F.col("summary")) + 20).cast("long")
+    made = text.select("session", (F.col("first") + 0.5).alias("pos"), F.lit("user").alias("role"), body.alias("content"), tokens.alias("tokens"), F.lit(True).alias("is_summary"))
+    return kept.unionByName(made)
+
+
+def summary_text(rows: DataFrame) -> DataFrame:
+    """(session, summary) of summaries(): one line for each thing that there is to say."""
+    line = lambda head, value, there: F.when(there, F.concat(F.lit(head), value.cast("string")))
+    said = F.concat_ws("\n", line("Messages summarised: ", F.col("n_trimmed"), F.lit(True)), line("Successful actions: ", F.col("successes"), F.col("successes") > 0), line("Errors met: ", F.col("errors"), F.col("errors") > 0), line("Context: ", F.col("context"), F.col("context") != ""))
+    return rows.select("session", said.alias("summary"))
+
+
+def plain_messages(rows: DataFrame) -> DataFrame:
+    """Messages without what the session keeps beside them."""
+    return rows.drop("turn", "tokens", "age", "masked", "shown", "saved", "is_summary")
+
+
+def current_turns(rows: DataFrame) -> DataFrame:
+    """(session, turn, messages, tokens) of turns()."""
+    return rows.groupBy("session").agg(F.max("turn").alias("turn"), F.count("*").alias("messages"), F.sum("tokens").alias("tokens"))
+
+
+def previous_strategies(outcomes: DataFrame) -> DataFrame:
+    """(error_code, strategies): each strategy tried for a code once, in the order of its first time."""
+    first = outcomes.groupBy("error_code", "strategy").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    own = first.groupBy("error_code").agg(F.array_sort(F.collect_list(F.struct("at", "strategy"))).alias("x"))
+    return own.select("error_code", F.transform("x", lambda s: s.strategy).alias("strategies"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-KINDS = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+KINDS = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]"}
 
 
 def _literal(x) -> str:
@@ -154,3 +154,16 @@ DOC_FILES = Inline("path string, content string", [
     ("notes.txt", "A plain note\n\nREAD THIS FIRST\n\nwhat is said here:\nsome words"), ("page.html", "<html><title>A page</title><main><p>Words, and more of them.</p></main></html>"), ("src/a.py", "import os\n\ndef f(x):\n    return x\n\ndef g():\n    pass"),
     ("book.pdf", "%PDF"), ("empty.md", ""), ("lost.md", None), ("express/intro.md", "# Express\n\nHow routes work in express."),
 ])
+TREE_CATALOG = Inline("pos long, code string, probability double, message_pattern string, capture string, checks array<string>, probabilities array<double>, traces array<string>, fix_hint string", [
+    (1, "TS2305", 0.8, "member '([^']+)'", "symbol", ["is_local", "is_imported"], [0.2, 0.95], ["here", None], "look at the export"), (2, "TS2304", 0.6, "name '([^']+)'", "symbol", ["is_external", "odd_check"], [0.1, 0.9], ["package", "x"], None),
+    (3, "TS2339", 0.7, "Property '([^']+)'", "symbol", [], [], [], "hint"), (4, "TS1005", 0.1, None, None, [], [], [], None),
+])
+TREE_ERRORS = Inline("id long, file string, code string, message string", [
+    (1, "a", "TS2305", "no exported member 'User'"), (2, "a", "TS2305", "no exported member 'own'"), (3, "a", "TS2304", "Cannot find name 'useState'"), (4, "a", "TS2339", "Property 'Row' does not exist"), (5, "b", "TS2305", "no exported member 'gone'"),
+    (6, "a", "TS1005", "';' expected"), (7, "a", "TS9999", "odd"), (8, "b", "TS2305", "nothing in quotes"), (9, "c", "TS2305", "no exported member 'loop'"),
+])
+TREE_IMPORTS = Inline("file string, symbols array<string>, dst string, external boolean, pos long", [
+    ("a", ["User as U", "x"], "b", False, 1), ("a", ["useState"], None, True, 2), ("a", ["Row"], None, False, 3), ("a", ["Row"], "d", False, 4), ("b", ["User"], "types", False, 1), ("c", ["loop"], "d", False, 1), ("d", ["loop"], "c", False, 1),
+])
+TREE_NAMES = Inline("file string, name string", [("a", "own"), ("a", "own"), ("types", "User")])
+CALLS = Inline("id long, args string", [(1, '{"filepath": "a.ts"}'), (2, '{"file_path": "b.py", "x": 1}'), (3, '"{\\"filepath\\": \\"c.go\\"}"'), (4, "{}"), (5, None), (6, '{"x": 2}')])

@@ -232,7 +232,7 @@ def query_routing(spark, sf_dir):
     return q.select("id", F.array_join(X.collections_for(X.query_class(F.col("query")), X.tech_of(F.col("query"), F.col("label"))), ",").alias("collections"))
 
 
-@query()
+@query(f"SELECT id, trim(regexp_extract(query, '{_duck(T.BOOK_HINT)}', 1)) AS book FROM {I.QUERIES.sql()}")
 def book_hint(spark, sf_dir):
     return I.QUERIES.df(spark).select("id", F.trim(F.regexp_extract("query", T.BOOK_HINT, 1)).alias("book"))
 
@@ -686,7 +686,11 @@ def compaction(spark, sf_dir):
     return V.kept_by_summary(V.turns(_messages(spark, sf_dir)), 6, 4).select("session", "pos", "stays")
 
 
-@query()
+@query(f"""WITH {_TURNS}, n AS (SELECT *, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY pos) AS k FROM ag),
+g AS (SELECT *, trim(regexp_extract(content, '^[^.!?\n]*')) AS first FROM n WHERE NOT (n <= 6 OR k = 1 OR k > n - 4)),
+c AS (SELECT session, count(*) AS n_trimmed, count(*) FILTER (role = 'tool' AND regexp_matches(content, '(?i)✓|✅|success')) AS successes, count(*) FILTER (role = 'tool' AND regexp_matches(content, '(?i)❌|STDERR|Error|FAIL')) AS errors,
+  list(first ORDER BY pos) FILTER (role = 'assistant' AND length(content) > 20 AND length(first) > 10 AND length(first) < 200) AS s FROM g GROUP BY session)
+SELECT session, n_trimmed, successes, errors, coalesce(array_to_string(s[-3:], '; '), '') AS context FROM c""")
 def session_summary(spark, sf_dir):
     return V.summaries(V.kept_by_summary(V.turns(_messages(spark, sf_dir)), 6, 4))
 
@@ -846,7 +850,10 @@ def import_deltas(spark, sf_dir):
     return G.export_changes(I.BEFORE.df(spark), I.AFTER.df(spark)).select("file", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT src AS here, trim(split_part(s, ' as ', 1)) AS symbol, arg_min(dst, pos) AS dst FROM (SELECT src, dst, pos, unnest(symbols) AS s FROM {I.EDGES.sql()}) GROUP BY ALL),
+r AS (SELECT id, file, symbol, file AS here, [file] AS seen, 0 AS k FROM {I.ERRORS.sql()} UNION ALL
+  SELECT r.id, r.file, r.symbol, CASE WHEN e.dst IS NOT NULL AND NOT list_contains(seen, e.dst) THEN e.dst ELSE r.here END, CASE WHEN e.dst IS NOT NULL AND NOT list_contains(seen, e.dst) THEN list_append(seen, e.dst) ELSE seen END, k + 1 FROM r LEFT JOIN e ON e.here = r.here AND e.symbol = r.symbol WHERE k < 5)
+SELECT id, file, symbol, CASE WHEN here <> file THEN here END AS origin, len(seen) - 1 AS hops FROM r WHERE k = 5""")
 def root_cause_trace(spark, sf_dir):
     return G.origin_trace(I.ERRORS.df(spark), I.EDGES.df(spark))
 
@@ -896,10 +903,61 @@ def _parse_sql(language: str) -> str | None:
 SELECT *, CASE {kinds} ELSE 'runtime' END AS category FROM x"""
 
 
+def _form_sql(f: E.Form) -> str:
+    """The rows of a form as a list of structs, by the same rules as the engine's columns."""
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    get = lambda g: f"regexp_extract_all(raw, {q(f.pattern)}, {max(g, 0)})"
+    x = lambda g: f"coalesce({get(g)}[i], '')" if g else "''"
+    place, line = q(f.place), "'0'"
+    if f.at:
+        place, line = (f"regexp_extract_all(raw, {q(f.at)}, {g})[{1 if f.first else -1}]" for g in (1, 2))
+    code = x(f.code) if f.code and not (f.constant and f.named) else "''"
+    if f.coded:
+        a, b = f.coded.split("%s")
+        code = f"{q(a)} || upper(regexp_replace({code}, 'Error$', '')) || {q(b)}"
+    said = f"trim({x(f.message)})"
+    message = f"{x(f.code)} || ': ' || {said}" if f.named else f"{q(f.prefix)} || {said} || {q(f.suffix)}"
+    file = "CAST(NULL AS VARCHAR)" if f.nowhere else f"trim({x(f.file)})" if f.file else f"coalesce({place}, '')"
+    number = "CAST(NULL AS INTEGER)" if f.nowhere else f"coalesce(TRY_CAST({x(f.line) if f.line else line} AS INTEGER), 0)"
+    row = f"""{{'file': {file}, 'line': {number}, 'column': TRY_CAST({x(f.column)} AS INTEGER), 'code': CASE WHEN {code} = '' THEN {q(f.constant)} ELSE {code} END, 'message': {message}, 'said': {said}, 'category': {q(f.category) if f.category else "CAST(NULL AS VARCHAR)"}}}"""
+    rows = f"list_transform(range(1, len({get(0)}) + 1), lambda i: {row})"
+    return f"CASE WHEN {place} IS NOT NULL AND TRY_CAST({line} AS INTEGER) > 0 THEN {rows}[1:1] ELSE {rows}[1:0] END" if f.at and not f.first else rows
+
+
+def _all_forms_sql(language: str) -> str:
+    """SQL of all forms of a language: the first that finds any, what is looked for besides, and what is looked for last."""
+    own, chain = E.LANGUAGES[language], lambda fs: _form_sql(fs[0]) if len(fs) == 1 else f"CASE WHEN len({_form_sql(fs[0])}) > 0 THEN {_form_sql(fs[0])} ELSE {chain(fs[1:])} END"
+    rows = chain(own.forms)
+    for f in own.extra:
+        rows = f"list_concat({rows}, {_form_sql(f)})"
+    last = f"SELECT id, CASE WHEN len(e) > 0 THEN e ELSE {chain(own.last)} END AS e FROM a" if own.last else "SELECT id, e FROM a"
+    kinds = " ".join("WHEN regexp_matches(lower(e.said), '{}') THEN '{}'".format(p.replace("'", "''"), k) for p, k in own.kinds)
+    return f"""WITH a AS (SELECT id, raw, {rows} AS e FROM {I.outputs(I.OUTPUTS[language]).sql()}), b AS ({last}), x AS (SELECT id, generate_subscripts(e, 1) - 1 AS nth, unnest(e) AS e FROM b)
+SELECT id, nth, e.file AS file, e.line AS line, e."column" AS "column", e.code AS code, e.message AS message, coalesce(e.category, CASE {kinds} ELSE 'runtime' END) AS category FROM x"""
+
+
+_PART3 = "list_transform([1, 2, 3], lambda i: coalesce(TRY_CAST(regexp_extract(coalesce(string_split(regexp_replace(trim({0}), '^v', ''), '.')[i], ''), '^\\s*(\\d+)', 1) AS INTEGER), 0))"
+_PHP_ERRORS = r"Errors:\s*(\d+)"
+
+
+def _counts_sql(language: str) -> str:
+    own = E.LANGUAGES[language]
+    one = lambda p: "CAST(len(regexp_extract_all(raw, '{}')) AS BIGINT)".format(p[1:].replace("'", "''")) if p[0] == "#" else "TRY_CAST(regexp_extract(raw, '{}', 1) AS BIGINT)".format(p.replace("'", "''"))
+    number = lambda ps: f"coalesce({', '.join(map(one, reversed(ps)))}, 0)"
+    passed, failed = number(own.passed), number(own.failed)
+    if language == "java":
+        m = [f"TRY_CAST(regexp_extract(raw, 'Tests run:\\s*(\\d+),\\s*Failures:\\s*(\\d+),\\s*Errors:\\s*(\\d+)', {g}) AS BIGINT)" for g in (1, 2, 3)]
+        passed, failed = f"coalesce({m[0]} - {m[1]} - {m[2]}, {passed} - {failed})", f"coalesce({m[1]} + {m[2]}, {failed})"
+    if language == "php":
+        failed = f"({failed} + {number((_PHP_ERRORS,))})"
+        passed = f"greatest({passed} - {failed}, 0)"
+    return f"SELECT id, {passed} AS passed, {failed} AS failed FROM {I.outputs(I.TESTS[language]).sql()}"
+
+
 for _l in E.LANGUAGES:
-    query(_parse_sql(_l), f"parse_errors_{_l}")(lambda spark, sf_dir, _l=_l: E.parsed(I.outputs(I.OUTPUTS[_l]).df(spark), _l))
+    query(_parse_sql(_l) or _all_forms_sql(_l), f"parse_errors_{_l}")(lambda spark, sf_dir, _l=_l: E.parsed(I.outputs(I.OUTPUTS[_l]).df(spark), _l))
 for _l in I.TESTS:
-    query(None, f"parse_tests_{_l}")(lambda spark, sf_dir, _l=_l: E.test_counts(I.outputs(I.TESTS[_l]).df(spark), _l))
+    query(_counts_sql(_l), f"parse_tests_{_l}")(lambda spark, sf_dir, _l=_l: E.test_counts(I.outputs(I.TESTS[_l]).df(spark), _l))
 
 
 @query("SELECT id, " + " OR ".join(f"regexp_matches(raw, '{p}')" for p in E.LANGUAGES["python"].crash) + f" AS crashed FROM {I.outputs(I.OUTPUTS['python']).sql()}")
@@ -940,11 +998,106 @@ def classify_errors(spark, sf_dir):
     return E.classified(I.ERRORS.df(spark), I.CATALOG.df(spark)).select("id", "file", "code", "probability", "type", "strategy")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RANKS}, {_CLS}, pc AS (SELECT list(DISTINCT code) AS codes FROM {I.ERRORS.sql()}), er AS (SELECT *, CASE WHEN co_codes IS NULL THEN 0 ELSE len(list_filter(co_codes, lambda c: list_contains(codes, c))) END AS co_count, origin IS NULL OR origin = file AS here FROM cl, pc),
+gr AS (SELECT file, count(*) AS n_errors, min(pos) AS first, max(co_count) AS co, bool_or(probability > 0.5) AS crossed, bool_or(here) AS some_local, bool_and(here) AS all_local, list(DISTINCT origin) FILTER (NOT here) AS origins FROM er GROUP BY file),
+og AS (SELECT DISTINCT origin AS file FROM {I.ERRORS.sql()} WHERE origin <> file),
+ow AS (SELECT gr.*, coalesce(rk.depth, 0) AS d, coalesce(rk.n_dependents = 0, false) AS is_root, coalesce(rk.n_dependencies = 0, true) AS is_leaf, coalesce(rk.n_dependents >= 3, false) AS is_hub, coalesce(rk.n_dependents, 0) AS nd, coalesce(rk.n_transitive, 0) AS nt,
+  gr.file IN (SELECT file FROM og) AS is_origin, coalesce(len(origins) = 1 AND origins[1] IN (SELECT file FROM gr), false) AS auto_resolved FROM gr LEFT JOIN rk ON rk.node = gr.file),
+sc AS (SELECT *, CASE WHEN crossed THEN d * 30 ELSE 0 END - CASE WHEN co >= 2 THEN 25 ELSE 0 END - CASE WHEN is_hub AND some_local THEN 10 + least(CASE WHEN nt > 0 THEN nt ELSE nd END, 20) ELSE 0 END - CASE WHEN is_leaf AND all_local THEN 30 ELSE 0 END
+  + CASE WHEN is_hub AND crossed THEN 50 ELSE 0 END + CASE WHEN n_errors > 10 THEN 15 ELSE 0 END AS score, CASE WHEN is_origin OR (is_hub AND some_local) OR co >= 2 OR (is_root AND nd > 0) THEN 'queue1' ELSE 'queue2' END AS queue FROM ow)
+SELECT file, n_errors, CAST(score AS BIGINT) AS score, queue, auto_resolved, row_number() OVER (PARTITION BY queue ORDER BY score, first) AS nth FROM sc""")
 def fix_order(spark, sf_dir):
     return E.fix_order(E.classified(I.ERRORS.df(spark), I.CATALOG.df(spark)), G.ranks(_nodes(spark), I.EDGES.df(spark)))
 
 
+@query(f"""WITH {_CLS} SELECT file, count(*) AS n, array_to_string(list(coalesce(code, '') || ': ' || message ORDER BY pos)[1:1], chr(10)) || CASE WHEN count(*) > 1 THEN chr(10) || '... and ' || (count(*) - 1) || ' more' ELSE '' END AS shown FROM cl GROUP BY file""")
+def error_reports(spark, sf_dir):
+    return E.error_report(I.ERRORS.df(spark), 1)
+
+
+@query(f"SELECT (SELECT count(*) FROM {I.ERRORS.sql()}) AS errors, count(*) FILTER (queue = 'queue1') AS root_cause_groups, count(*) FILTER (queue = 'queue2') AS isolated_groups, count(*) FILTER (auto_resolved) AS auto_resolvable FROM ({_SQL['fix_order']})")
+def plan_stats(spark, sf_dir):
+    return E.plan_stats(fix_order(spark, sf_dir), I.ERRORS.df(spark))
+
+
+@query(f"""WITH c AS {I.TREE_CATALOG.sql()}, i AS (SELECT * FROM {I.TREE_IMPORTS.sql()}), e AS (SELECT e.*, c.probability AS p, c.capture, CASE WHEN regexp_matches(message, message_pattern) THEN nullif(regexp_extract(message, message_pattern, 1), '') END AS v, c.checks, c.probabilities, c.traces, c.fix_hint FROM {I.TREE_ERRORS.sql()} e LEFT JOIN c ON c.code = e.code),
+s AS (SELECT file, trim(split_part(x, ' as ', 1)) AS symbol, x, dst, external, pos FROM (SELECT file, unnest(symbols) AS x, dst, external, pos FROM i)),
+k AS (SELECT e.id, unnest(checks) AS ck, unnest(probabilities) AS np, unnest(traces) AS tr, generate_subscripts(checks, 1) AS nth, file, v FROM e WHERE v IS NOT NULL),
+h AS (SELECT *, CASE ck WHEN 'is_imported' THEN EXISTS (SELECT 1 FROM s WHERE s.file = k.file AND s.symbol = k.v AND NOT external) WHEN 'is_local' THEN EXISTS (SELECT 1 FROM {I.TREE_NAMES.sql()} d WHERE d.file = k.file AND d.name = k.v) WHEN 'is_external' THEN EXISTS (SELECT 1 FROM s WHERE s.file = k.file AND external AND contains(s.x, k.v)) ELSE false END AS held FROM k),
+w AS (SELECT id, arg_min(ck, nth) AS ck, arg_min(np, nth) AS np, arg_min(tr, nth) AS tr FROM h WHERE held GROUP BY id),
+o AS (SELECT e.*, coalesce(w.np, e.p, 0.5) AS probability, coalesce(w.tr, CASE WHEN e.p IS NULL THEN 'unknown' WHEN e.p > 0.5 THEN 'likely_cross_file' ELSE 'likely_local' END) AS type,
+  CASE WHEN w.ck = 'is_imported' THEN (SELECT arg_min(dst, pos) FROM s WHERE s.file = e.file AND s.symbol = e.v AND NOT external) END AS start FROM e LEFT JOIN w ON w.id = e.id)
+SELECT id, file, code, coalesce(v, '') AS captured, probability, type, coalesce(CASE WHEN start IS NOT NULL THEN coalesce((SELECT arg_min(dst, pos) FROM s WHERE s.file = o.start AND s.symbol = o.v AND NOT external AND dst <> o.file), start) END,
+  CASE WHEN p IS NOT NULL AND probability > 0.5 THEN (SELECT arg_min(dst, pos) FROM s WHERE s.file = o.file AND s.symbol = o.v AND NOT external AND dst IS NOT NULL) END) AS origin, fix_hint FROM o""")
+def located_errors(spark, sf_dir):
+    """Errors with captures, refined by what their file imports and defines, and traced along one more import at most in this example."""
+    c = I.TREE_CATALOG.df(spark)
+    steps = F.transform(F.arrays_zip("checks", "probabilities", "traces"), lambda x: F.struct(x["checks"].alias("check"), F.lit("symbol").alias("target"), x["probabilities"].alias("probability"), x["traces"].alias("trace")))
+    c = c.select("code", "pos", "probability", "message_pattern", F.array("capture").alias("captures"), steps.alias("refinements"), "fix_hint", F.array().cast("array<string>").alias("co_codes"))
+    out = E.located(I.TREE_ERRORS.df(spark), c, I.TREE_IMPORTS.df(spark), I.TREE_NAMES.df(spark))
+    return out.select("id", "file", "code", F.coalesce(F.try_element_at("captures", F.lit(1))["value"], F.lit("")).alias("captured"), "probability", "type", "origin", "fix_hint")
+
+
+@query(f"WITH {_OUT}, f AS (SELECT error_code, strategy, min((ts, event_id)) AS first FROM o GROUP BY ALL) SELECT error_code, array_to_string(list(strategy ORDER BY first, strategy), ',') AS strategies FROM f GROUP BY error_code")
+def previous_strategies(spark, sf_dir):
+    return V.previous_strategies(_outcomes(spark, sf_dir)).withColumn("strategies", F.array_join("strategies", ","))
+
+
+@query(f"SELECT src AS file, array_to_string(list_sort(list_distinct(flatten(list(symbols)))), ',') AS symbols FROM {I.IMPORTS.sql()} GROUP BY src")
+def exported_symbols(spark, sf_dir):
+    rows = I.IMPORTS.df(spark).select(F.col("src").alias("file"), "pos", "symbols")
+    return G.exported(rows).withColumn("symbols", F.array_join(F.array_sort("symbols"), ","))
+
+
+@query(rf"""SELECT id, replace(path, '\', '/') AS path, substr(sha256(path), 1, 12) AS hash, floor((1000000 - id * 70000) / 60000.0::DOUBLE + 0.5)::BIGINT || 'm' AS age,
+CASE WHEN regexp_matches(path, '\.(js|mjs|cjs|jsx|ts|tsx|mts|cts)$') THEN 'script' WHEN regexp_matches(path, '\.(py|go|rs|java|kt|cs|php|cpp|cc|c|h|hpp)$') THEN 'patterns' END AS analyser FROM {I.PATHS.sql()}""")
+def path_accessors(spark, sf_dir):
+    p = F.col("path")
+    return I.PATHS.df(spark).select("id", X.normal_separators(p).alias("path"), X.short_hash(p).alias("hash"), X.age_in_minutes(F.col("id") * 70000, F.lit(1000000)).alias("age"), G.analyser_of(p).alias("analyser"))
+
+
+@query(f"""SELECT id, {_PART3.format('a')} >= {_PART3.format('b')} AS enough, {_PART3.format('a')}[1] AS major, coalesce(list_filter([a, b], lambda v: NOT contains(v, '-'))[1], b) AS stable FROM {I.VERSIONS.sql()}""")
+def version_accessors(spark, sf_dir):
+    return I.VERSIONS.df(spark).select("id", X.satisfies_minimum(F.col("a"), F.col("b")).alias("enough"), X.major_version(F.col("a")).alias("major"), X.latest_stable(F.array("a", "b")).alias("stable"))
+
+
+@query("SELECT id, coalesce(json_extract_string(a, '$.filepath'), json_extract_string(a, '$.file_path')) AS file FROM (SELECT id, CASE WHEN starts_with(args, '\"') THEN json_extract_string(args, '$') ELSE args END AS a FROM " + I.CALLS.sql() + ")")
+def tool_paths(spark, sf_dir):
+    return I.CALLS.df(spark).select("id", X.tool_path(F.col("args")).alias("file"))
+
+
+@query(f"WITH {_TURNS} SELECT session, CAST(max(turn) AS BIGINT) AS turn, count(*) AS messages, CAST(sum(tokens) AS BIGINT) AS tokens FROM ag GROUP BY session")
+def current_turns(spark, sf_dir):
+    return V.current_turns(V.turns(_messages(spark, sf_dir)))
+
+
+@query(f"""WITH {_TURNS}, n AS (SELECT *, count(*) OVER (PARTITION BY session) AS n, row_number() OVER (PARTITION BY session ORDER BY pos) AS k FROM ag), st AS (SELECT *, n <= 10 OR k = 1 OR k > n - 8 AS stays FROM n),
+g AS (SELECT session, count(*) AS c, count(*) FILTER (role = 'tool' AND regexp_matches(content, '(?i)✓|✅|success')) AS y, count(*) FILTER (role = 'tool' AND regexp_matches(content, '(?i)❌|STDERR|Error|FAIL')) AS e FROM st WHERE NOT stays GROUP BY session),
+f AS (SELECT session, max(turn) AS turn, min(pos) AS first FROM ag GROUP BY session),
+mm AS (SELECT session, first + 0.5::DOUBLE AS pos, 'user' AS role, '[SESSION SUMMARY — updated at turn ' || CAST(turn AS BIGINT) || ']' || chr(10) || 'Messages summarised: ' || c || CASE WHEN y > 0 THEN chr(10) || 'Successful actions: ' || y ELSE '' END || CASE WHEN e > 0 THEN chr(10) || 'Errors met: ' || e ELSE '' END || chr(10) || '[END SUMMARY]' AS content, true AS is_summary FROM g JOIN f USING (session))
+SELECT session, pos, role, md5(content) AS digest, is_summary FROM (SELECT session, pos::DOUBLE AS pos, role, content, false AS is_summary FROM st WHERE stays UNION ALL SELECT * FROM mm)""")
+def compressed_sessions(spark, sf_dir):
+    out = V.compressed(V.turns(_messages(spark, sf_dir)))
+    return out.select("session", "pos", "role", F.md5("content").alias("digest"), "is_summary")
+
+
+@query("""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_sort(list_transform(embedding::DOUBLE[], lambda e: abs(e))) AS a FROM embeddings), y AS (SELECT *, a[greatest(1, ceil(len(a) * 0.99::DOUBLE)::BIGINT)] AS t FROM x)
+SELECT vec_id, CAST(list_sum(list_transform(v, lambda e: greatest(-127, least(127, CAST(round(e / t * 127) AS BIGINT))))) AS BIGINT) AS checksum FROM y""")
+def quantised_vectors(spark, sf_dir):
+    q = F.aggregate(X.quantised(F.col("embedding")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return table(spark, sf_dir, "embeddings").select("vec_id", q.alias("checksum"))
+
+
+@query(f"WITH {_CHUNKS}, n AS (SELECT unnest({T.COLLECTIONS}) AS collection), k AS (SELECT collection, count(*) AS n, count(DISTINCT doc_title) AS documents FROM c GROUP BY collection) SELECT coalesce(n.collection, k.collection) AS collection, coalesce(k.n, 0) AS n, coalesce(documents, 0) AS documents, n.collection IS NOT NULL AS is_default FROM n FULL JOIN k ON k.collection = n.collection")
+def collection_info(spark, sf_dir):
+    return K.collection_info(_chunks(spark, sf_dir))
+
+
+@query(f"WITH {_CHUNKS} SELECT count(DISTINCT collection) AS collections, count(*) AS chunks, count(DISTINCT doc_title) AS documents, count(*) FILTER (contains(content, '```')) AS with_code, count(*) > 0 AS ready FROM c")
+def store_status(spark, sf_dir):
+    return K.store_status(_chunks(spark, sf_dir).withColumn("has_code_block", F.contains("content", F.lit("```"))))
+
+
 @query(f"""WITH {_CLS} SELECT id, CASE WHEN strategy IS NULL THEN 3 WHEN probability > 0.7 AND strategy IN ({", ".join(f"'{s}'" for s in T.TIER1)}) THEN 2 WHEN strategy IN ({", ".join(f"'{s}'" for s in T.TIER1)}) THEN 1
 WHEN strategy IN ({", ".join(f"'{s}'" for s in T.TIER2)}) THEN 2 ELSE 3 END AS tier FROM cl""")
 def fix_tiers(spark, sf_dir):
@@ -1013,7 +1166,6 @@ def module_mocks(spark, sf_dir):
     return N.mocks(I.NEEDS.df(spark))
 
 
-_PART3 = "list_transform([1, 2, 3], lambda i: coalesce(TRY_CAST(regexp_extract(coalesce(string_split(regexp_replace(trim({0}), '^v', ''), '.')[i], ''), '^\\s*(\\d+)', 1) AS INTEGER), 0))"
 
 
 @query(f"SELECT id, CASE WHEN {_PART3.format('a')} > {_PART3.format('b')} THEN 1 WHEN {_PART3.format('a')} < {_PART3.format('b')} THEN -1 ELSE 0 END AS compared FROM {I.VERSIONS.sql()}")
