@@ -2,6 +2,7 @@
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_FEATURES = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 MINHASH = f"""
@@ -86,4 +87,62 @@ f AS (SELECT min(n // e.a * h + t.slot) AS horizon FROM e JOIN t ON t.source IS
 SELECT doc_id, source, CAST(mix_slot AS BIGINT) AS mix_slot, CAST(mix_pos AS BIGINT) AS mix_pos, mix_slot < horizon AS in_target FROM p, f
 """
 
-ORACLES = {"op3_minhash": MINHASH, "op6_line_dedup": LINES, "op7_chat_format": CHAT, "op8_warc": WARC, "op10_mixing": MIXING}
+# the patterns and classes are those of the operator, written out
+SECRETS = r"""
+WITH k(kind, name, pattern, own, wide, bits) AS (VALUES
+  (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 8, 0, 0.0),
+  (1, 'access', 'AKIA[A-Z0-9]+', 16, 0, 0.0), (2, 'hex', '[0-9a-f]+', 32, 0, 0.0),
+  (3, 'entropy_hex', '[0-9A-Fa-f]+', 16, 16, 2.8), (4, 'entropy_alnum', '[0-9A-Za-z]+', 20, 20, 3.8), (5, 'entropy_base64', '[0-9A-Za-z+/_=-]+', 24, 24, 4.05)
+), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS (
+  SELECT doc_id, kind, regexp_split_to_array(text, pattern) AS pieces, regexp_extract_all(text, pattern, 0) AS ms, regexp_extract_all(text, pattern, 2) AS vs FROM d, k WHERE kind = 0
+  UNION ALL SELECT doc_id, kind, regexp_split_to_array(text, pattern), regexp_extract_all(text, pattern, 0), regexp_extract_all(text, pattern, 0) FROM d, k WHERE kind > 0
+),
+g AS (
+  SELECT doc_id, kind, unnest(ms) AS m, unnest(vs) AS v, unnest(pieces[1:len(ms)]) AS piece, generate_subscripts(ms, 1) AS nth FROM f WHERE len(ms) > 0
+), p AS (
+  SELECT *, CAST(sum(length(piece) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY nth) - length(m) AS BIGINT) AS s FROM g
+), q AS (SELECT p.*, k.name, k.wide, k.bits FROM p JOIN k USING (kind) WHERE length(v) >= own),
+c AS (
+  SELECT * FROM q WHERE wide > 0 AND regexp_matches(m, '[0-9+=]|[A-Za-z][A-Z]') AND NOT regexp_matches(m, '(?i)example|sample|placeholder|changeme|dummy|redacted|xxxx|abcdefgh|01234567|98765432|qwertyui')
+    AND NOT regexp_matches(m, '^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$')
+), w AS (SELECT *, unnest(range(0, length(m) - wide + 1)) AS i FROM c),
+h AS (SELECT doc_id, kind, name, s + i AS a, s + i + wide AS b FROM w WHERE list_entropy(string_split(substr(m, i + 1, wide), '')) >= bits),
+n AS (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY doc_id, kind ORDER BY a) THEN 0 ELSE 1 END AS fresh FROM h),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, kind ORDER BY a) AS part FROM n),
+o AS (
+  SELECT doc_id, kind, name, s AS a, s + length(m) AS b FROM q WHERE wide = 0
+  UNION ALL SELECT doc_id, kind, name, min(a), max(b) FROM r GROUP BY doc_id, kind, name, part
+), t AS (SELECT doc_id, kind, a, name || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT) AS shown FROM o)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(shown, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(shown, ',' ORDER BY a, kind), '') AS spans
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+IMPORTANCE = rf"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i)
+  )
+), d AS (SELECT doc_id, {_FEATURES} AS w FROM documents),
+b AS (SELECT {_FEATURES} AS w FROM benchmark),
+x AS (SELECT DISTINCT unnest(w) AS w FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
+y AS (SELECT w, list_transform(range(0, octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT)) AS bytes FROM x),
+z AS (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: xor(c // 256, t[(xor(c, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, tab),
+e AS (SELECT doc_id, unnest(w) AS w FROM d),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN z USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS w FROM b) JOIN z USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS s_all, (SELECT coalesce(sum(t), 0) FROM t) AS t_all),
+g AS (
+  SELECT u.bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) u(bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n
+), p AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM e JOIN z USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+q AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM d LEFT JOIN p USING (doc_id)
+), r AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM q)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= fit * 10 // 100 THEN place END AS rank FROM r
+"""
+
+ORACLES = {"op3_minhash": MINHASH, "op6_line_dedup": LINES, "op7_chat_format": CHAT, "op8_warc": WARC, "op10_mixing": MIXING, "op11_secrets": SECRETS, "op13_importance": IMPORTANCE}

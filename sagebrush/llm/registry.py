@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, lines, minhash, mixing, rules, tokens, warc
+from . import chat, decontam, html, importance, langid, lines, minhash, mixing, rules, secrets, tokens, warc, whitening
 from ..sources.tables import table as _table
 from .oracles import ORACLES
 
@@ -55,6 +55,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.col("src").alias("source"), "mix_slot", "mix_pos", "in_target")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", whitening.fits_long(F.col("deviation")))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_token_counts, op2_language_id, op3_minhash, op4_quality_rules, op5_decontaminate, op6_line_dedup, op7_chat_format, op8_warc, op9_html_text, op10_mixing, pipeline)
+    own = (op1_token_counts, op2_language_id, op3_minhash, op4_quality_rules, op5_decontaminate, op6_line_dedup, op7_chat_format, op8_warc, op9_html_text, op10_mixing, op11_secrets, op12_whitening, op13_importance, pipeline)
     return {f.__name__: f for f in own}
 
 
