@@ -461,8 +461,9 @@ def structural_chunks(spark, sf_dir):
 
 @query()
 def enclosing_functions(spark, sf_dir):
-    errors = I.FAULTS.df(spark).join(I.TEXTS.df(spark).select("file", "content"), "file")
-    return U.enclosing_functions(errors)
+    places = I.FAULTS.df(spark)
+    languages = places.select("file", "language").distinct()
+    return U.enclosing_functions(places.join(I.TEXTS.df(spark).select("file"), "file", "left_semi"), I.TEXTS.df(spark).join(languages, "file"))
 
 
 # -- store and scopes ------------------------------------------------------------------------------------------------

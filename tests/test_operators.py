@@ -171,14 +171,33 @@ def test_surroundings_and_braces(spark):
     assert {r.file: r.evidence for r in A.checked(spark.createDataFrame([("a", "{}"), ("b", "{{}")], "file string, content string")).collect()} == {"a": "basic structure valid", "b": "unbalanced braces: 1"}
 
 
-def test_functions_around_lines():
-    py = "import x\n\ndef f(a):\n    y = a\n\n    return y\n\nz = 1".split("\n")
-    assert U.function_span(py, 6, "python") == (3, 6, "f") and U.function_span(py, 1, "python") == (1, 8, None)
-    ts = "const n = 1;\nfunction g(a) {\n  const k = { a };\n  return k;\n}\nconst h = (x) => {\n  y();\n}".split("\n")
-    assert U.function_span(ts, 4, "typescript") == (2, 5, "g") and U.function_span(ts, 7, "javascript") == (6, 8, "h")
-    assert U.function_span(["func (s *S) Run(x int) {", "  a()", "}"], 2, "go") == (1, 3, "Run")
-    assert U.function_span(["fn main() {"] + ["x;"] * 99, 5, "rust") == (1, 51, "main")
-    assert U.function_span([""], 50, "cobol")[2] is None
+def test_functions_of_texts():
+    py = "import x\n\ndef f(a):\n    y = a\n\n    return y\n\nz = 1"
+    assert U.text_spans(py, "python") == [(3, 6, "f")] and U.text_spans(py, "cobol") == [] and U.text_spans("", "python") == []
+    ts = "const n = 1;\nfunction g(a) {\n  const k = { a };\n  return k;\n}\nconst h = (x) => {\n  y();\n}"
+    assert U.text_spans(ts, "typescript") == [(2, 5, "g"), (6, 8, "h")] == U.text_spans(ts, "javascript")
+    assert U.text_spans("func (s *S) Run(x int) {\n  a()\n}", "go") == [(1, 3, "Run")]
+    assert U.text_spans("\n".join(["fn main() {"] + ["x;"] * 99), "rust") == [(1, 51, "main")]
+    # what is nested or on one line; a body that goes on after an empty line; a head without a body
+    assert U.text_spans("function a() {\n  function b() { c(); }\n  if (x) { y } else { z }\n}\nfunction d() {}", "javascript") == [(1, 4, "a"), (2, 2, "b"), (5, 5, "d")]
+    assert U.text_spans("class A:\n    def f(self):\n        def g():\n            pass\n\n        x\n    def h(self):\n    pass\ndef k():\n\n\n", "python") == [(2, 6, "f"), (3, 4, "g"), (7, 8, "h"), (9, 12, "k")]
+    assert U.text_spans("} function a() {\n x\n}\nfunction b()\n{\n}", "javascript") == [(4, 6, "b")]
+
+
+def test_functions_around_places(spark):
+    """Cases over seven languages: a place in the body finds its function, one outside of all gets lines around it."""
+    files = [
+        ("a.ts", "import { db } from './db';\n\nconst load = async (id: string) => {\n  if (!id) {\n    throw id;\n  }\n  return 1;\n};\n\nexport default load;", "typescript"),
+        ("b.py", "class S:\n    def __init__(self):\n        self.a = 1\n\n    def get(self, k):\n        if k:\n            raise k\n        return 1\n", "python"),
+        ("c.rs", "struct A {}\n\nimpl A {\n    pub fn new() -> Self {\n        A {}\n    }\n\n    pub fn run(&self) -> R {\n        let c = 1;\n    }\n}", "rust"),
+        ("d.java", "public class C {\n    @Get\n    public R<U> find(Long id) {\n        if (id == null) {\n            return null;\n        }\n    }\n}", "java"),
+        ("e.php", "<?php\nclass C {\n    public function index($r) {\n        return 1;\n    }\n}", "php"), ("f.hs", "\n".join(f"line {k}" for k in range(1, 41)), "haskell"), ("g.ts", None, "typescript"),
+    ]
+    places = [(1, "a.ts", 5), (2, "b.py", 7), (3, "c.rs", 9), (4, "d.java", 4), (5, "e.php", 4), (6, "f.hs", 20), (7, "g.ts", None), (8, "lost.ts", 3), (9, "b.py", 1), (10, "a.ts", 5), (11, "a.ts", 10)]
+    got = {r.id: r for r in U.enclosing_functions(spark.createDataFrame(places, "id long, file string, line long"), spark.createDataFrame(files, "file string, content string, language string")).collect()}
+    assert {k: r.name for k, r in got.items()} == {1: "load", 2: "get", 3: "run", 4: "find", 5: "index", 6: None, 7: None, 8: None, 9: None, 10: "load", 11: "load"}
+    assert (got[1].start_line, got[1].end_line) == (3, 8) and got[1].code.split("\n")[2] == " >>> 5:     throw id;" and got[1].code.startswith("     3: const load")
+    assert (got[6].start_line, got[6].end_line) == (5, 35) and got[7].code == " >>> 1: " and got[9].end_line == 9 and got[2].code.endswith("     8:         return 1")
 
 
 def test_headings_of_whole_texts(spark):
