@@ -197,7 +197,7 @@ def test_functions_around_places(spark):
     got = {r.id: r for r in U.enclosing_functions(spark.createDataFrame(places, "id long, file string, line long"), spark.createDataFrame(files, "file string, content string, language string")).collect()}
     assert {k: r.name for k, r in got.items()} == {1: "load", 2: "get", 3: "run", 4: "find", 5: "index", 6: None, 7: None, 8: None, 9: None, 10: "load", 11: "load"}
     assert (got[1].start_line, got[1].end_line) == (3, 8) and got[1].code.split("\n")[2] == " >>> 5:     throw id;" and got[1].code.startswith("     3: const load")
-    assert (got[6].start_line, got[6].end_line) == (5, 35) and got[7].code == " >>> 1: " and got[9].end_line == 9 and got[2].code.endswith("     8:         return 1")
+    assert (got[6].start_line, got[6].end_line) == (5, 35) and got[7].code == " >>> 1: " and got[9].end_line == 9 and got[2].code.endswith("     8:         return 1\n     9: ")
 
 
 def test_headings_of_whole_texts(spark):
