@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..sources import web as W
 from ..sources.scratch import stored
+from . import chunks as C
 from . import documents as D
 from . import store as K
 from . import structure as U
@@ -97,29 +98,26 @@ def outcome(rows: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def ingest(files: DataFrame, store: str, collection: str | None = None, most: int = 512, overlap: int = 80) -> DataFrame:
-    """Appends the chunks of files (path, content) to a store and gives what became of each file.
+    """Takes the chunks of files (path, content) into a chunk store and gives what became of each file.
 
-    Files whose path the store has already are taken out first, so that a file read again is not stored twice. Whole
-    partitions are rewritten for that, and only those that such files are in.
+    All of it is one new version of the store: the chunks of files that can be read, in place of what the store had of
+    their paths. A call that is killed leaves the store as it was; two calls at once both count. A file's chunks are
+    numbered in one sort of its path, so a file is the work of one task; files are books and sources, not corpora.
     """
-    spark = files.sparkSession
     rows = detected(files, collection)
     made = stored(chunks(rows, most, overlap), "chunks")
-    K.ensure_store(spark, store, _ddl(made))
-    old = spark.read.schema(_ddl(made)).parquet(store)
-    again = old.join(made.select("path").distinct(), "path", "left_semi").select("collection").distinct()
-    touched = [r[0] for r in again.collect()]  # at most as many as there are collections
-    if touched:
-        kept = stored(old.where(F.col("collection").isin(touched)).join(made.select("path").distinct(), "path", "left_anti"), "kept")
-        for name in touched:
-            K.drop_collection(spark, store, name)
-        K.add_chunks(kept, store)
-    K.add_chunks(made, store)
+    with_ids = made.withColumn("id", C.chunk_id(*map(F.col, ("path", "chunk_type", "summary_level", "section_path", "chunk_index", "content"))))
+    C.ChunkStore(files.sparkSession, store).replace(with_ids, rows.where("error is null"))
     return outcome(rows, made)
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def reindex(spark: SparkSession, folders: list[str], store: str) -> DataFrame:
+    """Ingests all files of several folder trees as one version; gives one row of totals."""
+    files = None
+    for folder in folders:
+        own = W.files(spark, folder)
+        files = own if files is None else files.unionByName(own)
+    return totals(ingest(files, store))
 
 
 def ingest_folder(spark: SparkSession, folder: str, store: str, collection: str | None = None) -> DataFrame:

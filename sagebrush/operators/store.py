@@ -1,43 +1,16 @@
-"""The chunk store: one table partitioned by collection, its scans, deletions and statistics."""
+"""Scans, scopes and statistics of chunks; `chunks` has the store that holds them."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import tables as T
 from ..functions import text as X
 
-CHUNK = "id long, content string, collection string, doc_title string, book_id string, chapter string, section_path string, chunk_index long, chunk_type string, has_code_block boolean"
-
-
-def add_chunks(chunks: DataFrame, path: str) -> None:
-    """Appends chunks; one partition a collection. A large collection is split by its size, small ones share tasks."""
-    chunks.hint("rebalance", "collection").write.partitionBy("collection").mode("append").parquet(path)
-
-
-def ensure_store(spark: SparkSession, path: str, columns: str = CHUNK) -> DataFrame:
-    """The store at a path, made empty where there is none."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        spark.createDataFrame([], columns).write.partitionBy("collection").parquet(path)
-    return spark.read.schema(columns).parquet(path)
-
-
-def drop_collection(spark: SparkSession, path: str, collection: str) -> None:
-    """Empties a collection: its partition alone is removed, the others are not read."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={collection}")
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def replace_collections(chunks: DataFrame, path: str) -> None:
-    """Overwrites the collections that chunks have, and no others; chunks may not be read from the same path."""
-    chunks.hint("rebalance", "collection").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
-
-
 def collection_info(chunks: DataFrame) -> DataFrame:
     """(collection, n, documents, is_default) of the collections that have chunks, and of the defaults that have none."""
     own = chunks.groupBy("collection").agg(F.count("*").alias("n"), F.count_distinct("doc_title").alias("documents"))
@@ -52,10 +25,6 @@ def store_status(chunks: DataFrame) -> DataFrame:
     return row.withColumn("ready", F.col("chunks") > 0)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def scroll(chunks: DataFrame, conditions: list[dict], limit: int = 200, sort_by: str | None = None) -> DataFrame:
     """Rows that meet all conditions ({key, value} for equality, {key, text} for all words), sorted, then limited."""
 

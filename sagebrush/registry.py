@@ -14,6 +14,7 @@ from .functions import cases as C
 from .functions import tables as T
 from .functions import text as X
 from .operators import candidates as A
+from .operators import chunks as B
 from .operators import documents as D
 from .operators import errors as E
 from .operators import fixes as H
@@ -30,6 +31,7 @@ from .operators import versions as R
 from .plans import inline as I
 from .sources import code as P
 from .sources import web as W
+from .sources.scratch import scratch
 from .sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,6 +501,26 @@ def books(spark, sf_dir):
     return K.books(_chunks(spark, sf_dir))
 
 
+_CHANGED = f"""{_CHUNKS}, n AS (SELECT id, upper(content) AS content, 'rust' AS collection FROM c WHERE id % 3 = 0),
+u AS (SELECT id, content, collection FROM c WHERE id % 3 <> 0 UNION ALL SELECT * FROM n)"""
+
+
+@query(f"""WITH {_CHANGED} SELECT 1 AS version, id, collection, md5(content) AS digest FROM c
+UNION ALL SELECT 4, id, collection, md5(content) FROM u WHERE id % 7 <> 0 AND (collection IS NULL OR collection <> 'go')
+UNION ALL SELECT 5, id, collection, md5(content) FROM u WHERE id % 7 <> 0 AND (collection IS NULL OR collection <> 'go')""")
+def snapshot_chunks(spark, sf_dir):
+    """A store after replacing a third of its chunks, deleting a seventh, dropping a collection and compacting; and as it was at first."""
+    chunks = _chunks(spark, sf_dir).select("id", "content", "collection", "doc_title", "book_id")
+    store = B.ChunkStore(spark, scratch(spark, "store"), "id")
+    store.add(chunks)
+    store.replace(chunks.where("id % 3 = 0").withColumn("content", F.upper("content")).withColumn("collection", F.lit("rust")))
+    store.delete(chunks.where("id % 7 = 0"))
+    store.drop("go")
+    store.rewrite()
+    at = lambda v: store.read(v).select(F.lit(v).alias("version"), "id", "collection", F.md5("content").alias("digest"))
+    return at(1).union(at(4)).union(at(5))
+
+
 _SCOPE = f"{_BM25}, {_CHUNKS}, h AS (SELECT id, score FROM sp WHERE score > 0 ORDER BY score DESC, id LIMIT 50), sc AS (SELECT chapter, book_id, sum(score) AS s, min(c.id) AS f FROM h JOIN c ON c.id = h.id GROUP BY ALL ORDER BY s DESC, f LIMIT 1)"
 
 

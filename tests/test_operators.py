@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sagebrush import registry
 from sagebrush.functions import text as X
 from sagebrush.operators import candidates as A
+from sagebrush.operators import chunks as C
 from sagebrush.operators import documents as D
 from sagebrush.operators import errors as E
 from sagebrush.operators import fixes as H
@@ -96,9 +97,10 @@ def test_memory_gate(spark):
 
 def test_store_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, "alpha beta", "go"), (2, "gamma", "rust")], "id long, content string, collection string")
-    K.add_chunks(rows, f"{tmp_path}/c")
-    K.add_chunks(rows.where("id = 2"), f"{tmp_path}/c")
-    back = K.read_chunks(spark, f"{tmp_path}/c")
+    store = C.ChunkStore(spark, f"{tmp_path}/c", "id")
+    store.add(rows)
+    store.add(rows.where("id = 2"))
+    back = store.read()
     assert back.count() == 3 and K.scroll(back, [{"key": "content", "text": "Beta"}]).first().id == 1
 
 

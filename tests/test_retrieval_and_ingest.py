@@ -7,10 +7,10 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sagebrush.operators import chunks as C
 from sagebrush.operators import documents as D
 from sagebrush.operators import ingest as L
 from sagebrush.operators import retrieval as Q
-from sagebrush.operators import store as K
 from sagebrush.plans import inline as I
 
 WORDS = [f"word{k}" for k in range(60)]
@@ -141,18 +141,22 @@ def test_ingest_and_store(spark, tmp_path):
     done = {r.path: r for r in L.ingest(files, store, None, 64, 8).collect()}
     assert done["lost.md"].error == "no content" and done["book.pdf"].error and not done["book.pdf"].indexed
     assert done["docs/guide.md"].chunks_stored > 10 and done["src/a.py"].chunks_stored == 2 and done["empty.md"].chunks_stored == 0
-    back = spark.read.parquet(store)
+    read = lambda: C.ChunkStore(spark, store).read()
+    back = read()
     n = back.count()
     assert n == sum(r.chunks_stored for r in done.values())
     guide = back.where("path = 'docs/guide.md'")
     assert {r[0] for r in guide.select("chunk_type").distinct().collect()} == {"detail", "summary"} and guide.where("chapter = 'Guide' and section = 'Setup'").count() > 5
     # a file that comes again takes the place of what was stored of it
     assert L.totals(L.ingest(files, store, None, 64, 8)).first()[:] == (6, 2, n)
-    assert spark.read.parquet(store).count() == n
+    assert read().count() == n and read().select("id").distinct().count() == n
     L.ingest_text(spark, "more.md", "# More\n\nSome words.", store, "personal")
-    assert spark.read.parquet(store).where("collection = 'personal'").count() == 1
-    K.drop_collection(spark, store, "personal")
-    assert spark.read.parquet(store).count() == n
+    assert read().where("collection = 'personal'").count() == 1
+    C.ChunkStore(spark, store).drop("personal")
+    assert read().count() == n
+    # a file that is empty now has no chunks any more
+    L.ingest(spark.createDataFrame([("src/a.py", "")], "path string, content string"), store)
+    assert read().where("path = 'src/a.py'").count() <= 1
 
 
 def test_ingest_of_a_folder(spark, tmp_path):
