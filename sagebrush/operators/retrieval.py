@@ -9,21 +9,20 @@ as a function over columns or a table, and has a default that needs no model.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..sources.scratch import scratch, stored
+from ..sources.snapshots import BORN, SEGMENT, Conflict, Manifest, Snapshots, live
 from . import search as S
+from .vectors import VectorIndex, exact_hits, gathered, ranked
 
 #: Parts of the postings, by hash of the term; a search reads those of its terms only.
 BUCKETS = 64
-#: Queries whose vectors a task holds at once.
-QUERY_BLOCK = 1000
 #: What a query is headed with before it is embedded, by kind; other kinds are general (fixed kinds).
 PREFIXED = ("general", "error", "code", "structural")
 
@@ -31,123 +30,158 @@ PREFIXED = ("general", "error", "code", "structural")
 # -- the sparse index ------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class SparseIndex:
-    """BM25 of each collection: postings (bucket, collection, term, id, weight, idf) and stats (collection, n_docs, n_tokens, avg_len)."""
-
-    postings: DataFrame
-    stats: DataFrame
-
-    @staticmethod
-    def of(chunks: DataFrame, text: str = "content", key: str = "id", collection: str = "collection") -> SparseIndex:
-        """The index as plans over chunks (id, content, collection)."""
-        base = chunks.select(F.col(collection).alias("collection"), F.col(key).alias("id"), X.tokens(F.coalesce(text, F.lit(""))).alias("t"))
-        tf = base.select("collection", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("collection", "id", "len", "term").agg(F.count("*").alias("tf"))
-        docs = chunks.groupBy(F.col(collection).alias("collection")).agg(F.count("*").alias("n_docs"))
-        total = tf.groupBy("collection").agg(F.sum("tf").alias("n_tokens"))
-        stats = docs.join(total, "collection", "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
-        stats = stats.withColumn("avg_len", F.when(F.col("n_tokens") == 0, 1.0).otherwise(F.col("n_tokens") / F.col("n_docs")))
-        df = tf.groupBy("collection", "term").agg(F.count("*").alias("df"))
-        rows = tf.join(df, ["collection", "term"]).join(stats, "collection")
-        own = S.idf(F.col("n_docs"), F.col("df"))
-        weight = own * S.tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))
-        return SparseIndex(rows.select(_bucket().alias("bucket"), "collection", "term", "id", weight.alias("weight"), own.alias("idf")), stats)
-
-    def save(self, path: str | None = None) -> SparseIndex:
-        """Writes the index, by default to the shared folder, sorted by term within each bucket; gives the one that reads it."""
-        spark = self.postings.sparkSession
-        path = path or scratch(spark, "index")
-        # few files for each bucket; a bucket with a very common term is split by its size
-        dealt = self.postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        return SparseIndex.load(spark, path)
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> SparseIndex:
-        return SparseIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
-
-    def search(self, queries: DataFrame, limit: int, among: DataFrame | None = None) -> DataFrame:
-        """(query_id, collection, id, score, rank) of the best chunks of each (query_id, collection, query).
+def weighted(chunks: DataFrame, text: str = "content", key: str = "id", collection: str = "collection") -> DataFrame:
+    """(collection, term, id, weight, idf): the BM25 vectors of chunks, one row an entry, as a plan."""
+    base = chunks.select(F.col(collection).alias("collection"), F.col(key).alias("id"), X.tokens(F.coalesce(text, F.lit(""))).alias("t"))
+    tf = base.select("collection", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("collection", "id", "len", "term").agg(F.count("*").alias("tf"))
+    docs = chunks.groupBy(F.col(collection).alias("collection")).agg(F.count("*").alias("n_docs"))
+    stats = _averaged(docs.join(tf.groupBy("collection").agg(F.sum("tf").alias("n_tokens")), "collection", "left"))
+    df = tf.groupBy("collection", "term").agg(F.count("*").alias("df"))
+    rows = tf.join(df, ["collection", "term"]).join(stats, "collection")
+    own = S.idf(F.col("n_docs"), F.col("df"))
+    return rows.select("collection", "term", "id", (own * S.tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))).alias("weight"), own.alias("idf"))
 
-        `among` (id) holds the chunks that count, if not all do. A query is weighted like a document.
-        """
-        terms = queries.select("query_id", "collection", X.tokens(F.coalesce("query", F.lit(""))).alias("t"))
-        terms = terms.select("query_id", "collection", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("query_id", "collection", "len", "term").agg(F.count("*").alias("tf"))
-        terms = terms.join(self.stats.select("collection", "avg_len"), "collection").withColumn("bucket", _bucket())
-        terms = terms.withColumn("tn", S.tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))).select("query_id", "collection", "bucket", "term", "tn")
-        rows = self.postings if among is None else self.postings.join(among.select("id"), "id", "left_semi")
-        hits = rows.join(terms, ["bucket", "collection", "term"])
-        sums = hits.groupBy("query_id", "collection", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf") * F.col("tn")), S.TIE).alias("score")).where("score > 0")
-        return _ranked(sums, limit)
 
+def _averaged(stats: DataFrame) -> DataFrame:
+    total = F.coalesce("n_tokens", F.lit(0))
+    return stats.select("collection", "n_docs", total.alias("n_tokens"), F.when(total == 0, 1.0).otherwise(total / F.col("n_docs")).alias("avg_len"))
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
 
+class SparseIndex:
+    """BM25 of each collection, as a store that grows: inserts and deletes are segments, weights come from merged counts.
 
-def _ranked(rows: DataFrame, limit: int) -> DataFrame:
-    """The best of each query and collection; Spark cuts each task's rows to the limit before it shuffles them."""
-    nth = F.row_number().over(Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "id"))
-    return rows.withColumn("rank", nth).where(F.col("rank") <= limit)
+    Postings (bucket, collection, term, id, tf, len) say how often a term is in a chunk; counts of terms (df) and of
+    collections (n_docs, n_tokens) are sums over segments, those of deletes negative. A chunk's terms are kept with it,
+    so that a delete reads the rows of what it deletes, not the postings. Each change is one version of the store.
+    """
 
+    POSTINGS, TERMS, STATS, CHUNKS, DELETES = "postings", "terms", "stats", "docs", "deletes"
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.tables = spark, Snapshots(spark, path or scratch(spark, "index"))
+
+    # -- changes -------------------------------------------------------------------------------------------------------
+
+    def _write(self, docs: DataFrame, sign: int = 1) -> dict[str, tuple[str, StructType]]:
+        """Segments of chunks (collection, id, len, terms) with their counts; for deletes counts alone, negative."""
+        df = docs.select("collection", F.explode("terms").alias("term")).groupBy("collection", "term").agg(F.count("*").alias("df"))
+        df = df.select(_bucket().alias("bucket"), "collection", "term", (F.col("df") * sign).alias("df"))
+        stats = docs.groupBy("collection").agg((F.count("*") * sign).alias("n_docs"), (F.sum("len") * sign).cast("long").alias("n_tokens"))
+        return {t: (self.tables.write(d, t, by), d.schema) for t, d, by in ((self.TERMS, _dealt(df), ("bucket",)), (self.STATS, stats, ()))}
+
+    def _added(self, chunks: DataFrame) -> dict[str, tuple[str, StructType]]:
+        tokens = chunks.select("collection", F.col("id").cast("long").alias("id"), X.tokens(F.coalesce("content", F.lit(""))).alias("t"))
+        docs = tokens.select("collection", "id", F.size("t").alias("len"), F.array_distinct("t").alias("terms"))
+        # sorted by id, so that a delete finds its rows by the bounds of row groups
+        name = self.tables.write(docs.sortWithinPartitions("id"), self.CHUNKS)
+        own = self.spark.read.schema(docs.schema).parquet(f"{self.tables.path}/{self.CHUNKS}/{SEGMENT}={name}")
+        tf = tokens.select("collection", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("collection", "id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+        rows = _dealt(tf.select(_bucket().alias("bucket"), "collection", "term", "id", "tf", "len"))
+        return self._write(own) | {self.CHUNKS: (name, docs.schema), self.POSTINGS: (self.tables.write(rows, self.POSTINGS, ("bucket",)), rows.schema)}
+
+    def _commit(self, operation: str, parts: list[dict], base: Manifest | None) -> SparseIndex:
+        def change(m: Manifest) -> Manifest:
+            # what a delete takes off the counts depends on what was there
+            if base is not None and (base.segments(self.CHUNKS), base.segments(self.DELETES)) != (m.segments(self.CHUNKS), m.segments(self.DELETES)):
+                raise Conflict("the index was changed meanwhile")
+            for part in parts:
+                for table, (name, schema) in part.items():
+                    m = m.with_segment(table, name, schema)
+            return m
+
+        self.tables.commit(operation, change)
+        return self
+
+    def insert(self, chunks: DataFrame) -> SparseIndex:
+        """Adds chunks (id, content, collection) whose ids the index does not have."""
+        return self._commit("insert", [self._added(chunks)], None)
+
+    def _gone(self, ids: DataFrame, base: Manifest) -> dict:
+        keys = ids.select(F.col("id").cast("long").alias("id")).distinct()
+        hit = self._live(self.tables.read(self.CHUNKS, base), base).join(keys, "id", "left_semi")
+        return self._write(stored(hit.select("collection", "id", "len", "terms"), "gone"), -1) | {self.DELETES: (self.tables.write(keys, self.DELETES), keys.schema)}
+
+    def delete(self, ids: DataFrame) -> SparseIndex:
+        """Takes out the chunks of ids (id); ids that are not there change nothing. Changes by others meanwhile are a `Conflict`."""
+        base = self.tables.manifest()
+        return self._commit("delete", [self._gone(ids, base)], base) if base.segments(self.CHUNKS) else self
+
+    def replace(self, chunks: DataFrame) -> SparseIndex:
+        """Adds chunks in place of those with the same ids, in one version."""
+        base = self.tables.manifest()
+        if not base.segments(self.CHUNKS):
+            return self.insert(chunks)
+        return self._commit("replace", [self._gone(chunks, base), self._added(chunks)], base)
+
+    def compact(self, most_segments: int = 8) -> bool:
+        """Merges all segments to one a table once there are more of chunks and deletes than that; scores stay as they are."""
+        base = self.tables.manifest()
+        if len(base.segments(self.CHUNKS)) + len(base.segments(self.DELETES)) <= most_segments:
+            return False
+        rows = {t: self._live(self.tables.read(t, base), base).drop(SEGMENT, BORN) for t in (self.CHUNKS, self.POSTINGS)}
+        rows[self.CHUNKS] = rows[self.CHUNKS].repartitionByRange("id").sortWithinPartitions("id")
+        rows[self.POSTINGS] = _dealt(rows[self.POSTINGS])
+        rows[self.TERMS] = _dealt(self.tables.read(self.TERMS, base).groupBy("bucket", "collection", "term").agg(F.sum("df").alias("df")).where("df > 0"))
+        rows[self.STATS] = self.tables.read(self.STATS, base).groupBy("collection").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs > 0")
+        new = {t: (self.tables.write(d, t, ("bucket",) if "bucket" in d.columns else ()), d.schema) for t, d in rows.items()}
+
+        def change(m: Manifest) -> Manifest:
+            if base.tables != m.tables:
+                raise Conflict("the index was changed meanwhile")
+            for table in (*new, self.DELETES):
+                m = m.without(table)
+            for table, (name, schema) in new.items():
+                m = m.with_segment(table, name, schema)
+            return m
+
+        self.tables.commit("compact", change)
+        return True
+
+    # -- reading -------------------------------------------------------------------------------------------------------
+
+    def _live(self, rows: DataFrame, m: Manifest) -> DataFrame:
+        return live(rows, self.tables.read(self.DELETES, m), "id") if m.segments(self.DELETES) else rows
+
+    def stats(self, m: Manifest | None = None) -> DataFrame:
+        """(collection, n_docs, n_tokens, avg_len) of the collections that have chunks."""
+        sums = self.tables.read(self.STATS, m).groupBy("collection").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return _averaged(sums.where("n_docs > 0"))
+
+    def search(self, queries: DataFrame, limit: int, flags: DataFrame | None = None) -> DataFrame:
+        """(query_id, collection, id, score, rank) of the best chunks of each (query_id, collection, query).
 
-# -- vectors ---------------------------------------------------------------------------------------------------------
+        `flags` (id, only) holds the chunks that count, if not all do; queries with a true column `only` count those that
+        have it, too. A query is weighted like a document. Postings are read from the folders of the terms that are asked.
+        """
+        m = self.tables.manifest()
+        marked = F.coalesce("only", F.lit(False)) if flags is not None and "only" in queries.columns else F.lit(False)
+        terms = queries.select("query_id", "collection", marked.alias("only"), X.tokens(F.coalesce("query", F.lit(""))).alias("t"))
+        terms = terms.select("query_id", "collection", "only", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("query_id", "collection", "only", "len", "term").agg(F.count("*").alias("n"))
+        terms = stored(terms.withColumn("bucket", _bucket()), "terms")
+        buckets = [r[0] for r in terms.select("bucket").distinct().collect()]  # BUCKETS at most
+        asked = terms.select("bucket", "collection", "term").distinct()
+        keys = ["bucket", "collection", "term"]
+        df = self.tables.read(self.TERMS, m).where(F.col("bucket").isin(buckets)).join(asked, keys, "left_semi").groupBy(*keys).agg(F.sum("df").alias("df")).where("df > 0")
+        stats = self.stats(m)
+        own = terms.join(df, keys).join(stats, "collection").withColumn("idf", S.idf(F.col("n_docs"), F.col("df"))).withColumn("tn", S.tf_norm(F.col("n"), F.col("len"), F.col("avg_len")))
+        rows = self.tables.read(self.POSTINGS, m).where(F.col("bucket").isin(buckets))
+        hits = rows.join(own.select("query_id", *keys, "only", "idf", "tn", "avg_len"), keys)
+        # deletes and flags meet only what the terms let through
+        hits = self._live(hits, m)
+        if flags is not None:
+            hits = hits.join(flags.select("id", F.col("only").alias("flagged")), "id").where(~F.col("only") | F.col("flagged"))
+        weight = F.col("idf") * S.tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))
+        sums = hits.groupBy("query_id", "collection", "id").agg(F.round(F.sum(weight * F.col("idf") * F.col("tn")), S.TIE).alias("score")).where("score > 0")
+        return ranked(sums, limit)
 
 
-def dense_hits(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(query_id, collection, id, score, rank) of the nearest vectors (id, collection, embedding) of each (query_id, collection, vector), exactly.
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
 
-    The queries are a set of their own, taken in blocks of `QUERY_BLOCK`; a task holds one block and, for each of its
-    queries and collections, the best rows of a batch. A null vector is like nothing.
-    """
-    import pyarrow as pa
-
-    spark = vectors.sparkSession
-    schema = "query_id long, collection string, id long, score double"
-
-    def near(ids: list, matrix: np.ndarray):
-        length = np.sqrt((matrix**2).sum(axis=1))
-        unit = matrix / np.where(length == 0, 1, length)[:, None]
-
-        def run(batches):
-            for batch in batches:
-                out = {"query_id": [], "collection": [], "id": [], "score": []}
-                key, collection, vector = (batch.column(k) for k in range(3))
-                if batch.num_rows:
-                    own = np.stack(vector.to_numpy(zero_copy_only=False)).astype(np.float64)
-                    size = np.sqrt((own**2).sum(axis=1))
-                    scores = np.round((own / np.where(size == 0, 1, size)[:, None]) @ unit.T, S.TIE)
-                    key, collection = key.to_numpy(zero_copy_only=False), np.array(collection.to_pylist(), object)
-                    for name in sorted(set(collection.tolist()), key=str):
-                        at = np.flatnonzero(collection == name)
-                        for q, number in enumerate(ids):
-                            best = at[np.lexsort((key[at], -scores[at, q]))[:limit]]
-                            out["query_id"] += [number] * len(best)
-                            out["collection"] += [name] * len(best)
-                            out["id"] += key[best].tolist()
-                            out["score"] += scores[best, q].tolist()
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("query_id", pa.int64()), ("collection", pa.string()), ("id", pa.int64()), ("score", pa.float64())]))
-
-        return run
-
-    rows = vectors.where("embedding is not null").select(F.col("id").cast("long"), "collection", F.col("embedding").cast("array<double>"))
-    found, block = None, []
-
-    def flush():
-        nonlocal found, block
-        if block:
-            part = rows.mapInArrow(near([r[0] for r in block], np.array([r[1] for r in block], np.float64)), schema)
-            found = part if found is None else found.unionByName(part)
-            block = []
-
-    for r in queries.where("vector is not null").select("query_id", "vector").distinct().toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    flush()
-    found = found if found is not None else spark.createDataFrame([], schema)
-    return _ranked(found.join(queries.select("query_id", "collection").distinct(), ["query_id", "collection"]), limit)
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Few files for each bucket, sorted by term; a bucket with a very common term is split by its size."""
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection", "term")
 
 
 # -- retrieval -------------------------------------------------------------------------------------------------------
@@ -167,16 +201,22 @@ def prefix_of(kind: Column, prefixes: dict) -> Column:
     return X.lookup(own, prefixes)
 
 
-def hybrid_hits(index: SparseIndex, vectors: DataFrame, queries: DataFrame, limit: int, among: DataFrame | None = None) -> DataFrame:
+def hybrid_hits(index: SparseIndex, vectors: DataFrame, queries: DataFrame, limit: int, flags: DataFrame | None = None, near: VectorIndex | None = None) -> DataFrame:
     """(query_id, collection, id, score, rank): dense and sparse candidates of each query and collection, fused by rank.
 
     Three times the limit (20 at least) of each list; the score is divided by what a row that leads all non-empty lists
-    gets; the dense list leads ties.
+    gets; the dense list leads ties. `flags` is as in `SparseIndex.search`. With a vector index, queries that no flags
+    bind read that instead of all vectors. Both lists are one stored table before they are fused.
     """
     most = max(3 * limit, 20)
-    dense = vectors if among is None else vectors.join(among.select("id"), "id", "left_semi")
-    lists = [dense_hits(dense, queries, most), index.search(queries, most, among)]
-    both = lists[0].withColumn("list", F.lit(0)).unionByName(lists[1].withColumn("list", F.lit(1)))
+    lists = []
+    if flags is None:
+        lists.append((0, near.search(queries, most) if near else exact_hits(vectors, queries, most)))
+    else:
+        lists.append((0, exact_hits(vectors.join(flags, "id"), queries, most, "only")))
+    lists.append((1, index.search(queries, most, flags)))
+    schema = "query_id long, collection string, id long, rank int, list int"
+    both = gathered(queries.sparkSession, (d.select("query_id", "collection", F.col("id").cast("long").alias("id"), "rank", F.lit(k).alias("list")) for k, d in lists), schema, "candidates")
     both = both.withColumn("lists", F.size(F.collect_set("list").over(Window.partitionBy("query_id", "collection"))))
     sums = both.groupBy("query_id", "collection", "id").agg(F.sum(1 / (F.lit(S.RRF_K) + F.col("rank"))).alias("rrf"), F.min(F.struct("list", "rank")).alias("first"), F.max("lists").alias("lists"))
     sums = sums.withColumn("score", F.round(F.col("rrf") / (F.col("lists") / F.lit(S.RRF_K + 1.0)), 12))
@@ -184,27 +224,21 @@ def hybrid_hits(index: SparseIndex, vectors: DataFrame, queries: DataFrame, limi
     return sums.select("query_id", "collection", "id", "score", nth.alias("rank")).where(F.col("rank") <= limit)
 
 
-def hits(index: SparseIndex, vectors: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 20, forced: list[str] | None = None, expansions: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+def hits(index: SparseIndex, vectors: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int = 20, forced: list[str] | None = None, expansions: DataFrame | None = None, where: Column | None = None, near: VectorIndex | None = None) -> DataFrame:
     """(query_id, nth, collection, id, score): the best 20 chunks of all collections that a query (query_id, query, label, vector) asks.
 
     Structural queries ask structural chunks only; `where` is a further condition on chunks (scope or project of
     memories, kinds of chunks). Queries with fewer than three scores above 0.6 take in ten hits a collection of each of
     their expansions (query_id, n, query, vector); of a chunk found more than once the first place counts.
     """
-    asked = routed(queries, forced)
-    kinds = [(F.col("kind") != "structural", where)]
-    if "chunk_type" in chunks.columns:
-        only = F.col("chunk_type") == "structural"
-        kinds.append((F.col("kind") == "structural", only if where is None else only & where))
-    else:
-        kinds = [(F.lit(True), where)]
+    asked = routed(queries, forced).withColumn("only", F.col("kind") == "structural")
+    flags = None
+    if where is not None or "chunk_type" in chunks.columns:
+        only = F.coalesce(F.col("chunk_type") == "structural", F.lit(False)) if "chunk_type" in chunks.columns else F.lit(True)
+        flags = (chunks if where is None else chunks.where(where)).select(F.col("id").cast("long").alias("id"), only.alias("only"))
 
     def found(rows: DataFrame, most: int) -> DataFrame:
-        out = None
-        for own, condition in kinds:
-            part = hybrid_hits(index, vectors, rows.where(own), most, None if condition is None else chunks.where(condition))
-            out = part if out is None else out.unionByName(part)
-        return out
+        return hybrid_hits(index, vectors, rows, most, flags, near)
 
     first = found(asked, limit).join(asked.select("query_id", "collection", "place"), ["query_id", "collection"]).withColumn("n", F.lit(0))
     if expansions is not None:
@@ -215,11 +249,11 @@ def hits(index: SparseIndex, vectors: DataFrame, chunks: DataFrame, queries: Dat
         # each expansion is a query of its own on the way
         own = weak.join(expansions.select("query_id", "n", "query", "vector"), "query_id")
         key = F.xxhash64("query_id", "n")
-        more = own.withColumn("kind", F.lit("general"))
+        more = own.withColumn("only", F.lit(False))
         got = found(more.withColumn("query_id", key), 10)
         back = own.select(key.alias("key"), "query_id", "n", "collection", "place").distinct()
         more = got.withColumnRenamed("query_id", "key").join(back, ["key", "collection"]).drop("key")
-        every = first.unionByName(stored(more.select(*first.columns), "hits"))
+        every = gathered(queries.sparkSession, (first, more.select(*first.columns)), first.schema, "hits")
         # the first list counts by score and then by place, those of expansions by their order
         order = Window.partitionBy("query_id", "id").orderBy("n", F.when(F.col("n") == 0, -F.col("score")), "place", "rank")
         first = every.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")

@@ -27,11 +27,12 @@ from .operators import session as V
 from .operators import skeletons as N
 from .operators import store as K
 from .operators import structure as U
+from .operators import vectors as Y
 from .operators import versions as R
 from .plans import inline as I
 from .sources import code as P
 from .sources import web as W
-from .sources.scratch import scratch
+from .sources.scratch import scratch, stamp, stored
 from .sources.tables import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +86,26 @@ dn AS (SELECT vec_id AS id, label, round(list_dot_product(embedding::DOUBLE[], q
 """
 
 
+def _all_in_one(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("all").alias("collection"))
+
+
+def _one(spark, text: str, vector: list[float] | None = None) -> DataFrame:
+    """One query of the collection of all documents."""
+    return spark.createDataFrame([(1, "all", text, vector)], "query_id long, collection string, query string, vector array<double>")
+
+
+_INDEXES: dict[tuple, Q.SparseIndex] = {}
+
+
+def _index(spark, sf_dir, kind: str) -> Q.SparseIndex:
+    """The stored sparse index of a table of documents as it is now (its size and time are looked at), made once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, stamp(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _INDEXES:
+        _INDEXES[key] = Q.SparseIndex(spark).insert(_all_in_one(spark, sf_dir) if kind == "all" else _indexed(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def _vector(spark, sf_dir) -> list[float]:
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
@@ -96,7 +117,8 @@ u AS (SELECT id, r, 0 AS l FROM a UNION ALL SELECT id, r, 1 FROM b),
 f AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) / ((SELECT count(DISTINCT l) FROM u) / 61.0::DOUBLE) AS score, min(l * 1000 + r) AS p FROM u GROUP BY id)
 SELECT id, round(score, 6) AS score FROM f ORDER BY f.score DESC, p LIMIT 20""")
 def hybrid_search(spark, sf_dir):
-    out = S.hybrid_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), QUERY, _vector(spark, sf_dir))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("collection"), "embedding")
+    out = Q.hybrid_hits(_index(spark, sf_dir, "all"), vectors, _one(spark, QUERY, _vector(spark, sf_dir)), 20)
     return out.select("id", r6("score").alias("score"))
 
 
@@ -110,20 +132,47 @@ def bm25_corpus_stats(spark, sf_dir):
     return S.corpus_stats(table(spark, sf_dir, "documents")).withColumn("avg_len", r6("avg_len"))
 
 
-@query(f"WITH {_BM25} SELECT doc_id, term, round(idf * tn, 6) AS weight FROM wt WHERE idf * tn > 9")
+@query(f"WITH {_BM25} SELECT doc_id, term, round(idf * tn, 6) AS weight FROM wt")
 def bm25_weights(spark, sf_dir):
-    return S.weights(table(spark, sf_dir, "documents")).where("weight > 9").withColumn("weight", r6("weight"))
+    return S.weights(table(spark, sf_dir, "documents")).withColumn("weight", r6("weight"))
 
 
 @query(f"WITH {_BM25} SELECT doc_id, term, round(idf * tn, 6) AS weight FROM wt")
 def bm25_weights_all(spark, sf_dir):
-    """The stored sparse index whole: the rows of bm25_weights and those of lower weights."""
+    """The rows of bm25_weights, which had a cut at a weight of 9 for two rounds."""
     return S.weights(table(spark, sf_dir, "documents")).withColumn("weight", r6("weight"))
 
 
 @query(f"WITH {_BM25} SELECT id AS doc_id, round(score, 6) AS score FROM sp WHERE score > 0 ORDER BY sp.score DESC, id LIMIT 20")
 def bm25_search(spark, sf_dir):
-    return S.sparse_search(table(spark, sf_dir, "documents"), QUERY.split(), 20).withColumn("score", r6("score"))
+    """The best 20 documents by the stored index; the first search of a session builds it."""
+    return _index(spark, sf_dir, "all").search(_one(spark, QUERY), 20).select(F.col("id").alias("doc_id"), r6("score").alias("score"))
+
+
+_GROWN = _BM25.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' that the tion' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0)", 1)
+
+
+def _grown(spark, sf_dir):
+    """An index made in five steps: documents in two parts, a tenth of them with longer texts, a ninth taken out, and segments merged."""
+    docs = _all_in_one(spark, sf_dir)
+    index = Q.SparseIndex(spark).insert(docs.where("id % 4 <> 0")).insert(docs.where("id % 4 = 0"))
+    return index.replace(docs.where("id % 10 = 0").withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit(" that the tion")))).delete(docs.where("id % 9 = 0"))
+
+
+@query(f"WITH {_GROWN} SELECT id AS doc_id, round(score, 6) AS score, false AS merged FROM sp WHERE score > 0 UNION ALL SELECT id, round(score, 6), true FROM sp WHERE score > 0")
+def sparse_index_grown(spark, sf_dir):
+    """All scores after inserts, replacements and deletes, before and after segments are merged: those of an index made anew."""
+    index, n = _grown(spark, sf_dir), 1 << 30
+    before = stored(index.search(_one(spark, QUERY), n), "scores")
+    index.compact(1)
+    both = ((before, False), (index.search(_one(spark, QUERY), n), True))
+    rows = [d.select(F.col("id").alias("doc_id"), r6("score").alias("score"), F.lit(k).alias("merged")) for d, k in both]
+    return rows[0].union(rows[1])
+
+
+@query(f"WITH {_GROWN} SELECT 'all' AS collection, n AS n_docs, CAST((SELECT sum(len(t)) FROM tk) AS BIGINT) AS n_tokens, round(av, 6) AS avg_len FROM st")
+def sparse_index_stats(spark, sf_dir):
+    return _grown(spark, sf_dir).stats().withColumn("avg_len", r6("avg_len"))
 
 
 @query(f"WITH {_DENSE} SELECT id AS vec_id, round(score, 6) AS score FROM dn ORDER BY dn.score DESC, id LIMIT 20")
@@ -131,6 +180,25 @@ def dense_topk(spark, sf_dir):
     return S.dense_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20).withColumn("score", r6("score"))
 
 
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, true AS enough FROM embeddings")
+def vector_index_recall(spark, sf_dir):
+    """Recall at 10 of the index of cells and codes against exact search, for each fiftieth vector against all: whether it is 0.9 or more."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("collection"), "embedding")
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "collection", F.col("embedding").cast("array<double>").alias("vector"))
+    found = Y.VectorIndex.build(rows).search(asked, 10)
+    return Y.recall(found, Y.exact_hits(rows, asked, 10)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 9) AS score FROM embeddings, q)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10""")
+def vector_nearest(spark, sf_dir):
+    """The ten nearest vectors of each fiftieth vector, exactly."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("collection"), "embedding")
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "collection", F.col("embedding").cast("array<double>").alias("vector"))
+    return Y.exact_hits(rows, asked, 10).select("query_id", "id", "rank", r6("score").alias("score"))
+
+
 @query(f"WITH {_DENSE} SELECT id AS vec_id, round(score, 6) AS score FROM dn WHERE label = 1 ORDER BY dn.score DESC, id LIMIT 20")
 def dense_topk_filtered(spark, sf_dir):
     return S.dense_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), 20, {"label": 1}).withColumn("score", r6("score"))
@@ -167,18 +235,18 @@ def term_boost_threshold(spark, sf_dir):
     return S.boosted(rows, QUERY).select("id", r6("score").alias("score"))
 
 
-@query("""WITH s AS (SELECT doc_id, lang, source, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id WHERE len(a.w) > 0 AND len(b.w) > 0)
+@query("""WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE least(len(a.w), len(b.w)) >= 0.79::DOUBLE * greatest(len(a.w), len(b.w)) AND len(a.w) > 0 AND len(b.w) > 0)
 SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS similarity FROM p WHERE i::DOUBLE / (na + nb - i) > 0.8::DOUBLE""")
 def near_duplicate_pairs(spark, sf_dir):
-    return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, ["lang", "source"]).withColumn("similarity", r6("similarity"))
+    return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
 
 
 @query("""WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE least(len(a.w), len(b.w)) >= 0.79::DOUBLE * greatest(len(a.w), len(b.w)) AND len(a.w) > 0 AND len(b.w) > 0)
 SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS similarity FROM p WHERE i::DOUBLE / (na + nb - i) > 0.8::DOUBLE""")
 def near_duplicate_pairs_all(spark, sf_dir):
-    """The pairs of near_duplicate_pairs over all documents, whatever their lang and source."""
+    """The rows of near_duplicate_pairs, which looked within equal lang and source only for two rounds."""
     return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
 
 
@@ -501,7 +569,7 @@ def books(spark, sf_dir):
     return K.books(_chunks(spark, sf_dir))
 
 
-_CHANGED = f"""{_CHUNKS}, n AS (SELECT id, upper(content) AS content, 'rust' AS collection FROM c WHERE id % 3 = 0),
+_CHANGED = f"""{_CHUNKS}, n AS (SELECT id, content || ' (new)' AS content, 'rust' AS collection FROM c WHERE id % 3 = 0),
 u AS (SELECT id, content, collection FROM c WHERE id % 3 <> 0 UNION ALL SELECT * FROM n)"""
 
 
@@ -513,7 +581,7 @@ def snapshot_chunks(spark, sf_dir):
     chunks = _chunks(spark, sf_dir).select("id", "content", "collection", "doc_title", "book_id")
     store = B.ChunkStore(spark, scratch(spark, "store"), "id")
     store.add(chunks)
-    store.replace(chunks.where("id % 3 = 0").withColumn("content", F.upper("content")).withColumn("collection", F.lit("rust")))
+    store.replace(chunks.where("id % 3 = 0").withColumn("content", F.concat("content", F.lit(" (new)"))).withColumn("collection", F.lit("rust")))
     store.delete(chunks.where("id % 7 = 0"))
     store.drop("go")
     store.rewrite()
@@ -624,10 +692,8 @@ sp AS (SELECT query_id, wt.collection, id, round(sum(idf * tn * idf * (qt.tf * 2
 def sparse_index_search(spark, sf_dir):
     """The best 20 chunks of every collection for every test item, by the stored index."""
     chunks = _indexed(spark, sf_dir)
-    index = Q.SparseIndex.of(chunks).save()
-    asked = Q.routed(_asked(spark, sf_dir))
-    plain, built = asked.where("kind <> 'structural'"), asked.where("kind = 'structural'")
-    out = index.search(plain, 20).unionByName(index.search(built, 20, chunks.where("chunk_type = 'structural'")))
+    asked = Q.routed(_asked(spark, sf_dir)).withColumn("only", F.col("kind") == "structural")
+    out = _index(spark, sf_dir, "chunks").search(asked, 20, chunks.select("id", (F.col("chunk_type") == "structural").alias("only")))
     return out.select("query_id", "collection", "id", r6("score").alias("score"))
 
 
@@ -643,7 +709,7 @@ nt AS (SELECT tp.query_id, tp.collection, id, score, row_number() OVER (PARTITIO
 
 def _found_by_all(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks, asked = _indexed(spark, sf_dir), _asked(spark, sf_dir)
-    return Q.hits(Q.SparseIndex.of(chunks).save(), _vectors(spark, sf_dir, chunks), chunks, asked), chunks, asked
+    return Q.hits(_index(spark, sf_dir, "chunks"), _vectors(spark, sf_dir, chunks), chunks, asked), chunks, asked
 
 
 @query(f"WITH {_FOUND} SELECT query_id, nth, collection, id, round(score, 6) AS score FROM nt WHERE nth <= 20")
@@ -666,8 +732,7 @@ def retrieval_contexts(spark, sf_dir):
 
 @query(f"WITH {_BM25} SELECT doc_id, term, round(idf * tn, 6) AS weight FROM wt", name="sparse_index")
 def sparse_index(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("all").alias("collection"))
-    return Q.SparseIndex.of(docs).postings.select(F.col("id").alias("doc_id"), "term", r6("weight").alias("weight"))
+    return Q.weighted(_all_in_one(spark, sf_dir)).select(F.col("id").alias("doc_id"), "term", r6("weight").alias("weight"))
 
 
 # -- sessions --------------------------------------------------------------------------------------------------------

@@ -55,3 +55,10 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         where, fs = _path(df.sparkSession, df._stored_at)
         fs.delete(where, True)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and last change of a file or folder, by which a table is known to be the same still."""
+    where, fs = _path(spark, path)
+    files = [s for s in fs.listStatus(where)]
+    return sum(s.getLen() for s in files), max((s.getModificationTime() for s in files), default=0)
