@@ -21,7 +21,7 @@ from ..sources.snapshots import BORN, SEGMENT, Conflict, Manifest, Snapshots, li
 from . import search as S
 from .vectors import VectorIndex, exact_hits, gathered, ranked
 
-#: Parts of the postings, by hash of the term; a search reads those of its terms only.
+#: Parts of the postings, by hash of the term, in the order of which they are sorted; a search reads those of its terms only.
 BUCKETS = 64
 #: What a query is headed with before it is embedded, by kind; other kinds are general (fixed kinds).
 PREFIXED = ("general", "error", "code", "structural")
@@ -67,7 +67,7 @@ class SparseIndex:
         df = docs.select("collection", F.explode("terms").alias("term")).groupBy("collection", "term").agg(F.count("*").alias("df"))
         df = df.select(_bucket().alias("bucket"), "collection", "term", (F.col("df") * sign).alias("df"))
         stats = docs.groupBy("collection").agg((F.count("*") * sign).alias("n_docs"), (F.sum("len") * sign).cast("long").alias("n_tokens"))
-        return {t: (self.tables.write(d, t, by), d.schema) for t, d, by in ((self.TERMS, _dealt(df), ("bucket",)), (self.STATS, stats, ()))}
+        return {t: (self.tables.write(d, t), d.schema) for t, d in ((self.TERMS, _dealt(df)), (self.STATS, stats.coalesce(1)))}
 
     def _added(self, chunks: DataFrame) -> dict[str, tuple[str, StructType]]:
         tokens = chunks.select("collection", F.col("id").cast("long").alias("id"), X.tokens(F.coalesce("content", F.lit(""))).alias("t"))
@@ -77,7 +77,7 @@ class SparseIndex:
         own = self.spark.read.schema(docs.schema).parquet(f"{self.tables.path}/{self.CHUNKS}/{SEGMENT}={name}")
         tf = tokens.select("collection", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("collection", "id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
         rows = _dealt(tf.select(_bucket().alias("bucket"), "collection", "term", "id", "tf", "len"))
-        return self._write(own) | {self.CHUNKS: (name, docs.schema), self.POSTINGS: (self.tables.write(rows, self.POSTINGS, ("bucket",)), rows.schema)}
+        return self._write(own) | {self.CHUNKS: (name, docs.schema), self.POSTINGS: (self.tables.write(rows, self.POSTINGS), rows.schema)}
 
     def _commit(self, operation: str, parts: list[dict], base: Manifest | None) -> SparseIndex:
         def change(m: Manifest) -> Manifest:
@@ -123,7 +123,7 @@ class SparseIndex:
         rows[self.POSTINGS] = _dealt(rows[self.POSTINGS])
         rows[self.TERMS] = _dealt(self.tables.read(self.TERMS, base).groupBy("bucket", "collection", "term").agg(F.sum("df").alias("df")).where("df > 0"))
         rows[self.STATS] = self.tables.read(self.STATS, base).groupBy("collection").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs > 0")
-        new = {t: (self.tables.write(d, t, ("bucket",) if "bucket" in d.columns else ()), d.schema) for t, d in rows.items()}
+        new = {t: (self.tables.write(d, t), d.schema) for t, d in rows.items()}
 
         def change(m: Manifest) -> Manifest:
             if base.tables != m.tables:
@@ -151,7 +151,7 @@ class SparseIndex:
         """(query_id, collection, id, score, rank) of the best chunks of each (query_id, collection, query).
 
         `flags` (id, only) holds the chunks that count, if not all do; queries with a true column `only` count those that
-        have it, too. A query is weighted like a document. Postings are read from the folders of the terms that are asked.
+        have it, too. A query is weighted like a document. Postings are read from the row groups of the terms that are asked.
         """
         m = self.tables.manifest()
         marked = F.coalesce("only", F.lit(False)) if flags is not None and "only" in queries.columns else F.lit(False)
@@ -180,7 +180,7 @@ def _bucket() -> Column:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Few files for each bucket, sorted by term; a bucket with a very common term is split by its size."""
+    """Files by size, each sorted by bucket and term, so that a search reads the row groups of its terms; a bucket with a very common term is split."""
     return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "collection", "term")
 
 

@@ -34,6 +34,8 @@ from .sources import code as P
 from .sources import web as W
 from .sources.scratch import scratch, stamp, stored
 from .sources.tables import table
+from .streaming import memory as Z
+from .streaming import sinks as J
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -793,6 +795,30 @@ def search_repetition(spark, sf_dir):
     return V.repeated_searches(rows)
 
 
+_HAPPENED = """e AS (SELECT conv_id AS session, turn AS pos, CASE WHEN turn = 0 THEN 'task' WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN 'status' ELSE 'search' END WHEN turn % 4 = 2 THEN 'do_not' ELSE 'correction' END AS kind,
+  CASE WHEN role = 'assistant' AND turn % 4 <> 1 THEN coalesce(text, '') WHEN role <> 'assistant' AND turn % 4 = 2 AND turn > 0 THEN 'topic ' || (length(coalesce(text, '')) % 2) ELSE substr(coalesce(text, ''), 1, 20) END AS text, length(coalesce(text, '')) % 3 AS top FROM conversations)"""
+
+
+@query(f"""WITH {_HAPPENED}, t AS (SELECT session, arg_max(text, pos) FILTER (kind = 'task') AS task, max(pos) FILTER (kind = 'task') AS began FROM e GROUP BY session),
+st AS (SELECT session, string_agg('✓ ' || text, ' → ' ORDER BY pos) AS x FROM (SELECT e.* FROM e JOIN t USING (session) WHERE kind = 'status' AND pos > began QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) <= 5) GROUP BY session),
+co AS (SELECT session, string_agg('  User (turn ' || pos || '): "' || text || '"', chr(10) ORDER BY pos) AS x FROM (SELECT * FROM e WHERE kind = 'correction' QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) <= 5) GROUP BY session),
+dn AS (SELECT session, string_agg(text, '. ' ORDER BY pos) AS x FROM (SELECT session, text, max(pos) AS pos FROM e JOIN t USING (session) WHERE kind = 'do_not' AND pos > began GROUP BY session, text QUALIFY row_number() OVER (PARTITION BY session ORDER BY max(pos) DESC) <= 3) GROUP BY session),
+s AS (SELECT session, top, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 2)) AS w, row_number() OVER (PARTITION BY session ORDER BY pos) AS n FROM e WHERE kind = 'search'),
+r AS (SELECT a.session, count(*) AS n FROM s a JOIN s b ON a.session = b.session AND b.n < a.n AND b.n >= a.n - 20 AND a.top = b.top
+  WHERE (len(a.w) = 0 AND len(b.w) = 0) OR len(list_intersect(a.w, b.w))::DOUBLE / greatest(1, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.2::DOUBLE GROUP BY a.session)
+SELECT t.session, CASE WHEN coalesce(task, '') = '' THEN '' ELSE '[TASK] ' || task || coalesce(chr(10) || '[STATUS] ' || st.x, '') || coalesce(chr(10) || '[CORRECTIONS]' || chr(10) || co.x, '') || coalesce(chr(10) || '[DO NOT] ' || dn.x || '.', '') END AS anchor,
+  least(20, coalesce((SELECT max(n) FROM s WHERE s.session = t.session), 0)) AS searches, coalesce(r.n, 0) AS "similar"
+FROM t LEFT JOIN st USING (session) LEFT JOIN co USING (session) LEFT JOIN dn USING (session) LEFT JOIN r USING (session)""")
+def session_anchors(spark, sf_dir):
+    """What each conversation's working memory says at its end, kept as keyed state over its turns; searches repeated on the way."""
+    text, turn, said = F.coalesce("text", F.lit("")), F.col("turn"), F.col("role") == "assistant"
+    kind = F.when(turn == 0, "task").when(said, F.when(turn % 4 == 1, "status").otherwise("search")).when(turn % 4 == 2, "do_not").otherwise("correction")
+    own = F.when(said & (turn % 4 != 1), text).when(~said & (turn % 4 == 2) & (turn > 0), F.concat(F.lit("topic "), (F.length(text) % 2).cast("string"))).otherwise(F.substring(text, 1, 20))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), turn.alias("pos"), F.lit(None).cast("timestamp").alias("ts"), kind.alias("kind"), own.alias("text"), "turn", (F.length(text) % 3).alias("top"))
+    out = Z.working_memory(rows).groupBy("session").agg(F.max_by("anchor", "pos").alias("anchor"), F.max_by("searches", "pos").cast("long").alias("searches"), F.coalesce(F.sum("similar"), F.lit(0)).alias("similar"))
+    return out
+
+
 @query()
 def memory_quality_gate(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"), F.col("text").alias("content"), F.lit("fact").alias("kind"))
@@ -868,6 +894,22 @@ def strategy_promotion(spark, sf_dir):
     return V.promoted(_outcomes(spark, sf_dir))
 
 
+@query(f"""WITH {_OUT}, w AS (SELECT *, count(*) OVER k AS n, min(passed::INT) OVER k AS ok FROM o WINDOW k AS (PARTITION BY language, error_code, strategy ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+p AS (SELECT language, error_code, arg_max(strategy, (ts, event_id)) AS strategy FROM w WHERE n = 5 AND ok = 1 GROUP BY ALL)
+SELECT o.language, o.error_code, count(*) AS outcomes, any_value(p.strategy) AS strategy FROM o LEFT JOIN p USING (language, error_code) GROUP BY ALL""")
+def streamed_outcomes(spark, sf_dir):
+    """Outcomes that arrive in three parts, each run through the sink by a stream that goes on where it stopped: counts and promotions by code."""
+    rows = _outcomes(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "language", "error_code", "strategy", "passed")
+    cuts = rows.select(F.percentile_approx(F.col("ts").cast("double"), [0.3, 0.6], 1000)).first()[0] or [0.0, 0.0]
+    sink, source, at = J.OutcomeSink(spark, scratch(spark, "sink")), scratch(spark, "source"), scratch(spark, "progress")
+    when = F.col("ts").cast("double")
+    for part in (when <= cuts[0], (when > cuts[0]) & (when <= cuts[1]), when > cuts[1]):
+        rows.where(part).write.mode("append").parquet(source)
+        sink.start(spark.readStream.schema(rows.schema).parquet(source), at).awaitTermination()
+    n = sink.outcomes().groupBy("language", "error_code").agg(F.count("*").alias("outcomes"))
+    return n.join(sink.promotions(), ["language", "error_code"], "left")
+
+
 @query(f"WITH {_OUT} SELECT error_code, language, count(*) AS n, round(avg(passed::INT), 6) AS rate FROM o GROUP BY ALL")
 def fix_rates(spark, sf_dir):
     return H.fix_rates(_outcomes(spark, sf_dir)).withColumn("rate", r6("rate"))
