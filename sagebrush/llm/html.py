@@ -5,7 +5,9 @@ footers, scripts, forms, and boxes whose class or id says advert, notice, commen
 weighed against what a box holds: a box around an article or main element is opened, so is a form or fieldset that
 holds more text than the page outside of it, and a box with the name of a layout part (sidebar, header, menu) that
 holds nearly all unlinked text of the page. Boxes of reader comments, adverts and consent are opened by a main element
-only. A header inside an article belongs to it.
+only. A header inside an article belongs to it, and so does a headline in a box around both. Headings, paragraphs and
+other running text are judged by a class, and any element by an id, only where all words of the name tell of such boxes:
+ids of headings are made of their words.
 
 Every block of text passes points to its ancestors, for its length and its commas: all to the parent, half to the
 next, a third to the third. A container's points are discounted by its share of link text. The best container is kept,
@@ -41,8 +43,13 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe svg textarea title canvas".split())
 NOISE = frozenset("nav header footer aside button select option dialog menu head label".split())
+#: Elements of running text: what they are named tells of their words, not of a place on the page.
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p li dl dt dd blockquote figure figcaption pre section table tr td th em strong span".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FORMS = frozenset(("form", "fieldset"))
 MAIN = frozenset(("article", "main"))
+#: A footer in a quotation names its author; a label in a paragraph is of its words.
+QUOTES, PARAGRAPHS = frozenset(("blockquote", "figure")), frozenset(("p",))
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -56,6 +63,12 @@ BOXES = frozenset(
 PARTS = frozenset(
     "banner breadcrumb breadcrumbs disclaimer footer header login masthead menu modal nav navbar navigation notice notices overlay pager pagination reader sidebar signup social toolbar widget widgets".split()
 )
+#: Words that say no more of a box than that it is one; an id, or a class of running text, must have no others beside the words above to tell of noise.
+PLAIN = frozenset(
+    "area aside bar block body bottom box button buttons code container content div footer form global google gpt group header holder icon icons inner items left link links list main module outer page pane panel placeholder post posts primary region right row secondary section site slot story stories article articles text thread title top unit wrap wrapper zone".split()
+)
+#: Before `header`, one of these says that it is an article's.
+OWN_HEADER = frozenset("article content entry news page post section story".split())
 #: A name that begins or ends so tells of a box somewhere else on the page.
 ABOUT_FIRST, ABOUT_LAST = frozenset("has with no without not is".split()), frozenset("open enabled disabled layout".split())
 #: A box with a layout part's name is opened if it holds so many times the unlinked text outside, and so many characters.
@@ -81,13 +94,18 @@ class Node:
         self.main = tag in MAIN
 
 
-def _named(value: str) -> int:
-    """What the names in a class or id say of a box."""
+def _named(value: str, whole: bool) -> int:
+    """What the names in a class or id say of a box; `whole` if each of a name's words must fit."""
     found = 0
     for name in value.split():
         words = [w.lower() for w in _WORD.findall(name)]
-        if words and words[0] not in ABOUT_FIRST and words[-1] not in ABOUT_LAST:
-            found = max(found, HARD if not BOXES.isdisjoint(words) else SOFT if not PARTS.isdisjoint(words) else 0)
+        if not words or words[0] in ABOUT_FIRST or words[-1] in ABOUT_LAST:
+            continue
+        if whole and not all(w in BOXES or w in PARTS or w in PLAIN or w.isdigit() for w in words):
+            continue
+        if "header" in words and not OWN_HEADER.isdisjoint(words) and BOXES.isdisjoint(words):
+            continue
+        found = max(found, HARD if not BOXES.isdisjoint(words) else SOFT if not PARTS.isdisjoint(words) else 0)
     return found
 
 
@@ -104,7 +122,7 @@ def _noise(tag: str, attrs: str) -> int:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return HARD
         if name in ("class", "id"):
-            found = max(found, _named(value))
+            found = max(found, _named(value, name == "id" or tag in FLOW))
     return found
 
 
@@ -163,7 +181,11 @@ def parse(page: str) -> Node:
         node = Node(tag, now, _noise(tag, attrs))
         now.children.append(node)
         if tag == "header" and _within(now, MAIN):
-            node.noise = _named(" ".join(v.strip("\"'") for n, v in _ATTR.findall(attrs) if n.lower() in ("class", "id")))
+            # an article's own header is cut only for what no header is
+            names = " ".join(v.strip("\"'") for n, v in _ATTR.findall(attrs) if n.lower() in ("class", "id"))
+            node.noise = HARD if _named(names, False) == HARD else 0
+        elif tag == "footer" and _within(now, QUOTES) or tag == "label" and (_within(now, PARAGRAPHS) or not _within(now, FORMS)):
+            node.noise = 0
         if tag not in VOID and not attrs.endswith("/"):
             now = node
         if node.main:
@@ -295,6 +317,37 @@ def _with_siblings(best: Node) -> list[Node]:
     return keep
 
 
+def _headline(best: Node, order: list[Node]) -> Node | None:
+    """The headline that stands above an article without one: the last h1 before it, in a box around both.
+
+    Directly in the body it is taken for the site's name where the article has a heading.
+    """
+    inside, heads = {id(best)}, set()
+    for n in order:
+        if n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+            if n.tag in HEADS:
+                heads.add(n.tag)
+    if "h1" in heads:
+        return None
+    above, up = {}, best.parent
+    while up is not None:
+        above[id(up)] = up
+        up = up.parent
+    found = None
+    for n in order:
+        if n is best:
+            break
+        if n.tag == "h1" and n.chars:
+            box = n.parent
+            # a box of its own, such as a div around the headline
+            while box is not None and id(box) not in above:
+                box = box.parent
+            if box is not None and (box.parent is not None or not heads):
+                found = n
+    return found
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -312,6 +365,8 @@ def main_text(page: str | None) -> str:
     best = next((n for tag in ("article", "main") for n in reversed(above) if n.tag == tag), best)
     if best.tag == "article" and best.parent is not None:
         keep = [x for x in best.parent.children if x is best or isinstance(x, Node) and x.tag == "article" and not x.noise and x.chars and x.linked < MOST_LINKED * x.chars]
+        title = _headline(keep[0], order)
+        keep = keep if title is None else [title, *keep]
     elif best.parent is not None and best.tag not in MAIN:
         keep = _with_siblings(best)
     else:

@@ -504,6 +504,19 @@ COMMENTS = "<div class=comments><article class=comment><p>" + "A reader, who, wr
         "a short section at the end": (f"<div class=post>{BODY}</div><section><h2>End</h2><p>Short.</p></section>", f"{TEXT}\nEnd\nShort."),
         "a consent box, longer than the article": (f"<div class=cookie-consent>{BODY}</div><div><p>Short, but all.</p></div>", "Short, but all."),
         "only menus": ("<nav><p>Home, away</p></nav><header><p>Site, and its name</p></header>", ""),
+        "a named header in an article": (f'<article><header class="entry-header"><h1>T</h1></header>{BODY}</article>', f"T\n{TEXT}"),
+        "a box for the header of a post": (f'<article><div class="post-header"><h1>T</h1></div>{BODY}</article>', f"T\n{TEXT}"),
+        "a headline above the article in main": (f"<main><h1>T</h1><article>{BODY}</article></main>", f"T\n{TEXT}"),
+        "a headline above the article in a div": (f"<div><h1>T</h1><article>{BODY}</article></div>", f"T\n{TEXT}"),
+        "a headline in a box above the article": (f'<div><div class=top><h1>T</h1></div><article>{BODY}</article></div>', f"T\n{TEXT}"),
+        "a headline in the body above an article without headings": (f"<h1>T</h1><article>{BODY}</article>", f"T\n{TEXT}"),
+        "a site's name above an article with a heading": (f"<h1>Site</h1><article><h2>T</h2>{BODY}</article>", f"T\n{TEXT}"),
+        "a site's name in its header": (f"<header><h1>Site</h1></header><article>{BODY}</article>", TEXT),
+        "ids made of the words of headings": (f'<article>{BODY}<h2 id="share-prices">S</h2><h2 id="menu-design">M</h2><section id="social-policy"><p>On policy.</p></section></article>', f"{TEXT}\nS\nM\nOn policy."),
+        "a class made of words": (f'<article>{BODY}<p class="ad-hoc">Ad hoc.</p></article>', f"{TEXT}\nAd hoc."),
+        "boxes that are no words": (f'<article>{BODY}<p class="advert">Buy</p><section class="comments-area"><p>Nice.</p></section><div id="related-posts"><p>More</p></div></article>', TEXT),
+        "a label in a paragraph": (f"<article>{BODY}<p>A <label>word</label> here.</p></article>", f"{TEXT}\nA word here."),
+        "the author of a quotation": (f"<article>{BODY}<blockquote><p>Said.</p><footer>By me</footer></blockquote></article>", f"{TEXT}\nSaid.\nBy me"),
         "references": ("<p>a &amp;lt; b &lt; c&#x21; &am<b>p;</b> &nbsp;d</p>", "a &lt; b < c! &amp; d"),
     }.values(),
 )
