@@ -1,11 +1,13 @@
-"""Graphs of files: neighbours, closure, cycles, ranks, and the resolution of imports."""
+"""Graphs of files: neighbours, closure, components, ranks, upkeep under change, and the resolution of imports."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import drop, stored
 
 #: Endings that an import may leave out, in the order in which they are tried.
 ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/__init__.py"]
@@ -38,44 +40,131 @@ def dependents(edges: DataFrame) -> DataFrame:
     return closure(edges).select(F.col("reach").alias("file"), F.col("node").alias("dependent"))
 
 
-def cycles(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """(node, component): members of cycles; the component is named by its least member. `reach` is the closure, if there."""
-    reach = closure(edges) if reach is None else reach
-    back = reach.select(F.col("reach").alias("node"), F.col("node").alias("reach"))
-    return reach.join(back, ["node", "reach"]).groupBy("node").agg(F.min("reach").alias("component"))
+#: Steps of a search along edges that are one job.
+HOPS = 3
+
 
+def _spread(labels: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(node, label) after labels went along (src, dst) as far as they get smaller: each node has the least that reaches it.
 
-def depths(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000, ring: DataFrame | None = None) -> DataFrame:
-    """(node, depth): the longest path from a root, cycles counting as one node; nodes in no path from a root have 0."""
-    ring = cycles(edges) if ring is None else ring
-    named = nodes.join(ring, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    A round is a few steps in one job; what comes to the driver is a checksum.
+    """
+    now, seen = stored(labels, "labels"), None
+    for _ in range(most_rounds):
+        step = now
+        for _ in range(HOPS):
+            sent = step.select(F.col("node").alias("src"), "label").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
+            step = step.join(sent, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("label"))
+        last, now = now, stored(step, "labels")
+        drop(last)
+        mark = now.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
+        if mark == seen:
+            return now
+        seen = mark
+    raise RuntimeError("labels did not settle")
+
+
+def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(node, component) of all nodes on a cycle of two or more; the component is named by its least member.
+
+    Edges that start or end where none ends or starts are on no cycle and are trimmed. Then every node takes the least
+    node that reaches it as its colour; the nodes of a colour that reach the node it is named by are a component. Edges
+    between colours, and those of components found, go; what is left is done again. A round costs what the edges left
+    cost, and no pair of nodes is ever held that no edge joins.
+    """
+    own = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
+    left, found = stored(own, "edges"), None
+    for _ in range(most_rounds):
+        n = left.count()
+        # a few rounds of trimming; long tails that are left take a colour of their own
+        for _ in range(HOPS):
+            trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            last, left = left, stored(trimmed.select("src", "dst"), "edges")
+            drop(last)
+            m, n = n, left.count()
+            if n == m:
+                break
+        if n == 0:
+            break
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("node")), left)
+        a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("label").alias("cb"))
+        same = stored(left.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca"), "edges")
+        # backwards from the named node, within its colour: what it reaches this way is labelled by it, all else by itself
+        back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = _spread(colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(1).alias("label")), back)
+        done = stored(reached.where("label = 0").select("node").join(colour, "node").select("node", F.col("label").alias("component")), "components")
+        found = done if found is None else stored(found.union(done), "components")
+        gone = done.select(F.col("node").alias("src"))
+        drop(left)
+        left = stored(same.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
+        drop(same, colour, reached)
+    if found is None:
+        return own.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    # a colour's own node with no cycle through it is no component
+    return found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component").select("node", "component")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, component): members of cycles, also of those of one node; the component is named by its least member."""
+    many = stored(strong_components(edges), "components")
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(many, "node", "left_anti")
+    return many.unionByName(loops.withColumn("component", F.col("node")))
+
+
+def condensed(nodes: DataFrame, edges: DataFrame, ring: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component, cyclic) of all nodes, and the edges (ca, cb) between components: a graph without cycles."""
+    named = nodes.select("node").distinct().join(ring, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("cyclic"))
+    named = stored(named, "named")
     a = named.select(F.col("node").alias("src"), F.col("component").alias("ca"))
     b = named.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-    dag = stored(edges.select("src", "dst").join(a, "src").join(b, "dst").where("ca <> cb").select("ca", "cb").distinct(), "dag")
-    now = stored(named.select("component").distinct().select("component", F.lit(0).alias("depth")), "depth")
-    last = 0
-    for _ in range(most_rounds):
-        longer = now.join(dag, F.col("component") == F.col("ca")).groupBy(F.col("cb").alias("component")).agg((F.max("depth") + 1).alias("longer"))
-        new = stored(now.join(longer, "component", "left").select("component", F.greatest("depth", F.coalesce("longer", F.lit(0))).cast("int").alias("depth")), "depth")
-        # depths only grow: their sum tells whether any did
-        total = new.agg(F.sum("depth")).first()[0]
-        if total == last:
-            return named.join(new, "component").select("node", "depth")
-        now, last = new, total
-    raise RuntimeError("depths did not settle")
+    return named, stored(edges.select("src", "dst").join(a, "src").join(b, "dst").where("ca <> cb").select("ca", "cb").distinct(), "dag")
+
+
+def depths(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000, ring: DataFrame | None = None, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(node, depth): the longest path from a root, cycles counting as one node; nodes in no path from a root have 0.
+
+    Components are taken away from the roots on, a layer a round: a node's depth is the layer in which its last edge
+    went. Each edge is joined once, in the round of its start.
+    """
+    named, dag = parts or condensed(nodes, edges, cycles(edges) if ring is None else ring)
+    degree = dag.groupBy(F.col("cb").alias("component")).agg(F.count("*").alias("n"))
+    wait = stored(named.select("component").distinct().join(degree, "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("n")), "wait")
+    layers = None
+    for depth in range(most_rounds):
+        layer = stored(wait.where("n = 0").select("component", F.lit(depth).alias("depth")), "layer")
+        if layer.isEmpty():
+            break
+        layers = layer if layers is None else stored(layers.union(layer), "layers")
+        cut = dag.join(layer.select(F.col("component").alias("ca")), "ca").groupBy(F.col("cb").alias("component")).agg(F.count("*").alias("cut"))
+        last, wait = wait, stored(wait.where("n > 0").join(cut, "component", "left").select("component", (F.col("n") - F.coalesce("cut", F.lit(0))).alias("n")), "wait")
+        drop(last)
+    else:
+        raise RuntimeError("depths did not settle")
+    if layers is None:
+        return named.select("node", F.lit(0).alias("depth"))
+    return named.join(layers, "component").select("node", "depth")
+
+
+def reach_counts(parts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(node, n): how many nodes reach a node; itself only through a cycle. Pairs are of components, not of nodes."""
+    named, dag = parts
+    size = named.groupBy("component").agg(F.count("*").alias("size"), F.max("cyclic").alias("cyclic"))
+    pairs = closure(dag.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+    above = pairs.join(size.select(F.col("component").alias("node"), "size"), "node").groupBy(F.col("reach").alias("component")).agg(F.sum("size").alias("above"))
+    own = size.join(above, "component", "left").select("component", (F.coalesce("above", F.lit(0)) + F.when(F.col("cyclic"), F.col("size")).otherwise(0)).alias("n"))
+    return named.join(own, "component").select("node", "n")
 
 
 def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per file: depth, dependents (direct, transitive), dependencies, root, leaf, hub (three or more), in a cycle."""
-    edges = edges.select("src", "dst").distinct()
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
     out_degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_dependencies"))
     in_degree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_dependents"))
-    # the closure is worked out once, for dependents, cycles and depths
-    every = closure(edges)
-    ring = stored(cycles(edges, every), "cycles")
-    reach = every.groupBy(F.col("reach").alias("node")).agg(F.count("*").alias("n_transitive"))
-    rows = depths(nodes, edges, ring=ring)
-    for part in (out_degree, in_degree, reach, ring.select("node", F.lit(True).alias("in_cycle"))):
+    # components are worked out once, for dependents, cycles and depths
+    parts = condensed(nodes, edges, cycles(edges))
+    rows = depths(nodes, edges, parts=parts)
+    for part in (out_degree, in_degree, reach_counts(parts).withColumnRenamed("n", "n_transitive"), parts[0].select("node", F.col("cyclic").alias("in_cycle"))):
         rows = rows.join(part, "node", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.select(
@@ -84,6 +173,71 @@ def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+# -- graphs that change ----------------------------------------------------------------------------------------------
+
+
+@dataclass
+class ReachGraph:
+    """Edges (src, dst) and all pairs (node, reach) along them, kept up as edges come and go; `touched` is the number of pairs looked at by the last change."""
+
+    edges: DataFrame
+    reach: DataFrame
+    touched: int = 0
+
+    @staticmethod
+    def of(edges: DataFrame) -> ReachGraph:
+        own = stored(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
+        return ReachGraph(own, closure(own))
+
+    def _around(self, edges: DataFrame) -> DataFrame:
+        """(node, reach) of all that may go along one of some edges: what reaches its start, with what its end reaches."""
+        before = self.reach.select(F.col("reach").alias("src"), "node").unionByName(edges.select("src", F.col("src").alias("node")))
+        after = self.reach.select(F.col("node").alias("dst"), "reach").unionByName(edges.select("dst", F.col("dst").alias("reach")))
+        return edges.join(before.distinct(), "src").join(after.distinct(), "dst").select("node", "reach").distinct()
+
+    def add(self, edges: DataFrame) -> ReachGraph:
+        """With more edges. New pairs go along at least one of them: those are found round by round, from the pairs new in the last one."""
+        new = stored(edges.where("src is not null and dst is not null").select("src", "dst").distinct().join(self.edges, ["src", "dst"], "left_anti"), "new")
+        every, reach, looked = stored(self.edges.union(new), "edges"), self.reach, 0
+        fresh = stored(new.select(F.col("src").alias("node"), F.col("dst").alias("reach")).join(reach, ["node", "reach"], "left_anti"), "fresh")
+        while not fresh.isEmpty():
+            reach = stored(reach.union(fresh), "reach")
+            a, b = fresh.alias("a"), reach.alias("b")
+            longer = a.join(b, F.col("a.reach") == F.col("b.node")).select("a.node", "b.reach").union(b.join(a, F.col("b.reach") == F.col("a.node")).select("b.node", "a.reach")).distinct()
+            looked += fresh.count()
+            fresh = stored(longer.join(reach, ["node", "reach"], "left_anti"), "fresh")
+        return ReachGraph(every, reach, looked)
+
+    def remove(self, edges: DataFrame) -> ReachGraph:
+        """Without some edges. Pairs that may have gone along them are taken out; those that other edges still give come back, round by round."""
+        gone = stored(edges.select("src", "dst").distinct().join(self.edges, ["src", "dst"], "left_semi"), "gone")
+        left = stored(self.edges.join(gone, ["src", "dst"], "left_anti"), "edges")
+        doubt = stored(self._around(gone).join(self.reach, ["node", "reach"], "left_semi"), "doubt")
+        sure = stored(self.reach.join(doubt, ["node", "reach"], "left_anti"), "reach")
+        looked = doubt.count()
+        # one step along an edge that is left, then nothing or a pair that is sure
+        step = left.select(F.col("src").alias("node"), F.col("dst").alias("over")).join(sure.select(F.col("node").alias("over"), "reach"), "over").select("node", "reach")
+        back = stored(doubt.join(left.select(F.col("src").alias("node"), F.col("dst").alias("reach")).union(step), ["node", "reach"], "left_semi"), "back")
+        while not back.isEmpty():
+            sure, doubt = stored(sure.union(back), "reach"), stored(doubt.join(back, ["node", "reach"], "left_anti"), "doubt")
+            step = left.select(F.col("src").alias("node"), F.col("dst").alias("over")).join(back.select(F.col("node").alias("over"), "reach"), "over").select("node", "reach")
+            back = stored(doubt.join(step, ["node", "reach"], "left_semi"), "back")
+        return ReachGraph(left, sure, looked)
+
+    def replace_file(self, file: str, targets: list[str]) -> ReachGraph:
+        """After a file's imports changed: its edges are those to the targets now."""
+        spark = self.edges.sparkSession
+        now = spark.createDataFrame([(file, t) for t in targets], "src string, dst string")
+        old = self.edges.where(F.col("src") == file)
+        done = self.remove(old.join(now, ["src", "dst"], "left_anti"))
+        more = done.add(now)
+        return ReachGraph(more.edges, more.reach, done.touched + more.touched)
+
+    def remove_file(self, file: str) -> ReachGraph:
+        """Without a file and all its edges."""
+        return self.remove(self.edges.where((F.col("src") == file) | (F.col("dst") == file)))
+
+
 def normal_path(path):
     """A path without `./` and with each `dir/..` taken away, by a fold over its parts."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))

@@ -954,6 +954,35 @@ def file_ranks(spark, sf_dir):
     return G.ranks(_nodes(spark), I.EDGES.df(spark))
 
 
+_FOLLOWED = """e AS (SELECT DISTINCT src, dst FROM (SELECT lag(l_partkey) OVER w AS src, l_partkey AS dst, lag(l_discount) OVER w AS d, l_discount FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) WHERE d = l_discount AND src IS NOT NULL AND dst IS NOT NULL),
+r AS (SELECT src AS node, dst AS reach FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reach), n AS (SELECT p_partkey AS node FROM part),
+cy AS (SELECT a.node, min(a.reach) AS component FROM r a JOIN r b ON a.node = b.reach AND a.reach = b.node GROUP BY a.node),
+cn AS (SELECT n.node, coalesce(cy.component, n.node) AS c FROM n LEFT JOIN cy ON cy.node = n.node), ce AS (SELECT DISTINCT a.c AS ca, b.c AS cb FROM e JOIN cn a ON a.node = e.src JOIN cn b ON b.node = e.dst WHERE a.c <> b.c),
+dp AS (SELECT DISTINCT c, 0 AS d FROM cn UNION SELECT cb, d + 1 FROM dp JOIN ce ON ce.ca = dp.c), md AS (SELECT c, max(d) AS d FROM dp GROUP BY c),
+ti AS (SELECT reach AS node, count(*) AS n FROM r GROUP BY reach), oi AS (SELECT src AS node, count(*) AS n FROM e GROUP BY src), ii AS (SELECT dst AS node, count(*) AS n FROM e GROUP BY dst)"""
+
+
+def _followed(spark, sf_dir) -> DataFrame:
+    """Parts that follow one another in an order at the same discount: a graph with one large component and many tails."""
+    over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(F.lag("l_partkey").over(over).alias("src"), F.col("l_partkey").alias("dst"), F.lag("l_discount").over(over).alias("d"), "l_discount")
+    return rows.where("d = l_discount and src is not null and dst is not null").select("src", "dst").distinct()
+
+
+@query(f"WITH RECURSIVE {_FOLLOWED} SELECT node, component FROM cy")
+def part_components(spark, sf_dir):
+    """Strongly connected components of the graph of parts, by trimming and colours."""
+    return G.cycles(stored(_followed(spark, sf_dir), "edges"))
+
+
+@query(f"""WITH RECURSIVE {_FOLLOWED} SELECT cn.node, CAST(md.d AS BIGINT) AS depth, coalesce(oi.n, 0) AS n_dependencies, coalesce(ii.n, 0) AS n_dependents, coalesce(ti.n, 0) AS n_transitive, cy.node IS NOT NULL AS in_cycle,
+  coalesce(ii.n, 0) = 0 AS is_root, coalesce(oi.n, 0) = 0 AS is_leaf, coalesce(ii.n, 0) >= 3 AS is_hub
+FROM cn JOIN md ON md.c = cn.c LEFT JOIN oi ON oi.node = cn.node LEFT JOIN ii ON ii.node = cn.node LEFT JOIN ti ON ti.node = cn.node LEFT JOIN cy ON cy.node = cn.node""")
+def part_ranks(spark, sf_dir):
+    """Depth, degrees, reach and cycles of all parts, on the graph of components."""
+    return G.ranks(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), _followed(spark, sf_dir))
+
+
 @query(f"WITH RECURSIVE {_RANKS} SELECT count(*) AS files, CAST(sum(n_dependencies) AS BIGINT) AS edges, count(*) FILTER (n_dependents >= 3) AS hubs, count(*) FILTER (n_dependents = 0) AS roots, count(*) FILTER (n_dependencies = 0) AS leaves, count(*) FILTER (in_cycle) AS cyclic FROM rk")
 def project_summary(spark, sf_dir):
     return G.summary(_nodes(spark), I.EDGES.df(spark))
