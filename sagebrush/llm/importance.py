@@ -273,7 +273,8 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     noise = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 8), 16, 10).cast("long")
     rows = weighed(docs, gain, id_col, text_col, sizes)
     rows = rows.withColumn("score", F.col("weight") + F.floor(-1000 * F.log(-F.log((noise + 0.5) / F.lit(4294967296.0)))))
-    rows = rows.select("id", "n_features", "weight", "score", (F.col("n_words") >= least_words).alias("fit"))
+    # stored before the sort, which reads its rows twice: once to find the ranges
+    rows = stored(rows.select("id", "n_features", "weight", "score", (F.col("n_words") >= least_words).alias("fit")), "weighed")
     placed = stored(rows.orderBy(F.desc("fit"), F.desc("score"), F.asc_nulls_last("id"), "weight", "n_features").withColumn("at", F.monotonically_increasing_id()), "scored")
     part = F.shiftright("at", 33)
     # one row for each range of the sort
