@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebrush.llm import decontam, langid, lines, minhash, mixing
-from sagebrush.llm.common import keyed, stored
+from sagebrush.llm.common import drop, keyed, stored
 from sagebrush.sources.tables import table
 
 
@@ -78,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
