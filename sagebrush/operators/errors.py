@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import patterns
+
 
 @dataclass(frozen=True)
 class Form:
@@ -266,12 +268,21 @@ def fix_order(errors: DataFrame, ranks: DataFrame) -> DataFrame:
 def diagnosed(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, rule) of the first rule (pos, technology, pattern) of a message's technology that matches it.
 
-    The join is by technology; patterns are columns, so a catalog of any size needs no new code.
+    An automaton over what the patterns require picks the rules to run on a message; see `patterns`.
     """
-    hits = messages.join(rules.withColumnRenamed("pos", "rule"), "technology").where("message rlike pattern")
+    hits = _matching(messages.select("id", "technology", F.col("message").alias("text")), rules.select("pos", "technology", "pattern"))
     return hits.groupBy("id").agg(F.min("rule").alias("rule"))
 
 
+def _matching(messages: DataFrame, rules: DataFrame) -> DataFrame:
+    """Messages (technology, text, others) with the columns of each rule (pos, technology, pattern, others) of their technology that matches."""
+    own = rules.withColumn("rule", F.col("pos").cast("long"))
+    met = patterns.candidates(messages, own.select("rule", "pattern").where("pattern is not null"))
+    named = own.select(*[F.col(c).alias("rule_id" if c == "id" else "of" if c == "technology" else c) for c in own.columns if c != "pos"])
+    hits = met.join(F.broadcast(named), "rule")  # a catalog
+    return hits.where((F.col("technology") == F.col("of")) & F.expr("text rlike pattern")).drop("of")
+
+
 def explained(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, rule, root_cause, prescription, code_block) of the first rule that matches a message, filled with its captures.
 
@@ -279,7 +290,7 @@ def explained(messages: DataFrame, rules: DataFrame) -> DataFrame:
     conditions (`when`: a capture's name, contains, startsWith, equals or endsWith, and a value; then its own texts).
     The first condition that holds overrides the texts; where it has none, the rule's own stay.
     """
-    hits = messages.join(rules.withColumnRenamed("pos", "rule"), "technology").where("message rlike pattern")
+    hits = _matching(messages.select("id", "technology", F.col("message").alias("text")), rules).withColumnRenamed("text", "message")
     one = hits.groupBy("id").agg(F.min_by(F.struct("rule", "message", "pattern", "captures", "root_cause", "prescription", "code_block", "conditions"), "rule").alias("r")).select("id", "r.*")
     one = one.withColumn("got", F.expr("transform(captures, (c, i) -> struct(c as name, regexp_extract(message, pattern, i + 1) as value))"))
     word = "element_at(filter(got, g -> g.name = split(c.`when`, ' ', 3)[0]), 1).value"

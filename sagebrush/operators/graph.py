@@ -41,7 +41,9 @@ def dependents(edges: DataFrame) -> DataFrame:
 
 
 #: Steps of a search along edges that are one job.
-HOPS = 3
+HOPS = 6
+#: Rounds of trimming that are one job.
+TRIMS = 3
 
 
 def _spread(labels: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -75,16 +77,14 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     own = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
     left, found = stored(own, "edges"), None
     for _ in range(most_rounds):
-        n = left.count()
         # a few rounds of trimming; long tails that are left take a colour of their own
-        for _ in range(HOPS):
-            trimmed = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            last, left = left, stored(trimmed.select("src", "dst"), "edges")
-            drop(last)
-            m, n = n, left.count()
-            if n == m:
-                break
-        if n == 0:
+        trimmed = left
+        for _ in range(TRIMS):
+            starts, ends = trimmed.select(F.col("src").alias("dst")).distinct(), trimmed.select(F.col("dst").alias("src")).distinct()
+            trimmed = trimmed.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst")
+        last, left = left, stored(trimmed, "edges")
+        drop(last)
+        if left.isEmpty():
             break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colour = _spread(nodes.withColumn("label", F.col("node")), left)

@@ -21,6 +21,7 @@ from .operators import fixes as H
 from .operators import graph as G
 from .operators import ingest as L
 from .operators import memory as M
+from .operators import patterns as PT
 from .operators import retrieval as Q
 from .operators import search as S
 from .operators import session as V
@@ -1137,6 +1138,26 @@ def error_pattern_diagnosis(spark, sf_dir):
     return E.diagnosed(I.MESSAGES.df(spark), I.RULES.df(spark))
 
 
+_PAIRS = """w AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}')[1:13] AS w FROM benchmark),
+p AS (SELECT item_id * 100 + i AS rule, w[i] AS a, w[i + 1] AS b FROM (SELECT item_id, w, unnest(range(1, greatest(len(w), 1))) AS i FROM w)),
+l AS (SELECT doc_id, line, lower(line) AS low FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))"""
+
+
+def _pair_rules(spark, sf_dir) -> DataFrame:
+    """Patterns of two words of a test item, one after the other with at most forty characters between: a dozen for each item."""
+    words = F.slice(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{5,})")), 1, 13)
+    own = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+    one = own.where("size(w) > 1").select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
+    return one.select((F.col("item_id") * 100 + F.col("i")).alias("rule"), F.concat(F.lit("(?i)"), F.element_at("w", F.col("i")), F.lit(".{0,40}"), F.element_at("w", F.col("i") + 1)).alias("pattern"))
+
+
+@query(f"WITH {_PAIRS} SELECT rule, count(*) AS n, min(doc_id) AS first_doc FROM l, p WHERE CASE WHEN contains(low, a) AND contains(low, b) THEN regexp_matches(line, '(?i)' || a || '.{{0,40}}' || b) ELSE false END GROUP BY rule")
+def pattern_lines(spark, sf_dir):
+    """Hundreds of patterns over all lines of all documents: how many lines each is found in, and the first document."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("text"))
+    return PT.matches(lines, _pair_rules(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 @query(f"SELECT id, concat_ws(' ', language, code, substr(message, 1, 80), 'fix') AS query FROM {I.ERRORS.sql()}")
 def error_search_queries(spark, sf_dir):
     return I.ERRORS.df(spark).select("id", M.search_query(F.col("language"), F.col("code"), F.col("message")).alias("query"))
