@@ -30,6 +30,7 @@ from .operators import store as K
 from .operators import structure as U
 from .operators import vectors as Y
 from .operators import versions as R
+from .plans import derived as O
 from .plans import inline as I
 from .sources import code as P
 from .sources import web as W
@@ -402,6 +403,41 @@ def section_paths(spark, sf_dir):
     return D.section_paths(I.MARKDOWN.df(spark))
 
 
+# the same over the texts of all orders
+_ORDERS = _LINES.replace(I.MARKDOWN.sql(), O.ORDER_TEXTS)
+
+
+@query(f"WITH {_ORDERS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, level, title FROM t")
+def order_contents(spark, sf_dir):
+    return D.contents(O.order_texts(spark, sf_dir))
+
+
+@query(f"""WITH {_ORDERS}, c AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM t)
+SELECT doc_id, CAST(no AS BIGINT) AS chapter_no, arg_min(title, pos) AS chapter, count(*) - 1 AS n_sections, coalesce(string_agg(title, ' | ' ORDER BY pos) FILTER (level > 1), '') AS sections FROM c WHERE no > 0 GROUP BY doc_id, no""")
+def order_chapters(spark, sf_dir):
+    return D.chapters(D.contents(O.order_texts(spark, sf_dir)))
+
+
+_AT = ", ".join(f"max(pos) FILTER (level = {k}) OVER w AS a{k}, arg_max(heading, pos) FILTER (level = {k}) OVER w AS h{k}" for k in (1, 2, 3))
+
+
+@query(f"""WITH {_ORDERS}, x AS (SELECT f.doc_id, f.doc_title, f.pos, t.level, t.title AS heading FROM f LEFT JOIN t ON t.doc_id = f.doc_id AND t.pos = f.pos),
+o AS (SELECT *, {_AT} FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, concat_ws(' > ', doc_title, h1, CASE WHEN a2 > coalesce(a1, -1) THEN h2 END, CASE WHEN a3 > greatest(coalesce(a1, -1), coalesce(a2, -1)) THEN h3 END) AS section_path FROM o WHERE level IS NULL""")
+def order_section_paths(spark, sf_dir):
+    return D.section_paths(O.order_texts(spark, sf_dir))
+
+
+@query(f"""WITH {_ORDERS}, c AS (SELECT *, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS no FROM t),
+g AS (SELECT doc_id, CAST(no AS BIGINT) AS nth, arg_min(title, pos) AS chapter, count(*) - 1 AS n, string_agg(repeat('  ', level - 2) || '- ' || title, chr(10) ORDER BY pos) FILTER (level > 1) AS s FROM c WHERE no > 0 GROUP BY doc_id, no),
+o AS (SELECT doc_id, count(*) AS k, string_agg(nth || '. ' || chapter || CASE n WHEN 0 THEN '' WHEN 1 THEN ' — 1 section' ELSE ' — ' || n || ' sections' END, chr(10) ORDER BY nth) AS l FROM g GROUP BY doc_id)
+SELECT doc_id, 0::BIGINT AS nth, 'overview' AS kind, md5('Document: ' || title || chr(10) || 'This document contains ' || k || CASE k WHEN 1 THEN ' chapter:' ELSE ' chapters:' END || chr(10) || chr(10) || l) AS digest FROM o JOIN {O.ORDER_TEXTS} USING (doc_id)
+UNION ALL SELECT doc_id, nth, 'chapter', md5('Chapter: ' || chapter || CASE WHEN n > 0 THEN chr(10) || chr(10) || 'Sections:' || chr(10) || s ELSE '' END) FROM g""")
+def order_structure(spark, sf_dir):
+    docs = O.order_texts(spark, sf_dir)
+    return U.structural_chunks(D.contents(docs), docs).select("doc_id", "nth", "kind", F.md5("content").alias("digest"))
+
+
 @query(f"""WITH b AS {I.BOOKMARKS.sql()}, h AS {I.TOC.sql()}, u AS (SELECT 0 AS part, * FROM b UNION ALL SELECT 1, * FROM h WHERE lower(trim(title)) NOT IN (SELECT lower(trim(title)) FROM b))
 SELECT row_number() OVER (ORDER BY part, pos) AS nth, level, title FROM u""")
 def merge_toc(spark, sf_dir):
@@ -1120,6 +1156,18 @@ for _l in I.TESTS:
     query(_counts_sql(_l), f"parse_tests_{_l}")(lambda spark, sf_dir, _l=_l: E.test_counts(I.outputs(I.TESTS[_l]).df(spark), _l))
 
 
+# the same parsers over logs and test results of all users
+for _l in O.LOGS:
+    query(O.logs_sql(_l, E.LANGUAGES[_l].kinds), f"logged_errors_{_l}")(lambda spark, sf_dir, _l=_l: E.parsed(O.logs(spark, sf_dir, _l), _l))
+for _l in (*O.RUNS, "go"):
+    query(O.RUNS_SQL, f"logged_tests_{_l}")(lambda spark, sf_dir, _l=_l: E.test_counts(O.runs(spark, sf_dir, _l), _l))
+
+
+@query("SELECT event_id AS id, true AS crashed FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND event_type IS NOT NULL")
+def logged_crashes(spark, sf_dir):
+    return E.crashed(O.logs(spark, sf_dir, "python"), "python")
+
+
 @query("SELECT id, " + " OR ".join(f"regexp_matches(raw, '{p}')" for p in E.LANGUAGES["python"].crash) + f" AS crashed FROM {I.outputs(I.OUTPUTS['python']).sql()}")
 def crash_detection(spark, sf_dir):
     return E.crashed(I.outputs(I.OUTPUTS["python"]).df(spark), "python")
@@ -1354,6 +1402,16 @@ def semver_compare(spark, sf_dir):
     return I.VERSIONS.df(spark).select("id", F.when(a > b, 1).when(a < b, -1).otherwise(0).alias("compared"))
 
 
+@query("""WITH v AS (SELECT p_partkey AS id, 'v' || (p_partkey % 5) || '.' || (p_size % 11) || '.' || (p_partkey % 3) AS a, (p_size % 5) || '.' || (p_partkey % 11) AS b, [p_partkey % 5, p_size % 11, p_partkey % 3] AS x, [p_size % 5, p_partkey % 11, 0] AS y FROM part)
+SELECT id, CASE WHEN x > y THEN 1 WHEN x < y THEN -1 ELSE 0 END AS compared FROM v""")
+def part_versions(spark, sf_dir):
+    """Versions made of the numbers of parts, in two spellings, compared."""
+    n = lambda c, k: F.expr(f"cast({c} % {k} as string)")
+    a, b = F.concat(F.lit("v"), n("p_partkey", 5), F.lit("."), n("p_size", 11), F.lit("."), n("p_partkey", 3)), F.concat(n("p_size", 5), F.lit("."), n("p_partkey", 11))
+    x, y = X.semver(a), X.semver(b)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(x > y, 1).when(x < y, -1).otherwise(0).alias("compared"))
+
+
 _NOW = 160_000_000
 
 
