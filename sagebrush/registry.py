@@ -30,6 +30,7 @@ from .operators import store as K
 from .operators import structure as U
 from .operators import vectors as Y
 from .operators import versions as R
+from .operators.cursors import SortedTable
 from .plans import derived as O
 from .plans import inline as I
 from .sources import code as P
@@ -608,6 +609,21 @@ def books(spark, sf_dir):
     return K.books(_chunks(spark, sf_dir))
 
 
+@query("""WITH r AS (SELECT doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (ORDER BY coalesce(n_chars, 0), doc_id) - 1 AS place, (count(*) OVER () + 7) // 8 AS size FROM documents)
+SELECT CAST(place // size AS INTEGER) AS page, doc_id, place FROM r""")
+def document_pages(spark, sf_dir):
+    """All documents by length, walked in eight pages by the token of the page before."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0).cast("long")).alias("n"))
+    walk, size, out, token = SortedTable(spark, scratch(spark, "pages")), -(-rows.count() // 8) or 1, [], None
+    walk.write(rows, "n", "doc_id")
+    for page in range(8):
+        got, token = walk.page(size, token)
+        out.append(got.select(F.lit(page).alias("page"), "doc_id", F.col("_place").alias("place")))
+        if token is None:
+            break
+    return functools.reduce(DataFrame.union, out)
+
+
 _CHANGED = f"""{_CHUNKS}, n AS (SELECT id, content || ' (new)' AS content, 'rust' AS collection FROM c WHERE id % 3 = 0),
 u AS (SELECT id, content, collection FROM c WHERE id % 3 <> 0 UNION ALL SELECT * FROM n)"""
 
