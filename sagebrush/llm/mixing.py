@@ -1,17 +1,19 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows, in the order of the MD5 of their id, are cut into blocks of `block_rows`. With weight a/H (quanta a of
-a period of H slots, all quanta adding up to H), block j of a source is released at slot floor(j * H / a) and due at
-slot ceil((j + 1) * H / a). In each slot the released block with the earliest deadline goes (ties: by source), so at
-any slot a source has had less than one block more or less than its quanta give it, as long as no source has run out.
-
-The schedule repeats every H slots: one period is worked out on the driver (H steps) and joined. Quanta are rounded, so
-the mix leaves its target weights by a little more with each slot. Where that would be more than `MOST_ROUNDING` of a
-block by the time that a source runs out, all slots up to there are worked out from the exact weights instead, and the
-period repeats after them only. That is one entry for each block; a block has `block_rows` rows, or a `MOST_BLOCKS`th of
-all rows where that is more, so what the driver holds is bounded. Positions within a source come from a range
-partitioning and one count for each partition and source, so that no source, however large, is in one task. Sources
-that run out leave their slots empty; the others go on in proportion. No row is dropped or repeated.
+A source's rows, in the order of the MD5 of their id, are cut into blocks of `block_rows`. With weight w of all weights
+W, block j of a source is released at slot floor(j * W / w) and due at slot ceil((j + 1) * W / w). In each slot the
+released block with the earliest deadline goes (ties: by source), so at any slot a source has had less than one block
+more or less than its weight gives it. Weights are taken as the exact fractions that they are, at every size; nothing
+is rounded.
+
+When a source has no block left for its turn, the others start anew from that slot by their weights among themselves,
+with the same bound from there on. Rows up to the first such slot are `in_target`: there the mix has all its target
+weights. Every slot has a block; no row is dropped or repeated.
+
+The driver works out one entry for each block, holds `PIECE` of them at most and writes them to a table in the shared
+folder, which is joined to the rows; its time grows with the blocks (a second for half a million), so at 1e10 rows and
+more a caller takes larger blocks. Positions within a source come from a range partitioning and one count for each
+partition and source, so that no source, however large, is in one task.
 
 The sources are listed on the driver, as their weights are. A null source is a source of its own. A null doc_id is
 ordered as an empty one. Rows that repeat an id, or have none, each have a place of their own. Texts, however long or
@@ -22,72 +24,48 @@ empty, are not looked at. An empty table gives an empty result. Other columns pa
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keyed, stored
+from .common import keyed, scratch, stored
 
-BLOCK_ROWS, PERIOD, MOST_ROUNDING, MOST_BLOCKS = 64, 1000, 0.25, 1_000_000
+BLOCK_ROWS = 64
+#: Entries of the schedule that the driver holds, at most.
+PIECE = 500_000
 #: Rows of a partition of the range partitioning, at most.
 PART_ROWS = 2_000_000
 
 
-def quanta(weights: dict, period: int = PERIOD) -> dict:
-    """Whole quanta that add up to the period, by largest remainders (ties by name); each source gets one at least."""
-    total = sum(weights.values())
-    names = sorted(weights, key=lambda x: (x is not None, x or ""))
-    period = max(period, 10 * len(names))
-    exact = {s: round(weights[s] / total * (period - len(names)), 9) for s in names}
-    out = {s: 1 + math.floor(exact[s]) for s in names}
-    rest = period - sum(out.values())
-    for s in sorted(names, key=lambda s: (-round(exact[s] - math.floor(exact[s]), 9), s is not None, s or ""))[:rest]:
-        out[s] += 1
-    return out
-
-
-def period_schedule(parts: dict) -> list:
-    """The source of each slot of one period: earliest deadline first among the blocks that are released."""
-    period = sum(parts.values())
-    names = sorted(parts, key=lambda x: (x is not None, x or ""))
-    weight = {s: Fraction(parts[s], period) for s in names}
-    waiting = [(0, k, 0) for k in range(len(names))]
-    heapq.heapify(waiting)
-    ready, out = [], []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil((j + 1) / weight[names[k]]), k, j))
-        _, k, j = heapq.heappop(ready)
-        out.append(names[k])
-        heapq.heappush(waiting, (math.floor((j + 1) / weight[names[k]]), k, j + 1))
-    return out
-
-
-def exact_start(weights: dict, blocks: dict) -> list[tuple]:
-    """(source, block, slot) by the exact weights, up to the first slot whose source has no block left."""
+def turns(weights: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, block, slot, in_target) of all blocks: earliest deadline first among those that are released."""
     exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
     names = sorted(exact, key=lambda x: (x is not None, x or ""))
-    whole = sum(exact.values())
-    every = [whole / exact[s] for s in names]
-    every = [(x.numerator, x.denominator) for x in every]
-    waiting = [(0, k, 0) for k in range(len(names))]
-    heapq.heapify(waiting)
-    ready, out = [], []
-    while waiting or ready:
-        while waiting and waiting[0][0] <= len(out):
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * every[k][0] // every[k][1]), k, j))
-        _, k, j = heapq.heappop(ready)
-        if j >= blocks.get(names[k], 0):
-            break
-        out.append((names[k], j, len(out)))
-        heapq.heappush(waiting, ((j + 1) * every[k][0] // every[k][1], k, j + 1))
-    return out
+    share = [int(exact[s] * scale) for s in names]
+    has, done = [blocks.get(s, 0) for s in names], [0] * len(names)
+    left, slot, target = set(range(len(names))), 0, True
+    while left and any(has[k] > done[k] for k in left):
+        start, whole, base = slot, sum(share[k] for k in left), list(done)
+        waiting, ready = [(0, k) for k in sorted(left)], []
+        while True:
+            while waiting and waiting[0][0] <= slot - start:
+                k = heapq.heappop(waiting)[1]
+                heapq.heappush(ready, (-(-(done[k] - base[k] + 1) * whole // share[k]), k))
+            k = heapq.heappop(ready)[1]
+            if done[k] == has[k]:
+                break
+            yield names[k], done[k], slot, target
+            done[k], slot = done[k] + 1, slot + 1
+            heapq.heappush(waiting, ((done[k] - base[k]) * whole // share[k], k))
+        left.remove(k)
+        target = False
 
 
 def positions(docs: DataFrame, total: int, id_col: str = "doc_id", source_col: str = "source", key_col: str | None = None) -> DataFrame:
@@ -115,62 +93,36 @@ def source_counts(docs: DataFrame, source_col: str = "source") -> dict:
 
 
 def weights_by_power(counts: dict, power: float = 0.5) -> dict:
-    """Target weights from the row counts of the sources raised to a power (temperature sampling)."""
-    return {s: n**power for s, n in counts.items()}
+    """Target weights from the row counts of the sources raised to a power (temperature sampling), in whole 2^-20ths."""
+    return {s: math.floor(n**power * 2**20) for s, n in counts.items()}
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", key_col: str | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", key_col: str | None = None) -> DataFrame:
     """(doc, src, row, mix_slot, mix_pos, in_target): the slot of a row's block and its place in the block."""
-    spark = docs.sparkSession
     counts = source_counts(docs, source_col)
     weights = weights if weights is not None else weights_by_power(counts)
     if missing := [s for s in counts if not weights.get(s)]:
         raise ValueError(f"sources without a weight: {missing[:10]}")
-    rows_all = sum(counts.values())
-    block_rows = max(block_rows, -(-rows_all // MOST_BLOCKS))
-    parts = quanta(weights, period) if weights else {}
-    period = sum(parts.values())
-    turns = _turns(parts)
-    slot_of = {(s, turn): slot for s, turn, slot in turns}
-    ends = {s: -(-n // block_rows) for s, n in counts.items()}
-    # the first slot that a source leaves empty; up to it, the mix has its target weights
-    horizon = min(((n // parts[s]) * period + slot_of[s, n % parts[s]] for s, n in ends.items()), default=0)
-    total, start = sum(weights.values()), []
-    if horizon * max((abs(n / period - weights[s] / total) for s, n in parts.items()), default=0) > MOST_ROUNDING:
-        start = exact_start(weights, ends)
-        horizon = len(start)
-    done = dict.fromkeys(parts, 0)
-    for s, _, _ in start:
-        done[s] += 1
-    # the period follows the exact start: its turns are counted from the first block that is left
-    turns = start + [(s, done[s] + turn, len(start) + slot) for s, turn, slot in turns]
-    table = pa.table([pa.array([x[k] for x in turns], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["src", "turn", "slot"])
-    table = spark.createDataFrame(table).alias("t")
-    shares = pa.table([pa.array(x, t) for x, t in ((list(parts), pa.string()), (list(parts.values()), pa.int64()), (list(done.values()), pa.int64()))], ["s", "n", "done"])
-    shares = spark.createDataFrame(shares).alias("s")
-    rank = positions(docs, rows_all, id_col, source_col, key_col)
-    rows = rank.alias("r").join(shares, F.expr("r.src <=> s.s"))
-    block = F.floor(F.col("rank") / block_rows)
-    rows = rows.select("doc", "src", "row", "rank", "n", "done", (block - F.col("done")).alias("block"))
-    turn = F.when(F.col("block") < 0, F.col("block")).otherwise(F.col("block") % F.col("n")) + F.col("done")
-    rows = rows.withColumn("turn", turn).alias("r")
-    rows = rows.join(table, F.expr("r.src <=> t.src and r.turn = t.turn"))
-    slot = F.floor(F.greatest("block", F.lit(0)) / F.col("n")) * period + F.col("slot")
-    return rows.select("r.doc", F.col("r.src").alias("src"), "r.row", slot.alias("mix_slot"), (F.col("rank") % block_rows).alias("mix_pos")).withColumn("in_target", F.col("mix_slot") < horizon)
-
-
-def _turns(parts: dict) -> list[tuple]:
-    """(source, turn within the period, slot) of one period."""
-    seen, out = dict.fromkeys(parts, 0), []
-    for slot, s in enumerate(period_schedule(parts) if parts else []):
-        out.append((s, seen[s], slot))
-        seen[s] += 1
-    return out
-
-
-def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    slots = _written(docs.sparkSession, turns(weights, {s: -(-n // block_rows) for s, n in counts.items()})).alias("t")
+    rank = positions(docs, sum(counts.values()), id_col, source_col, key_col)
+    rows = rank.withColumn("block", F.floor(F.col("rank") / block_rows)).alias("r")
+    rows = rows.join(slots, F.expr("r.src <=> t.src and r.block = t.block"))
+    return rows.select("r.doc", "r.src", "r.row", F.col("slot").alias("mix_slot"), (F.col("rank") % block_rows).alias("mix_pos"), "in_target")
+
+
+def _written(spark: SparkSession, entries: Iterator[tuple]) -> DataFrame:
+    """The entries of a schedule as a table in the shared folder, written piece by piece."""
+    schema = pa.schema([("src", pa.string()), ("block", pa.int64()), ("slot", pa.int64()), ("in_target", pa.bool_())])
+    path, wanted = scratch(spark, "slots"), "src string, block long, slot long, in_target boolean"
+    while piece := list(itertools.islice(entries, PIECE)):
+        columns = [pa.array(x, f.type) for x, f in zip(zip(*piece, strict=True), schema, strict=True)]
+        spark.createDataFrame(pa.table(columns, schema=schema)).write.mode("append").parquet(path)
+    return spark.read.schema(wanted).parquet(path)
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with mix_slot, mix_pos and in_target, in the order of the mix."""
     rows = keyed(docs.drop("mix_slot", "mix_pos", "in_target"), "_row_key", id_col)
-    plan = schedule(rows, weights, block_rows, period, id_col, source_col, "_row_key")
+    plan = schedule(rows, weights, block_rows, id_col, source_col, "_row_key")
     plan = plan.select(F.col("row").alias("_row_key"), "mix_slot", "mix_pos", "in_target")
     return rows.join(plan, "_row_key").drop("_row_key").orderBy("mix_slot", "mix_pos")

@@ -62,29 +62,34 @@ FROM d JOIN m ON m.h = d.h JOIN b32 ON b32.h = d.h
 """
 
 MIXING = """
-WITH RECURSIVE d AS (SELECT doc_id, source FROM documents),
-c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-g AS (SELECT greatest(1000, 10 * count(*)) AS h, count(*) AS k, sum(sqrt(n)) AS t FROM c),
-x AS (SELECT source, round(sqrt(n) / t * (h - k), 9) AS e, h FROM c, g),
-y AS (SELECT source, 1 + CAST(floor(e) AS BIGINT) AS q, row_number() OVER (ORDER BY round(e - floor(e), 9) DESC, source NULLS FIRST) AS r, h FROM x),
-z AS (SELECT source, q + CASE WHEN r <= h - (SELECT sum(q) FROM y) THEN 1 ELSE 0 END AS a, h FROM y),
-o AS (SELECT list(a ORDER BY source NULLS FIRST) AS a, list(source ORDER BY source NULLS FIRST) AS s, any_value(h) AS h FROM z),
+WITH RECURSIVE c AS (SELECT source, (count(*) + 63) // 64 AS blocks, CAST(floor(sqrt(count(*)) * 1048576) AS HUGEINT) AS w FROM documents GROUP BY source),
+o AS (SELECT list(w ORDER BY source NULLS FIRST) AS w, list(blocks ORDER BY source NULLS FIRST) AS b, list(source ORDER BY source NULLS FIRST) AS s, sum(blocks) AS n, CAST(sum(w) AS HUGEINT) AS whole FROM c),
 sim AS (
-  SELECT 0 AS slot, list_transform(a, lambda q: 0::BIGINT) AS done, NULL::BIGINT AS pick, NULL::BIGINT AS turn FROM o
+  SELECT CAST(0 AS HUGEINT) AS slot, CAST(0 AS HUGEINT) AS start, list_transform(w, lambda x: CAST(0 AS HUGEINT)) AS base, list_transform(w, lambda x: CAST(0 AS HUGEINT)) AS done,
+    list_transform(w, lambda x: true) AS live, whole, true AS target, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS HUGEINT) AS turn FROM o
   UNION ALL
-  SELECT slot + 1, list_transform(done, lambda v, i: v + CASE WHEN i = best THEN 1 ELSE 0 END), best, done[best] FROM (
-    SELECT slot, done, CAST(list_position(due, list_min(due)) AS BIGINT) AS best FROM (
-      SELECT slot, done, list_transform(done, lambda v, i: CASE WHEN v * h // o.a[i] <= slot THEN ((v + 1) * h + o.a[i] - 1) // o.a[i] END) AS due, h FROM sim, o
+  SELECT CASE WHEN done[best] < b[best] THEN slot + 1 ELSE slot END,
+    CASE WHEN done[best] < b[best] THEN start ELSE slot END,
+    CASE WHEN done[best] < b[best] THEN base ELSE done END,
+    CASE WHEN done[best] < b[best] THEN list_transform(done, lambda v, i: v + CASE WHEN i = best THEN 1 ELSE 0 END) ELSE done END,
+    CASE WHEN done[best] < b[best] THEN live ELSE list_transform(live, lambda v, i: v AND i <> best) END,
+    CASE WHEN done[best] < b[best] THEN whole ELSE whole - w[best] END,
+    target AND done[best] < b[best],
+    CASE WHEN done[best] < b[best] THEN best END,
+    CASE WHEN done[best] < b[best] THEN done[best] END
+  FROM (
+    SELECT * EXCLUDE (due), CAST(list_position(due, list_min(due)) AS BIGINT) AS best FROM (
+      SELECT sim.slot, sim.start, sim.base, sim.done, sim.live, sim.whole, sim.target, o.w, o.b, list_transform(sim.done, lambda v, i: CASE
+        WHEN sim.live[i] AND (v - sim.base[i]) * sim.whole // o.w[i] <= sim.slot - sim.start
+        THEN ((v - sim.base[i] + 1) * sim.whole + o.w[i] - 1) // o.w[i] END) AS due
+      FROM sim, o WHERE sim.slot < o.n
     )
-  ), o WHERE slot < o.h
+  )
 ),
-t AS (SELECT o.s[pick] AS source, turn, slot - 1 AS slot FROM sim, o WHERE pick IS NOT NULL),
-k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM d),
-b AS (SELECT k.*, rank // 64 AS block, z.a, z.h FROM k JOIN z ON z.source IS NOT DISTINCT FROM k.source),
-p AS (SELECT b.doc_id, b.source, b.block // b.a * b.h + t.slot AS mix_slot, b.rank % 64 AS mix_pos FROM b JOIN t ON t.source IS NOT DISTINCT FROM b.source AND t.turn = b.block % b.a),
-e AS (SELECT source, max(block) + 1 AS n, any_value(a) AS a, any_value(h) AS h FROM b GROUP BY source),
-f AS (SELECT min(n // e.a * h + t.slot) AS horizon FROM e JOIN t ON t.source IS NOT DISTINCT FROM e.source AND t.turn = e.n % e.a)
-SELECT doc_id, source, CAST(mix_slot AS BIGINT) AS mix_slot, CAST(mix_pos AS BIGINT) AS mix_pos, mix_slot < horizon AS in_target FROM p, f
+t AS (SELECT o.s[pick] AS source, turn, slot - 1 AS slot, target FROM sim, o WHERE pick IS NOT NULL),
+k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank FROM documents)
+SELECT doc_id, k.source, CAST(t.slot AS BIGINT) AS mix_slot, CAST(rank % 64 AS BIGINT) AS mix_pos, t.target AS in_target
+FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source AND t.turn = k.rank // 64
 """
 
 # the patterns and classes are those of the operator, written out

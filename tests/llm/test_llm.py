@@ -1,10 +1,12 @@
 """The training-data operators on odd inputs and against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import time
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -547,13 +549,16 @@ def test_mixing(spark, odd, none):
     docs = spark.createDataFrame(rows, "doc_id long, source string")
     weights = {f"s{k}": k + 1.5 for k in range(7)}
     got = mixing.schedule(docs, weights, block_rows=4).collect()
-    parts = mixing.quanta(weights)
-    period, source_of = sum(parts.values()), {r.mix_slot: r.src for r in got}
-    horizon = max(r.mix_slot for r in got if r.in_target) + 1
-    done = Counter()
-    for slot in range(horizon):
+    blocks = {s: -(-n // 4) for s, n in Counter(s for _, s in rows).items()}
+    source_of, in_target = {r.mix_slot: r.src for r in got}, {r.mix_slot: r.in_target for r in got}
+    assert sorted(source_of) == list(range(sum(blocks.values())))
+    total, done = sum(weights.values()), Counter()
+    for slot in range(sum(in_target.values())):
+        assert in_target[slot]
         done[source_of[slot]] += 1
-        assert all(abs(done[s] - (slot + 1) * a / period) < 1 for s, a in parts.items())
+        assert all(abs(done[s] - (slot + 1) * w / total) < 1 for s, w in weights.items())
+    # the first turn of a source without a block left ends the target
+    assert any(done[s] == n for s, n in blocks.items()) and not all(in_target.values())
     assert len({(r.mix_slot, r.mix_pos) for r in got}) == len(got) == 3000
     out = mixing.mixed(odd).collect()
     assert len(out) == odd.count() and [(r.mix_slot, r.mix_pos) for r in out] == sorted((r.mix_slot, r.mix_pos) for r in out)
@@ -568,10 +573,45 @@ def test_mixing_keeps_repeated_rows(spark, monkeypatch):
     out = mixing.mixed(docs, block_rows=2).collect()
     assert Counter((r.doc_id, r.source, r.own) for r in out) == Counter(rows)
     assert len({(r.mix_slot, r.mix_pos) for r in out}) == len(rows) == mixing.schedule(docs, block_rows=2).count()
-    # larger tables have larger blocks, so that the driver's list stays short
-    monkeypatch.setattr(mixing, "MOST_BLOCKS", 5)
-    out = mixing.mixed(docs, block_rows=2).collect()
-    assert len(out) == len(rows) and max(r.mix_pos for r in out) == 5
+    # the schedule does not depend on the pieces in which it is written
+    plan = sorted(map(tuple, mixing.schedule(docs, block_rows=2).collect()), key=repr)
+    monkeypatch.setattr(mixing, "PIECE", 2)
+    assert sorted(map(tuple, mixing.schedule(docs, block_rows=2).collect()), key=repr) == plan
+
+
+def _plain_turns(weights, blocks):
+    """All blocks slot by slot from the windows as fractions, without a queue."""
+    left, done, out = sorted(weights), Counter(), []
+    while left:
+        base, start, total = Counter(done), len(out), sum(Fraction(weights[s]) for s in left)
+        while True:
+            j = {s: done[s] - base[s] for s in left}
+            free = [s for s in left if math.floor(j[s] * total / Fraction(weights[s])) <= len(out) - start]
+            s = min(free, key=lambda s: (math.ceil((j[s] + 1) * total / Fraction(weights[s])), s))
+            if done[s] == blocks[s]:
+                left.remove(s)
+                break
+            out.append((s, done[s], len(out), len(left) == len(weights)))
+            done[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_mixing_keeps_the_bound_in_every_stretch(seed):
+    """Less than one block from the exact weights, also after sources ran out; the order is that of a plain scan."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 9))
+    weights = {f"s{k}": float(w) for k, w in enumerate(rng.pareto(0.7, n) + 1e-3)}
+    blocks = {s: int(rng.integers(0, 400)) for s in weights}
+    got = list(mixing.turns(weights, blocks))
+    assert got == _plain_turns(weights, blocks)
+    assert [x[2] for x in got] == list(range(sum(blocks.values())))
+    assert Counter(x[0] for x in got) == Counter({s: b for s, b in blocks.items() if b})
+    total, done = sum(map(Fraction, weights.values())), Counter()
+    for s, _, slot, target in got:
+        if target:
+            done[s] += 1
+            assert all(abs(done[x] - (slot + 1) * Fraction(w) / total) < 1 for x, w in weights.items())
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.99899, "b": 0.001, "c": 0.00001}, None])
