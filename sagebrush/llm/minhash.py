@@ -160,7 +160,10 @@ def minhash_components(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, si
     doubt = stored(named.join(mixed, "bucket", "left_semi").select("id", "group").distinct(), "doubt")
     more = stored(confirmed(across_groups(sets.join(doubt, "id"), percent), sets, percent), "more")
     if not more.isEmpty():
-        group = stored(components(links.union(more)), "group")
+        # the groups so far stand for the links that made them
+        stars, last = group.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")), group
+        group = stored(components(stars.union(more)), "group")
+        drop(last)
     drop(bucket, sets, links, doubt, more)
 
     found = signed.select("id", *key).join(classes, key, "left")
