@@ -11,8 +11,8 @@ with the same bound from there on. Rows up to the first such slot are `in_target
 weights. Every slot has a block; no row is dropped or repeated.
 
 The driver works out one entry for each block, holds `PIECE` of them at most and writes them to a table in the shared
-folder, which is joined to the rows; its time grows with the blocks (a second for half a million), so at 1e10 rows and
-more a caller takes larger blocks. Positions within a source come from a range partitioning and one count for each
+folder, which is joined to the rows; its time grows with the blocks (three seconds a million, without the writing), so
+at 1e10 rows and more a caller takes larger blocks. Positions within a source come from a range partitioning and one count for each
 partition and source, so that no source, however large, is in one task.
 
 The sources are listed on the driver, as their weights are. A null source is a source of its own. A null doc_id is
