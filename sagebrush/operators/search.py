@@ -168,18 +168,3 @@ def expansions(query: Column, answer: Column, most: int = 3) -> Column:
     """The query, then the lines of a model's answer (10 < length < 200, without their numbers), at most three."""
     lines = F.transform(F.split(F.coalesce(answer, F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\A\d+[.)]\s*", "")))
     return F.concat(F.array(query), F.slice(F.filter(lines, lambda x: (F.length(x) > 10) & (F.length(x) < 200)), 1, most))
-
-
-def similar_pairs(docs: DataFrame, least: float, blocks: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs with a Jaccard similarity of token sets above `least` within blocks: prefix filtering, then the exact value."""
-    sets = docs.select(F.col(key).alias("id"), *blocks, X.token_set(F.coalesce(text, F.lit(""))).alias("words")).where(F.size("words") > 0)
-    n = F.size("words")
-    rows = sets.select("id", *blocks, n.alias("n"), F.explode("words").alias("word"))
-    df = rows.groupBy("word").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "word")
-    prefix = rows.join(df, "word").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
-    a = prefix.select(*blocks, "word", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = prefix.select(*blocks, "word", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, [*blocks, "word"]).where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return both.withColumn("similarity", X.jaccard(F.col("wa"), F.col("wb"))).where(F.col("similarity") > least).select("a", "b", "similarity")

@@ -25,6 +25,7 @@ from .operators import patterns as PT
 from .operators import retrieval as Q
 from .operators import search as S
 from .operators import session as V
+from .operators import similar as SP
 from .operators import skeletons as N
 from .operators import store as K
 from .operators import structure as U
@@ -244,7 +245,7 @@ def term_boost_threshold(spark, sf_dir):
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE least(len(a.w), len(b.w)) >= 0.79::DOUBLE * greatest(len(a.w), len(b.w)) AND len(a.w) > 0 AND len(b.w) > 0)
 SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS similarity FROM p WHERE i::DOUBLE / (na + nb - i) > 0.8::DOUBLE""")
 def near_duplicate_pairs(spark, sf_dir):
-    return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
+    return SP.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
 
 
 @query("""WITH s AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents),
@@ -252,7 +253,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, l
 SELECT a, b, round(i::DOUBLE / (na + nb - i), 6) AS similarity FROM p WHERE i::DOUBLE / (na + nb - i) > 0.8::DOUBLE""")
 def near_duplicate_pairs_all(spark, sf_dir):
     """The rows of near_duplicate_pairs, which looked within equal lang and source only for two rounds."""
-    return S.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
+    return SP.similar_pairs(table(spark, sf_dir, "documents"), 0.8, []).withColumn("similarity", r6("similarity"))
 
 
 @query()

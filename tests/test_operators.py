@@ -344,3 +344,32 @@ def test_bm25_weights_of_all_terms(spark, tmp_path):
             want[k, w] = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
     got = {(r.doc_id, r.term): r.weight for r in registry.queries()["bm25_weights_all"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_similar_pairs_of_common_words_make_few_candidates(spark):
+    """All pairs by brute force; texts that share common words only are told apart before pairs are written."""
+    import random
+
+    from sagebrush.operators import similar as SP
+
+    rng, texts = random.Random(5), []
+    words = [f"w{k}" for k in range(150)]
+    for n in (1, 3, 5, 10, 40, 40, 40, 60, 60):
+        texts += [rng.sample(words, n) for _ in range(12)]
+    wide = [f"x{k}" for k in range(700)]
+    texts += [rng.sample(wide, 350) for _ in range(6)]
+    for t in list(texts):
+        if rng.random() < 0.5:
+            texts.append([w for w in t if rng.random() > 0.05] + rng.sample(words, max(1, len(t) // 25)))
+        if rng.random() < 0.2:
+            texts += [t[::-1], t + t]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(-1, None), (-2, "!?"), (None, rows_text := " ".join(texts[0])), (-3, rows_text), (-3, rows_text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [(k, set((t or "").split()) if t != "!?" else set()) for k, t in rows if k is not None]
+    want = sorted((a, b, round(len(s & t) / len(s | t), 9)) for a, s in sets for b, t in sets if a < b and s and t and len(s & t) / len(s | t) > 0.8)
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in SP.similar_pairs(docs, 0.8, []).collect())
+    assert got == want and len(want) > 50
+    hashed = docs.where("doc_id >= 0").select(F.col("doc_id").alias("cid"), F.size(F.array_distinct(F.split("text", " "))).alias("n"), F.transform(F.array_distinct(F.split("text", " ")), lambda w: F.xxhash64(w)).alias("h"))
+    own = [(a, b) for a, b, _ in want if a >= 0]
+    made = SP._alike(hashed, 0.8).collect()
+    assert {tuple(sorted(r)) for r in made} >= set(own) and len(made) == len({tuple(r) for r in made}) < 2 * len(own)
