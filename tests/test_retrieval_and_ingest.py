@@ -269,6 +269,18 @@ def test_vector_index(spark, tmp_path):
     assert only.where("id >= 300").count() == 0 and only.count() > 0
 
 
+def test_vector_index_reads_as_many_cells_as_it_takes(spark, tmp_path):
+    """Vectors without clusters: the nearest are spread over many cells."""
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(k, "a", rng.normal(size=48).tolist()) for k in range(3000)], "id long, collection string, embedding array<double>")
+    asked = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "collection", F.col("embedding").alias("vector"))
+    index = Y.VectorIndex.build(vectors, f"{tmp_path}/v")
+    exact = Y.exact_hits(vectors, asked, 10)
+    assert Y.recall(index.search(asked, 10), exact).first().recall >= 0.9 > Y.recall(index.search(asked, 10, probes=16), exact).first().recall
+    empty = Y.VectorIndex.build(vectors.limit(0), f"{tmp_path}/empty")
+    assert empty.search(asked.limit(0), 10).count() == 0
+
+
 def test_hashed_vectors(spark):
     rows = spark.createDataFrame([("alpha beta",), ("beta alpha",), ("",), (None,), ("gamma",)], "t string").select(Q.hashed_vector(F.col("t"), 16)).collect()
     a, b, c, d, e = (r[0] for r in rows)
