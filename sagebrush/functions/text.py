@@ -20,6 +20,17 @@ def token_set(text: Column | str) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != ""))
 
 
+def term_counts(terms: Column) -> Column:
+    """(term, n) of each distinct term of an array: it is sorted, and runs are counted by where they start."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when(~x.eqNullSafe(F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        # an array of one holds what is used more than once
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("n"))))[0]
+
+    return F.transform(F.array(F.array_sort(terms)), runs)[0]
+
+
 def word_set(text: Column | str) -> Column:
     """Distinct words of three characters or more, by white space, lower case."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: F.length(x) > 2))

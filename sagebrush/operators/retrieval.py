@@ -33,11 +33,11 @@ PREFIXED = ("general", "error", "code", "structural")
 def weighted(chunks: DataFrame, text: str = "content", key: str = "id", collection: str = "collection") -> DataFrame:
     """(collection, term, id, weight, idf): the BM25 vectors of chunks, one row an entry, as a plan."""
     base = chunks.select(F.col(collection).alias("collection"), F.col(key).alias("id"), X.tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    tf = base.select("collection", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("collection", "id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = S.counted(base, "collection", "id")
     docs = chunks.groupBy(F.col(collection).alias("collection")).agg(F.count("*").alias("n_docs"))
-    stats = _averaged(docs.join(tf.groupBy("collection").agg(F.sum("tf").alias("n_tokens")), "collection", "left"))
-    df = tf.groupBy("collection", "term").agg(F.count("*").alias("df"))
-    rows = tf.join(df, ["collection", "term"]).join(stats, "collection")
+    df = stored(tf.groupBy("collection", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")), "df")
+    stats = _averaged(docs.join(df.groupBy("collection").agg(F.sum("n").alias("n_tokens")), "collection", "left"))
+    rows = tf.join(df.drop("n"), ["collection", "term"]).join(F.broadcast(stats), "collection")  # a row a collection
     own = S.idf(F.col("n_docs"), F.col("df"))
     return rows.select("collection", "term", "id", (own * S.tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))).alias("weight"), own.alias("idf"))
 
@@ -75,8 +75,8 @@ class SparseIndex:
         # sorted by id, so that a delete finds its rows by the bounds of row groups
         name = self.tables.write(docs.sortWithinPartitions("id"), self.CHUNKS)
         own = self.spark.read.schema(docs.schema).parquet(f"{self.tables.path}/{self.CHUNKS}/{SEGMENT}={name}")
-        tf = tokens.select("collection", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("collection", "id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-        rows = _dealt(tf.select(_bucket().alias("bucket"), "collection", "term", "id", "tf", "len"))
+        tf = S.counted(tokens, "collection", "id")
+        rows = _dealt(tf.select(_bucket().alias("bucket"), "collection", "term", "id", F.col("tf").cast("int").alias("tf"), "len"))
         return self._write(own) | {self.CHUNKS: (name, docs.schema), self.POSTINGS: (self.tables.write(rows, self.POSTINGS), rows.schema)}
 
     def _commit(self, operation: str, parts: list[dict], base: Manifest | None) -> SparseIndex:

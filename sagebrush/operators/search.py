@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.scratch import stored
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Decimals of a score; what differs further on is the order of a sum, and ties go by id.
@@ -41,15 +42,23 @@ def tf_norm(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, len, term, tf) of rows (keys, t: tokens). Terms are counted in their text; only where keys are repeated, texts of one length are grouped."""
+    own = rows.select(*keys, F.size("t").alias("len"), F.explode(X.term_counts(F.col("t"))).alias("x"))
+    own = own.select(*keys, "len", F.col("x.term").alias("term"), F.col("x.n").cast("long").alias("tf"))
+    if rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return own
+    return own.groupBy(*keys, "len", "term").agg(F.sum("tf").alias("tf"))
+
+
 def weights(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, term, weight) of every document: the stored form of the sparse index."""
-    base = docs.select(F.col(key), X.tokens(F.coalesce(text, F.lit(""))).alias("t"))
-    tf = base.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # from the counts that are there: texts are split once
+    """(key, term, weight) of every document: the stored form of the sparse index. Rows are shuffled once, to their terms' counts."""
+    tf = counted(docs.select(F.col(key), X.tokens(F.coalesce(text, F.lit(""))).alias("t")), key)
+    # stored, since it is read for the terms and for the average
+    df = stored(tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")), "df")
     average = F.when(F.coalesce("n_tokens", F.lit(0)) == 0, 1.0).otherwise(F.col("n_tokens") / F.col("n_docs"))
-    stats = tf.agg(F.sum("tf").alias("n_tokens")).crossJoin(docs.agg(F.count("*").alias("n_docs"))).withColumn("avg_len", average)
-    rows = tf.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    stats = df.agg(F.sum("n").alias("n_tokens")).crossJoin(docs.agg(F.count("*").alias("n_docs"))).withColumn("avg_len", average)
+    rows = tf.join(df.drop("n"), "term").crossJoin(F.broadcast(stats))  # one row
     return rows.select(key, "term", (idf(F.col("n_docs"), F.col("df")) * tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))).alias("weight"))
 
 

@@ -373,3 +373,16 @@ def test_similar_pairs_of_common_words_make_few_candidates(spark):
     own = [(a, b) for a, b, _ in want if a >= 0]
     made = SP._alike(hashed, 0.8).collect()
     assert {tuple(sorted(r)) for r in made} >= set(own) and len(made) == len({tuple(r) for r in made}) < 2 * len(own)
+
+
+def test_terms_are_counted_in_their_texts(spark):
+    """Counts of terms need no shuffle; texts of one id and length still count as one, as in the SQL."""
+    from collections import Counter
+
+    texts = [(1, "b a b c"), (2, ""), (3, None), (4, "x"), (5, "a a a")]
+    rows = lambda t: spark.createDataFrame(t, "doc_id long, text string").select("doc_id", X.tokens(F.concat_ws(" ", F.regexp_replace("text", r"(\w)", "$1$1"))).alias("t"))
+    got = S.counted(rows(texts), "doc_id")
+    assert {(r.doc_id, r.len, r.term, r.tf) for r in got.collect()} == {(k, len((t or "").split()), w * 2, n) for k, t in texts for w, n in Counter((t or "").split()).items()}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    twice = S.counted(rows([*texts, (4, "x"), (5, "a")]), "doc_id").collect()
+    assert {(r.len, r.term, r.tf) for r in twice if r.doc_id in (4, 5)} == {(1, "xx", 2), (3, "aa", 3), (1, "aa", 1)} and len(twice) == 6
