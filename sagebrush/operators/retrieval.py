@@ -23,6 +23,8 @@ from .vectors import VectorIndex, exact_hits, gathered, ranked
 
 #: Parts of the postings, by hash of the term, in the order of which they are sorted; a search reads those of its terms only.
 BUCKETS = 64
+#: Terms of queries up to which each task gets all of them.
+BROADCAST = 200_000
 #: What a query is headed with before it is embedded, by kind; other kinds are general (fixed kinds).
 PREFIXED = ("general", "error", "code", "structural")
 
@@ -165,11 +167,17 @@ class SparseIndex:
         stats = self.stats(m)
         own = terms.join(df, keys).join(stats, "collection").withColumn("idf", S.idf(F.col("n_docs"), F.col("df"))).withColumn("tn", S.tf_norm(F.col("n"), F.col("len"), F.col("avg_len")))
         rows = self.tables.read(self.POSTINGS, m).where(F.col("bucket").isin(buckets))
-        hits = rows.join(own.select("query_id", *keys, "only", "idf", "tn", "avg_len"), keys)
+        own = own.select("query_id", *keys, "only", "idf", "tn", "avg_len")
+        few = lambda d: F.broadcast(d) if terms.count() <= BROADCAST else d
+        # postings of the terms go to their chunks' tasks before queries meet them: a posting is moved once, not once a query
+        rows = rows.join(few(asked), keys, "left_semi")
         # deletes and flags meet only what the terms let through
-        hits = self._live(hits, m)
+        rows = self._live(rows, m).repartition("id")
         if flags is not None:
-            hits = hits.join(flags.select("id", F.col("only").alias("flagged")), "id").where(~F.col("only") | F.col("flagged"))
+            rows = rows.join(flags.select("id", F.col("only").alias("flagged")), "id")
+        hits = rows.join(few(own), keys)
+        if flags is not None:
+            hits = hits.where(~F.col("only") | F.col("flagged"))
         weight = F.col("idf") * S.tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))
         sums = hits.groupBy("query_id", "collection", "id").agg(F.round(F.sum(weight * F.col("idf") * F.col("tn")), S.TIE).alias("score")).where("score > 0")
         return ranked(sums, limit)
