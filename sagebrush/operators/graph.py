@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop, stored
@@ -41,28 +42,38 @@ def dependents(edges: DataFrame) -> DataFrame:
 
 
 #: Steps of a search along edges that are one job.
-HOPS = 6
+HOPS = 3
 #: Rounds of trimming that are one job.
 TRIMS = 3
+#: Share of the edges that, left by a job of trimming, ends it.
+TRIMMED = 0.8
+#: Layers of a graph of components that are one job.
+LAYERS = 3
+#: Steps from pair to pair that are one job.
+STEPS = 3
+#: Members that make a component a hub, through which reach is counted and not listed.
+HUB = 100
 
 
-def _spread(labels: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def _spread(labels: DataFrame, edges: DataFrame, fresh: Column | None = None, most_rounds: int = 10_000) -> DataFrame:
     """(node, label) after labels went along (src, dst) as far as they get smaller: each node has the least that reaches it.
 
-    A round is a few steps in one job; what comes to the driver is a checksum.
+    A round is a few steps in one job. Only labels that are fresh, new in the last step, are sent on; at first those that
+    the condition `fresh` names, or all. Null labels are none yet.
     """
-    now, seen = stored(labels, "labels"), None
+    now = stored(labels.withColumn("fresh", F.col("label").isNotNull() if fresh is None else fresh), "labels")
     for _ in range(most_rounds):
         step = now
         for _ in range(HOPS):
-            sent = step.select(F.col("node").alias("src"), "label").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
-            step = step.join(sent, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("label"))
+            # what is sent is built into the hash tables: edges and labels are streamed past it without a sort
+            said = step.where("fresh").select(F.col("node").alias("src"), "label")
+            sent = edges.join(said.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
+            less = F.col("got").isNotNull() & (F.col("label").isNull() | (F.col("got") < F.col("label")))
+            step = step.join(sent.hint("shuffle_hash"), "node", "left").select("node", F.least("label", "got").alias("label"), less.alias("fresh"))
         last, now = now, stored(step, "labels")
         drop(last)
-        mark = now.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
-        if mark == seen:
-            return now
-        seen = mark
+        if now.where("fresh").isEmpty():
+            return now.select("node", "label")
     raise RuntimeError("labels did not settle")
 
 
@@ -77,14 +88,19 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     own = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
     left, found = stored(own, "edges"), None
     for _ in range(most_rounds):
-        # a few rounds of trimming; long tails that are left take a colour of their own
-        trimmed = left
-        for _ in range(TRIMS):
-            starts, ends = trimmed.select(F.col("src").alias("dst")).distinct(), trimmed.select(F.col("dst").alias("src")).distinct()
-            trimmed = trimmed.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst")
-        last, left = left, stored(trimmed, "edges")
-        drop(last)
-        if left.isEmpty():
+        # trimming costs less than colours as long as it takes much away; long tails that are left take a colour of their own
+        many = left.count()
+        while many:
+            trimmed = left
+            for _ in range(TRIMS):
+                starts, ends = trimmed.select(F.col("src").alias("dst")).distinct(), trimmed.select(F.col("dst").alias("src")).distinct()
+                trimmed = trimmed.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst")
+            last, left = left, stored(trimmed, "edges")
+            drop(last)
+            before, many = many, left.count()
+            if many > TRIMMED * before:
+                break
+        if not many:
             break
         nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
         colour = _spread(nodes.withColumn("label", F.col("node")), left)
@@ -92,13 +108,13 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         same = stored(left.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca"), "edges")
         # backwards from the named node, within its colour: what it reaches this way is labelled by it, all else by itself
         back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached = _spread(colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(1).alias("label")), back)
+        reached = _spread(colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(1).alias("label")), back, F.col("label") == 0)
         done = stored(reached.where("label = 0").select("node").join(colour, "node").select("node", F.col("label").alias("component")), "components")
         found = done if found is None else stored(found.union(done), "components")
         gone = done.select(F.col("node").alias("src"))
         drop(left)
         left = stored(same.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
-        drop(same, colour, reached)
+        drop(same)
     if found is None:
         return own.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     # a colour's own node with no cycle through it is no component
@@ -124,36 +140,84 @@ def condensed(nodes: DataFrame, edges: DataFrame, ring: DataFrame) -> tuple[Data
 def depths(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000, ring: DataFrame | None = None, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(node, depth): the longest path from a root, cycles counting as one node; nodes in no path from a root have 0.
 
-    Components are taken away from the roots on, a layer a round: a node's depth is the layer in which its last edge
-    went. Each edge is joined once, in the round of its start.
+    Components are taken away from the roots on, layer by layer, a few in one job: a node's depth is the layer in which
+    its last edge went. Each edge is joined once, in the layer of its start.
     """
     named, dag = parts or condensed(nodes, edges, cycles(edges) if ring is None else ring)
     degree = dag.groupBy(F.col("cb").alias("component")).agg(F.count("*").alias("n"))
-    wait = stored(named.select("component").distinct().join(degree, "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("n")), "wait")
-    layers = None
-    for depth in range(most_rounds):
-        layer = stored(wait.where("n = 0").select("component", F.lit(depth).alias("depth")), "layer")
-        if layer.isEmpty():
-            break
-        layers = layer if layers is None else stored(layers.union(layer), "layers")
-        cut = dag.join(layer.select(F.col("component").alias("ca")), "ca").groupBy(F.col("cb").alias("component")).agg(F.count("*").alias("cut"))
-        last, wait = wait, stored(wait.where("n > 0").join(cut, "component", "left").select("component", (F.col("n") - F.coalesce("cut", F.lit(0))).alias("n")), "wait")
+    none = F.lit(None).cast("int")
+    now = stored(named.select("component").distinct().join(degree, "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("n"), none.alias("depth")), "wait")
+    for first in range(0, most_rounds, LAYERS):
+        if now.where("depth is null").isEmpty():
+            return named.join(now.select("component", "depth"), "component").select("node", "depth")
+        step = now
+        for depth in range(first, first + LAYERS):
+            ready = F.col("depth").isNull() & (F.col("n") == 0)
+            cut = dag.join(step.where(ready).select(F.col("component").alias("ca")).hint("shuffle_hash"), "ca").groupBy(F.col("cb").alias("component")).agg(F.count("*").alias("cut"))
+            step = step.join(cut.hint("shuffle_hash"), "component", "left").select("component", (F.col("n") - F.coalesce("cut", F.lit(0))).alias("n"), F.when(ready, depth).otherwise(F.col("depth")).alias("depth"))
+        last, now = now, stored(step, "wait")
         drop(last)
-    else:
-        raise RuntimeError("depths did not settle")
-    if layers is None:
-        return named.select("node", F.lit(0).alias("depth"))
-    return named.join(layers, "component").select("node", "depth")
+    raise RuntimeError("depths did not settle")
+
+
+def _grown(start: DataFrame, edges: DataFrame, barred: DataFrame | None = None, most_rounds: int = 10_000) -> DataFrame:
+    """Pairs (node, reach, others) and what comes of them as their nodes go back along (src, dst); those that match `barred` are left out with all that come of them."""
+    keys = [c for c in start.columns if c != "node"]
+    free = (lambda d: d) if barred is None else (lambda d: d.join(barred, barred.columns, "left_anti"))
+    new = stored(free(start.distinct()).withColumn("k", F.lit(STEPS)), "pairs")
+    parts = [new]
+    for _ in range(most_rounds):
+        known = reduce(DataFrame.unionByName, parts).select("node", *keys)
+        step, steps = new.where(F.col("k") == STEPS).select("node", *keys), []
+        for k in range(1, STEPS + 1):
+            step = free(edges.select("src", F.col("dst").alias("node")).join(step, "node").select(F.col("src").alias("node"), *keys).distinct())
+            steps.append(step.withColumn("k", F.lit(k)))
+        found = reduce(DataFrame.unionByName, steps).groupBy("node", *keys).agg(F.min("k").alias("k"))
+        # null keys are values like others here
+        same = reduce(lambda a, b: a & b, [found[c].eqNullSafe(known[c]) for c in ("node", *keys)])
+        new = stored(found.join(known, same, "left_anti"), "pairs")
+        if new.isEmpty():
+            return known
+        parts.append(new)
+    raise RuntimeError("pairs did not end")
 
 
-def reach_counts(parts: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(node, n): how many nodes reach a node; itself only through a cycle. Pairs are of components, not of nodes."""
+def listed_pairs(size: DataFrame, dag: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What reach along (src, dst) is without all its pairs: (node, hub) to each hub, (node, hub) from one hub, and the pairs (node, reach) left.
+
+    A component of `hub` members or more (node, size) is a hub. What reaches a hub reaches all that the hub reaches:
+    those pairs are not listed. A pair that is left has only pairs that are left on its paths, so these are found edge by
+    edge. One hub counts for each component: its own, or the least that reaches it.
+    """
+    hubs = stored(size.where(F.col("size") >= hub).select("node"), "hubs")
+    to = _grown(hubs.select("node", F.col("node").alias("hub")), dag)
+    marked = size.select("node").join(hubs.select("node", F.col("node").alias("label")), "node", "left")
+    through = _spread(marked, dag).withColumnRenamed("label", "hub").where("hub is not null")
+    own = hubs.select("node", F.col("node").alias("own"))
+    through = stored(through.join(own, "node", "left").select("node", F.coalesce("own", "hub").alias("hub")), "through")
+    start = dag.join(through.withColumnRenamed("node", "dst"), "dst", "left").select(F.col("src").alias("node"), F.col("dst").alias("reach"), "hub")
+    return to, through, _grown(start, dag, to).select("node", "reach")
+
+
+def reach_counts(parts: tuple[DataFrame, DataFrame], hub: int = HUB) -> DataFrame:
+    """(node, n): how many nodes reach a node; itself only through a cycle. Pairs are of components, and none goes through a hub."""
     named, dag = parts
-    size = named.groupBy("component").agg(F.count("*").alias("size"), F.max("cyclic").alias("cyclic"))
-    pairs = closure(dag.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
-    above = pairs.join(size.select(F.col("component").alias("node"), "size"), "node").groupBy(F.col("reach").alias("component")).agg(F.sum("size").alias("above"))
-    own = size.join(above, "component", "left").select("component", (F.coalesce("above", F.lit(0)) + F.when(F.col("cyclic"), F.col("size")).otherwise(0)).alias("n"))
-    return named.join(own, "component").select("node", "n")
+    size = stored(named.groupBy("component").agg(F.count("*").alias("size"), F.max("cyclic").alias("cyclic")).withColumnRenamed("component", "node"), "sizes")
+    edges = dag.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
+    if size.where(F.col("size") >= hub).isEmpty():
+        pairs, more = closure(edges), None
+    else:
+        to, through, pairs = listed_pairs(size, edges, hub)
+        weight = to.join(size.select("node", "size"), "node").groupBy("hub").agg(F.sum("size").alias("weight"))
+        more = through.join(weight, "hub").select("node", "hub", "weight")
+    above = pairs.join(size.select("node", "size"), "node").groupBy(F.col("reach").alias("node")).agg(F.sum("size").alias("above"))
+    own = size.join(above, "node", "left")
+    # a hub is among what reaches it, and counts there by its cycle
+    n = F.coalesce("above", F.lit(0)) + F.when(F.col("cyclic"), F.col("size")).otherwise(0)
+    if more is not None:
+        own = own.join(more, "node", "left")
+        n = n + F.coalesce("weight", F.lit(0)) - F.when(F.col("hub") == F.col("node"), F.col("size")).otherwise(0)
+    return named.join(own.select(F.col("node").alias("component"), n.alias("n")), "component").select("node", "n")
 
 
 def ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -86,3 +86,18 @@ def test_reach_under_change(spark):
     # a change at the rim looks at few pairs
     rim = graph.add(made(spark, [("new", "f01")]))
     assert rim.touched <= len(nodes) + 1 and rim.reach.where(F.col("node") == "new").count() >= 1
+
+
+def test_reach_through_a_hub_is_counted_without_its_pairs(spark):
+    # 12 nodes lead into a ring of 4, which leads to 12 more; a path goes around it, another ring has a tail of its own
+    ring = [("r0", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r0"), ("s0", "s1"), ("s1", "s2"), ("s2", "s0"), ("s1", "out3"), ("in5", "s1")]
+    edges = {*ring, *((f"in{k}", "r1") for k in range(12)), *(("r2", f"out{k}") for k in range(12)), ("in0", "x"), ("x", "out0"), ("y", "x"), ("out1", "z"), ("in2", "in3")}
+    nodes = sorted({x for e in edges for x in e})
+    want, _ = plain_ranks(nodes, edges)
+    graph = made(spark, edges)
+    parts = G.condensed(spark.createDataFrame([(x,) for x in nodes], "node string"), graph, G.cycles(graph))
+    assert dict(map(tuple, G.reach_counts(parts, 3).collect())) == {x: r[3] for x, r in want.items()}
+    size = parts[0].groupBy(F.col("component").alias("node")).agg(F.count("*").alias("size"))
+    _, _, pairs = G.listed_pairs(size, parts[1].select(F.col("ca").alias("src"), F.col("cb").alias("dst")), 3)
+    # of the 200 pairs or so only those that go through no hub are listed
+    assert {tuple(r) for r in pairs.collect()} >= {("y", "x"), ("y", "out0")} and pairs.count() < 20
