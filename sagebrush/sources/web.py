@@ -15,6 +15,8 @@ MAIN_CLASSES = "content post entry".split()
 #: Extensions of files that are read, and folders that are not (fixed values).
 NOISE = "node_modules|__pycache__|venv|dist|build|target|vendor|coverage|out|bin|obj|tmp|logs"
 FILES = r"\.(md|mdx|txt|rst|html|htm|pdf|js|mjs|cjs|ts|tsx|jsx|py|go|rs|java|kt|cs|php|rb|swift|cpp|c|h|css|sh|sql|scala|lua|dart)$"
+#: Pages in an Arrow batch, and those that are Python strings at a time: a page may be megabytes.
+ARROW_ROWS, PAGES = 256, 32
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -62,6 +64,21 @@ def clean(page: str | None, most: int) -> tuple[str, str, list]:
     return (one(r.main) or one(r.whole))[:most], one(r.title), [{"language": a, "code": b} for a, b in blocks]
 
 
+def short(df: DataFrame) -> DataFrame:
+    """df, whose session is set to short Arrow batches if it has longer ones."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, ARROW_ROWS)
+    return df
+
+
+def small(batches, most: int = PAGES):
+    """Arrow batches in slices of a few rows, so that what is made of a batch stays small however many rows Spark sends."""
+    for b in batches:
+        for k in range(0, b.num_rows, most):
+            yield b.slice(k, most)
+
+
 def cleaned_pages(pages: DataFrame, most: int = 8000) -> DataFrame:
     """(page_id, url, title, text, code_blocks) in Arrow batches."""
     import pyarrow as pa
@@ -69,11 +86,11 @@ def cleaned_pages(pages: DataFrame, most: int = 8000) -> DataFrame:
     kind = pa.list_(pa.struct([("language", pa.string()), ("code", pa.string())]))
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             got = [clean(x, most) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[1] for x in got], pa.string()), pa.array([x[0] for x in got], pa.string()), pa.array([x[2] for x in got], kind)], ["page_id", "url", "title", "text", "code_blocks"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, title string, text string, code_blocks array<struct<language:string,code:string>>")
+    return short(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, title string, text string, code_blocks array<struct<language:string,code:string>>")
 
 
 def page_document(pages: DataFrame) -> DataFrame:

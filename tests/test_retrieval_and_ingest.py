@@ -324,3 +324,24 @@ def test_code_pieces(spark):
     assert got["src/a.py", "f"].content == "import os\nfrom x import y\n\ndef f(x):\n    return x" and got["src/a.py", "A"].type == "class"
     assert got["c.go", "Box"].type == "struct" and got["b.py", "b.py"].type == "file" and got["b.py", "b.py"].content == "x = 1"
     assert ("l.py", "l.py") in got and got["f.rs", "run"].content.startswith("use std::io;\n\npub async fn run")
+
+
+def test_pages_are_parsed_few_at_a_time(spark):
+    # batches are short whatever the session had, and a batch that comes is taken in slices
+    import pyarrow as pa
+
+    from sagebrush.sources import web as W
+
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(name, 10_000)
+        pages = spark.range(600).selectExpr("id AS page_id", "'u' AS url", "concat('<p>', id, '</p>') AS html")
+        assert {(r.page_id, r.text) for r in W.cleaned_pages(pages).collect()} == {(k, str(k)) for k in range(600)}
+        assert int(spark.conf.get(name)) == W.ARROW_ROWS
+        spark.conf.set(name, 100)
+        W.short(pages)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(70))], ["n"])
+    assert [b.num_rows for b in W.small([rows])] == [32, 32, 6]
