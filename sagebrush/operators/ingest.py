@@ -32,10 +32,10 @@ def prose(rows: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    own = rows.where("error is null and format <> 'code'")
+    own = W.short(rows).where("error is null and format <> 'code'")
 
     def read(batches):
-        for b in batches:
+        for b in W.small(batches):
             got = [W.clean(x, 1 << 40)[:2] for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[1] for x in got], pa.string()), pa.array([x[0] for x in got], pa.string())], ["path", "title", "text"])
 
