@@ -50,6 +50,19 @@ RUNS = {
 }
 
 
+#: Rows of a table whose texts are made in one task.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, key: str, source: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows by their key in tasks whose size is bounded: more rows in the source (counted from its footers) make more tasks, not larger ones.
+
+    What follows, by the same key, needs no further shuffle, and stays as small.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-source.count() // (most or TASK_ROWS))), key)
+
+
 def _parts(template: str) -> list[str]:
     return [x for x in re.split(r"(\{[a-z]\})", template) if x]
 
@@ -101,7 +114,9 @@ def order_texts(spark, sf_dir: str) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_quantity"))
     said = F.concat(F.repeat(F.lit("#"), (nth - 1) % 3 + 1), F.lit(" Part "), F.col("l_partkey").cast("string"), F.lit("\nShipped by "), F.col("l_returnflag"))
     line = F.when(F.col("l_quantity") % 5 == 0, F.concat(said, F.lit("\n```\n# no heading\n```"))).otherwise(said)
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag is not null and l_partkey is not null and l_linenumber is not null")
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.where("l_returnflag is not null and l_partkey is not null and l_linenumber is not null")
+    rows = dealt(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity"), "l_orderkey", items)
     rows = rows.select(F.col("l_orderkey").alias("doc_id"), nth.alias("nth"), line.alias("line"))
     own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", "line"))).alias("x"))
     return own.select("doc_id", F.concat(F.lit("Order "), F.col("doc_id").cast("string")).alias("title"), F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("text"))
