@@ -42,6 +42,8 @@ class Form:
     nowhere: bool = False
     category: str = ""
     place: str = ""
+    #: One of these, in lower case, is in every text that the pattern matches; others are not searched by it.
+    needs: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -66,9 +68,9 @@ _RN_KINDS = (_JS_KINDS[0], ("cannot find module|import|require|unable to resolve
 
 
 
-def _note(pattern: str, code: str, category: str) -> Form:
+def _note(pattern: str, code: str, category: str, *needs: str) -> Form:
     """An error that is its whole match, without a place."""
-    return Form(pattern, message=-1, constant=code, nowhere=True, category=category)
+    return Form(pattern, message=-1, constant=code, nowhere=True, category=category, needs=needs)
 
 
 # The formats of compilers, runtimes and test runners.
@@ -146,12 +148,12 @@ LANGUAGES = {
     "reactnative": Language(
         (_TSC,), (*(c for c in _JS_CRASH if c != "EADDRINUSE"), "Invariant Violation", "Native module.*cannot be null", "Unable to resolve module"), kinds=_RN_KINDS, last=(_NODE,),
         extra=(
-            _note(r"""(?i)error:\s*Unable to resolve module\s+['"]?([^'"]+)['"]?""", "RN_MODULE_RESOLVE", "import"),
-            _note(r"(?i)Invariant Violation:\s*(.+)", "RN_INVARIANT", "runtime"),
-            _note(r"(?i)Native module\s+(\S+)\s+cannot be null", "RN_NATIVE_NULL", "native"),
-            _note(r"(?i)Could not connect to development server", "RN_DEV_SERVER", "network"),
-            _note(r"(?i)Could not determine the dependencies of task\s+'([^']+)'", "RN_GRADLE", "build"),
-            _note(r"(?i)Build failed|Signing requires a development team", "RN_XCODE", "build"),
+            _note(r"""(?i)error:\s*Unable to resolve module\s+['"]?([^'"]+)['"]?""", "RN_MODULE_RESOLVE", "import", "unable to resolve module"),
+            _note(r"(?i)Invariant Violation:\s*(.+)", "RN_INVARIANT", "runtime", "invariant violation:"),
+            _note(r"(?i)Native module\s+(\S+)\s+cannot be null", "RN_NATIVE_NULL", "native", "native module"),
+            _note(r"(?i)Could not connect to development server", "RN_DEV_SERVER", "network", "could not connect to development server"),
+            _note(r"(?i)Could not determine the dependencies of task\s+'([^']+)'", "RN_GRADLE", "build", "could not determine the dependencies of task"),
+            _note(r"(?i)Build failed|Signing requires a development team", "RN_XCODE", "build", "build failed", "signing requires a development team"),
         ),
     ),
 }
@@ -187,6 +189,17 @@ def _rows(raw: Column, form: Form) -> Column:
     return F.when(place.isNotNull() & (line.try_cast("int") > 0), F.slice(rows, 1, 1)).otherwise(F.slice(rows, 1, 0)) if form.at and not form.first else rows
 
 
+_NO_ROWS = "array<struct<file:string,line:int,column:int,code:string,message:string,said:string,category:string>>"
+
+
+def _needed(raw: Column, form: Form) -> Column:
+    """The rows of a form; texts without any of what it needs have none and are not searched."""
+    if not form.needs:
+        return _rows(raw, form)
+    low = F.lower(raw)
+    return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in form.needs]), _rows(raw, form)).otherwise(F.array().cast(_NO_ROWS))
+
+
 def _chain(raw: Column, forms: tuple[Form, ...]) -> Column:
     """The rows of the first form that finds any."""
     return reduce(lambda later, form: (lambda r: F.when(F.size(r) > 0, r).otherwise(later))(_rows(raw, form)), reversed(forms[:-1]), _rows(raw, forms[-1]))
@@ -196,7 +209,7 @@ def parsed(outputs: DataFrame, language: str) -> DataFrame:
     """Error rows (id, nth, file, line, column, code, message, category) of raw outputs (id, raw)."""
     own = LANGUAGES[language]
     raw = F.coalesce("raw", F.lit(""))
-    rows = F.concat(_chain(raw, own.forms), *[_rows(raw, form) for form in own.extra])
+    rows = F.concat(_chain(raw, own.forms), *[_needed(raw, form) for form in own.extra])
     if own.last:
         rows = F.when(F.size(rows) > 0, rows).otherwise(_chain(raw, own.last))
     out = outputs.select("id", F.posexplode(rows).alias("nth", "e")).select("id", F.col("nth").cast("long").alias("nth"), "e.*")

@@ -359,3 +359,12 @@ def test_order_texts_are_made_once_in_tasks_of_bounded_size(spark, monkeypatch):
     # section paths read the table once and shuffle it once
     plan = D.section_paths(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange ") == 1
+
+
+def test_forms_are_looked_for_only_where_what_they_need_is(spark):
+    from sagebrush.operators import errors as E
+
+    said = ["error: Unable to RESOLVE module 'x'", "INVARIANT Violation: x", "native Module abc cannot be null", "could NOT connect to development server", "Could not determine the Dependencies of task 'x'", "BUILD failed", "signing Requires a development team", "all is well", None]
+    got = {(r.id, r.code) for r in E.parsed(spark.createDataFrame(list(enumerate(said)), "id long, raw string"), "reactnative").collect()}
+    assert got == set(enumerate("RN_MODULE_RESOLVE RN_INVARIANT RN_NATIVE_NULL RN_DEV_SERVER RN_GRADLE RN_XCODE RN_XCODE".split()))
+    assert all(f.needs for f in E.LANGUAGES["reactnative"].extra)
