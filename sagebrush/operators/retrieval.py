@@ -179,7 +179,8 @@ class SparseIndex:
         if flags is not None:
             hits = hits.where(~F.col("only") | F.col("flagged"))
         weight = F.col("idf") * S.tf_norm(F.col("tf"), F.col("len"), F.col("avg_len"))
-        sums = hits.groupBy("query_id", "collection", "id").agg(F.round(F.sum(weight * F.col("idf") * F.col("tn")), S.TIE).alias("score")).where("score > 0")
+        # equal texts have equal scores to the last bit, in whatever order their postings come
+        sums = hits.groupBy("query_id", "collection", "id").agg(F.round(S.exact_sum(weight * F.col("idf") * F.col("tn")), S.TIE).alias("score")).where("score > 0")
         return ranked(sums, limit)
 
 

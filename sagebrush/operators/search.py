@@ -42,6 +42,13 @@ def tf_norm(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of numbers of 0 or more, the same in any order: whole units of 2^-20, and what each has left in units of 2^-62, are summed apart as long values."""
+    units = F.floor(x * 2.0**20)
+    rest = F.floor((x * 2.0**20 - units) * 2.0**42)
+    return (F.sum(units) + F.sum(rest) / 2.0**42) / 2.0**20
+
+
 def counted(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, len, term, tf) of rows (keys, t: tokens). Terms are counted in their text; only where keys are repeated, texts of one length are grouped."""
     own = rows.select(*keys, F.size("t").alias("len"), F.explode(X.term_counts(F.col("t"))).alias("x"))

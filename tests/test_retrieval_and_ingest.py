@@ -368,3 +368,19 @@ def test_forms_are_looked_for_only_where_what_they_need_is(spark):
     got = {(r.id, r.code) for r in E.parsed(spark.createDataFrame(list(enumerate(said)), "id long, raw string"), "reactnative").collect()}
     assert got == set(enumerate("RN_MODULE_RESOLVE RN_INVARIANT RN_NATIVE_NULL RN_DEV_SERVER RN_GRADLE RN_XCODE RN_XCODE".split()))
     assert all(f.needs for f in E.LANGUAGES["reactnative"].extra)
+
+
+def test_scores_do_not_hang_on_the_order_of_postings(spark, tmp_path, monkeypatch):
+    """Postings read forwards and backwards give the same scores to the last bit, so that equal texts tie wherever they are."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(WORDS, k=30)), "go") for k in range(60)]
+    index = Q.SparseIndex(spark, f"{tmp_path}/order").insert(spark.createDataFrame(rows, "id long, content string, collection string").coalesce(1))
+    asked = spark.createDataFrame([(1, "go", " ".join(WORDS))], "query_id long, collection string, query string")
+    monkeypatch.setattr(Q.S, "TIE", 15)
+    read, got = index.tables.read, []
+    for way in (F.asc, F.desc):
+        path = f"{tmp_path}/{way.__name__}"
+        read(index.POSTINGS).coalesce(1).sortWithinPartitions(way("term")).write.parquet(path)
+        monkeypatch.setattr(index.tables, "read", lambda t, m=None, path=path: spark.read.parquet(path) if t == index.POSTINGS else read(t, m))
+        got.append({r.id: r.score for r in index.search(asked, 100).collect()})
+    assert len(got[0]) == 60 and got[0] == got[1]
