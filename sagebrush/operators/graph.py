@@ -43,6 +43,10 @@ def dependents(edges: DataFrame) -> DataFrame:
 
 #: Steps of a search along edges that are one job.
 HOPS = 3
+#: Steps for which colours are waited for at first.
+STEPS_FIRST = 36
+#: One in so many nodes, at least, gives its colour at first.
+SEEDS = 500
 #: Rounds of trimming that are one job.
 TRIMS = 3
 #: Share of the edges that, left by a job of trimming, ends it.
@@ -55,14 +59,14 @@ STEPS = 3
 HUB = 100
 
 
-def _spread(labels: DataFrame, edges: DataFrame, fresh: Column | None = None, most_rounds: int = 10_000) -> DataFrame:
-    """(node, label) after labels went along (src, dst) as far as they get smaller: each node has the least that reaches it.
+def _spread(labels: DataFrame, edges: DataFrame, fresh: Column | None = None, most_steps: int = 30_000) -> tuple[DataFrame, bool]:
+    """(node, label) after labels went along (src, dst) as far as they get smaller: each node has the least that reaches it. And whether that is so, or labels only went `most_steps` steps.
 
     A round is a few steps in one job. Only labels that are fresh, new in the last step, are sent on; at first those that
     the condition `fresh` names, or all. Null labels are none yet.
     """
     now = stored(labels.withColumn("fresh", F.col("label").isNotNull() if fresh is None else fresh), "labels")
-    for _ in range(most_rounds):
+    for _ in range(0, most_steps, HOPS):
         step = now
         for _ in range(HOPS):
             # what is sent is built into the hash tables: edges and labels are streamed past it without a sort
@@ -72,22 +76,68 @@ def _spread(labels: DataFrame, edges: DataFrame, fresh: Column | None = None, mo
             step = step.join(sent.hint("shuffle_hash"), "node", "left").select("node", F.least("label", "got").alias("label"), less.alias("fresh"))
         last, now = now, stored(step, "labels")
         drop(last)
-        if now.where("fresh").isEmpty():
-            return now.select("node", "label")
-    raise RuntimeError("labels did not settle")
+        settled = now.where("fresh").isEmpty()
+        if settled:
+            break
+    return now.select("node", "label"), settled
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, id) of the nodes that edges (src, dst) enter and leave, least those with many edges; and a bound below which lie a few of them.
+
+    Nodes of many edges are likely members of large components. Among nodes of like degree the number is by the hash of
+    the node, so that components that lie in a row have their numbers in no order.
+    """
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    degree = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o > 0 and i > 0")
+    few = F.lit(63) - F.floor(F.log2("o") + F.log2("i"))
+    ids = stored(degree.select("node", (F.shiftleft(few.cast("long"), 56) + F.monotonically_increasing_id()).alias("id")), "ids")
+    classes = sorted(map(tuple, ids.groupBy(F.shiftright("id", 56).alias("few")).count().collect()))
+    seen, many, bound = 0, sum(n for _, n in classes), 0
+    for k, n in classes:
+        seen, bound = seen + n, (k + 1) << 56
+        if seen * SEEDS >= many:
+            break
+    return ids, bound
 
 
 def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(node, component) of all nodes on a cycle of two or more; the component is named by its least member.
 
-    Edges that start or end where none ends or starts are on no cycle and are trimmed. Then every node takes the least
-    node that reaches it as its colour; the nodes of a colour that reach the node it is named by are a component. Edges
-    between colours, and those of components found, go; what is left is done again. A round costs what the edges left
-    cost, and no pair of nodes is ever held that no edge joins.
+    Every node takes the least node that reaches it as its colour, at first of a few that have many edges, then of all.
+    The nodes of a colour that reach the node it is named by are a component. Edges between colours, and those of
+    components found, go; what is left is trimmed of edges that start or end where none ends or starts, and is done again.
+    Colours that have a long way are not waited for: what is found on cycles by then becomes one node, which shortens
+    the way. A round costs what the edges left cost, and no pair of nodes is ever held that no edge joins.
     """
-    own = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
-    left, found = stored(own, "edges"), None
+    own = stored(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst"), "edges")
+    ids, bound = _numbered(own)
+    a, b = ids.select(F.col("node").alias("src"), F.col("id").alias("a")), ids.select(F.col("node").alias("dst"), F.col("id").alias("b"))
+    left = stored(own.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "edges")
+    many, most_steps, merged = left.count(), STEPS_FIRST, []
     for _ in range(most_rounds):
+        if not many:
+            break
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        seeds = F.col("node") if bound is None else F.when(F.col("node") < bound, F.col("node"))
+        colour, settled = _spread(nodes.withColumn("label", seeds), left, most_steps=most_steps)
+        a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("label").alias("cb"))
+        same = stored(left.join(a, "src").join(b, "dst").where("ca <=> cb").select("src", "dst", "ca"), "edges")
+        # backwards from the named node, within its colour: what it reaches this way is labelled by it, all else by itself
+        back = same.where("ca is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        start = colour.where("label is not null").select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(1).alias("label"))
+        reached, whole = _spread(start, back, F.col("label") == 0, most_steps)
+        done = stored(reached.where("label = 0").select("node").join(colour, "node").select(F.col("node").alias("id"), F.col("label").alias("to")), "components")
+        merged.append(done.where("id <> to"))
+        if settled and whole:
+            gone = done.select(F.col("id").alias("src"))
+            rest = same.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+        else:
+            a, b = done.select(F.col("id").alias("src"), F.col("to").alias("a")), done.select(F.col("id").alias("dst"), F.col("to").alias("b"))
+            rest = (same if settled else left).join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst")).where("src <> dst").distinct()
+            most_steps *= 2
+        last, left, bound = left, stored(rest, "edges"), None
+        drop(last, same)
         # trimming costs less than colours as long as it takes much away; long tails that are left take a colour of their own
         many = left.count()
         while many:
@@ -100,25 +150,17 @@ def strong_components(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
             before, many = many, left.count()
             if many > TRIMMED * before:
                 break
-        if not many:
-            break
-        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-        colour = _spread(nodes.withColumn("label", F.col("node")), left)
-        a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("label").alias("cb"))
-        same = stored(left.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst", "ca"), "edges")
-        # backwards from the named node, within its colour: what it reaches this way is labelled by it, all else by itself
-        back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        reached = _spread(colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(1).alias("label")), back, F.col("label") == 0)
-        done = stored(reached.where("label = 0").select("node").join(colour, "node").select("node", F.col("label").alias("component")), "components")
-        found = done if found is None else stored(found.union(done), "components")
-        gone = done.select(F.col("node").alias("src"))
-        drop(left)
-        left = stored(same.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
-        drop(same)
-    if found is None:
+    else:
+        raise RuntimeError("components did not settle")
+    if not merged:
         return own.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    # a colour's own node with no cycle through it is no component
-    return found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component").select("node", "component")
+    # what a node became one with may itself have become one with another later
+    found = merged.pop()
+    for early in reversed(merged):
+        later = found.select(F.col("id").alias("to"), F.col("to").alias("last"))
+        found = stored(found.union(early.join(later, "to", "left").select("id", F.coalesce("last", "to"))), "components")
+    found = found.union(found.select("to", "to").distinct()).join(ids, "id").select("node", "to")
+    return found.join(found.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -192,7 +234,10 @@ def listed_pairs(size: DataFrame, dag: DataFrame, hub: int = HUB) -> tuple[DataF
     hubs = stored(size.where(F.col("size") >= hub).select("node"), "hubs")
     to = _grown(hubs.select("node", F.col("node").alias("hub")), dag)
     marked = size.select("node").join(hubs.select("node", F.col("node").alias("label")), "node", "left")
-    through = _spread(marked, dag).withColumnRenamed("label", "hub").where("hub is not null")
+    spread, settled = _spread(marked, dag)
+    if not settled:
+        raise RuntimeError("labels did not settle")
+    through = spread.withColumnRenamed("label", "hub").where("hub is not null")
     own = hubs.select("node", F.col("node").alias("own"))
     through = stored(through.join(own, "node", "left").select("node", F.coalesce("own", "hub").alias("hub")), "through")
     start = dag.join(through.withColumnRenamed("node", "dst"), "dst", "left").select(F.col("src").alias("node"), F.col("dst").alias("reach"), "hub")

@@ -101,3 +101,22 @@ def test_reach_through_a_hub_is_counted_without_its_pairs(spark):
     _, _, pairs = G.listed_pairs(size, parts[1].select(F.col("ca").alias("src"), F.col("cb").alias("dst")), 3)
     # of the 200 pairs or so only those that go through no hub are listed
     assert {tuple(r) for r in pairs.collect()} >= {("y", "x"), ("y", "out0")} and pairs.count() < 20
+
+
+def test_components_in_a_row_are_not_found_one_a_round(spark, monkeypatch):
+    # rings of two, each leading to the next, in the order of their names
+    edges = [e for k in range(6) for e in ((f"a{k}", f"b{k}"), (f"b{k}", f"a{k}"))] + [(f"b{k}", f"a{k + 1}") for k in range(5)]
+    rounds, spread = [], G._spread
+    monkeypatch.setattr(G, "_spread", lambda *a, **b: rounds.append(1) or spread(*a, **b))
+    assert dict(map(tuple, G.strong_components(made(spark, edges)).collect())) == {f"{c}{k}": f"a{k}" for c in "ab" for k in range(6)}
+    # two searches a round; one component a round takes 12
+    assert len(rounds) <= 10
+
+
+def test_components_are_right_when_colours_are_not_waited_for(spark, monkeypatch):
+    monkeypatch.setattr(G, "STEPS_FIRST", 3)
+    rng = random.Random(2)
+    nodes = [f"n{k:02}" for k in range(40)]
+    edges = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)} | {("n01", "c0"), ("c0", "c1"), ("c1", "c2"), ("c2", "c0")}
+    _, ring = plain_ranks(sorted({x for e in edges for x in e}), edges)
+    assert dict(map(tuple, G.cycles(made(spark, edges)).collect())) == ring
