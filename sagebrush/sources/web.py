@@ -17,6 +17,8 @@ NOISE = "node_modules|__pycache__|venv|dist|build|target|vendor|coverage|out|bin
 FILES = r"\.(md|mdx|txt|rst|html|htm|pdf|js|mjs|cjs|ts|tsx|jsx|py|go|rs|java|kt|cs|php|rb|swift|cpp|c|h|css|sh|sql|scala|lua|dart)$"
 #: Pages in an Arrow batch, and those that are Python strings at a time: a page may be megabytes.
 ARROW_ROWS, PAGES = 256, 32
+#: White space and line ends that are taken off a line.
+BLANKS = "\t\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -116,8 +118,9 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_title(content):
-    """The first line with something on it, 100 characters at most."""
-    return F.substring(F.trim(F.element_at(F.filter(F.split(content, "\n", -1), lambda x: F.trim(x) != ""), 1)), 1, 100)
+    """The first line with something on it, 100 characters at most; null where there is none."""
+    line = F.substring_index(F.ltrim(content, F.lit(f"{BLANKS}\n")), "\n", 1)
+    return F.nullif(F.substring(F.rtrim(line, F.lit(BLANKS)), 1, 100), F.lit(""))
 
 
 def markdown_title(content, name):

@@ -319,6 +319,14 @@ def test_scope_results(spark):
     assert [(r.id, r.shown) for r in K.code_examples(code).orderBy("nth").collect()] == [(3, "\n```c```"), (1, " (y)\n```a```"), (2, "\n```b```")]
 
 
+def test_titles_of_texts_without_a_line(spark, tmp_path):
+    texts = [None, "", " ", "\n \n\t\r\n", "\t\n \r\n  My title \t\r\nB", "\u00a0\u3000\n\u2003é x\ufeff", "x" * 120, f"{'y' * 99}  z\n", "a"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.title, r.text) for r in registry.queries()["text_documents"](spark, str(tmp_path)).collect()}
+    titles = [None, None, None, None, "My title", "é x", "x" * 100, f"{'y' * 99} ", "a"]
+    assert got == {k: (t, texts[k]) for k, t in enumerate(titles)}
+
+
 def test_near_duplicate_pairs_cross_lang_and_source(spark, tmp_path):
     rng = random.Random(6)
     base = [[f"w{rng.randrange(300)}" for _ in range(40)] for _ in range(6)]
