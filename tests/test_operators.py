@@ -1,8 +1,10 @@
 """Cases that no table has."""
 
 import math
+import os
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -383,6 +385,48 @@ def test_similar_pairs_of_common_words_make_few_candidates(spark):
     assert {tuple(sorted(r)) for r in made} >= set(own) and len(made) == len({tuple(r) for r in made}) < 2 * len(own)
 
 
+def test_similar_pairs_move_each_set_a_few_times(spark, monkeypatch):
+    """Near copies of large sets: what is shuffled grows with the sets, not with their pairs, and no shuffle file stays."""
+    from sagebrush.operators import similar as SP
+
+    rng, texts = random.Random(7), []
+    for g, n in enumerate((130, 40, 3)):
+        base = [f"g{g}w{k}" for k in range(400)]
+        texts += [[w if rng.random() > 0.04 else f"own{rng.randrange(10**9)}" for w in base] for _ in range(n)]
+    texts += [t[::-1] for t in texts[:5]]
+    rows = [(k, " ".join(t), ["de", "en"][k % 7 == 0], ["s", None][k % 50 == 9]) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).localCheckpoint()
+    sets = [set(t) for t in texts]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    want = {k: round(v, 9) for k, v in want.items() if v > 0.8}
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    def files():
+        return {f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+
+    was, before = moved(), files()
+    pairs = SP.similar_pairs(docs, 0.8, [])
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    got = pairs.collect()
+    assert moved() - was < 10 * sum(len(r[1]) for r in rows)
+    assert {(r.a, r.b): round(r.similarity, 9) for r in got} == want and len(got) == len(want) > 7000
+    # groups and blocks in many parts, texts of equal blocks only
+    monkeypatch.setattr(SP, "GROUP", 16)
+    monkeypatch.setattr(SP, "BLOCK", 12)
+    monkeypatch.setattr(SP, "PAIRS", 100)
+    got = SP.similar_pairs(docs, 0.8, ["lang", "source"]).collect()
+    want = {(a, b): v for (a, b), v in want.items() if rows[a][2:] == rows[b][2:] and rows[a][3] is not None}
+    assert {(r.a, r.b): round(r.similarity, 9) for r in got} == want and len(got) == len(want) > 3000
+
+
 def test_terms_are_counted_in_their_texts(spark):
     """Counts of terms need no shuffle; texts of one id and length still count as one, as in the SQL."""
     from collections import Counter
