@@ -13,6 +13,9 @@ as soon as a step is stored.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,12 @@ LONGS = 4
 LARGE, WIDE = 250, 64
 #: Sets of which a block of wide bits has some (32 MB), and blocks at least, so that there is work for many tasks.
 BLOCK, BLOCKS = 1 << 16, 6
-#: Sets of one group whose words a task holds at a time, about, and pairs that it works through at a time.
-GROUP, PAIRS = 2000, 1 << 20
+#: Sets of one group whose words a task holds at a time, about; smaller parts make work for more tasks, up to so many parts.
+GROUP, PART, PARTS = 2000, 250, 8
+#: Pairs that a task works through at a time.
+PAIRS = 1 << 20
+#: Prefix rows that are shuffled at a time, about (some 45 bytes each on disk); more go in rounds by their words.
+ROUND = 100_000_000
 #: Copies of one text that are paired as one group.
 COPIES = 1000
 
@@ -53,8 +60,8 @@ def _room(least: float, n: Column) -> Column:
     return n - F.ceil(F.lit(2 * least / (1 + least)) * n - F.lit(1e-9))
 
 
-def _prefixes(counts: np.ndarray, least: float):
-    """Rows of the words of each set's prefix, each with its place and the word before it."""
+def _prefixes(counts: np.ndarray, least: float, rounds: int, nth_round: int):
+    """Rows of the words of each set's prefix that a round has, each with its place and the word before it."""
 
     def run(batches):
         import pyarrow as pa
@@ -68,6 +75,8 @@ def _prefixes(counts: np.ndarray, least: float):
             nth = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             # a little less than the share, so that a product that is rounded up cuts nothing
             on = nth <= np.repeat(n - np.ceil(least * n - 1e-9).astype(np.int64), n)
+            if rounds > 1:
+                on &= (h.view(np.uint64) >> np.uint64(20)) % np.uint64(rounds) == nth_round
             at, bits = row[on], _parities(h, row, len(n), LONGS)[row[on]]
             cid = b.column(0).to_numpy()
             before = pa.array(np.roll(h, 1)[on], mask=nth[on] == 0)
@@ -88,7 +97,10 @@ def _wide(batches):
 
 def _counts(hashed: DataFrame) -> np.ndarray:
     """How many sets hold words of each bucket."""
-    rows = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count().toArrow()
+    rows = hashed.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    kept = _kept(rows, "counts")
+    rows = kept.toArrow()
+    drop(kept)
     out = np.zeros(BUCKETS, np.int32)
     out[rows.column(0).to_numpy()] = np.minimum(rows.column(1).to_numpy(), 2**31 - 1)
     return out
@@ -190,12 +202,10 @@ def _shared(own, x, y):
     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array([own[c][0] for c in x.tolist()], pa.int32()), pa.array([own[c][0] for c in y.tolist()], pa.int32()), pa.array(same, pa.int32())], ["x", "y", "na", "nb", "same"])
 
 
-def _alike(hashed: DataFrame, least: float) -> DataFrame:
-    """(x, y) of the sets that may be alike, each pair once."""
-    spark = hashed.sparkSession
-    counts = spark.sparkContext.broadcast(_counts(hashed))
+def _met(hashed: DataFrame, counts, least: float, rounds: int, nth_round: int) -> DataFrame:
+    """(x, y, large) of the sets that meet at a word of the round and whose bits do not tell that they can't be alike."""
     fields = "word long, cid long, n int, nth int, before long, " + ", ".join(f"s{k} long" for k in range(LONGS))
-    prefix = hashed.select("cid", "h").mapInArrow(lambda batches: _prefixes(counts.value, least)(batches), fields)
+    prefix = hashed.select("cid", "h").mapInArrow(lambda batches: _prefixes(counts.value, least, rounds, nth_round)(batches), fields)
     a, b = (prefix.withColumnsRenamed({c: f"{c}{k}" for c in prefix.columns if c != "word"}) for k in "ab")
     met = a.join(b, "word").where("na < nb or (na = nb and cida < cidb)").where(F.col("na") >= least * F.col("nb") - 1e-9)
     # at the first word that two sets share, no more can be shared than is left of the shorter rest
@@ -205,8 +215,19 @@ def _alike(hashed: DataFrame, least: float) -> DataFrame:
     met = met.where("beforea is null or beforeb is null or beforea <> beforeb")
     bits = sum((F.bit_count(F.col(f"s{k}a").bitwiseXOR(F.col(f"s{k}b"))) for k in range(LONGS)), F.lit(0))
     differ = (F.col("na") + F.col("nb")) * F.lit((1 - least) / (1 + least)) + F.lit(1e-9)
-    pairs = met.where(bits <= differ).select(F.col("cida").alias("x"), F.col("cidb").alias("y"), (F.col("na") > LARGE).alias("large")).distinct()
-    pairs = _kept(pairs, "met")
+    return met.where(bits <= differ).select(F.col("cida").alias("x"), F.col("cidb").alias("y"), (F.col("na") > LARGE).alias("large")).distinct()
+
+
+def _alike(hashed: DataFrame, least: float) -> DataFrame:
+    """(x, y) of the sets that may be alike, each pair once."""
+    found = _counts(hashed)
+    rounds = max(1, math.ceil((1 - least) * found.sum(dtype=np.int64) / ROUND))
+    counts = hashed.sparkSession.sparkContext.broadcast(found)
+    each = [_kept(_met(hashed, counts, least, rounds, k), "met") for k in range(rounds)]
+    pairs = each[0]
+    if rounds > 1:
+        pairs = _kept(reduce(DataFrame.union, each).distinct(), "met")
+        drop(*each)
     large = pairs.where("large")
     sets = large.select(F.explode(F.array("x", "y")).alias("cid")).agg(F.approx_count_distinct("cid")).first()[0]
     blocks = max(BLOCKS, -(-sets // BLOCK))
@@ -221,7 +242,8 @@ def _grouped(pairs: DataFrame) -> DataFrame:
     """(grp, i, j, x, y): sets go by the least one that they or their partner may be like; large groups are cut in parts."""
     ends = pairs.select("x", F.col("y").alias("v")).union(pairs.select("x", F.col("x").alias("v")))
     group = ends.groupBy("v").agg(F.min("x").alias("grp"))
-    sizes = group.groupBy("grp").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    parts = F.greatest(F.ceil(F.count("*") / GROUP), F.least(F.ceil(F.count("*") / PART), F.lit(PARTS)))
+    sizes = group.groupBy("grp").agg(parts.cast("int").alias("parts"))
     group = _kept(group.join(sizes, "grp").select("v", F.struct("grp", "parts").alias("g")), "groups")
     both = pairs.join(group.select(F.col("v").alias("x"), F.col("g").alias("gx")), "x").join(group.select(F.col("v").alias("y"), F.col("g").alias("gy")), "y")
     both = both.select("x", "y", F.least("gx", "gy").alias("g"))

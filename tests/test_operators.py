@@ -418,10 +418,12 @@ def test_similar_pairs_move_each_set_a_few_times(spark, monkeypatch):
     got = pairs.collect()
     assert moved() - was < 10 * sum(len(r[1]) for r in rows)
     assert {(r.a, r.b): round(r.similarity, 9) for r in got} == want and len(got) == len(want) > 7000
-    # groups and blocks in many parts, texts of equal blocks only
+    # groups and blocks in many parts, prefixes in rounds, texts of equal blocks only
     monkeypatch.setattr(SP, "GROUP", 16)
     monkeypatch.setattr(SP, "BLOCK", 12)
+    monkeypatch.setattr(SP, "PART", 9)
     monkeypatch.setattr(SP, "PAIRS", 100)
+    monkeypatch.setattr(SP, "ROUND", 6000)
     got = SP.similar_pairs(docs, 0.8, ["lang", "source"]).collect()
     want = {(a, b): v for (a, b), v in want.items() if rows[a][2:] == rows[b][2:] and rows[a][3] is not None}
     assert {(r.a, r.b): round(r.similarity, 9) for r in got} == want and len(got) == len(want) > 3000
